@@ -34,5 +34,25 @@ def op9_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_digests(spark, path)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_counts, op9_token_files)}
+def op5_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    from deltaloom.llm.quality import quality_scores
+
+    return quality_scores(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
+def op7_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    from deltaloom.llm.language import languages_of
+
+    return languages_of(_table(spark, folder, "documents"))
+
+
+def op8_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    from deltaloom.llm.jaccard import jaccard_join
+
+    return jaccard_join(_table(spark, folder, "documents"), n_words=3, num=90, den=100)
+
+
+QUERIES: dict[str, Query] = {
+    f.__name__: f for f in (op1_token_counts, op5_quality_classifier, op7_language_id, op8_ngram_jaccard_join, op9_token_files)
+}
 ORACLE_SQL: dict[str, str] = {}
