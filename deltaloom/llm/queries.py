@@ -34,6 +34,23 @@ def op9_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_digests(spark, path)
 
 
+#: The rules that op2 judges by.
+URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
+
+
+def op2_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    from deltaloom.llm.urls import url_verdicts
+
+    return url_verdicts(_table(spark, folder, "pages"), URL_RULES)
+
+
+def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
+    from deltaloom.llm.storage import new_path
+    from deltaloom.llm.warc import archived
+
+    return archived(_table(spark, folder, "pages"), new_path(spark, "warc"), least_bytes=0)
+
+
 def op5_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     from deltaloom.llm.quality import quality_scores
 
@@ -53,6 +70,6 @@ def op8_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_token_counts, op5_quality_classifier, op7_language_id, op8_ngram_jaccard_join, op9_token_files)
+    f.__name__: f for f in (op1_token_counts, op2_url_filter, op5_quality_classifier, op7_language_id, op8_ngram_jaccard_join, op9_token_files, op10_warc)
 }
 ORACLE_SQL: dict[str, str] = {}
