@@ -51,6 +51,12 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
     return archived(_table(spark, folder, "pages"), new_path(spark, "warc"), least_bytes=0)
 
 
+def op4_syncmer_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    from deltaloom.llm.syncmers import document_fingerprints
+
+    return document_fingerprints(_table(spark, folder, "documents"))
+
+
 def op5_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     from deltaloom.llm.quality import quality_scores
 
@@ -70,6 +76,6 @@ def op8_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_token_counts, op2_url_filter, op5_quality_classifier, op7_language_id, op8_ngram_jaccard_join, op9_token_files, op10_warc)
+    f.__name__: f for f in (op1_token_counts, op2_url_filter, op4_syncmer_fingerprints, op5_quality_classifier, op7_language_id, op8_ngram_jaccard_join, op9_token_files, op10_warc)
 }
 ORACLE_SQL: dict[str, str] = {}
