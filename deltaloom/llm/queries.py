@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from deltaloom.llm import mixing
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -63,6 +65,15 @@ def op5_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return quality_scores(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
 
+def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from deltaloom.llm.mixing import mixed
+
+    rows = mixed(_table(spark, folder, "documents"))
+    return rows.select("doc_id", "cell_source", "cell_lang", "cell_topic", "n_tokens", F.round("weight", 6).alias("weight"), F.round("p", 6).alias("p"), "kept")
+
+
 def op7_language_id(spark: SparkSession, folder: str) -> DataFrame:
     from deltaloom.llm.language import languages_of
 
@@ -76,6 +87,6 @@ def op8_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_token_counts, op2_url_filter, op4_syncmer_fingerprints, op5_quality_classifier, op7_language_id, op8_ngram_jaccard_join, op9_token_files, op10_warc)
+    f.__name__: f for f in (op1_token_counts, op2_url_filter, op4_syncmer_fingerprints, op5_quality_classifier, op6_mixing, op7_language_id, op8_ngram_jaccard_join, op9_token_files, op10_warc)
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op6_mixing": mixing.oracle_sql()}
