@@ -1,10 +1,68 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: from raw documents to token ids on disk.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read
+again as the next stage's docs.  Stages keep the columns of docs, and the last returns a digest of
+the token files it has written.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+
+from deltaloom.llm.decontaminate import clean
+from deltaloom.llm.jaccard import one_of_each_group
+from deltaloom.llm.mixing import sampled
+from deltaloom.llm.quality import accepted
+from deltaloom.llm.queries import byte_bpe
+from deltaloom.llm.storage import new_path, written
+from deltaloom.llm.token_files import token_digests, write_tokens
+
+#: Near duplicates share at least so much (in hundredths) of their shingles of so many words.
+NEAR_WORDS, NEAR = 5, 80
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    return accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays."""
+    return one_of_each_group(docs, NEAR_WORDS, NEAR, 100)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold benchmark passages go."""
+    return clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are sampled to the target weights of sources, languages and topics."""
+    return sampled(docs)
+
+
+def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids are written in ascending document id; the result is read from the files."""
+    path = new_path(spark, "tokens")
+    write_tokens(docs, path, byte_bpe(), end_id=0)
+    return token_digests(spark, path)
+
+
+STAGES = [
+    ("quality classifier", quality),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", decontamination),
+    ("mixing sources to target weights", mixing),
+    ("token-ID / binary output", token_files),
+]
+
+#: SQL cannot express the classifier, the latent search or the tokenizer.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages, one after the other, over the documents table."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), "stage")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -53,6 +53,12 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
     return archived(_table(spark, folder, "pages"), new_path(spark, "warc"), least_bytes=0)
 
 
+def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    from deltaloom.llm.decontaminate import contaminated
+
+    return contaminated(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
 def op4_syncmer_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     from deltaloom.llm.syncmers import document_fingerprints
 
@@ -87,6 +93,6 @@ def op8_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_token_counts, op2_url_filter, op4_syncmer_fingerprints, op5_quality_classifier, op6_mixing, op7_language_id, op8_ngram_jaccard_join, op9_token_files, op10_warc)
+    f.__name__: f for f in (op1_token_counts, op2_url_filter, op3_decontamination, op4_syncmer_fingerprints, op5_quality_classifier, op6_mixing, op7_language_id, op8_ngram_jaccard_join, op9_token_files, op10_warc)
 }
 ORACLE_SQL: dict[str, str] = {"op6_mixing": mixing.oracle_sql()}
