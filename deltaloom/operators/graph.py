@@ -30,7 +30,7 @@ def references(objects: DataFrame) -> DataFrame:
     Names of common table expressions are left out, and objects with something unterminated.
     """
     rows = objects.where(F.size(sqltext.mask_diagnostics(F.col("source"))) == 0).select("object_key", "schema_name", sqltext.masked(F.col("source")).alias("code"))
-    found = [F.transform(F.regexp_extract_all("code", F.lit("(?is)" + p), F.lit(1)), lambda x, r=r: F.struct(F.lit(r).alias("relation"), x.alias("target"))) for r, p in RELATIONS]
+    found = [_labelled(F.regexp_extract_all("code", F.lit("(?is)" + p), F.lit(1)), r) for r, p in RELATIONS]
     ctes = F.transform(F.regexp_extract_all("code", F.lit(rf"(?is)(?:\bWITH|,)\s+({sqltext.NAME})\s+AS\s*\("), F.lit(1)), F.upper)
     rows = rows.select("object_key", "schema_name", ctes.alias("ctes"), F.explode(F.concat(*found)).alias("x"))
     target = F.regexp_replace("x.target", r"\s*\.\s*", ".")
@@ -47,6 +47,10 @@ def references(objects: DataFrame) -> DataFrame:
     ).distinct()
 
 
+def _labelled(targets: Column, relation: str) -> Column:
+    return F.transform(targets, lambda x: F.struct(F.lit(relation).alias("relation"), x.alias("target")))
+
+
 def resolved(refs: DataFrame, symbols: DataFrame) -> DataFrame:
     """References with candidates (list), resolution and reason: exact schema and name first, else the name alone.
 

@@ -459,8 +459,8 @@ def q39_for_all(t):
 
 
 @query(
-    """WITH c AS (SELECT l_orderkey, l_partkey % 50 AS r, count(*) AS positional FROM lineitem GROUP BY 1, 2), s AS (SELECT DISTINCT p_size AS r, p_partkey % 4 AS n FROM part WHERE p_partkey % 3 = 0),
-j AS (SELECT l_orderkey, c.r, positional, sum(CASE WHEN positional <= n AND positional >= floor(n / 2) THEN 1 ELSE 0 END) AS fitting, count(n) AS shapes FROM c LEFT JOIN s ON c.r = s.r GROUP BY 1, 2, 3)
+    """WITH c AS (SELECT l_orderkey, l_partkey % 50 AS r, count(*) AS args FROM lineitem GROUP BY 1, 2), s AS (SELECT DISTINCT p_size AS r, p_partkey % 4 AS n FROM part WHERE p_partkey % 3 = 0),
+j AS (SELECT l_orderkey, c.r, args, sum(CASE WHEN args <= n AND args >= floor(n / 2) THEN 1 ELSE 0 END) AS fitting, count(n) AS shapes FROM c LEFT JOIN s ON c.r = s.r GROUP BY 1, 2, 3)
 SELECT l_orderkey, r, CASE WHEN shapes = 0 THEN 'unknown_routine' WHEN fitting = 0 THEN 'arity_mismatch' WHEN fitting = 1 THEN 'bound' ELSE 'overloaded' END AS binding FROM j"""
 )
 def q40_arity(t):
