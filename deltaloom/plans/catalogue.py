@@ -554,3 +554,164 @@ UNION ALL SELECT p_partkey, 'U:NAME', '2', 'VARCHAR2(' || p_size || ' CHAR)', p_
 def q48_table_columns(t):
     found = scan.occurrences(_part_ddl(t)).where("object_type = 'TABLE'").select(F.col("path").alias("definition"), "fragment")
     return extract_tables.columns(found).select("definition", "component", "position", "data_type", "length", "precision", "scale", "nullable", "default")
+
+
+def _value_facts(t) -> DataFrame:
+    """Facts made from parts: families and values by arithmetic on the key."""
+    k = F.col("p_partkey")
+    family = F.element_at(F.array(*[F.lit(f) for f in _FAMILIES]), (k % len(_FAMILIES) + 1).cast("int"))
+    return t("part").select(
+        k.cast("string").alias("object_key"), family.alias("family"), F.lit("c").alias("component"), F.when(k % 2 == 0, "NOT NULL").otherwise("NULL").alias("after"), F.lit("x").alias("before"), (k % 3 == 0).alias("context_only")
+    )
+
+
+_FAMILIES = ["table.column.nullable", "table.column.length", "table.constraint.kind", "index.index_property.keys", "view.query_property.where", "sequence.sequence_property.cache", "common.source.format"]
+_FAMILY_SQL = "CASE p_partkey % 7 " + " ".join(f"WHEN {i} THEN '{f}'" for i, f in enumerate(_FAMILIES)) + " END"
+
+
+@query(
+    f"""WITH f AS (SELECT p_partkey::VARCHAR AS object_key, {_FAMILY_SQL} AS family, p_partkey FROM part)
+SELECT * FROM (SELECT object_key, family, 'c' AS component, CASE WHEN family = 'table.column.nullable' AND p_partkey % 2 = 0 THEN 'NULL_DATA_CHECK' WHEN family = 'table.column.length' THEN 'COLUMN_COMPATIBILITY_CHECK'
+ WHEN family LIKE 'table.constraint.%' THEN 'CONSTRAINT_DATA_CHECK' WHEN family LIKE 'index.%' THEN 'INDEX_PLAN_CHECK' WHEN family LIKE 'view.%' THEN 'CONSUMER_REGRESSION_CHECK' END AS code FROM f)
+WHERE code IS NOT NULL ORDER BY object_key, family, component LIMIT 200"""
+)
+def q49_deployment_checks(t):
+    return rollup.deployment_checks(_value_facts(t))
+
+
+_KINDS = ["TABLE", "INDEX", "VIEW", "PACKAGE_BODY", "SEQUENCE", "ROLE"]
+
+
+@query(
+    """WITH o AS (SELECT c_custkey::VARCHAR AS object_key, CASE c_custkey % 6 WHEN 0 THEN 'TABLE' WHEN 1 THEN 'INDEX' WHEN 2 THEN 'VIEW' WHEN 3 THEN 'PACKAGE_BODY' WHEN 4 THEN 'SEQUENCE' ELSE 'ROLE' END AS kind, c_custkey % 4 = 0 AS added, c_custkey % 5 = 0 AS con FROM customer),
+r AS (SELECT object_key, 1 AS n, 'SOURCE_REFERENCES' AS code FROM o WHERE added UNION ALL SELECT object_key, 2, 'COLUMN_CONTRACT' FROM o WHERE kind = 'TABLE' AND (NOT added) UNION ALL SELECT object_key, 3, 'CONSTRAINT_REFERENCES' FROM o WHERE kind = 'TABLE' AND con
+ UNION ALL SELECT object_key, 4, CASE kind WHEN 'INDEX' THEN 'INDEX_DEFINITION' WHEN 'VIEW' THEN 'QUERY_DEFINITION' WHEN 'PACKAGE_BODY' THEN 'CALL_SIGNATURE' WHEN 'SEQUENCE' THEN 'SEQUENCE_DEFINITION' ELSE 'MANUAL_SOURCE_REVIEW' END FROM o WHERE kind <> 'TABLE')
+SELECT object_key, (row_number() OVER (PARTITION BY object_key ORDER BY n) - 1)::INTEGER AS rank, code FROM r"""
+)
+def q50_recommended_checks(t):
+    k = F.col("c_custkey")
+    objects = t("customer").select(k.cast("string").alias("object_key"), F.element_at(F.array(*[F.lit(x) for x in _KINDS]), (k % 6 + 1).cast("int")).alias("object_type"), F.when(k % 4 == 0, "added").otherwise("modified").alias("operation"))
+    families = t("customer").where("c_custkey % 5 = 0").select(k.cast("string").alias("object_key"), F.array(F.lit("table.constraint.kind")).alias("families"))
+    return rollup.recommended_checks(objects, families)
+
+
+@query(
+    """WITH c AS (SELECT l_orderkey, l_linenumber, l_partkey % 100 AS p, l_suppkey % 7 AS r FROM lineitem WHERE l_linenumber = 1),
+pk AS (SELECT p_partkey % 100 AS p, min(p_partkey)::VARCHAR AS k, count(*) AS n FROM part WHERE p_partkey % 5 = 0 AND p_partkey % 100 < 50 AND p_partkey < 150 GROUP BY 1)
+SELECT l_orderkey, CASE WHEN n = 1 THEN 'resolved' WHEN n > 1 THEN 'candidate' WHEN r < 3 THEN 'resolved' ELSE 'unresolved' END AS resolution FROM c LEFT JOIN pk USING (p)"""
+)
+def q51_call_resolution(t):
+    calls = t("lineitem").where("l_linenumber = 1").select("l_orderkey", F.lit("S").alias("ref_schema"), (F.col("l_partkey") % 100).cast("string").alias("ref_name"), (F.col("l_suppkey") % 7).cast("string").alias("routine"))
+    packages = t("part").where("p_partkey % 5 = 0 AND p_partkey % 100 < 50 AND p_partkey < 150").select(F.lit("S").alias("schema_name"), (F.col("p_partkey") % 100).cast("string").alias("name"), F.col("p_partkey").cast("string").alias("object_key"))
+    alone = t("part").select((F.col("p_partkey") % 100).cast("string").alias("schema_name")).distinct().select("schema_name", F.explode(F.array(*[F.lit(str(i)) for i in range(3)])).alias("name"))
+    alone = alone.withColumn("object_key", F.concat_ws(".", "schema_name", "name"))
+    return graph.resolved_calls(calls, packages, alone).select("l_orderkey", "resolution")
+
+
+@query(
+    """WITH e AS (SELECT DISTINCT (l_orderkey % 40)::VARCHAR AS object_key, l_returnflag AS side, CASE l_linenumber % 3 WHEN 0 THEN 'write' WHEN 1 THEN 'read' ELSE 'call' END AS relation, l_partkey::VARCHAR AS from_object, l_suppkey::VARCHAR AS to_object FROM lineitem),
+n AS (SELECT *, row_number() OVER (PARTITION BY object_key, side ORDER BY CASE relation WHEN 'write' THEN 3 WHEN 'call' THEN 4 ELSE 5 END, to_object, from_object) AS rank, greatest(count(*) OVER (PARTITION BY object_key, side) - 8, 0) AS omitted FROM e)
+SELECT object_key, side, relation, from_object, to_object, rank::INTEGER AS rank, omitted::BIGINT AS omitted FROM n WHERE rank <= 8"""
+)
+def q52_context_selection(t):
+    relation = F.when(F.col("l_linenumber") % 3 == 0, "write").when(F.col("l_linenumber") % 3 == 1, "read").otherwise("call")
+    edges = t("lineitem").select((F.col("l_orderkey") % 40).cast("string").alias("object_key"), F.col("l_returnflag").alias("side"), relation.alias("relation"), F.col("l_partkey").cast("string").alias("from_object"), F.col("l_suppkey").cast("string").alias("to_object")).distinct()
+    return graph.selected_context(edges)
+
+
+@query("WITH c AS (SELECT p_partkey, p_size <= 5 AS lim FROM part), s AS (SELECT * FROM c ORDER BY (NOT lim)::INT, p_partkey LIMIT 120) SELECT p_partkey FROM s")
+def q53_slots(t):
+    parts = t("part").select("p_partkey", (F.col("p_size") <= 5).alias("limited"))
+    return ranking.slots(parts, F.col("limited"), "p_partkey", 120).select("p_partkey")
+
+
+@query("SELECT event_id FROM events WHERE event_id > 500 ORDER BY event_id LIMIT 100")
+def q54_cursor_page(t):
+    return ranking.page_after(t("events").select("event_id"), "event_id", 500, 100)
+
+
+@query("WITH m AS (SELECT max(level) AS l FROM (SELECT CASE WHEN p_size > 45 THEN 3 ELSE 2 END AS level FROM part)) SELECT level, types FROM (SELECT CASE WHEN p_size > 45 THEN 'high' ELSE 'low' END AS level, string_agg(DISTINCT p_brand, ',' ORDER BY p_brand) AS types FROM part GROUP BY 1)")
+def q55_risk_basis(t):
+    levels = t("part").select(F.when(F.col("p_size") > 45, "high").otherwise("low").alias("level"), F.col("p_brand").alias("object_type"))
+    return rollup.risk_basis(levels)
+
+
+@query(
+    """SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'INCOMPLETE_SOURCE_INVENTORY' WHEN o_orderkey % 3 = 0 THEN 'CONFLICTING_DEFINITIONS' WHEN o_orderkey % 5 = 0 THEN 'SECRET_IN_MANDATORY_SOURCE' WHEN o_totalprice > 200000 THEN 'MANDATORY_CONTEXT_EXCEEDS_BUDGET' ELSE 'ready' END AS status,
+CASE WHEN o_orderstatus = 'P' THEN 'unresolved' WHEN o_orderkey % 4 = 0 THEN 'limited' ELSE 'verified' END AS coverage FROM orders"""
+)
+def q56_object_status(t):
+    k = F.col("o_orderkey")
+    status = rollup.status_of(k % 2 == 0, k % 3 == 0, k % 5 == 0, F.col("o_totalprice") > 200000)
+    return t("orders").select("o_orderkey", status.alias("status"), rollup.coverage(F.col("o_orderstatus") != "P", k % 4 == 0).alias("coverage"))
+
+
+@query("SELECT p_partkey, regexp_replace(reverse(regexp_replace(reverse((p_partkey * 98765)::VARCHAR), '([0-9]{3})', '\\1.', 'g')), '^\\.', '') AS shown FROM part")
+def q57_grouped_digits(t):
+    return t("part").select("p_partkey", identity.grouped_digits((F.col("p_partkey") * 98765).cast("string")).alias("shown"))
+
+
+@query("SELECT c_custkey, 'SCHEMA|N' || c_nationkey || '|TABLE|' || upper(c_mktsegment) || '|U:' || upper(c_mktsegment) AS k, 'id_' || sha256('{\"name\":\"' || c_mktsegment || '\",\"nation\":' || c_nationkey || ',\"none\":null}') AS id FROM customer")
+def q58_identities(t):
+    name = identity.canonical_name(F.col("c_mktsegment"), F.lit(False))
+    schema = F.concat(F.lit("N"), F.col("c_nationkey").cast("string"))
+    key = identity.object_key(F.lit("SCHEMA"), schema, F.lit("table"), name, identity.component_key(F.col("c_mktsegment")))
+    return t("customer").select("c_custkey", key.alias("k"), identity.stable_id("id", nation=F.col("c_nationkey"), name=F.col("c_mktsegment"), none=F.lit(None).cast("string")).alias("id"))
+
+
+def _index_ddl(t) -> DataFrame:
+    """One index and one view a part."""
+    k, size = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
+    index = F.concat(F.lit("CREATE UNIQUE INDEX app.i"), k, F.lit(" ON app.t"), size, F.lit(" (NVL(a, 'x,"), size, F.lit("'), b DESC) TABLESPACE ts"), size, F.lit(" INVISIBLE;"))
+    view = F.concat(F.lit("CREATE VIEW app.v"), k, F.lit(" AS SELECT a, b"), size, F.lit(" FROM t"), size, F.lit(" WHERE a = 'FROM z' GROUP BY b"), size)
+    return t("part").select(F.col("p_partkey").alias("definition"), index.alias("index"), view.alias("view"))
+
+
+@query("SELECT p_partkey AS definition, 'app.t' || p_size AS target, 'UNIQUE' AS \"unique\", 'NORMAL' AS kind, '[\"NVL(a, ''x,' || p_size || ''')\",\"b\"]' AS keys, '[\"\",\"DESC\"]' AS directions, 'INVISIBLE' AS visibility, 'TABLESPACE ts' || p_size AS tablespace FROM part")
+def q59_indexes(t):
+    found = extract.indexes(_index_ddl(t).select("definition", F.col("index").alias("fragment")))
+    return found.select("definition", "target", "unique", "kind", "keys", "directions", "visibility", F.col("properties")["tablespace"].alias("tablespace"))
+
+
+@query(
+    """SELECT p_partkey AS definition, x.property AS property, x.value AS value FROM (SELECT p_partkey, unnest([{'property': 'projection', 'value': 'a, b' || p_size}, {'property': 'source_references', 'value': 't' || p_size},
+{'property': 'where', 'value': 'a = ''FROM z'''}, {'property': 'group_by', 'value': 'b' || p_size}]) AS x FROM part)"""
+)
+def q60_views(t):
+    return extract.views(_index_ddl(t).select("definition", F.col("view").alias("fragment")))
+
+
+def _package_ddl(t) -> DataFrame:
+    k, size = F.col("s_suppkey").cast("string"), F.col("s_nationkey").cast("string")
+    text = F.concat(
+        F.lit("CREATE PACKAGE BODY p"), k, F.lit(" AS PROCEDURE run"), size, F.lit("(a IN NUMBER, b OUT VARCHAR2) IS BEGIN UPDATE t"), size, F.lit(" SET x = a; EXECUTE IMMEDIATE 'DELETE FROM t"), size, F.lit("'; COMMIT; END; END;")
+    )
+    return t("supplier").select(F.col("s_suppkey").alias("definition"), "s_nationkey", text.alias("fragment"))
+
+
+@query("SELECT s_suppkey AS definition, 'PROCEDURE' AS kind, 'RUN' || s_nationkey AS name, 'PROCEDURE run' || s_nationkey || '(a IN NUMBER, b OUT VARCHAR2)' AS signature, 2 AS parameters, 'OUT' AS second_mode FROM supplier")
+def q61_routines(t):
+    found = extract.routines(_package_ddl(t))
+    return found.select("definition", "kind", "name", "signature", F.size("parameters").alias("parameters"), F.col("parameters")[1]["mode"].alias("second_mode"))
+
+
+@query(
+    """SELECT s_suppkey AS definition, x.family AS family, x.statement AS statement, CASE WHEN x.family = 'dynamic_sql' THEN 'mode=literal,target=static,bind=no,concat=no,validation=not_applicable,loop=no' END AS profile FROM (SELECT s_suppkey,
+unnest([{'family': 'sql_statement', 'statement': 'UPDATE t' || s_nationkey || ' SET x = a'}, {'family': 'dynamic_sql', 'statement': 'EXECUTE IMMEDIATE ''DELETE FROM t' || s_nationkey || ''''}, {'family': 'transaction_statement', 'statement': 'COMMIT'}]) AS x FROM supplier)"""
+)
+def q62_body_facts(t):
+    found = extract.body_facts(_package_ddl(t))
+    profile = F.when(F.col("family") == "dynamic_sql", extract.dynamic_profile(F.col("statement")))
+    return found.select("definition", "family", "statement", profile.alias("profile"))
+
+
+@query("SELECT DISTINCT s_suppkey::VARCHAR AS from_object, 'write' AS relation, 'APP' AS ref_schema, 'T' || s_nationkey AS ref_name FROM supplier")
+def q63_references(t):
+    rows = _package_ddl(t).select(F.col("definition").cast("string").alias("object_key"), F.lit("APP").alias("schema_name"), F.col("fragment").alias("source"))
+    return graph.references(rows).select("from_object", "relation", "ref_schema", "ref_name")
+
+
+@query("SELECT page_id, strlen(html) AS bytes, 'utf-8' AS encoding, 'unresolved' AS parse_status, 0 AS objects FROM pages")
+def q64_file_inventory(t):
+    found = scan.file_inventory(t("pages").select("page_id", F.col("html").cast("binary").alias("raw")), ("page_id",))
+    return found.select("page_id", F.col("bytes").cast("long").alias("bytes"), "encoding", "parse_status", "objects")
