@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 19
 U64 = np.uint64
 _STEP = 0x9E3779B97F4A7C15
 _POWERS: dict[str, np.ndarray] = {}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import sys
 import unicodedata
 from functools import lru_cache
@@ -15,8 +16,11 @@ LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 4
 WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 #: The endings that the GPT-2 pre-tokeniser splits off after an apostrophe.
 ENDINGS = [b"s", b"t", b"re", b"ve", b"m", b"ll", b"d"]
-#: At most so many pre-tokens are remembered by a worker before it starts anew.
-MEMO = 400_000
+#: Slots of a worker's table of pre-tokens met before (a later one takes the slot of an earlier one), and ids it holds.
+SLOTS = 1 << 20
+POOL = 1 << 23
+#: Pairs of tokens of which a worker remembers whether they fit.
+PAIRS = 800_000
 
 
 @lru_cache(1)
@@ -62,9 +66,11 @@ def byte_classes(data: np.ndarray) -> np.ndarray:
     return kind
 
 
-def pretokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def pretokens(data: np.ndarray, offs: np.ndarray, specials: tuple[bytes, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
     """Byte starts of the pre-tokens of a block (no pre-token crosses a document), and their documents.
 
+    Special strings are pieces of their own; what is before and after one is cut as texts of their own.
+
     The same pieces as the pattern ``'s|'t|'re|'ve|'m|'ll|'d| ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|\\s+(?!\\S)|\\s+``.
     """
     n = len(data)
@@ -73,6 +79,9 @@ def pretokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarra
     kind = byte_classes(data)
     first = np.zeros(n + 1, bool)
     first[offs] = True
+    special = special_spans(data, first, specials) if specials else []
+    for a, b in special:
+        first[a] = first[b] = True
     start = first[:n].copy()
     start[1:] |= kind[1:] != kind[:-1]
     # the last white space of a run before something else leaves the run; a blank joins what follows
@@ -93,10 +102,26 @@ def pretokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarra
                 if stop < n:
                     start[stop] = start[stop] or kind[stop] == LETTER
                 break
+    for a, b in special:
+        start[a + 1 : b] = False
+        start[a : a + 1] = start[b : b + 1] = True
     starts = np.flatnonzero(start)
     return starts, np.searchsorted(offs, starts, "right") - 1
 
 
+def special_spans(data: np.ndarray, first: np.ndarray, specials: tuple[bytes, ...]) -> list[tuple[int, int]]:
+    """Where special strings are, leftmost and then longest first; ``first`` marks where documents begin."""
+    raw, at, found = data.tobytes(), 0, []
+    pattern = re.compile(b"|".join(re.escape(s) for s in sorted(specials, key=len, reverse=True)))
+    while hit := pattern.search(raw, at):
+        a, at = hit.span()
+        if first[a + 1 : at].any():  # it runs over the end of a document
+            at = a + 1
+        else:
+            found.append((a, at))
+    return found
+
+
 class Vocabulary:
     """Byte strings of a byte-level BPE vocabulary with their ids (the id is the merge rank)."""
 
@@ -106,6 +131,8 @@ class Vocabulary:
         with open(path, encoding="utf-8") as f:
             model = json.load(f)
         special = {x["content"] for x in model["added_tokens"]}
+        #: Strings that the library takes as one token wherever they are in a text.
+        self.specials = special_strings(model)
         letters = byte_letters()
         back = {c: b for b, c in letters.items()}
         self.ids = {bytes(back[c] for c in k): v for k, v in model["model"]["vocab"].items() if k not in special}
@@ -146,7 +173,7 @@ class Vocabulary:
         """Whether merging the two tokens' bytes gives these two tokens again."""
         got = self._fits.get((left, right))
         if got is None:
-            if len(self._fits) > 2 * MEMO:
+            if len(self._fits) > PAIRS:
                 self._fits.clear()
             got = self._fits[left, right] = self.merge(left + right) == [left, right]
         return got
@@ -165,6 +192,9 @@ class Vocabulary:
         ids, fits, longest = self.ids, self._fits, self.longest
         counts, lasts, before, out = [0], [b""], b"", []
         for piece in pieces:
+            if piece in self.specials:
+                out.append([0] * len(piece) + [1])
+                continue
             shared, most = 0, min(len(piece), len(before))
             while shared < most and piece[shared] == before[shared]:
                 shared += 1
@@ -186,6 +216,23 @@ class Vocabulary:
         return out
 
 
+def special_strings(model: dict) -> tuple[bytes, ...]:
+    for x in model["added_tokens"]:
+        if x["single_word"] or x["lstrip"] or x["rstrip"] or x["normalized"]:
+            raise ValueError(f"{x['content']}: only plain special tokens are supported")
+    return tuple(x["content"].encode() for x in model["added_tokens"])
+
+
+@lru_cache(2)
+def specials_of(path: str) -> dict[bytes, int]:
+    import json
+
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)
+    ids = {x["content"].encode(): x["id"] for x in model["added_tokens"]}
+    return {s: ids[s] for s in special_strings(model)}
+
+
 def byte_letters() -> dict[int, str]:
     """The printable stand-in of each byte in byte-level vocabularies."""
     own = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -206,3 +253,53 @@ def library(path: str):
     from tokenizers import Tokenizer
 
     return Tokenizer.from_file(path)
+
+
+class Remembered:
+    """Token ids (or only their number) of pre-tokens by hash: a fixed number of slots and a bounded pool."""
+
+    def __init__(self):
+        self.key, self.at, self.size = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.int64), np.zeros(SLOTS, np.int64)
+        self.pool, self.used = np.zeros(1 << 16, np.int32), 0
+
+    def resolve(self, data: np.ndarray, starts: np.ndarray, encode) -> tuple[np.ndarray, np.ndarray]:
+        """Place in the pool and number of ids of each pre-token of a block; ``encode`` gives (ids or None, numbers) of new ones."""
+        ends = np.append(starts[1:], len(data)).astype(np.int64)[: len(starts)]
+        value = arrays.span_hashes(data, starts, ends)
+        if self.used > POOL:
+            self.__init__()
+        slot = (value & np.uint64(SLOTS - 1)).astype(np.int64)
+        miss = np.flatnonzero(self.key[slot] != value)
+        at, size = self.at[slot], self.size[slot]
+        if len(miss):
+            new, where, back = np.unique(value[miss], return_index=True, return_inverse=True)
+            raw = data.tobytes()
+            first = miss[where]
+            ids, numbers = encode([raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())])
+            places = np.zeros(len(new), np.int64)
+            if ids is not None:
+                places = self.used + np.concatenate(([0], np.cumsum(numbers)[:-1]))
+                if self.used + len(ids) > len(self.pool):
+                    self.pool = np.concatenate((self.pool[: self.used], np.zeros(max(len(self.pool), len(ids)), np.int32)))
+                self.pool[self.used : self.used + len(ids)] = ids
+                self.used += len(ids)
+            own = (new & np.uint64(SLOTS - 1)).astype(np.int64)
+            self.key[own], self.at[own], self.size[own] = new, places, numbers
+            at[miss], size[miss] = places[back], numbers[back]
+        return at, size
+
+
+@lru_cache(4)
+def remembered(path: str, what: str) -> Remembered:
+    """A worker's table, kept from task to task."""
+    return Remembered()
+
+
+def library_ids(path: str, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of pre-tokens by the library's own BPE model, end to end, and their numbers."""
+    letters = {b: c for b, c in byte_letters().items()}
+    tokenize = library(path).model.tokenize
+    special = specials_of(path)
+    each = [[special[piece]] if piece in special else [t.id for t in tokenize(piece.decode("latin-1").translate(letters))] for piece in pieces]
+    numbers = np.fromiter(map(len, each), np.int64, len(each))
+    return np.fromiter((i for ids in each for i in ids), np.int32, int(numbers.sum())), numbers

@@ -27,7 +27,7 @@ class PrefixCounts:
 
     def __init__(self, text: str | None, vocabulary: bpe.Vocabulary):
         raw = np.frombuffer((text or "").encode(), np.uint8)
-        starts, _ = bpe.pretokens(raw, np.array([0, len(raw)]))
+        starts, _ = bpe.pretokens(raw, np.array([0, len(raw)]), vocabulary.specials)
         ends = np.append(starts[1:], len(raw)).astype(np.int64)
         by_byte, base, before = [0], 0, b""
         for a, b in zip(starts.tolist(), ends.tolist()):
@@ -52,10 +52,19 @@ class PrefixCounts:
 def partial_counts(before: bytes, piece: bytes, vocabulary: bpe.Vocabulary) -> list[int]:
     """Tokens that each prefix of a piece adds to all before the piece, when the text ends there.
 
-    Two kinds of piece are cut differently when the text ends inside them: an apostrophe ending
-    ('re) falls apart, and a white space after white space joins it.
+    Three kinds of piece are cut differently when the text ends inside them: a special string is
+    ordinary text as long as it isn't complete, an apostrophe ending ('re) falls apart, and a white
+    space after white space joins it.
     """
     table = vocabulary.prefix_counts(piece)
+    if piece in vocabulary.specials:
+        alone = 0 if before in vocabulary.specials else vocabulary.prefix_counts(before)[-1]
+        before = b"" if before in vocabulary.specials else before
+        for n in range(1, len(piece)):
+            raw = np.frombuffer(before + piece[:n], np.uint8)
+            starts, _ = bpe.pretokens(raw, np.array([0, len(raw)]))
+            table[n] = sum(vocabulary.prefix_counts(raw[a:b].tobytes())[-1] for a, b in zip(starts, [*starts[1:], len(raw)])) - alone
+        return table
     if piece[:1] == b"'" and piece[1:] in bpe.ENDINGS:
         table = [*range(len(piece)), table[-1]]
     first = piece.decode()[:1]
@@ -67,26 +76,21 @@ def partial_counts(before: bytes, piece: bytes, vocabulary: bpe.Vocabulary) -> l
 
 def _count(batches: Iterator[pa.RecordBatch], path: str, limit: int) -> Iterator[pa.RecordBatch]:
     vocabulary = bpe.vocabulary(path)
-    memo: dict[int, int] = {}
+    known = bpe.remembered(path, "counts")
+
+    def count_new(pieces: list[bytes]) -> tuple[None, np.ndarray]:
+        order = sorted(range(len(pieces)), key=pieces.__getitem__)
+        counts = np.zeros(len(pieces), np.int64)
+        counts[order] = [table[-1] for table in vocabulary.prefix_tables([pieces[i] for i in order])]
+        return None, counts
+
     for batch in batches:
         ids = batch.column(0)
         for a, b, data, offs in arrays.blocks(batch.column(1)):
-            starts, doc = bpe.pretokens(data, offs)
+            starts, doc = bpe.pretokens(data, offs, vocabulary.specials)
             ends = np.append(starts[1:], len(data)).astype(np.int64)[: len(starts)]
-            value, where, back = np.unique(arrays.span_hashes(data, starts, ends), return_index=True, return_inverse=True)
-            if len(memo) > bpe.MEMO:
-                memo.clear()
-            got = [memo.get(x, -1) for x in value.tolist()]
-            counts = np.array(got, np.int64)
-            missing = np.flatnonzero(counts < 0)
-            if len(missing):
-                raw = data.tobytes()
-                pieces = sorted((raw[starts[w] : ends[w]], m) for m, w in zip(missing.tolist(), where[missing].tolist()))
-                tables = vocabulary.prefix_tables([p for p, _ in pieces])
-                for (_, m), table in zip(pieces, tables):
-                    counts[m] = table[-1]
-                memo.update(zip(value[missing].tolist(), counts[missing].tolist()))
-            total = np.concatenate(([0], np.cumsum(counts[back])))
+            _, counts = known.resolve(data, starts, count_new)
+            total = np.concatenate(([0], np.cumsum(counts)))
             _, first = arrays.counts_by_doc(doc, b - a)
             n_tokens = total[first[1:]] - total[first[:-1]]
             limit_bytes = offs[1:] - offs[:-1]

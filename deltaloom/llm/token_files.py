@@ -30,36 +30,20 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterat
     from pyspark import TaskContext
 
     part = TaskContext.get().partitionId()
-    tokenizer = bpe.library(path)
-    memo: dict[int, np.ndarray] = {}
+    known, specials = bpe.remembered(path, "ids"), tuple(bpe.specials_of(path))
     begun = 0
     for batch in batches:
         for a, b, data, offs in arrays.blocks(batch.column(1)):
-            starts, doc = bpe.pretokens(data, offs)
-            ends = np.append(starts[1:], len(data)).astype(np.int64)[: len(starts)]
-            value, where, back = np.unique(arrays.span_hashes(data, starts, ends), return_index=True, return_inverse=True)
-            if len(memo) > bpe.MEMO:
-                memo.clear()
-            keys = value.tolist()
-            missing = [i for i, x in enumerate(keys) if x not in memo]
-            if missing:
-                raw = data.tobytes()
-                pieces = [raw[starts[w] : ends[w]].decode() for w in where[missing].tolist()]
-                for i, got in zip(missing, tokenizer.encode_batch(pieces, add_special_tokens=False)):
-                    memo[keys[i]] = np.array(got.ids, np.int32)
-            each = [memo[x] for x in keys]
-            size = np.fromiter(map(len, each), np.int64, len(each))
-            flat = np.concatenate([*each, np.zeros(0, np.int32)])
-            begin = np.concatenate(([0], np.cumsum(size)))[:-1]
+            starts, doc = bpe.pretokens(data, offs, specials)
+            at, size = known.resolve(data, starts, lambda pieces: bpe.library_ids(path, pieces))
             # the ids of all pieces in order, with room for the end id after each document
             n = b - a
-            piece_sizes = size[back]
-            per_doc = np.bincount(doc, weights=piece_sizes, minlength=n).astype(np.int64)
+            per_doc = np.bincount(doc, weights=size, minlength=n).astype(np.int64)
             bounds = np.concatenate(([0], np.cumsum(per_doc + 1)))
             out = np.full(bounds[-1], end_id, np.int32)
             room = np.ones(bounds[-1], bool)
             room[bounds[1:] - 1] = False
-            out[room] = flat[arrays.ranges(begin[back], piece_sizes)]
+            out[room] = known.pool[arrays.ranges(at, size)]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).slice(a, n).cast(pa.int64()),
@@ -108,7 +92,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     The files' totals are summed from the n_tokens column alone; a document's start is its file's
     start plus its stored place in the file.
     """
-    stored = spark.read.orc(path)
+    stored = spark.read.schema(SCHEMA).orc(path)
     totals = stored.groupBy("part").agg(F.sum("n_tokens").alias("total"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select("part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))  # one row for each file
@@ -117,7 +101,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 
 def lookup(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
     """The rows of some documents; ORC statistics and Bloom filters skip the other stripes."""
-    return spark.read.orc(path).where(F.col("doc_id").isin(doc_ids)).select("doc_id", "n_tokens", "ids")
+    return spark.read.schema(SCHEMA).orc(path).where(F.col("doc_id").isin(doc_ids)).select("doc_id", "n_tokens", "ids")
 
 
 def _checksums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
