@@ -140,8 +140,8 @@ def mixed(
 def sampled(documents: DataFrame, **options) -> DataFrame:
     """The documents that mixing keeps, with their own columns."""
     own = documents.columns
-    named = documents.select(*[F.col(f"`{c}`").alias(c) for c in own])
-    return mixed(named, **options).where("kept").select(*own)
+    rows = documents.select("doc_id", "text", "source", "lang", *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(own)])
+    return mixed(rows, **options).where("kept").select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(own)])
 
 
 def oracle_sql(keep: float = KEEP, rounds: int = ROUNDS, seed: str = SEED, targets: dict[str, float] | None = None) -> str:

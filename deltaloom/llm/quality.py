@@ -189,6 +189,8 @@ def train(documents: DataFrame, labels: DataFrame, id_column: str = "doc_id", te
     rows = documents.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")
     one = rows.repartition(1).sortWithinPartitions("doc_id", "text").select("text", "label", hold.alias("hold"))
     got = one.mapInArrow(_fit_task, "weights binary, rest array<double>").first()
+    if got is None:  # no labelled rows
+        return Model(np.zeros(1 << BITS), 0.0, 1.0, 0.0)
     return Model(np.frombuffer(bytes(got[0]), np.float32).astype(np.float64), *got[1])
 
 
