@@ -229,15 +229,41 @@ def comments(definitions: DataFrame) -> DataFrame:
     return last.where("value <> \"''\"")
 
 
+def statement_items(said: DataFrame) -> DataFrame:
+    """Statements with one row for each item of ``rest``: a list in parentheses is split at its outer commas."""
+    listed = F.col("rest").rlike(r"^\(.*\)$")
+    inner = F.when(listed, F.regexp_replace("rest", r"^\(\s*|\s*\)$", "")).otherwise(F.col("rest"))
+    words = F.filter(F.split(inner, " "), lambda w: w != "")
+    state = F.aggregate(
+        words,
+        F.struct(F.lit(0).alias("depth"), F.lit("").alias("now"), F.array().cast("array<string>").alias("done")),
+        lambda x, w: F.struct(
+            (x["depth"] + F.when(w == "(", 1).when(w == ")", -1).otherwise(0)).alias("depth"),
+            F.when((w == ",") & (x["depth"] == 0), "").otherwise(F.trim(F.concat_ws(" ", x["now"], w))).alias("now"),
+            F.when((w == ",") & (x["depth"] == 0), F.concat(x["done"], F.array(x["now"]))).otherwise(x["done"]).alias("done"),
+        ),
+    )
+    return said.select("definition", "n", "kind", "target", F.posexplode(F.concat(state["done"], F.array(state["now"]))).alias("k", "item"))
+
+
 def replayed_columns(created: DataFrame, said: DataFrame) -> DataFrame:
-    """Column names after ALTER TABLE statements: ``created`` (definition, component, position), ``said`` as of ``statements``.
+    """Columns (definition, component, position, nullable, default) after ALTER TABLE statements.
 
-    Single-column ADD and DROP in statement order: a column is there if its last event adds it (the
-    CREATE is event 0).
+    ``created`` is as of ``columns``, ``said`` as of ``statements``.  Events are in statement order
+    with the CREATE first: a column is there if its last ADD or DROP adds it, and each property is
+    that of the last event that gives it.
     """
-    name = identity.component_key(F.regexp_extract("rest", r'^(?:\( )?(?:COLUMN )?("(?:[^"]|"")*"|\S+)', 1))
-    change = said.where(F.col("kind").isin("ALTER TABLE ADD", "ALTER TABLE DROP") & ~F.col("rest").rlike(r"^(?:\( )?(?:CONSTRAINT|PRIMARY|UNIQUE|FOREIGN|CHECK)\b"))
-    events = created.select("definition", "component", F.lit(-1).alias("n"), F.lit(True).alias("there"), F.col("position").cast("int").alias("position")).unionByName(
-        change.select("definition", name.alias("component"), "n", (F.col("kind") == "ALTER TABLE ADD").alias("there"), F.lit(None).cast("int").alias("position"))
+    items_ = statement_items(said.where(F.col("kind").isin("ALTER TABLE ADD", "ALTER TABLE DROP", "ALTER TABLE MODIFY")))
+    items_ = items_.where(~F.upper("item").rlike(r"^(?:CONSTRAINT|PRIMARY|UNIQUE|FOREIGN|CHECK)\b"))
+    item = F.regexp_replace("item", r"(?i)^COLUMN ", "")
+    name = identity.component_key(F.regexp_extract(item, r'^("(?:[^"]|"")*"|\S+)', 1))
+    rest = F.regexp_replace(item, r'^(?:"(?:[^"]|"")*"|\S+)\s*', "")
+    nullable = F.when(rest.rlike(r"(?i)\bNOT NULL$"), "NOT NULL").when(rest.rlike(r"(?i)(?:^|[^T] )NULL$") & ~rest.rlike(r"(?i)\bDEFAULT(?: ON)? NULL$"), "NULL")
+    default = F.nullif(F.regexp_extract(rest, r"(?i)\bDEFAULT (?:ON NULL )?(.*?)(?: NOT NULL| NULL)?$", 1), F.lit(""))
+    there = F.when(F.col("kind") == "ALTER TABLE ADD", True).when(F.col("kind") == "ALTER TABLE DROP", False)
+    null = F.lit(None).cast("string")
+    events = created.select("definition", "component", F.lit(-1).alias("n"), F.lit(True).alias("there"), F.col("position").cast("int").alias("position"), "nullable", "default").unionByName(
+        items_.select("definition", name.alias("component"), "n", there.alias("there"), F.lit(None).cast("int").alias("position"), F.when(F.col("kind") == "ALTER TABLE DROP", null).otherwise(nullable).alias("nullable"), F.when(F.col("kind") == "ALTER TABLE DROP", null).otherwise(default).alias("default"))
     )
-    return events.groupBy("definition", "component").agg(F.max_by("there", "n").alias("there"), F.min("position").alias("position")).where("there").drop("there")
+    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("n"))).alias(c)
+    return events.groupBy("definition", "component").agg(last("there"), F.min("position").alias("position"), last("nullable"), last("default")).where("there").drop("there")
