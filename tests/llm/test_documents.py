@@ -184,13 +184,18 @@ def test_paraphrase_needs_its_answer(spark, documents, prose):
     assert {r.doc_id for r in got} == {2}
 
 
-def test_common_subsequence():
-    a, b = [1, 2, 3, 4, 2, 9], [2, 3, 2, 1, 9]
-    places = {}
-    for i, w in enumerate(b):
-        places[w] = places.get(w, 0) | 1 << i
-    table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i, x in enumerate(a):
-        for j, y in enumerate(b):
-            table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
-    assert decontaminate.common_subsequence(a, places, len(b)) == table[-1][-1]
+def test_common_subsequences():
+    import numpy as np
+
+    r = random.Random(3)
+    for n in (1, 5, 63, 64):
+        a, b = [r.randrange(6) for _ in range(40)], [r.randrange(6) for _ in range(n)]
+        places = {}
+        for i, w in enumerate(b):
+            places[w] = places.get(w, 0) | 1 << i
+        table = [[0] * (n + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+        masks = np.array([[places.get(x, 0) for x in a]], np.uint64)
+        assert decontaminate.common_subsequences(masks, np.array([n])).tolist() == [table[-1][-1]]
