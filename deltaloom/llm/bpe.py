@@ -17,8 +17,8 @@ WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x20
 #: The endings that the GPT-2 pre-tokeniser splits off after an apostrophe.
 ENDINGS = [b"s", b"t", b"re", b"ve", b"m", b"ll", b"d"]
 #: Slots of a worker's table of pre-tokens met before (a later one takes the slot of an earlier one), and ids it holds.
-SLOTS = 1 << 20
-POOL = 1 << 23
+SLOTS = 1 << 19
+POOL = 1 << 21
 #: Pairs of tokens of which a worker remembers whether they fit.
 PAIRS = 800_000
 
@@ -260,14 +260,14 @@ class Remembered:
 
     def __init__(self):
         self.key, self.at, self.size = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.int64), np.zeros(SLOTS, np.int64)
-        self.pool, self.used = np.zeros(1 << 16, np.int32), 0
+        self.pool, self.used = np.zeros(POOL, np.int32), 0
 
     def resolve(self, data: np.ndarray, starts: np.ndarray, encode) -> tuple[np.ndarray, np.ndarray]:
         """Place in the pool and number of ids of each pre-token of a block; ``encode`` gives (ids or None, numbers) of new ones."""
         ends = np.append(starts[1:], len(data)).astype(np.int64)[: len(starts)]
         value = arrays.span_hashes(data, starts, ends)
-        if self.used > POOL:
-            self.__init__()
+        if self.used > POOL // 2:  # forget all, with room for a block's new pieces
+            self.key[:], self.used = 0, 0
         slot = (value & np.uint64(SLOTS - 1)).astype(np.int64)
         miss = np.flatnonzero(self.key[slot] != value)
         at, size = self.at[slot], self.size[slot]

@@ -55,6 +55,7 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterat
                 names=["doc_id", "part", "local_start", "n_tokens", "ids"],
             )
             begun += int(bounds[-1])
+        pa.default_memory_pool().release_unused()
 
 
 def write_tokens(
