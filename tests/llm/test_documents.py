@@ -174,6 +174,40 @@ def test_decontamination(spark, documents, prose, odd_rows):
     assert decontaminate.contaminated(documents(rows), benchmark.where("false")).count() == 0
 
 
+def test_long_items_are_brute_force(spark, documents, prose):
+    import numpy as np
+
+    def longest_run(a, b):
+        best, row = 0, [0] * (len(b) + 1)
+        for x in a:
+            row = [0] + [row[j] + 1 if x == y else 0 for j, y in enumerate(b)]
+            best = max(best, *row)
+        return best
+
+    r = random.Random(5)
+    items = [(k, prose(n, 8000 + k)[:-1]) for k, n in enumerate((65, 79, 100, 128, 129, 177, 300))]
+    rows = []
+    for k, text in items:
+        words = text.split()
+        n = len(words)
+        middle = [(n - m) // 2 for m in (35, 50)]
+        quotes = [(0, n), (0, 35), (n - 35, n), (middle[0], middle[0] + 35), (middle[1], middle[1] + 50), (n // 3, n // 3 + 10)]
+        quotes += [(a := r.randrange(n - 34), a + 35) for _ in range(8)]
+        for a, b in quotes:
+            rest = prose(120, 9000 + len(rows)).split()
+            at = r.randrange(len(rest))
+            rows.append((len(rows), " ".join(rest[:at] + words[a:b] + rest[at:]), "en", "s"))
+    rows.append((len(rows), " ".join(prose(60, 1).split() + items[2][1].split()[25:75] + prose(60, 2).split()), "en", "s"))
+    want = {(d, k) for d, t, _, _ in rows for k, text in items if longest_run(t.replace(".", "").split(), text.split()) >= 35}
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    got = [(x.doc_id, x.item_id) for x in decontaminate.contaminated(documents(rows), benchmark).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) == 13 * len(items) + 1
+    for n in range(65, 301):
+        parts = np.array([c for c in decontaminate.cuts(n) if c[1] - c[0] == 32])
+        for a in range(n - 34):
+            assert (np.minimum(parts[:, 1], a + 35) - np.maximum(parts[:, 0], a)).max() >= 26
+
+
 def test_paraphrase_needs_its_answer(spark, documents, prose):
     words = prose(40, 77).split()
     item = spark.createDataFrame([(1, " ".join(words), "rareanswer")], "item_id long, text string, answer string")
