@@ -22,7 +22,7 @@ def plan(spark: SparkSession, repo: str, base: str, target: str, scope: list[str
     """Outcome (ANALYZE, NO_CHANGE, OUT_OF_SCOPE_ONLY, DIVERGED, BACKLOG_LIMIT), commits, and net file changes in scope."""
     git.register(spark)
     commits = git.commits(spark, repo, target, 10**6)
-    parents = commits.selectExpr("sha", "explode_outer(parents) AS parent")
+    parents = commits.selectExpr("sha", "posexplode_outer(parents) AS (position, parent)")
     one = lambda sha: spark.createDataFrame([(sha,)], "sha string")
     found, outcome = history.commit_range(parents, one(base), one(target), maximum)
     net = diff.file_diff(git.tree(spark, repo, base), git.tree(spark, repo, target), ["path_display"], ["mode", "oid"])

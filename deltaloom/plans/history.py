@@ -38,18 +38,35 @@ def transitions(versions: DataFrame) -> DataFrame:
     return grouped.select("path", "transitions", (~F.col("first").eqNullSafe(F.col("last"))).alias("net"))
 
 
-def ancestors(parents: DataFrame, start: DataFrame, most: int = 100) -> DataFrame:
-    """Commits reachable from ``start`` (sha) over parents (sha, parent), in at most ``most`` generations."""
+def ancestors(parents: DataFrame, start: DataFrame) -> DataFrame:
+    """Commits reachable from ``start`` (sha) over parents (sha, parent and, if known, its position), however far.
+
+    One parent of each commit, the first, is its trunk.  Each round takes whole trunks by doubled
+    pointers and then the other parents of what is new, so the rounds are as many as side branches nest.
+    """
     from deltaloom.state.cache import checkpointed
 
-    seen = front = start.select("sha").distinct()
-    for _ in range(most):
-        front = front.join(parents, "sha").select(F.col("parent").alias("sha")).where("sha IS NOT NULL").distinct().join(seen, "sha", "left_anti")
+    edges = checkpointed(parents.where("parent IS NOT NULL"))
+    order = F.struct("position", "parent") if "position" in parents.columns else F.col("parent")
+    jumps = [checkpointed(edges.groupBy("sha").agg(F.min_by("parent", order).alias("to")))]
+    n = jumps[0].count()
+    # a pointer of 2^k commits leads nowhere past the longest trunk; n is for loops
+    while 2 ** len(jumps) <= n:
+        last = jumps[-1]
+        far = checkpointed(last.join(last.select(F.col("sha").alias("to"), F.col("to").alias("far")), "to").select("sha", F.col("far").alias("to")))
+        if not far.limit(1).count():
+            break
+        jumps.append(far)
+    seen, front = None, start.select("sha").distinct()
+    while True:
+        for jump in reversed(jumps):
+            front = checkpointed(front.unionByName(front.join(jump, "sha").select(F.col("to").alias("sha"))).distinct())
+        front = front if seen is None else checkpointed(front.join(seen, "sha", "left_anti"))
+        seen = front if seen is None else checkpointed(seen.unionByName(front))
+        front = front.join(edges, "sha").select(F.col("parent").alias("sha")).distinct().join(seen, "sha", "left_anti")
         front = checkpointed(front)
         if not front.limit(1).count():
-            break
-        seen = checkpointed(seen.unionByName(front))
-    return seen
+            return seen
 
 
 def commit_range(parents: DataFrame, base: DataFrame, target: DataFrame, most: int = 250) -> tuple[DataFrame, str]:

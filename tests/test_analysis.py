@@ -6,6 +6,7 @@ import pytest
 
 from deltaloom import api
 from deltaloom.operators import graph, ranking, rollup, units, validate
+from deltaloom.plans import history
 from deltaloom.sources import files, git
 from deltaloom.state import cache
 from deltaloom.state.store import Conflict, Store
@@ -65,6 +66,30 @@ def test_history(spark, repo):
     assert inventory.count() == 3 and {r.object_type for r in found.collect()} == {"TABLE", "SEQUENCE", "VIEW"}
 
 
+def test_long_ranges(spark):
+    """Histories of 400 commits with side branches, against a walk over the parents."""
+    edges = {i: [i - 1] for i in range(1, 400)} | {0: []}
+    edges |= {1000 + i: [1000 + i - 1] for i in range(1, 130)} | {1000: [5]}  # a side branch that is merged late
+    edges[380] = [379, 1129]
+    edges[2000] = [300]  # never merged
+    parents = spark.createDataFrame([(f"c{k}", f"c{p}" if p is not None else None, i) for k, ps in edges.items() for i, p in enumerate(ps or [None])], "sha string, parent string, position int")
+    one = lambda k: spark.createDataFrame([(f"c{k}",)], "sha string")
+
+    def walked(k):
+        seen, front = set(), [k]
+        while front:
+            if (x := front.pop()) not in seen:
+                seen.add(x)
+                front += edges[x]
+        return seen
+
+    for base, target, outcome in ((200, 350, "ANALYZE"), (20, 320, "BACKLOG_LIMIT"), (370, 385, "ANALYZE")):
+        found, said = history.commit_range(parents if target < 385 else parents.drop("position"), one(base), one(target))
+        assert said == outcome and {r.sha for r in found.collect()} == {f"c{k}" for k in walked(target) - walked(base)}
+    loop = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a")], "sha string, parent string")
+    assert {r.sha for r in history.ancestors(loop, loop.where("sha = 'b'").select("sha")).collect()} == {"a", "b", "c"}
+
+
 def test_checkpoint(spark, repo, scratch):
     path, (a, b, c) = repo
     store = Store(f"{scratch}/state.db")
