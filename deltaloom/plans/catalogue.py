@@ -715,3 +715,19 @@ def q63_references(t):
 def q64_file_inventory(t):
     found = scan.file_inventory(t("pages").select("page_id", F.col("html").cast("binary").alias("raw")), ("page_id",))
     return found.select("page_id", F.col("bytes").cast("long").alias("bytes"), "encoding", "parse_status", "objects")
+
+
+@query(
+    """WITH RECURSIVE p AS (SELECT event_id, max(event_id) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS parent FROM events),
+w AS (SELECT event_id, parent, 0 AS depth FROM p WHERE event_id IN (SELECT max(event_id) FROM events GROUP BY user_id) UNION ALL SELECT p.event_id, p.parent, depth + 1 FROM w JOIN p ON w.parent = p.event_id)
+SELECT event_id, depth::INTEGER AS depth FROM w"""
+)
+def q65_whole_first_parents(t):
+    """q38 without its bound of 20 steps."""
+    from deltaloom.plans.history import first_parents
+    from pyspark.sql import Window
+
+    events = t("events").select("user_id", "event_id")
+    commits = events.withColumn("parent", F.lag("event_id").over(Window.partitionBy("user_id").orderBy("event_id")))
+    heads = events.groupBy("user_id").agg(F.max("event_id").alias("head")).select("head")
+    return first_parents(commits.select(F.col("event_id").alias("sha"), "parent"), heads).select(F.col("sha").alias("event_id"), "depth")

@@ -27,6 +27,27 @@ def first_parent_chain(commits: DataFrame, heads: DataFrame, most: int) -> DataF
         reach *= 2
 
 
+def first_parents(commits: DataFrame, heads: DataFrame) -> DataFrame:
+    """(sha, depth): from each head along ``parent`` to the end of the chain, or to the first commit met again.
+
+    Pointers are doubled, and chains and pointers written, until a round adds no row.
+    """
+    from deltaloom.state.cache import checkpointed
+
+    chain = checkpointed(heads.select("head", F.col("head").alias("sha"), F.lit(0).alias("depth")).distinct())
+    jump = checkpointed(commits.where("parent IS NOT NULL").select("sha", F.col("parent").alias("to")))
+    reach = 1
+    while True:
+        step = chain.join(jump, "sha").select("head", F.col("to").alias("sha"), (F.col("depth") + reach).alias("depth"))
+        # in a loop only later visits are dropped: the first has the least depth
+        step = checkpointed(step.join(chain.select("head", "sha"), ["head", "sha"], "left_anti").groupBy("head", "sha").agg(F.min("depth").alias("depth")))
+        if not step.limit(1).count():
+            return chain.select("sha", "depth")
+        chain = checkpointed(chain.unionByName(step))
+        jump = checkpointed(jump.join(jump.select(F.col("sha").alias("to"), F.col("to").alias("far")), "to").select("sha", F.col("far").alias("to")))
+        reach *= 2
+
+
 def transitions(versions: DataFrame) -> DataFrame:
     """Per path: transitions of its content over positions, and whether first and last differ (net change).
 

@@ -90,6 +90,21 @@ def test_long_ranges(spark):
     assert {r.sha for r in history.ancestors(loop, loop.where("sha = 'b'").select("sha")).collect()} == {"a", "b", "c"}
 
 
+def test_first_parents(spark):
+    commits = [(f"c{i}", f"c{i - 1}" if i else None) for i in range(70)] + [("x", "y"), ("y", "z"), ("z", "y"), ("b", "c40")]
+    heads = spark.createDataFrame([("c69",), ("x",), ("b",)], "head string")
+    got = sorted((r.sha, r.depth) for r in history.first_parents(spark.createDataFrame(commits, "sha string, parent string"), heads).collect())
+    parent = dict(commits)
+    want = []
+    for at in ("c69", "x", "b"):
+        seen = []
+        while at and at not in seen:
+            want.append((at, len(seen)))
+            seen.append(at)
+            at = parent[at]
+    assert got == sorted(want)
+
+
 def test_checkpoint(spark, repo, scratch):
     path, (a, b, c) = repo
     store = Store(f"{scratch}/state.db")
