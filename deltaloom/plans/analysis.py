@@ -38,38 +38,72 @@ def last_of_each(found: DataFrame) -> DataFrame:
     return found.groupBy("object_key").agg(*[F.max_by(c, F.struct("path", "ordinal")).alias(c) for c in columns])
 
 
+def flawed(files: DataFrame) -> DataFrame:
+    """Paths of files that are not UTF-8 or have something unterminated: what they define is not known for sure."""
+    return scan.decoded(files).where(F.col("text").isNull() | (F.size(sqltext.mask_diagnostics(F.col("text"))) > 0)).select("path").distinct()
+
+
+def diagnostics(found: DataFrame) -> DataFrame:
+    """Rows (object_key, code) of a snapshot's definitions: unterminated texts, conflicts, secrets, and routines that are not extracted."""
+    text = F.col("fragment")
+    kinds = found.where(F.col("object_type").isin("PACKAGE_SPEC", "PACKAGE_BODY", "PROCEDURE", "FUNCTION"))
+    # each text by itself; a package without routines is no failure, and overloads are facts
+    of_routines = F.array(F.when(F.octet_length("fragment") > extract.PACKAGE_BYTES, "PACKAGE_EXTRACTION_SIZE_LIMIT").when(text.rlike(extract.WRAPPED), "WRAPPED_SOURCE_OPAQUE"))
+    codes = found.select("object_key", F.explode(sqltext.mask_diagnostics(text)).alias("code"))
+    codes = codes.unionByName(kinds.select("object_key", F.explode(of_routines).alias("code")).where("code IS NOT NULL"))
+    codes = codes.unionByName(diff.conflicts(found, "object_key", text).select("object_key", F.lit("CONFLICTING_DEFINITIONS").alias("code")))
+    return codes.unionByName(found.where(sqltext.secret_index(text).isNotNull()).select("object_key", F.lit("SECRET_IN_MANDATORY_SOURCE").alias("code"))).distinct()
+
+
 def analyse(old_files: DataFrame, new_files: DataFrame, default_schema: str | None = None) -> Analysis:
     """Compare two snapshots of files (path, raw).
 
-    Only definitions whose text differs are extracted: the cheap object difference comes first and
-    prunes what the extractors see.
+    Only definitions whose text differs are extracted: the cheap object difference comes first, over
+    all definitions of a key, and prunes what the extractors see.  Objects with diagnostics have no facts.
     """
-    old, new = (checkpointed(last_of_each(definitions(f, default_schema))) for f in (old_files, new_files))
+    found = [checkpointed(definitions(f, default_schema)) for f in (old_files, new_files)]
+    old, new = (checkpointed(last_of_each(d)) for d in found)
     file_changes = diff.file_diff(*(f.select("path", F.sha2("raw", 256).alias("sha256")) for f in (old_files, new_files)), ["path"], ["sha256"])
-    changed = checkpointed(diff.object_diff(old, new, "object_key", [F.col("path"), F.col("fragment_sha256")]))
+    changed = checkpointed(diff.object_diff(*found, "object_key", [F.col("path"), F.col("fragment_sha256")]))
+    own = [d.join(changed.select("object_key"), "object_key", "left_semi") for d in found]
+    codes = diagnostics(own[0]).unionByName(diagnostics(own[1]))
+    for side, files, operation in ((own[1], old_files, "added"), (own[0], new_files, "removed")):
+        alone = side.join(changed.where(F.col("operation") == operation), "object_key", "left_semi")
+        codes = codes.unionByName(alone.join(flawed(files), "path", "left_semi").select("object_key", F.lit("INCOMPLETE_SOURCE_INVENTORY").alias("code")))
+    blocked = checkpointed(codes.groupBy("object_key").agg(F.array_sort(F.collect_set("code")).alias("diagnostics")))
     old_changed, new_changed = (d.join(changed.select("object_key"), "object_key", "left_semi") for d in (old, new))
     sides = []
     for d in (old_changed, new_changed):
         rows = d.select("definition", "object_type", "fragment", "trigger_state")
         sides.append(checkpointed(extract.fields(rows).withColumnRenamed("definition", "object_key")))
     known = families.table(changed.sparkSession)
-    no_diagnostics = [d.select("object_key", F.array().cast("array<string>").alias("diagnostics")) for d in (old_changed, new_changed)]
-    typed = diff.facts(*no_diagnostics, *(s.drop("object_type") for s in sides), known, add_or_remove=families.ADD_OR_REMOVE)
+    gates = [d.select("object_key").join(blocked, "object_key", "left") for d in (old_changed, new_changed)]
+    typed = diff.facts(*gates, *(s.drop("object_type") for s in sides), known, add_or_remove=families.ADD_OR_REMOVE)
     texts = old_changed.select("object_key", F.col("fragment").alias("b")).join(new_changed.select("object_key", F.col("fragment").alias("a")), "object_key")
+    format_only = texts.where(sqltext.only_white_space_differs(F.col("b"), F.col("a")) & (F.col("a") != F.col("b"))).select("object_key")
+    typed = checkpointed(diff.format_overrides(typed, format_only))
     silent = diff.text_facts(texts, "object_key", "b", "a").join(typed.select("object_key").distinct(), "object_key", "left_anti")
+    silent = silent.join(format_only.withColumn("format_only", F.lit(True)), "object_key", "left").select("object_key", F.when(F.col("format_only"), "common.source.format").otherwise(F.col("family")).alias("family"))
     moves = diff.moved(old_changed, new_changed, "object_key", "path").select("object_key", F.lit("common.source.path").alias("family"), "before", "after")
     text_rows = silent.withColumns({"before": F.lit(None).cast("string"), "after": F.lit(None).cast("string")}).unionByName(moves)
+    text_rows = text_rows.join(blocked, "object_key", "left_anti")
     text_rows = text_rows.select(
         "object_key", "family", F.lit("").alias("component"), F.lit("modified").alias("action"), F.when(F.col("family") == "common.source.path", "relocation").when(F.col("family") == "common.source.format", "presentation").otherwise("source_text").alias("category"),
         F.lit("present").alias("before_state"), "before", F.lit("present").alias("after_state"), "after", F.lit(False).alias("context_only"),
     )
     facts = checkpointed(typed.unionByName(text_rows).withColumn("fact_id", identity.fact_id(F.col("object_key"), F.col("family"), F.array("component", "action"))))
     kinds = old_changed.select("object_key", "object_type").union(new_changed.select("object_key", "object_type")).distinct()
-    objects = changed.join(kinds, "object_key").select("object_key", "object_type", "operation", F.lit("ready").alias("status"))
+    said = F.coalesce("diagnostics", F.array().cast("array<string>"))
+    has = lambda code: F.array_contains(said, code)
+    # no size budget is given here
+    status = rollup.status_of(has("INCOMPLETE_SOURCE_INVENTORY"), has("CONFLICTING_DEFINITIONS"), has("SECRET_IN_MANDATORY_SOURCE"), F.lit(False))
+    status = F.when((status == "ready") & (F.size(said) > 0), "unresolved").otherwise(status)
+    operation = F.when(has("INCOMPLETE_SOURCE_INVENTORY"), "unknown").otherwise(F.col("operation"))
+    objects = checkpointed(changed.join(kinds, "object_key").join(blocked, "object_key", "left").select("object_key", "object_type", operation.alias("operation"), status.alias("status"), said.alias("diagnostics")))
     symbols = new.select("schema_name", "name", "object_key")
     refs = graph.references(new.select("object_key", "schema_name", F.col("fragment").alias("source")))
     edges = graph.resolved(refs, symbols)
-    risk = rollup.object_risk(facts, objects)
+    risk = rollup.object_risk(facts, objects.withColumn("status", F.when(F.col("status") == "ready", "ready").otherwise("unresolved")))
     named = facts.groupBy("object_key").agg(F.array_sort(F.collect_set("family")).alias("families"))
     checks = rollup.recommended_checks(objects, named)
     report = objects.join(risk.drop("object_type"), "object_key").join(named, "object_key", "left").withColumn("pattern", rollup.pattern_label(F.coalesce("families", F.array().cast("array<string>"))))

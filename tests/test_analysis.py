@@ -53,6 +53,29 @@ def test_analysis(spark, repo):
     assert {r.code for r in got.checks.collect()} == {"COLUMN_CONTRACT", "SEQUENCE_DEFINITION"}
 
 
+def test_gates(spark):
+    package = "CREATE PACKAGE a.p AS\n PROCEDURE run(x IN NUMBER);\nEND;\n"
+    one, two = "CREATE TABLE a.t (id NUMBER);\n", "CREATE TABLE a.t (id DATE);\n"
+    fine = "CREATE TABLE a.f (id NUMBER);\n"
+    old = {"p": package, "z": one, "v": "CREATE VIEW a.v AS SELECT 'x' AS c FROM d;\nCREATE TABLE a.hid (id NUMBER);\n", "f": fine, "w": "CREATE TABLE a.w (id NUMBER);\n", "b": "CREATE TABLE a.b (id NUMBER);\n"}
+    new = {"p": package.replace("AS\n", "AS\n-- " + "x" * 130_000 + "\n"), "z": one, "a": two, "v": old["v"].replace("'x'", "'x"), "f": fine.replace("NUMBER", "DATE"), "w": "CREATE TABLE a.w  ( id NUMBER );\n", "b": b"\xff" + old["b"].encode()}
+    tables = [spark.createDataFrame([(k, bytearray(t if isinstance(t, bytes) else t.encode())) for k, t in side.items()], "path string, raw binary") for side in (old, new)]
+    got = api.analyse(*tables)
+    objects = {r.object_key: (r.operation, r.status, r.diagnostics) for r in got.objects.collect()}
+    assert objects == {
+        "SCHEMA|A|PACKAGE_SPEC|P": ("modified", "unresolved", ["PACKAGE_EXTRACTION_SIZE_LIMIT"]),
+        "SCHEMA|A|TABLE|T": ("modified", "CONFLICTING_DEFINITIONS", ["CONFLICTING_DEFINITIONS"]),
+        "SCHEMA|A|VIEW|V": ("modified", "unresolved", ["UNTERMINATED_SINGLE"]),
+        "SCHEMA|A|TABLE|HID": ("unknown", "INCOMPLETE_SOURCE_INVENTORY", ["INCOMPLETE_SOURCE_INVENTORY"]),
+        "SCHEMA|A|TABLE|B": ("unknown", "INCOMPLETE_SOURCE_INVENTORY", ["INCOMPLETE_SOURCE_INVENTORY"]),
+        "SCHEMA|A|TABLE|F": ("modified", "ready", []),
+        "SCHEMA|A|TABLE|W": ("modified", "ready", []),
+    }
+    facts = {(r.object_key[-1], r.family) for r in got.facts.collect()}
+    assert ("F", "table.column.data_type") in facts and {f for k, f in facts if k == "W"} == {"common.source.format"} and {k for k, _ in facts} == {"F", "W"}
+    assert {r.object_key[-1]: r.level for r in got.risk.collect()}["P"] == "unknown"
+
+
 def test_history(spark, repo):
     path, (a, b, c) = repo
     outcome, commits, net = api.plan(spark, path, a, c, ["db"])
