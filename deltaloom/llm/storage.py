@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -91,6 +92,25 @@ def spread(rows: DataFrame, table: DataFrame, key: str, table_key: str, other: s
     return dealt.join(copies, (F.col(key) == F.col(table_key)) & (F.col("part") == F.col("part_of"))).drop("part", "part_of", table_key)
 
 
+def id_bounds(ids: DataFrame, range_rows: int, most: int) -> tuple[np.ndarray, int | None, int]:
+    """Bounds that cut the rows (one column, an id) to ranges of about ``range_rows`` rows; the least id; and the rows without one.
+
+    A bound is an id, the first of its range; the least id is none.  Beyond ``most`` ranges, ranges
+    have more rows.  The driver gets some forty ids a range, those whose hash is lowest.
+    """
+    name = ids.columns[0]
+    least, n, known = ids.agg(F.min(name), F.count("*"), F.count(name)).first()
+    ranges = min(most, known // range_rows + 1)
+    share = 40 * ranges / max(known, 1)
+    chosen = ids.where(F.col(name).isNotNull())
+    if share < 1:
+        chosen = chosen.where(F.pmod(F.xxhash64(name), F.lit(1 << 40)) < int(share * (1 << 40)))
+    values = np.sort(chosen.toArrow().column(0).to_numpy()) if known else np.zeros(0, np.int64)
+    at = np.arange(1, ranges) * len(values) // ranges
+    bounds = np.unique(values[at]) if len(values) else values
+    return bounds[bounds > least] if known else bounds, least, n - known
+
+
 def text_bytes(df: DataFrame, *columns: str) -> int:
     """Bytes of some string or binary columns, null as 0."""
     total = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in columns), F.lit(0))

@@ -3,10 +3,11 @@
 A k-mer of code points is an anchor if the smallest of its s-mers' hashes is that of the first or the
 last of them: whether it is one depends on its own letters alone, so equal passages have equal
 anchors wherever they stand.  The second, third ... occurrence of an anchor counts as an anchor of
-its own, so that repetitive text has as many anchors as other text.  A fingerprint holds the number
-of anchors and the ``KEPT`` ones of smallest hash with their places.  The likeness of two
-fingerprints is the estimated Jaccard similarity of their anchor sets, of which shared anchors count
-only as far as they stand in the same order in both texts.
+its own, so that repetitive text has as many anchors as other text.  A text shorter than k is one
+anchor.  A fingerprint holds the number of anchors and those of smallest hash with their places:
+``KEPT`` of them, or all.  The likeness of two fingerprints is the Jaccard similarity of their anchor
+sets (an estimate where not all anchors are kept; its standard error is at most 1 / (2 sqrt(KEPT))),
+of which shared anchors count only as far as they stand in the same order in both texts.
 """
 
 from __future__ import annotations
@@ -21,14 +22,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from deltaloom.llm import arrays
-from deltaloom.llm.storage import text_bytes
+from deltaloom.llm.storage import id_bounds
 
-K, S = 16, 6
-#: In texts of less than so many code points, all runs of ``GRAM`` are anchors too.
-SHORT, GRAM = 128, 4
+K, S = 10, 4
+#: Anchors that a fingerprint keeps; None for all.
 KEPT = 64
-#: A sorted range of documents holds about so many bytes of text.
-RANGE_BYTES = 16 << 20
+#: Rows of a sorted range of documents, about, and ranges at most; ranges are read as streams.
+RANGE_ROWS, RANGES = 2_000, 100_000
+#: Stands for a null id, in whole numbers.
+LEAST = -(1 << 63)
 U = np.uint64
 
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -56,7 +58,9 @@ def likeness(a: Fingerprint, b: Fingerprint) -> float:
     """0 to 1; two texts without anchors (both empty) are alike."""
     if not len(a.hashes) or not len(b.hashes):
         return float(len(a.hashes) == len(b.hashes))
-    union = np.union1d(a.hashes, b.hashes)[: max(KEPT if max(a.count, b.count) > KEPT else len(a.hashes) + len(b.hashes), 1)]
+    # the smallest anchors of the union are known as far as the shorter of the cut fingerprints reaches
+    known = min([len(f.hashes) for f in (a, b) if f.count > len(f.hashes)], default=len(a.hashes) + len(b.hashes))
+    union = np.union1d(a.hashes, b.hashes)[:known]
     shared, at, bt = np.intersect1d(a.hashes, b.hashes, assume_unique=True, return_indices=True)
     inside = shared <= union[-1]
     return longest_rise(b.places[bt[inside]][np.argsort(a.places[at[inside]], kind="stable")]) / len(union)
@@ -76,7 +80,7 @@ def longest_rise(values: np.ndarray) -> int:
 
 
 def anchors(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """64-bit hashes, places and documents of the anchors of a block; a text shorter than ``GRAM`` is an anchor itself."""
+    """64-bit hashes, places and documents of the anchors of a block; a text shorter than ``K`` is an anchor itself."""
     lead = np.flatnonzero((data & 0xC0) != 0x80)
     ends = np.append(lead, len(data))
     first = np.searchsorted(lead, offs)
@@ -109,14 +113,7 @@ def anchors(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         doc = np.searchsorted(first, at, "right") - 1
         docs.append(doc)
         places.append(at - first[doc])
-    few = np.flatnonzero((n_chars >= GRAM) & (n_chars < SHORT))
-    if len(few):
-        at = arrays.ranges(first[few], n_chars[few] - GRAM + 1)
-        hashes.append(arrays.mix64(arrays.span_hashes(data, ends[at], ends[at + GRAM]) + U(7)))
-        doc = np.repeat(few, n_chars[few] - GRAM + 1)
-        docs.append(doc)
-        places.append(at - first[doc])
-    short = np.flatnonzero((n_chars > 0) & (n_chars < GRAM))
+    short = np.flatnonzero((n_chars > 0) & (n_chars < K))
     if len(short):
         hashes.append(arrays.mix64(arrays.span_hashes(data, offs[short], offs[short + 1]) + U(5)))
         places.append(np.zeros(len(short), np.int64))
@@ -126,7 +123,7 @@ def anchors(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return hashes[order], places[order], docs[order]
 
 
-def fingerprints(texts: pa.Array) -> list[Fingerprint]:
+def fingerprints(texts: pa.Array, kept: int | None = KEPT) -> list[Fingerprint]:
     out = []
     for a, b, data, offs in arrays.blocks(texts):
         hashes, places, docs = anchors(data, offs)
@@ -139,7 +136,7 @@ def fingerprints(texts: pa.Array) -> list[Fingerprint]:
             rank = np.arange(len(value)) - np.flatnonzero(new)[np.cumsum(new) - 1]  # 0 for a first occurrence
             value, at = np.unique((arrays.mix64(value + rank.astype(U)) >> U(32)).astype(np.uint32), return_index=True)
             at = order[at]
-            out.append(Fingerprint(len(value), value[:KEPT], (places[x:y][at[:KEPT]] & 0xFFFFFFFF).astype(np.uint32)))
+            out.append(Fingerprint(len(value), value[:kept], (places[x:y][at[:kept]] & 0xFFFFFFFF).astype(np.uint32)))
     return out
 
 
@@ -159,7 +156,7 @@ def edited(raw: bytes, next_raw: bytes) -> tuple[bytes, int]:
     return raw[: own[len(own) - cut]] + head, len(own)
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pairs(batches: Iterator[pa.RecordBatch], kept: int | None) -> Iterator[pa.RecordBatch]:
     """Rows (range, look, doc_id, text), sorted, each range ended by a look-ahead row, to the rows' results."""
     held = None  # the row before: range, doc_id, text, fingerprint
     over = None  # a range whose look-ahead row is already seen
@@ -168,7 +165,7 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = batch.slice(start, 1000)
             ranges, looks, ids = (part.column(i).to_pylist() for i in range(3))
             raws = [x.as_buffer().to_pybytes() if x.is_valid else b"" for x in part.column(3).cast(pa.large_binary())]
-            prints = fingerprints(pa.array(raws, pa.large_binary()))
+            prints = fingerprints(pa.array(raws, pa.large_binary()), kept)
             rows = []
             for r, look, doc_id, raw, fp in zip(ranges, looks, ids, raws, prints):
                 if r == over:
@@ -181,7 +178,7 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not rows:
                 continue
             made = [edited(raw, next_raw) for _, raw, _, next_raw, _ in rows]
-            made_prints = fingerprints(pa.array([x for x, _ in made], pa.large_binary()))
+            made_prints = fingerprints(pa.array([x for x, _ in made], pa.large_binary()), kept)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([x[0] for x in rows], pa.int64()),
@@ -196,36 +193,36 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def document_fingerprints(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", ranges: int | None = None) -> DataFrame:
+def document_fingerprints(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", range_rows: int = RANGE_ROWS, kept: int | None = KEPT) -> DataFrame:
     """Per document: its fingerprint, that of its edited text, and its likeness to that and to the next document.
 
-    Documents are dealt to ranges of ids, each with the first document of the next range (after the
-    last: of the first) as a look-ahead row, so that every document meets its successor with one
-    shuffle and without a global order in one task.
+    Documents are dealt to ranges of ids, one a partition, each with the first document of the next
+    range (after the last: of the first) as a look-ahead row, so that every document meets its
+    successor with one shuffle and without a global order in one task.  Bounds come from the ids
+    alone; texts are read once.
 
     Defined results: null text is empty text, without anchors; rows of equal id are ordered by text;
     null ids come before all others; the only document of a table is its own successor; texts of
-    less than GRAM code points have one anchor, the whole text; an empty table gives an empty table;
+    less than K code points have one anchor, the whole text; an empty table gives an empty table;
     extra columns are ignored.
     """
     rows = documents.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"))
-    if ranges is None:
-        ranges = int(max(32, min(50_000, text_bytes(rows, "text") // RANGE_BYTES)))
-    steps = [i / ranges for i in range(1, ranges)]
-    facts = rows.agg(F.percentile_approx("doc_id", steps, 20 * ranges), F.min("doc_id"), F.count("*"), F.count("doc_id")).first()
-    bounds = np.array(sorted(set(facts[0] or []) - {facts[1]}), np.int64)  # each is the first id of a range
-
-    @F.pandas_udf("int")
-    def range_of(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(bounds, ids.fillna(np.iinfo(np.int64).min).to_numpy(np.int64), "right").astype(np.int32))
-
-    if facts[2] == facts[3]:
-        is_first = F.col("doc_id") == F.lit(facts[1])
+    bounds, least, nulls = id_bounds(rows.select("doc_id"), range_rows, RANGES)  # each bound is the first id of a range
+
+    @F.pandas_udf("range int, leads boolean")
+    def placed(ids: pd.Series) -> pd.DataFrame:
+        known = ids.to_numpy()
+        at = np.searchsorted(bounds, known, "right")
+        leads = (at > 0) & (np.append(bounds, 0)[at - 1] == known)
+        return pd.DataFrame({"range": at.astype(np.int32), "leads": leads})
+
+    if not nulls:
+        is_first = F.col("doc_id") == F.lit(least)
     else:
         is_first = F.col("doc_id").isNull() & (F.col("text") == F.lit(rows.where("doc_id IS NULL").agg(F.min("text")).first()[0]))
-    own = F.struct(F.col("range").alias("r"), F.lit(0).alias("look"))
-    ahead = F.when(F.col("doc_id").isin([int(b) for b in bounds]) if len(bounds) else F.lit(False), F.struct((F.col("range") - 1).alias("r"), F.lit(1).alias("look")))
+    own = F.struct(F.col("at.range").alias("r"), F.lit(0).alias("look"))
+    ahead = F.when(F.col("at.leads"), F.struct((F.col("at.range") - 1).alias("r"), F.lit(1).alias("look")))
     wrapped = F.when(is_first, F.struct(F.lit(len(bounds)).alias("r"), F.lit(1).alias("look")))
-    placed = rows.withColumn("range", range_of("doc_id")).select(F.explode(F.array_compact(F.array(own, ahead, wrapped))).alias("at"), "doc_id", "text")
-    dealt = placed.select("at.r", "at.look", "doc_id", "text").repartition(ranges, "r").sortWithinPartitions("r", "look", F.col("doc_id").asc_nulls_first(), "text")
-    return dealt.mapInArrow(_pairs, SCHEMA)
+    rows = rows.withColumn("at", placed(F.coalesce("doc_id", F.lit(LEAST)))).select(F.explode(F.array_compact(F.array(own, ahead, wrapped))).alias("to"), "doc_id", "text")
+    dealt = rows.select("to.r", "to.look", "doc_id", "text").repartitionById(len(bounds) + 1, "r").sortWithinPartitions("r", "look", F.col("doc_id").asc_nulls_first(), "text")
+    return dealt.mapInArrow(lambda batches: _pairs(batches, kept), SCHEMA)

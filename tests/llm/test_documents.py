@@ -73,7 +73,7 @@ def test_one_stays(spark, documents, odd_rows):
 
 def test_fingerprints(spark, documents, odd_rows):
     rows = [r for r in odd_rows if r[0] is not None]
-    got = syncmers.document_fingerprints(documents(odd_rows), ranges=4).collect()
+    got = syncmers.document_fingerprints(documents(odd_rows), range_rows=3).collect()
     assert len(got) == len(odd_rows)
     ordered = sorted(odd_rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
     seen = {}
