@@ -15,15 +15,17 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from deltaloom.llm import arrays, bpe
+from deltaloom.llm.storage import id_bounds
 
 SCHEMA = "doc_id long, part int, local_start long, n_tokens long, ids array<int>"
-#: Documents of one file hold about so many bytes of text.
-FILE_BYTES = 64 << 20
+#: Documents of one file, about, and files at most; a file is written as a stream.
+FILE_ROWS, FILES = 20_000, 100_000
 
 
 def _encode(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
@@ -59,20 +61,23 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterat
 
 
 def write_tokens(
-    documents: DataFrame, path: str, vocabulary_path: str, end_id: int = 0, id_column: str = "doc_id", text_column: str = "text", files: int | None = None
+    documents: DataFrame, path: str, vocabulary_path: str, end_id: int = 0, id_column: str = "doc_id", text_column: str = "text", file_rows: int = FILE_ROWS
 ) -> None:
     """Encode every text with the tokenizers library, append ``end_id``, and write sorted ORC files.
 
-    One range shuffle of (id, text); encoding happens behind it, so ids are never shuffled.  A
-    pre-token is encoded by the library once for each worker that meets it, as pre-tokens are
+    One range shuffle of (id, text), its bounds taken from the ids alone; encoding happens behind it,
+    so token ids are never shuffled.  A pre-token is encoded by the library once for each worker that meets it, as pre-tokens are
     encoded independently of each other.
     """
     rows = documents.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    if files is None:
-        from deltaloom.llm.storage import text_bytes
+    bounds, _, _ = id_bounds(rows.select("doc_id"), file_rows, FILES)
 
-        files = max(8, min(100_000, text_bytes(rows, "text") // FILE_BYTES + 1))
-    sorted_rows = rows.repartitionByRange(files, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    @F.pandas_udf("int")
+    def file_of(ids: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(bounds, ids.to_numpy(), "right").astype(np.int32))
+
+    placed = rows.withColumn("file", file_of(F.coalesce("doc_id", F.lit(-(1 << 63))))).repartitionById(len(bounds) + 1, "file").select("doc_id", "text")
+    sorted_rows = placed.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     (
         sorted_rows.mapInArrow(lambda batches: _encode(batches, vocabulary_path, end_id), SCHEMA)
         .write.mode("overwrite")

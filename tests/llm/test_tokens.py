@@ -70,13 +70,13 @@ def test_special_strings_in_a_table(spark, documents):
     rows = [(i, t, None, None) for i, t in enumerate(texts)]
     assert {r.doc_id: r.n_tokens for r in token_counts(documents(rows), PATH).collect()} == {i: len(library(t)) for i, t in enumerate(texts)}
     path = new_path(spark, "tokens")
-    write_tokens(documents(rows), path, PATH, files=2)
+    write_tokens(documents(rows), path, PATH, file_rows=3)
     assert lookup(spark, path, [0]).first().ids == [*library(texts[0]), 0]
 
 
 def test_files_round_trip(spark, documents, odd_rows):
     path = new_path(spark, "tokens")
-    write_tokens(documents(odd_rows), path, PATH, files=3)
+    write_tokens(documents(odd_rows), path, PATH, file_rows=4)
     got = token_digests(spark, path).orderBy("start").collect()
     rows = sorted(odd_rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
     start = 0
