@@ -1,7 +1,8 @@
 """Language identification, word first: known words by their log frequency in each language, other
 words by their longest known character n-grams.
 
-The model is bounded: at most ``WORDS`` words and ``GRAMS`` n-grams of each length, those seen most.
+The model has every word and n-gram that the training sample has twice; the sample's documents and the
+number of languages are bounded by parameters, and so is the model.
 """
 
 from __future__ import annotations
@@ -12,17 +13,20 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from deltaloom.llm import arrays
 from deltaloom.llm.storage import crc32_of_id
 
-#: Training documents of a language, about: those whose ids hash lowest.
-SAMPLE = 4000
-WORDS = 200_000
-GRAMS = 50_000
+#: Training documents of a language, about: those whose ids hash lowest; and of all languages.
+SAMPLE, SAMPLE_OF_ALL = 4000, 40_000
+#: Languages that are learned at most: those of most documents.
+LANGUAGES = 500
 LONGEST = 4
+#: Numbers (words x languages) that are in memory at a time, about.
+CELLS = 1 << 21
 #: Words seen less often are unknown words; they teach n-grams only.
 LEAST = 2
 
@@ -91,33 +95,39 @@ class Model:
 
     def word_logs(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Log frequencies (words x languages); a word without any known n-gram says nothing (0)."""
-        out = np.zeros((len(starts), len(self.languages)))
-        value, where, back = np.unique(arrays.span_hashes(data, starts, ends), return_index=True, return_inverse=True)
-        each = np.zeros((len(value), len(self.languages)))
-        at, hit = self.find(0, value)
+        each = np.zeros((len(starts), len(self.languages)))
+        at, hit = self.find(0, arrays.span_hashes(data, starts, ends))
         each[hit] = self.logs[0][at[hit]]
         left = np.flatnonzero(~hit)
         for size in range(LONGEST, 0, -1):
             if not len(left):
                 break
-            gram, word = grams(data, starts[where[left]], ends[where[left]], size)
+            gram, word = grams(data, starts[left], ends[left], size)
             at, hit = self.find(size, gram)
             count = np.bincount(word[hit], minlength=len(left))
             for k in range(len(self.languages)):
                 total = np.bincount(word[hit], weights=self.logs[size][at[hit], k], minlength=len(left))
                 each[left, k] = np.where(count > 0, total / np.maximum(count, 1), 0.0)
             left = left[count == 0]
-        out[:] = each[back]
-        return out
+        return each
 
     def predict(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Language number and score of each document."""
-        n = len(offs) - 1
+        """Language number and score of each document; different words are looked up a portion at a time."""
+        n, wide = len(offs) - 1, len(self.languages)
         starts, ends, doc = _spans(data, offs)
-        logs = self.word_logs(data, starts, ends)
-        count, first = arrays.counts_by_doc(doc, n)
-        total = np.concatenate((np.zeros((1, len(self.languages))), np.cumsum(logs, axis=0)))
-        mean = (total[first[1:]] - total[first[:-1]] + self.prior) / np.sqrt(count + 1.0)[:, None]
+        _, where, word = np.unique(arrays.span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        pair, count = np.unique(doc * len(where) + word, return_counts=True)  # each document's different words
+        doc_of, word_of = (pair // len(where), pair % len(where)) if len(pair) else (pair, pair)
+        order = np.argsort(word_of, kind="stable")
+        doc_of, word_of, count = doc_of[order], word_of[order], count[order]
+        total = np.zeros((n, wide))
+        portion = max(1, CELLS // wide)
+        for low in range(0, len(where), portion):
+            logs = self.word_logs(data, starts[where[low : low + portion]], ends[where[low : low + portion]])
+            a, b = np.searchsorted(word_of, (low, low + portion))
+            for k in range(wide):
+                total[:, k] += np.bincount(doc_of[a:b], weights=count[a:b] * logs[word_of[a:b] - low, k], minlength=n)
+        mean = (total + self.prior) / np.sqrt(np.bincount(doc, minlength=n) + 1.0)[:, None]
         mean -= mean.max(axis=1, keepdims=True)
         share = np.exp(mean)
         share /= share.sum(axis=1, keepdims=True)
@@ -125,38 +135,42 @@ class Model:
         return best, share[np.arange(n), best]
 
 
-def train(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", sample: int = SAMPLE) -> Model:
-    """Learn from about ``sample`` documents of each language, those whose ids hash lowest.
+def train(
+    documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", sample: int = SAMPLE, languages: int = LANGUAGES, sample_of_all: int = SAMPLE_OF_ALL
+) -> Model:
+    """Learn from about ``sample`` documents of each of the ``languages`` languages of most documents, those whose ids hash lowest.
 
-    The driver gets one row a language, and the model, which is bounded.
+    Of many languages each has an equal part of ``sample_of_all`` documents.  The driver gets one row a
+    language, and for each word and n-gram that the sample has ``LEAST`` times its count in each
+    language that has it; both are bounded by the parameters.
     """
     rows = documents.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"), F.col(lang_column).alias("lang")).where("lang IS NOT NULL AND text IS NOT NULL")
-    many = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
-    languages = sorted(many)
-    if not languages:
+    many = {r[0]: r[1] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()}
+    names = sorted(many)
+    if not names:
         return Model([], np.zeros(0), {}, {})
-    number = F.create_map(*[x for i, lang in enumerate(languages) for x in (F.lit(lang), F.lit(i))])
-    share = F.create_map(*[x for lang in languages for x in (F.lit(lang), F.lit(min(1.0, sample / many[lang])))])
+    sample = min(sample, max(1, sample_of_all // len(names)))
+    number = F.create_map(*[x for i, lang in enumerate(names) for x in (F.lit(lang), F.lit(i))])
+    share = F.create_map(*[x for lang in names for x in (F.lit(lang), F.lit(min(1.0, sample / many[lang])))])
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)
     chosen = rows.where(place < share[F.col("lang")]).select(number[F.col("lang")].alias("n"), "text")
-    counted = chosen.mapInArrow(_count, "size int, value long, lang int, count long")
-    by_value = counted.groupBy("size", "value").agg(*[F.sum(F.when(F.col("lang") == i, F.col("count")).otherwise(0)).alias(f"n{i}") for i in range(len(languages))])
-    by_value = by_value.withColumn("total", sum(F.col(f"n{i}") for i in range(len(languages)))).cache()
+    counted = chosen.mapInArrow(_count, "size int, value long, lang int, count long").groupBy("size", "value", "lang").agg(F.sum("count").alias("count"))
+    per_value = counted.groupBy("size", "value").agg(F.collect_list(F.struct("lang", "count")).alias("counts"), F.sum("count").alias("total"))  # one entry a language
+    table = per_value.where(F.col("total") >= LEAST).select("size", "value", F.explode("counts").alias("x")).select("size", "value", "x.lang", "x.count").toArrow()
+    of_size, values, langs, counts = (table.column(i).to_numpy() for i in range(4))
     known, logs = {}, {}
     for size in range(LONGEST + 1):
-        kept = by_value.where((F.col("size") == size) & (F.col("total") >= LEAST)).orderBy(F.desc("total"), "value").limit(GRAMS if size else WORDS)
-        table = kept.drop("size", "total").toArrow()
-        value = table.column(0).to_numpy().view(np.uint64)
-        count = np.column_stack([table.column(1 + i).to_numpy() for i in range(len(languages))]).astype(float) if len(value) else np.zeros((0, len(languages)))
-        order = np.argsort(value)
-        known[size] = value[order]
-        logs[size] = np.log((count[order] + 0.5) / (count.sum(axis=0) + 0.5 * (len(value) + 1)))
-    by_value.unpersist()
-    size = np.array([many[x] for x in languages], float)
-    return Model(languages, np.log(size / size.sum()), known, logs)
-
-
-def _predict(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
+        own = of_size == size
+        known[size], at = np.unique(values[own].view(np.uint64), return_inverse=True)
+        count = np.zeros((len(known[size]), len(names)), np.float32)
+        count[at, langs[own]] = counts[own]
+        logs[size] = np.log((count + 0.5) / (count.sum(axis=0, dtype=float) + 0.5 * (len(count) + 1))).astype(np.float32)
+    size = np.array([many[x] for x in names], float)
+    return Model(names, np.log(size / size.sum()), known, logs)
+
+
+def _predict(batches: Iterator[pa.RecordBatch], shared: Broadcast) -> Iterator[pa.RecordBatch]:
+    model = shared.value
     names = np.array([*model.languages, "und"], object)
     for batch in batches:
         column = batch.column(1).cast(pa.large_string())
@@ -178,7 +192,7 @@ def _predict(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Rec
 def languages_of(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", sample: int = SAMPLE) -> DataFrame:
     """Per document: doc_id, held_out, lang_pred and score (0 to 1).
 
-    Only rows whose crc32(id as text) mod 3 is not 1 and whose lang is not null train.
+    Only rows whose crc32(id as text) mod 3 is not 1 and whose lang is not null train (see ``train``).
 
     Defined results: ``und`` with score 0 for null texts, texts without a letter, and where nothing
     can be learned; a text whose words are all unlike anything learned gets the commonest language;
@@ -187,6 +201,7 @@ def languages_of(documents: DataFrame, id_column: str = "doc_id", text_column: s
     """
     held = F.coalesce(F.pmod(crc32_of_id("doc_id"), F.lit(3)) == 1, F.lit(False))
     model = train(documents.where(F.pmod(crc32_of_id(id_column), F.lit(3)) != 1), id_column, text_column, lang_column, sample)
+    shared = documents.sparkSession.sparkContext.broadcast(model)
     rows = documents.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    got = rows.mapInArrow(lambda batches: _predict(batches, model), "doc_id long, lang_pred string, score double")
+    got = rows.mapInArrow(lambda batches: _predict(batches, shared), "doc_id long, lang_pred string, score double")
     return got.select("doc_id", held.alias("held_out"), "lang_pred", "score")
