@@ -5,8 +5,8 @@ one of URLs that rules block, score a URL by the difference of its log-likelihoo
 length; the cut is calibrated on URLs that were held back from training.
 
 Characters are mapped to ``ALPHABET`` symbols and contexts are at most ``ORDER`` long, so the counts
-of all URLs of the input sum up to a model whose size is bounded by
-2 * len(ALPHABET)**(ORDER + 1) numbers, however large the input is.
+of all URLs of the input sum up to at most 2 * len(ALPHABET)**(ORDER + 1) numbers (5.7 million, 90 MB),
+however large the input is; contexts of two symbols or more that were seen once only are left out.
 """
 
 from __future__ import annotations
@@ -161,7 +161,11 @@ def train(judged: DataFrame) -> Ratio:
     hold = F.pmod(F.xxhash64("url"), F.lit(HOLD)) == 0
     rows = judged.select(F.col("allow").cast("int").alias("class"), "url")
     counted = rows.where(~hold).mapInArrow(_count, "class int, order int, code long, count long")
-    table = counted.groupBy("class", "order", "code").agg(F.sum("count").alias("count")).toArrow()
+    summed = counted.groupBy("class", "order", "code").agg(F.sum("count").alias("count"))
+    # the counts of a context, one for each symbol at most, stand or go together
+    contexts = summed.groupBy("class", "order", F.floor(F.col("code") / _N)).agg(F.sum("count").alias("total"), F.collect_list(F.struct("code", "count")).alias("own"))
+    seen = contexts.where((F.col("order") < 2) | (F.col("total") > 1)).select("class", "order", F.explode("own").alias("x"))
+    table = seen.select("class", "order", "x.code", "x.count").toArrow()
     kind, order, code, count = (table.column(i).to_numpy() for i in range(4))
     models = [Markov({o: (code[at], count[at]) for o in range(ORDER + 1) for at in [(kind == k) & (order == o)]}) for k in (0, 1)]
     ratio = Ratio(models[1], models[0])
@@ -177,8 +181,11 @@ def train(judged: DataFrame) -> Ratio:
     return ratio
 
 
-def _scored(rows: DataFrame, ratio: Ratio, schema: str) -> DataFrame:
+def _scored(rows: DataFrame, model: Ratio, schema: str) -> DataFrame:
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ratio = shared.value
         for batch in batches:
             last = batch.num_columns - 1
             scores = [ratio.scores(data, offs) for _, _, data, offs in arrays.blocks(batch.column(last))]
