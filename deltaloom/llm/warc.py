@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deltaloom.llm.storage import written
+from deltaloom.llm.storage import HOT_KEYS, written
 
 #: Bytes of records that one archive holds, about.
 ARCHIVE_BYTES = 32 << 20
@@ -83,20 +83,35 @@ def member(raw: bytes) -> bytes:
     return _HEAD.pack(b"\x1f\x8b", 8, 4, 0, 0, 255, 12, b"sl", 8, size, len(raw) & 0xFFFFFFFF) + body + struct.pack("<II", zlib.crc32(raw), len(raw) & 0xFFFFFFFF)
 
 
-def payload_keys(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", payload_column: str = "html") -> DataFrame:
-    """page_id, url, html (null: empty), its SHA-1 in hex, its length, and one key for (page_id, SHA-1)."""
+def payloads(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", payload_column: str = "html") -> DataFrame:
+    """page_id, url, html (null: empty), its SHA-1 in hex, and its length."""
     payload = F.coalesce(F.col(payload_column).cast("string"), F.lit(""))
     rows = pages.select(F.col(id_column).cast("long").alias("page_id"), F.col(url_column).cast("string").alias("url"), payload.alias("html"))
-    rows = rows.withColumn("sha1", F.sha1(F.col("html").cast("binary"))).withColumn("payload_bytes", F.octet_length("html").cast("long"))
-    return rows.withColumn("k", F.xxhash64("page_id", "sha1"))
+    return rows.withColumn("sha1", F.sha1(F.col("html").cast("binary"))).withColumn("payload_bytes", F.octet_length("html").cast("long"))
 
 
-def revisits(keys: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """Distinct (k, refers_to) of rows whose payload a row of larger id has, too."""
-    large = keys.where(F.col("payload_bytes") >= least_bytes)
-    latest = large.groupBy("sha1").agg(F.max("page_id").alias("refers_to"), F.min("page_id").alias("least"), F.count("*").alias("n"), F.count("page_id").alias("named"))
-    latest = latest.where("least < refers_to OR (named > 0 AND named < n)").select("sha1", "refers_to")
-    return large.join(latest, "sha1").where("NOT page_id <=> refers_to").select("k", "refers_to").distinct()
+def originals(keys: DataFrame, least_bytes: int = 0) -> DataFrame:
+    """(sha1, refers_to, n): for each payload that rows of several ids have, the largest id and the number of rows."""
+    grouped = keys.where(F.col("payload_bytes") >= least_bytes).groupBy("sha1")
+    latest = grouped.agg(F.max("page_id").alias("refers_to"), F.min("page_id").alias("least"), F.count("*").alias("n"), F.count("page_id").alias("named"))
+    return latest.where("least < refers_to OR (named > 0 AND named < n)").select("sha1", "refers_to", "n")
+
+
+def dealt(rows: DataFrame, latest: DataFrame, n_rows: int, files: int) -> DataFrame:
+    """The rows with refers_to, dealt to files of like size in one shuffle.
+
+    Where ``latest`` is small it is broadcast.  Otherwise only payloads of very many rows are, at
+    most ``HOT_KEYS`` of them, whose rows are dealt by their ids; other rows meet theirs in the file
+    of their digest.
+    """
+    if latest.count() <= SMALL:
+        return rows.repartition(files, "page_id", "sha1").join(F.broadcast(latest.drop("n")), "sha1", "left")
+    is_hot = F.col("n") > max(1000, n_rows // HOT_KEYS)
+    hot = latest.where(is_hot).select("sha1", F.col("refers_to").alias("hot_refers_to"), F.lit(True).alias("hot"))
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("page_id"), F.lit(files))).otherwise(0)
+    salted = rows.join(F.broadcast(hot), "sha1", "left").withColumn("salt", salt).repartition(files, "sha1", "salt")
+    few = latest.where(~is_hot).select("sha1", F.lit(0).cast("long").alias("salt"), "refers_to").repartition(files, "sha1", "salt")
+    return salted.join(few, ["sha1", "salt"], "left").withColumn("refers_to", F.coalesce("hot_refers_to", "refers_to"))
 
 
 def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,17 +131,26 @@ def write_monolithic(pages: DataFrame, path: str, least_bytes: int = 0, id_colum
 
     Which rows revisit is found on digests alone; payloads are shuffled once, to files of like size.
     """
-    rows = payload_keys(pages, id_column, url_column, payload_column)
-    keys = written(rows.select("page_id", "sha1", "payload_bytes", "k"), "digests")
+    rows = payloads(pages, id_column, url_column, payload_column)
+    keys = written(rows.select("page_id", "sha1", "payload_bytes"), "digests")
     total = keys.agg(F.coalesce(F.sum("payload_bytes"), F.lit(0)), F.count("*")).first()
     files = max(1, (total[0] + 400 * total[1]) // ARCHIVE_BYTES + 1)
-    again = written(revisits(keys, least_bytes), "revisits")
-    dealt = rows.select("page_id", "url", "html", "sha1", "k").repartition(files, "k")
-    known = F.broadcast(again) if again.count() <= SMALL else again.repartition(files, "k")
-    ready = dealt.join(known, "k", "left").select("page_id", "url", "html", "sha1", "refers_to")
+    found = dealt(rows, written(originals(keys, least_bytes), "originals"), total[1], files)
+    again = F.when(~F.col("page_id").eqNullSafe(F.col("refers_to")), F.col("refers_to"))
+    ready = found.select("page_id", "url", "html", "sha1", again.alias("refers_to"))
     ready.mapInArrow(_records, "value binary").select(F.col("value").cast("string")).write.option("compression", "gzip").text(path)
 
 
+def run(members: list[bytes]) -> bytes:
+    """Members end to end without their last byte, which is 0 and is written as the end of a line.
+
+    A member ends with the upper byte of its record's length; after a record of 16 MB or more an
+    empty member follows.
+    """
+    raw = b"".join(members)
+    return (raw + member(b"") if raw[-1] else raw)[:-1]
+
+
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for content in batch.column(0):
@@ -135,10 +159,10 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 held.append(member(raw))
                 size += len(held[-1])
                 if size > 4 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], names=["value"])
+                    yield pa.RecordBatch.from_arrays([pa.array([run(held)], pa.binary())], names=["value"])
                     held, size = [], 0
             if held:
-                yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], names=["value"])
+                yield pa.RecordBatch.from_arrays([pa.array([run(held)], pa.binary())], names=["value"])
 
 
 def _offsets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,11 +172,9 @@ def _offsets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             view = memoryview(raw)
             at, rows = 0, []
             while at < len(view):
-                if view[at] == 0:
-                    at += 1
-                    continue
                 size, n = _HEAD.unpack_from(view, at)[-2:]
-                rows.append((at, size, n))
+                if n:
+                    rows.append((at, size, n))
                 at += size
             yield pa.RecordBatch.from_arrays(
                 [pa.array([path.rpartition("/")[2]] * len(rows), pa.string()), *[pa.array([r[i] for r in rows], pa.int64()) for i in range(3)]], names=["archive", "at", "length", "record_bytes"]
@@ -188,13 +210,9 @@ def normalise(spark: SparkSession, source: str, target: str, index: str) -> None
     Each file is inflated once; its records go to one new file, whose number is that of the task.
     The index has archive (file name), at (offset), length and record_bytes.
     """
-
-
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(source)
-    # a zero byte stands between runs of members and at the end; gzip readers skip such padding
+    # the writer ends each run of members with the zero byte that ``run`` leaves to it
     files.select("content").mapInArrow(_members, "value binary").select(F.col("value").cast("string")).write.option("lineSep", "\0").option("compression", "none").text(target)
-
-
     made = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(target).select("path", "content")
     made.mapInArrow(_offsets, "archive string, at long, length long, record_bytes long").write.parquet(index)
 
@@ -208,8 +226,6 @@ def read_records(spark: SparkSession, target: str, index: str) -> DataFrame:
     small = where.count() <= SMALL
     where = where.groupBy("archive").agg(F.sort_array(F.collect_list(F.struct("at", "length"))).alias("members"))
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(target).select(F.element_at(F.split("path", "/"), -1).alias("archive"), "content")
-
-
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
     return files.join(F.broadcast(where) if small else where, "archive").select("content", "members").mapInArrow(_read, schema)
 
