@@ -8,7 +8,9 @@ document and not by the batch.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -67,6 +69,23 @@ def blocks(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, int, np.nd
         end = min(end, n)
         yield at, end, raw[offs[at] : offs[end]], offs[at : end + 1] - offs[at]
         at = end
+    give_back()
+
+
+def give_back() -> None:
+    """Return the memory that freed arrays leave with the allocators, so that workers are small between batches."""
+    pa.default_memory_pool().release_unused()
+    trim = _libc_trim()
+    if trim is not None:
+        trim(0)
+
+
+@lru_cache(1)
+def _libc_trim():
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):  # another C library
+        return None
 
 
 def byte_table(members: bytes) -> np.ndarray:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from deltaloom.llm import arrays
-from deltaloom.llm.storage import crc32_of_id
+from deltaloom.llm.storage import crc32_of_id, small_batches
 
 #: Training documents of a language, about: those whose ids hash lowest; and of all languages.
 SAMPLE, SAMPLE_OF_ALL = 4000, 40_000
@@ -201,6 +201,7 @@ def languages_of(documents: DataFrame, id_column: str = "doc_id", text_column: s
     """
     held = F.coalesce(F.pmod(crc32_of_id("doc_id"), F.lit(3)) == 1, F.lit(False))
     model = train(documents.where(F.pmod(crc32_of_id(id_column), F.lit(3)) != 1), id_column, text_column, lang_column, sample)
+    small_batches(documents.sparkSession)
     shared = documents.sparkSession.sparkContext.broadcast(model)
     rows = documents.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
     got = rows.mapInArrow(lambda batches: _predict(batches, shared), "doc_id long, lang_pred string, score double")

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from deltaloom.llm import arrays
-from deltaloom.llm.storage import crc32_of_id
+from deltaloom.llm.storage import crc32_of_id, small_batches
 
 BITS = 18
 #: Labelled rows that a model is fitted on at most: those whose ids hash lowest.
@@ -176,6 +176,7 @@ def train(documents: DataFrame, labels: DataFrame, id_column: str = "doc_id", te
 
     Rows without an id or label are no training rows; of an id with several labels the smallest counts.
     """
+    small_batches(documents.sparkSession)
     chosen = (
         labels.select(F.col(id_column).alias("doc_id"), F.col(label_column).cast("int").alias("label"))
         .where("doc_id IS NOT NULL AND label IS NOT NULL")

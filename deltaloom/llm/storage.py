@@ -11,10 +11,17 @@ from pyspark.sql import functions as F
 
 #: At most so many rows are broadcast; more are joined by a shuffle.
 SMALL = 500_000
+#: Rows of a batch of texts.
+BATCH_ROWS = 1_000
 #: Keys with more than one in so many of all rows are hot; there are at most so many of them, and they are broadcast.
 HOT_KEYS = 200_000
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Texts go to Python ``BATCH_ROWS`` rows at a time from now on, a few megabytes on either side."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir of the session; where it is unset, a folder of our own, on a single machine only."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from deltaloom.llm import arrays
-from deltaloom.llm.storage import id_bounds
+from deltaloom.llm.storage import id_bounds, small_batches
 
 K, S = 10, 4
 #: Anchors that a fingerprint keeps; None for all.
@@ -207,6 +207,7 @@ def document_fingerprints(documents: DataFrame, id_column: str = "doc_id", text_
     extra columns are ignored.
     """
     rows = documents.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"))
+    small_batches(documents.sparkSession)
     bounds, least, nulls = id_bounds(rows.select("doc_id"), range_rows, RANGES)  # each bound is the first id of a range
 
     @F.pandas_udf("range int, leads boolean")

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from deltaloom.llm import arrays, bpe
-from deltaloom.llm.storage import id_bounds
+from deltaloom.llm.storage import id_bounds, small_batches
 
 SCHEMA = "doc_id long, part int, local_start long, n_tokens long, ids array<int>"
 #: Documents of one file, about, and files at most; a file is written as a stream.
@@ -57,7 +57,6 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterat
                 names=["doc_id", "part", "local_start", "n_tokens", "ids"],
             )
             begun += int(bounds[-1])
-        pa.default_memory_pool().release_unused()
 
 
 def write_tokens(
@@ -69,6 +68,7 @@ def write_tokens(
     so token ids are never shuffled.  A pre-token is encoded by the library once for each worker that meets it, as pre-tokens are
     encoded independently of each other.
     """
+    small_batches(documents.sparkSession)
     rows = documents.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
     bounds, _, _ = id_bounds(rows.select("doc_id"), file_rows, FILES)
 
