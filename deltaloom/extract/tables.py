@@ -17,19 +17,19 @@ NUMERIC_TYPES = ["NUMBER", "NUMERIC", "DECIMAL", "DEC"]
 PROPERTY_WORDS = ["ORGANIZATION", "ON", "TABLESPACE", "STORAGE", "LOB", "LOGGING", "NOLOGGING", "PARALLEL", "NOPARALLEL", "COMPRESS", "NOCOMPRESS", "ROW", "COLUMN", "PARTITION"]
 
 
-def _placed(definitions: DataFrame) -> DataFrame:
+def placed(definitions: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
     """Tokens with the table's parenthesised body marked: opening, closing, and the first ``;`` after it."""
     whole = Window.partitionBy("definition")
-    tokens = code_tokens(definitions)
+    tokens = code_tokens(definitions) if tokens is None else tokens
     tokens = tokens.withColumn("table_at", first_at(F.col("up") == "TABLE", whole))
     tokens = tokens.withColumn("opening", first_at((F.col("tok") == "(") & (F.col("i") > F.col("table_at")), whole))
     tokens = tokens.withColumn("closing", first_at((F.col("tok") == ")") & (F.col("i") > F.col("opening")) & (F.col("depth") == 0), whole))
     return tokens.withColumn("stop", F.coalesce(first_at((F.col("tok") == ";") & (F.col("i") > F.col("closing")), whole), F.lit(2**31 - 1)))
 
 
-def items(definitions: DataFrame) -> DataFrame:
+def items(definitions: DataFrame, marked: DataFrame | None = None) -> DataFrame:
     """Tokens of the items of the body, numbered from 1; a comma belongs to none."""
-    body = _placed(definitions).where("i > opening AND i < closing")
+    body = (placed(definitions) if marked is None else marked).where("i > opening AND i < closing")
     comma = (F.col("tok") == ",") & (F.col("depth") == 1)
     before = Window.partitionBy("definition").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     numbered = body.withColumn("position", F.sum(comma.cast("int")).over(before) + 1).where(~comma)
@@ -37,7 +37,7 @@ def items(definitions: DataFrame) -> DataFrame:
     return numbered.withColumn("k", F.row_number().over(item)).withColumn("first_word", F.first("up").over(item))
 
 
-def columns(definitions: DataFrame) -> DataFrame:
+def columns(definitions: DataFrame, marked: DataFrame | None = None) -> DataFrame:
     """One row a column: definition, component (Q: or U: name), position and its fourteen properties.
 
     ``definitions`` has definition (an id) and fragment (text).  Of several columns of one name the first counts.
@@ -45,7 +45,7 @@ def columns(definitions: DataFrame) -> DataFrame:
     whole = Window.partitionBy("definition", "position")
     top = F.col("depth") == 1
     up, i = F.col("up"), F.col("i")
-    rows = items(definitions).where(~F.col("first_word").isin(CONSTRAINT_WORDS))
+    rows = items(definitions, marked).where(~F.col("first_word").isin(CONSTRAINT_WORDS))
     ends_type = top & (F.col("k") > 1) & (up.isin(AFTER_TYPE) | ((up == "AS") & (F.col("nxt") == "(")))
     rows = rows.withColumn("after_type", F.coalesce(first_at(ends_type, whole), F.lit(2**31 - 1)))
     tail = top & (i >= F.col("after_type"))
@@ -101,11 +101,11 @@ def columns(definitions: DataFrame) -> DataFrame:
     return wide.withColumn("n", F.row_number().over(first)).where("n = 1").drop("n")
 
 
-def constraints(definitions: DataFrame) -> DataFrame:
+def constraints(definitions: DataFrame, marked: DataFrame | None = None) -> DataFrame:
     """One row a named table constraint: definition, component and its twelve properties (top level only)."""
     whole = Window.partitionBy("definition", "position")
     up, i, top = F.col("up"), F.col("i"), F.col("depth") == 1
-    rows = items(definitions).where(F.col("first_word") == "CONSTRAINT")
+    rows = items(definitions, marked).where(F.col("first_word") == "CONSTRAINT")
     group_at = first_at(top & (F.col("tok") == "("), whole)
     rows = rows.withColumn("group_at", group_at).withColumn("group_end", first_at(top & (F.col("tok") == ")") & (i > F.col("group_at")), whole))
     rows = rows.withColumn("reference_at", first_at(top & (up == "REFERENCES"), whole))
@@ -152,9 +152,10 @@ def constraints(definitions: DataFrame) -> DataFrame:
     return wide.withColumn("n", F.row_number().over(first)).where("n = 1").drop("n", "position")
 
 
-def properties(definitions: DataFrame) -> DataFrame:
+def properties(definitions: DataFrame, marked: DataFrame | None = None) -> DataFrame:
     """Rows (definition, property, value) of the clauses between the column list and the end of the statement."""
-    tokens = _placed(definitions).where("i > closing AND i < stop")
+    marked = placed(definitions) if marked is None else marked
+    tokens = marked.where("i > closing AND i < stop")
     starts = (F.col("depth") == 0) & F.col("up").isin(PROPERTY_WORDS) & ~F.coalesce((F.col("up") == "COMPRESS") & (F.col("prv") == "STORE"), F.lit(False))
     found = clauses(tokens, starts, definitions)
     named = (
@@ -172,28 +173,28 @@ def properties(definitions: DataFrame) -> DataFrame:
     rows = found.select("definition", named.alias("property"), value.alias("value"), "clause_no").where("property IS NOT NULL")
     rows = rows.groupBy("definition", "property").agg(F.max_by("value", "clause_no").alias("value"))
     external = rows.where("property = 'organization' AND value = 'EXTERNAL'").select("definition", F.lit("external").alias("property"), F.lit("ORGANIZATION EXTERNAL").alias("value"))
-    head = _placed(definitions).where("i < table_at").groupBy("definition").agg(F.collect_set("up").alias("words"))
+    head = marked.where("i < table_at").groupBy("definition").agg(F.collect_set("up").alias("words"))
     kind = F.when(F.array_contains("words", "PRIVATE"), "PRIVATE TEMPORARY").when(F.array_contains("words", "GLOBAL"), "GLOBAL TEMPORARY").otherwise("TEMPORARY")
     temporary = head.where(F.array_contains("words", "TEMPORARY")).select("definition", F.lit("temporary").alias("property"), kind.alias("value"))
     return rows.unionByName(external).unionByName(temporary)
 
 
-def partitions(definitions: DataFrame) -> DataFrame:
+def partitions(definitions: DataFrame, marked: DataFrame | None = None) -> DataFrame:
     """Rows (definition, component, definition_text) of the named partitions."""
-    tokens = _placed(definitions).where("i > closing AND i < stop AND depth <= 1")
+    tokens = (placed(definitions) if marked is None else marked).where("i > closing AND i < stop AND depth <= 1")
     found = clauses(tokens, (F.col("depth") == 1) & (F.col("up") == "PARTITION") & F.coalesce(F.col("prv").isin(",", "("), F.lit(False)), definitions)
-    name = F.regexp_extract("body", r'^("(?:[^"]|"")*"|\S+)', 1)
+    name = F.regexp_extract("body", r'^("(?:[^"]++|"")*+"|\S+)', 1)
     return found.select("definition", identity.component_key(name).alias("component"), F.regexp_replace("whole", r"[\s,]+$", "").alias("definition_text"), "clause_no").groupBy("definition", "component").agg(
         F.min_by("definition_text", "clause_no").alias("definition_text")
     )
 
 
-def statements(definitions: DataFrame) -> DataFrame:
+def statements(definitions: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
     """Rows (definition, n, words, target, rest) of ALTER TABLE and COMMENT ON statements of texts, in order.
 
     target is the list of component keys of the named table (and column).
     """
-    tokens = code_tokens(definitions).where("tok <> '/'")
+    tokens = (code_tokens(definitions) if tokens is None else tokens).where("tok <> '/'")
     after = Window.partitionBy("definition").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
     numbered = tokens.withColumn("n", F.coalesce(F.sum((F.col("tok") == ";").cast("int")).over(after), F.lit(0))).where("tok <> ';'")
     listed = numbered.groupBy("definition", "n").agg(F.sort_array(F.collect_list(F.struct("i", "tok", "up"))).alias("t"))
@@ -214,9 +215,9 @@ def context_only(definitions: DataFrame) -> DataFrame:
     return statements(definitions).groupBy("definition").agg(F.min(F.col("kind").isNotNull() & (F.size("target") > 0)).alias("all_known"), F.count("*").alias("statements")).where("all_known").drop("all_known")
 
 
-def comments(definitions: DataFrame) -> DataFrame:
+def comments(definitions: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
     """Rows (definition, table_key list, component or TABLE, value) after all COMMENT ON statements: the last counts, '' deletes."""
-    said = statements(definitions).where("kind LIKE 'COMMENT ON %'")
+    said = statements(definitions, tokens).where("kind LIKE 'COMMENT ON %'")
     column = F.col("kind") == "COMMENT ON COLUMN"
     rows = said.select(
         "definition",
@@ -256,8 +257,8 @@ def replayed_columns(created: DataFrame, said: DataFrame) -> DataFrame:
     items_ = statement_items(said.where(F.col("kind").isin("ALTER TABLE ADD", "ALTER TABLE DROP", "ALTER TABLE MODIFY")))
     items_ = items_.where(~F.upper("item").rlike(r"^(?:CONSTRAINT|PRIMARY|UNIQUE|FOREIGN|CHECK)\b"))
     item = F.regexp_replace("item", r"(?i)^COLUMN ", "")
-    name = identity.component_key(F.regexp_extract(item, r'^("(?:[^"]|"")*"|\S+)', 1))
-    rest = F.regexp_replace(item, r'^(?:"(?:[^"]|"")*"|\S+)\s*', "")
+    name = identity.component_key(F.regexp_extract(item, r'^("(?:[^"]++|"")*+"|\S+)', 1))
+    rest = F.regexp_replace(item, r'^(?:"(?:[^"]++|"")*+"|\S+)\s*', "")
     nullable = F.when(rest.rlike(r"(?i)\bNOT NULL$"), "NOT NULL").when(rest.rlike(r"(?i)(?:^|[^T] )NULL$") & ~rest.rlike(r"(?i)\bDEFAULT(?: ON)? NULL$"), "NULL")
     default = F.nullif(F.regexp_extract(rest, r"(?i)\bDEFAULT (?:ON NULL )?(.*?)(?: NOT NULL| NULL)?$", 1), F.lit(""))
     there = F.when(F.col("kind") == "ALTER TABLE ADD", True).when(F.col("kind") == "ALTER TABLE DROP", False)

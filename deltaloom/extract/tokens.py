@@ -14,12 +14,12 @@ from pyspark.sql import functions as F
 from deltaloom.functions import sqltext
 
 
-def code_tokens(definitions: DataFrame, text: str = "fragment", key: str = "definition") -> DataFrame:
-    """Rows (definition, i, tok, up, start, end, depth, prv, nxt) of the visible tokens, and text's place.
+def code_tokens(definitions: DataFrame, text: str = "fragment", key: str = "definition", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Rows (definition, i, tok, up, start, end, depth, prv, nxt) of the visible tokens, and text's place; and the columns to keep.
 
     depth counts the parentheses around a token; a parenthesis has the depth of what it stands in.
     """
-    pieces = definitions.select(key, F.posexplode(sqltext.tokens(F.col(text))).alias("piece", "tok"))
+    pieces = definitions.select(key, *keep, F.posexplode_outer(sqltext.tokens(F.col(text))).alias("piece", "tok")).where("tok IS NOT NULL")
     order = Window.partitionBy(key).orderBy("piece")
     upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     pieces = pieces.withColumn("end", F.sum(F.length("tok")).over(upto)).withColumn("start", F.col("end") - F.length("tok"))
@@ -27,7 +27,7 @@ def code_tokens(definitions: DataFrame, text: str = "fragment", key: str = "defi
     step = F.when(F.col("tok") == "(", 1).when(F.col("tok") == ")", -1).otherwise(0)
     shown = shown.withColumn("i", F.row_number().over(order)).withColumn("up", F.upper("tok"))
     shown = shown.withColumn("depth", F.sum(step).over(upto) - F.when(F.col("tok") == "(", 1).otherwise(0))
-    return shown.select(key, "i", "tok", "up", "start", "end", "depth", F.lag("up").over(order).alias("prv"), F.lead("up").over(order).alias("nxt"))
+    return shown.select(key, *keep, "i", "tok", "up", "start", "end", "depth", F.lag("up").over(order).alias("prv"), F.lead("up").over(order).alias("nxt"))
 
 
 def first_at(condition: Column, window) -> Column:

@@ -17,62 +17,63 @@ def decoded(files: DataFrame, raw: str = "raw") -> DataFrame:
 def occurrences(files: DataFrame, default_schema: Column | str | None = None, keys: tuple[str, ...] = ("path",)) -> DataFrame:
     """One row for each object definition of each file (columns ``keys`` and ``text``).
 
-    A definition reaches from its header to the next header or the end of the file.  The masked text
-    is cut before each header; places are running sums of the pieces' lengths.
+    A definition reaches from its header to the next header or the end of the file.  A text is cut to
+    pieces once; definitions are joined from their pieces before they become rows, so that no row
+    carries the text of others, and places are running sums of the definitions' own lengths.
     """
     schema = F.lit(default_schema).cast("string") if not isinstance(default_schema, Column) else default_schema
     own = [F.col(k) for k in keys]
-    files = files.where("text IS NOT NULL").withColumn("default_schema", schema).withColumn("masked", sqltext.masked(F.col("text")))
-    states = files.select(*own, "default_schema", F.posexplode(F.regexp_extract_all("masked", F.lit("(?is)" + sqltext.TRIGGER_STATE), F.lit(0))).alias("place", "hit"))
-    part = lambda i, c="hit", p=sqltext.TRIGGER_STATE: F.regexp_extract(c, "(?is)" + p, i)
-    second = part(2) != ""
-    states = states.select(
-        *own,
-        F.when(second, canonical(part(1))).otherwise(F.upper("default_schema")).alias("state_schema"),
-        F.when(second, canonical(part(2))).otherwise(canonical(part(1))).alias("state_name"),
-        F.upper(part(3)).alias("state"),
-        "place",
-    )
-    states = states.groupBy(*keys, "state_schema", "state_name").agg(F.max_by("state", "place").alias("trigger_state"))
-
-    pieces = files.select(*own, "text", "default_schema", F.posexplode(F.split("masked", "(?is)(?=" + sqltext.HEADER + ")")).alias("piece_no", "piece"))
-    order = Window.partitionBy(*keys).orderBy("piece_no")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    pieces = pieces.withColumn("start_char", F.coalesce(F.sum(F.length("piece")).over(before), F.lit(0)))
-    head = lambda i: F.regexp_extract("piece", "(?is)^" + sqltext.HEADER, i)
-    found = pieces.where(F.col("piece").rlike("(?is)^" + sqltext.HEADER)).withColumn("ordinal", F.row_number().over(order))
-    raw_type = F.regexp_replace(F.upper(head(1)), r"\s+", "_")
-    has_schema = head(3) != ""
-    end = F.col("start_char") + F.length("piece")
-    prefix = F.substring("text", F.lit(1), F.col("start_char"))
-    fragment = F.substring("text", F.col("start_char") + 1, F.length("piece"))
-    found = found.select(
+    rows = files.where("text IS NOT NULL").select(*own, schema.alias("default_schema"), sqltext.tokens(F.col("text")).alias("pieces"))
+    rows = rows.withColumn("seen", sqltext.seen_tokens(F.col("pieces")))
+    rows = rows.select(*own, "default_schema", "pieces", sqltext.headers(F.col("seen")).alias("heads"), sqltext.trigger_states(F.col("seen")).alias("states"))
+
+    def names(x: Column) -> tuple[Column, Column]:
+        """Canonical schema and name of a struct (first, second)."""
+        qualified = x["second"].isNotNull()
+        return F.when(qualified, canonical(x["first"])).otherwise(F.upper("default_schema")), canonical(F.when(qualified, x["second"]).otherwise(x["first"]))
+
+    def state_of(head: Column) -> Column:
+        schema_name, name = names(head)
+        fit = F.filter("states", lambda s: names(s)[0].eqNullSafe(schema_name) & (names(s)[1] == name))
+        return F.when(head["object_type"] == "TRIGGER", F.try_element_at(fit, F.lit(-1))["state"])
+
+    def definition(head: Column, k: Column) -> Column:
+        stop = F.coalesce(F.get("heads", k + 1)["piece"], F.size("pieces"))
+        text = F.array_join(F.slice("pieces", head["piece"] + 1, stop - head["piece"]), "")
+        return F.struct(head["object_type"].alias("object_type"), head["public"].alias("public"), head["first"].alias("first"), head["second"].alias("second"), state_of(head).alias("trigger_state"), text.alias("fragment"))
+
+    lead = F.array_join(F.slice("pieces", 1, F.coalesce(F.get("heads", F.lit(0))["piece"], F.lit(0))), "")
+    rows = rows.select(*own, "default_schema", F.transform("heads", definition).alias("found"), lead.alias("lead"))
+    rows = rows.select(*own, "default_schema", F.length("lead").alias("c0"), F.octet_length("lead").alias("b0"), F.regexp_count("lead", F.lit("\n")).alias("l0"), F.posexplode_outer("found").alias("k", "x"))
+    # filtered only here: a condition on the arrays would be pushed down and cut the text once more for each use
+    rows = rows.where("x IS NOT NULL").select(*own, "default_schema", "c0", "b0", "l0", (F.col("k") + 1).alias("ordinal"), "x.*")
+    rows = rows.withColumns({"chars": F.length("fragment"), "bytes": F.octet_length("fragment"), "lines": F.regexp_count("fragment", F.lit("\n"))})
+    before = Window.partitionBy(*keys).orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)
+    at = lambda start, c: (F.col(start) + F.coalesce(F.sum(c).over(before), F.lit(0))).cast("int")
+    rows = rows.withColumns({"start_char": at("c0", "chars"), "start_byte": at("b0", "bytes"), "start_line": at("l0", "lines") + 1})
+    has_schema = F.col("second").isNotNull()
+    last = F.col("start_line") + F.col("lines") - F.when(F.col("fragment").endswith("\n"), 1).otherwise(0)
+    found = rows.select(
         *own,
         "ordinal",
-        F.when(raw_type == "PACKAGE", "PACKAGE_SPEC").otherwise(raw_type).alias("object_type"),
-        F.when(has_schema, identity.unquoted(head(2))).otherwise(F.col("default_schema")).alias("raw_schema"),
-        F.when(has_schema, identity.unquoted(head(3))).otherwise(identity.unquoted(head(2))).alias("raw_name"),
-        (has_schema & identity.is_quoted(head(2))).alias("schema_quoted"),
-        F.when(has_schema, identity.is_quoted(head(3))).otherwise(identity.is_quoted(head(2))).alias("name_quoted"),
-        F.col("start_char").cast("int").alias("start_char"),
-        end.cast("int").alias("end_char"),
-        F.octet_length(prefix).alias("start_byte"),
-        (F.octet_length(prefix) + F.octet_length(fragment)).alias("end_byte_exclusive"),
-        (F.regexp_count(prefix, F.lit("\n")) + 1).alias("start_line"),
-        F.greatest(
-            F.regexp_count(prefix, F.lit("\n")) + 1, F.regexp_count(prefix, F.lit("\n")) + F.regexp_count(fragment, F.lit("\n")) + F.when(fragment.endswith("\n"), 0).otherwise(1)
-        ).alias("end_line"),
-        F.sha2(fragment, 256).alias("fragment_sha256"),
-        fragment.alias("fragment"),
-        F.when((raw_type == "SYNONYM") & F.upper(F.regexp_extract("piece", "(?is)^" + sqltext.HEADER, 0)).contains("PUBLIC"), "PUBLIC").otherwise("SCHEMA").alias("namespace"),
+        "object_type",
+        F.when(has_schema, identity.unquoted(F.col("first"))).otherwise(F.col("default_schema")).alias("raw_schema"),
+        identity.unquoted(F.coalesce("second", "first")).alias("raw_name"),
+        (has_schema & identity.is_quoted(F.col("first"))).alias("schema_quoted"),
+        identity.is_quoted(F.coalesce("second", "first")).alias("name_quoted"),
+        "start_char",
+        (F.col("start_char") + F.col("chars")).alias("end_char"),
+        "start_byte",
+        (F.col("start_byte") + F.col("bytes")).alias("end_byte_exclusive"),
+        "start_line",
+        F.greatest("start_line", last).cast("int").alias("end_line"),
+        F.sha2("fragment", 256).alias("fragment_sha256"),
+        "fragment",
+        F.when((F.col("object_type") == "SYNONYM") & F.col("public"), "PUBLIC").otherwise("SCHEMA").alias("namespace"),
+        "trigger_state",
     )
     found = found.withColumn("schema_name", identity.canonical_name(F.col("raw_schema"), F.col("schema_quoted"))).withColumn("name", identity.canonical_name(F.col("raw_name"), F.col("name_quoted")))
-    found = found.withColumn("object_key", identity.object_key(F.col("namespace"), F.col("schema_name"), F.col("object_type"), F.col("name")))
-    on = [*[F.col(f"f.{k}").eqNullSafe(F.col(f"s.{k}")) for k in keys], F.col("f.schema_name").eqNullSafe(F.col("s.state_schema")), F.col("f.name") == F.col("s.state_name"), F.col("f.object_type") == "TRIGGER"]
-    condition = on[0]
-    for c in on[1:]:
-        condition = condition & c
-    return found.alias("f").join(states.alias("s"), condition, "left").select("f.*", "s.trigger_state")
+    return found.withColumn("object_key", identity.object_key(F.col("namespace"), F.col("schema_name"), F.col("object_type"), F.col("name")))
 
 
 def canonical(raw: Column) -> Column:
@@ -81,16 +82,14 @@ def canonical(raw: Column) -> Column:
 
 def file_inventory(files: DataFrame, keys: tuple[str, ...] = ("path",)) -> DataFrame:
     """Per file (columns ``keys``, ``raw``): bytes, encoding, newline style, objects, bytes before the first, diagnostics."""
-    files = decoded(files)
-    code = sqltext.masked(F.col("text"))
-    first = F.split(code, "(?is)(?=" + sqltext.HEADER + ")")[0]
-    objects = F.regexp_count(code, F.lit("(?is)" + sqltext.HEADER))
-    lead = F.when(F.col("objects") == 0, F.length(code)).when(first.rlike("(?is)^" + sqltext.HEADER), 0).otherwise(F.length(first))
-    rows = files.withColumn("objects", F.coalesce(objects, F.lit(0))).withColumn("lead", F.substring("text", F.lit(1), lead))
-    stray = F.octet_length(F.regexp_replace("lead", r"^\s+|\s+$", ""))
+    rows = decoded(files).withColumn("pieces", sqltext.tokens(F.col("text")))
+    rows = rows.withColumn("heads", sqltext.headers(sqltext.seen_tokens(F.col("pieces"))))
+    rows = rows.withColumn("objects", F.coalesce(F.size("heads"), F.lit(0))).withColumn("objects", F.when(F.col("text").isNull(), 0).otherwise(F.col("objects")))
+    lead = F.array_join(F.slice("pieces", 1, F.coalesce(F.get("heads", F.lit(0))["piece"], F.size("pieces"))), "")
+    stray = F.octet_length(F.regexp_replace(F.when(F.col("text").isNotNull(), lead), r"^\s+|\s+$", ""))
     unresolved = F.when(F.col("text").isNull(), F.octet_length("raw")).otherwise(stray)
     diagnostics = F.when(F.col("text").isNull(), F.array(F.lit("ENCODING_UNRESOLVED"))).otherwise(
-        F.concat(sqltext.mask_diagnostics(F.col("text")), F.when(stray > 0, F.array(F.lit("UNRESOLVED_PREFIX_OR_ARTIFACT"))).otherwise(F.array().cast("array<string>")))
+        F.concat(sqltext.piece_diagnostics(F.col("pieces")), F.when(stray > 0, F.array(F.lit("UNRESOLVED_PREFIX_OR_ARTIFACT"))).otherwise(F.array().cast("array<string>")))
     )
     status = F.when(F.col("text").isNull() | (F.col("objects") == 0), "unresolved").when(F.size(diagnostics) > 0, "limited").otherwise("parsed")
     return rows.select(
@@ -136,7 +135,7 @@ def references(files: DataFrame, name: str, keys: tuple[str, ...] = ("path",)) -
 
 def symbols(files: DataFrame, name: str, kind: str | None = None, keys: tuple[str, ...] = ("path",)) -> DataFrame:
     """Lines that create or alter a symbol, with its kind."""
-    kinds = "|".join(t.replace(" ", r"\s+") for t in sqltext.OBJECT_TYPES)
+    kinds = "|".join(t.replace(" ", r"\s+") for t in sorted(sqltext.OBJECT_TYPES, key=len, reverse=True))
     pattern = rf"(?i)(?:^|[^A-Za-z0-9_$#])(?:CREATE|ALTER)\s[^;]*?(?:^|[^A-Za-z0-9_$#])({kinds})[^A-Za-z0-9_$#]"
     found = references(files, name, keys).select("*", F.regexp_replace(F.upper(F.regexp_extract("line", pattern, 1)), r"\s+", " ").alias("kind")).where("kind <> ''")
     return found if kind is None else found.where(F.col("kind") == kind.upper())

@@ -100,9 +100,7 @@ def analyse(old_files: DataFrame, new_files: DataFrame, default_schema: str | No
     status = F.when((status == "ready") & (F.size(said) > 0), "unresolved").otherwise(status)
     operation = F.when(has("INCOMPLETE_SOURCE_INVENTORY"), "unknown").otherwise(F.col("operation"))
     objects = checkpointed(changed.join(kinds, "object_key").join(blocked, "object_key", "left").select("object_key", "object_type", operation.alias("operation"), status.alias("status"), said.alias("diagnostics")))
-    symbols = new.select("schema_name", "name", "object_key")
-    refs = graph.references(new.select("object_key", "schema_name", F.col("fragment").alias("source")))
-    edges = graph.resolved(refs, symbols)
+    edges = graph.edges(new.select("object_key", "object_type", "schema_name", "name", F.col("fragment").alias("source")))
     risk = rollup.object_risk(facts, objects.withColumn("status", F.when(F.col("status") == "ready", "ready").otherwise("unresolved")))
     named = facts.groupBy("object_key").agg(F.array_sort(F.collect_set("family")).alias("families"))
     checks = rollup.recommended_checks(objects, named)

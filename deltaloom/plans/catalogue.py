@@ -355,13 +355,10 @@ def q30_redaction(t):
     return t("documents").select("doc_id", sqltext.redacted(F.col("text")).state.alias("state"))
 
 
-@query(
-    """SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 'unchanged' WHEN turn % 3 = 1 THEN 'format_only' ELSE 'structural_or_logic' END AS change FROM conversations WHERE NOT regexp_matches(text, '[''"-]|/\\*') AND regexp_matches(text, '[a-z] [a-z]')"""
-)
+@query("SELECT conv_id, turn, CASE WHEN text IS NULL OR turn % 3 = 0 THEN 'unchanged' WHEN turn % 3 = 1 THEN 'format_only' ELSE 'structural_or_logic' END AS change FROM conversations")
 def q31_format_change(t):
-    turns = t("conversations").where(~F.col("text").rlike("['\"-]|/\\*") & F.col("text").rlike("[a-z] [a-z]"))
-    after = F.when(F.col("turn") % 3 == 0, F.col("text")).when(F.col("turn") % 3 == 1, F.concat(F.lit("  "), F.replace("text", F.lit(" "), F.lit(" \n ")))).otherwise(F.concat("text", F.lit(" x")))
-    return turns.select("conv_id", "turn", sqltext.text_change(F.col("text"), after).alias("change"))
+    after = F.when(F.col("turn") % 3 == 0, F.col("text")).when(F.col("turn") % 3 == 1, F.concat(F.lit("  \n"), "text")).otherwise(F.concat("text", F.lit(" x")))
+    return t("conversations").select("conv_id", "turn", sqltext.text_change(F.col("text"), after).alias("change"))
 
 
 @query("SELECT sha256(text) AS h, min(doc_id) AS first_id, count(*) AS n FROM documents GROUP BY 1 HAVING n > 1")
@@ -373,19 +370,19 @@ def q32_equal_contents(t):
     """WITH s AS (SELECT (c_nationkey)::VARCHAR AS schema_name, c_mktsegment || (c_custkey % 40) AS name, c_custkey::VARCHAR AS k FROM customer),
 r AS (SELECT s_suppkey, s_nationkey::VARCHAR AS ref_schema, CASE WHEN s_suppkey % 9 = 0 THEN 'NONE' ELSE 'BUILDING' || (s_suppkey % 40) END AS ref_name FROM supplier),
 x AS (SELECT schema_name, name, string_agg(k, ',' ORDER BY k) AS l, count(*) AS c FROM s GROUP BY 1, 2), y AS (SELECT name, string_agg(k, ',' ORDER BY k) AS l FROM s GROUP BY 1)
-SELECT s_suppkey, coalesce(x.l, y.l, '') AS candidates, CASE WHEN x.c = 1 THEN 'resolved' WHEN x.c > 1 OR y.l IS NOT NULL THEN 'candidate' ELSE 'unresolved' END AS resolution,
+SELECT s_suppkey, coalesce(x.l, y.l, '') AS candidates, CASE WHEN x.c = 1 THEN 'resolved_static' WHEN x.c > 1 OR y.l IS NOT NULL THEN 'candidate' ELSE 'unresolved' END AS resolution,
 CASE WHEN x.c = 1 THEN 'exact' WHEN x.c > 1 THEN 'several_exact' WHEN y.l IS NOT NULL THEN 'name_only' ELSE 'not_found' END AS reason
 FROM r LEFT JOIN x ON ref_schema = x.schema_name AND ref_name = x.name LEFT JOIN y ON ref_name = y.name"""
 )
 def q33_resolution(t):
     symbols = t("customer").select(F.col("c_nationkey").cast("string").alias("schema_name"), F.concat("c_mktsegment", (F.col("c_custkey") % 40).cast("string")).alias("name"), F.col("c_custkey").cast("string").alias("object_key"))
     refs = t("supplier").select("s_suppkey", F.col("s_nationkey").cast("string").alias("ref_schema"), F.when(F.col("s_suppkey") % 9 == 0, "NONE").otherwise(F.concat(F.lit("BUILDING"), (F.col("s_suppkey") % 40).cast("string"))).alias("ref_name"))
-    return graph.resolved(refs, symbols).select("s_suppkey", F.array_join("candidates", ",").alias("candidates"), "resolution", "reason")
+    return graph.resolved(refs, symbols).select("s_suppkey", F.array_join("candidates", ",").alias("candidates"), "resolution", F.col("how").alias("reason"))
 
 
 @query(
     """WITH a AS (SELECT o_custkey, o_orderkey AS k FROM orders WHERE o_orderkey % 2 = 0), b AS (SELECT o_custkey, o_orderkey AS k FROM orders WHERE o_orderkey % 2 = 1)
-SELECT a.k AS from_object, b.k AS to_object, 'spec_body' AS relation FROM a JOIN b USING (o_custkey) UNION ALL SELECT b.k, a.k, 'spec_body' FROM a JOIN b USING (o_custkey)"""
+SELECT a.k AS from_object, b.k AS to_object, 'SPEC_BODY' AS relation FROM a JOIN b USING (o_custkey) UNION ALL SELECT b.k, a.k, 'SPEC_BODY' FROM a JOIN b USING (o_custkey)"""
 )
 def q34_pairs(t):
     orders = t("orders").select("o_custkey", "o_orderkey")
@@ -433,17 +430,17 @@ def q37_chase(t):
 
 @query(
     """WITH RECURSIVE p AS (SELECT event_id, max(event_id) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS parent FROM events),
-w AS (SELECT event_id, parent, 0 AS depth FROM p WHERE event_id IN (SELECT max(event_id) FROM events GROUP BY user_id) UNION ALL SELECT p.event_id, p.parent, depth + 1 FROM w JOIN p ON w.parent = p.event_id WHERE depth < 20)
+w AS (SELECT event_id, parent, 0 AS depth FROM p WHERE event_id IN (SELECT max(event_id) FROM events GROUP BY user_id) UNION ALL SELECT p.event_id, p.parent, depth + 1 FROM w JOIN p ON w.parent = p.event_id)
 SELECT event_id, depth::INTEGER AS depth FROM w"""
 )
 def q38_first_parents(t):
-    from deltaloom.plans.history import first_parent_chain
+    from deltaloom.plans.history import first_parents
     from pyspark.sql import Window
 
     events = t("events").select("user_id", "event_id")
     commits = events.withColumn("parent", F.lag("event_id").over(Window.partitionBy("user_id").orderBy("event_id")))
     heads = events.groupBy("user_id").agg(F.max("event_id").alias("head")).select("head")
-    return first_parent_chain(commits.select(F.col("event_id").alias("sha"), "parent"), heads, 20).select(F.col("sha").alias("event_id"), "depth")
+    return first_parents(commits.select(F.col("event_id").alias("sha"), "parent"), heads).select(F.col("sha").alias("event_id"), "depth")
 
 
 @query(
@@ -461,7 +458,7 @@ def q39_for_all(t):
 @query(
     """WITH c AS (SELECT l_orderkey, l_partkey % 50 AS r, count(*) AS args FROM lineitem GROUP BY 1, 2), s AS (SELECT DISTINCT p_size AS r, p_partkey % 4 AS n FROM part WHERE p_partkey % 3 = 0),
 j AS (SELECT l_orderkey, c.r, args, sum(CASE WHEN args <= n AND args >= floor(n / 2) THEN 1 ELSE 0 END) AS fitting, count(n) AS shapes FROM c LEFT JOIN s ON c.r = s.r GROUP BY 1, 2, 3)
-SELECT l_orderkey, r, CASE WHEN shapes = 0 THEN 'unknown_routine' WHEN fitting = 0 THEN 'arity_mismatch' WHEN fitting = 1 THEN 'bound' ELSE 'overloaded' END AS binding FROM j"""
+SELECT l_orderkey, r, CASE WHEN shapes = 0 THEN 'definition_unresolved' WHEN fitting = 0 THEN 'incompatible_arity_or_names' WHEN fitting = 1 THEN 'arity_name_compatible_type_unresolved' ELSE 'overload_candidate' END AS binding FROM j"""
 )
 def q40_arity(t):
     calls = t("lineitem").groupBy("l_orderkey", (F.col("l_partkey") % 50).alias("r")).agg(F.count("*").cast("int").alias("positional")).withColumns({"named": F.array().cast("array<string>"), "ordered": F.lit(True)})
@@ -510,11 +507,11 @@ def q44_retention(t):
 
 
 @query(
-    """SELECT 'V1' AS rule, (l_orderkey % 1000)::VARCHAR AS subject FROM lineitem WHERE l_linenumber = 1 AND l_orderkey < 1500 GROUP BY l_orderkey % 1000 HAVING count(*) > 1
+    """SELECT 'V1' AS rule, (l_orderkey * 10 + l_linenumber % 6)::VARCHAR AS subject FROM lineitem GROUP BY l_orderkey * 10 + l_linenumber % 6 HAVING count(*) > 1
 UNION ALL SELECT 'V3', o_orderkey::VARCHAR FROM orders WHERE o_custkey % 97 = 0 UNION ALL SELECT 'V8', p_partkey::VARCHAR FROM part WHERE NOT (p_size <= 45)"""
 )
 def q45_integrity(t):
-    evidence = t("lineitem").where("l_linenumber = 1 AND l_orderkey < 1500").select((F.col("l_orderkey") % 1000).alias("evidence_id"))
+    evidence = t("lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber") % 6).alias("evidence_id"))
     registry = t("customer").where("c_custkey % 97 <> 0").select(F.col("c_custkey").alias("o_custkey"))
     return validate.violations(
         validate.duplicates(evidence, "evidence_id", "V1"), validate.dangling(t("orders"), registry, ["o_custkey"], "V3", F.col("o_orderkey")), validate.broken(t("part"), F.col("p_size") <= 45, "V8", F.col("p_partkey"))
@@ -595,26 +592,31 @@ def q50_recommended_checks(t):
     return rollup.recommended_checks(objects, families)
 
 
+_PACKAGE_NAME = "CASE WHEN {0} % 3 = 0 THEN 'A' || {0} % 50 ELSE 'U' || {0} END"
+
+
 @query(
-    """WITH c AS (SELECT l_orderkey, l_linenumber, l_partkey % 100 AS p, l_suppkey % 7 AS r FROM lineitem WHERE l_linenumber = 1),
-pk AS (SELECT p_partkey % 100 AS p, min(p_partkey)::VARCHAR AS k, count(*) AS n FROM part WHERE p_partkey % 5 = 0 AND p_partkey % 100 < 50 AND p_partkey < 150 GROUP BY 1)
-SELECT l_orderkey, CASE WHEN n = 1 THEN 'resolved' WHEN n > 1 THEN 'candidate' WHEN r < 3 THEN 'resolved' ELSE 'unresolved' END AS resolution FROM c LEFT JOIN pk USING (p)"""
+    f"""WITH pk AS (SELECT {_PACKAGE_NAME.format('p_partkey')} AS name, count(*) AS n FROM part WHERE p_partkey % 5 <> 0 GROUP BY 1),
+al AS (SELECT DISTINCT {_PACKAGE_NAME.format('p_partkey')} AS name FROM part WHERE p_partkey % 10 = 0)
+SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN n = 1 THEN 'resolved_static' WHEN n > 1 THEN 'candidate' WHEN al.name IS NOT NULL AND l_suppkey % 7 < 3 THEN 'resolved_static' ELSE 'unresolved' END AS resolution
+FROM lineitem LEFT JOIN pk ON pk.name = {_PACKAGE_NAME.format('l_partkey')} LEFT JOIN al ON al.name = {_PACKAGE_NAME.format('l_partkey')}"""
 )
 def q51_call_resolution(t):
-    calls = t("lineitem").where("l_linenumber = 1").select("l_orderkey", F.lit("S").alias("ref_schema"), (F.col("l_partkey") % 100).cast("string").alias("ref_name"), (F.col("l_suppkey") % 7).cast("string").alias("routine"))
-    packages = t("part").where("p_partkey % 5 = 0 AND p_partkey % 100 < 50 AND p_partkey < 150").select(F.lit("S").alias("schema_name"), (F.col("p_partkey") % 100).cast("string").alias("name"), F.col("p_partkey").cast("string").alias("object_key"))
-    alone = t("part").select((F.col("p_partkey") % 100).cast("string").alias("schema_name")).distinct().select("schema_name", F.explode(F.array(*[F.lit(str(i)) for i in range(3)])).alias("name"))
+    name = lambda c: F.expr(_PACKAGE_NAME.format(c))
+    calls = t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.lit("S").alias("ref_schema"), name("l_partkey").alias("ref_name"), name("l_partkey").alias("alone_schema"), (F.col("l_suppkey") % 7).cast("string").alias("routine"))
+    packages = t("part").where("p_partkey % 5 <> 0").select(F.lit("S").alias("schema_name"), name("p_partkey").alias("name"), F.col("p_partkey").cast("string").alias("object_key"))
+    alone = t("part").where("p_partkey % 10 = 0").select(name("p_partkey").alias("schema_name")).distinct().select("schema_name", F.explode(F.array(*[F.lit(str(i)) for i in range(3)])).alias("name"))
     alone = alone.withColumn("object_key", F.concat_ws(".", "schema_name", "name"))
-    return graph.resolved_calls(calls, packages, alone).select("l_orderkey", "resolution")
+    return graph.resolved_calls(calls, packages, alone).select("l_orderkey", "l_linenumber", "l_partkey", "resolution")
 
 
 @query(
-    """WITH e AS (SELECT DISTINCT (l_orderkey % 40)::VARCHAR AS object_key, l_returnflag AS side, CASE l_linenumber % 3 WHEN 0 THEN 'write' WHEN 1 THEN 'read' ELSE 'call' END AS relation, l_partkey::VARCHAR AS from_object, l_suppkey::VARCHAR AS to_object FROM lineitem),
-n AS (SELECT *, row_number() OVER (PARTITION BY object_key, side ORDER BY CASE relation WHEN 'write' THEN 3 WHEN 'call' THEN 4 ELSE 5 END, to_object, from_object) AS rank, greatest(count(*) OVER (PARTITION BY object_key, side) - 8, 0) AS omitted FROM e)
+    """WITH e AS (SELECT DISTINCT (l_orderkey % 40)::VARCHAR AS object_key, l_returnflag AS side, CASE l_linenumber % 6 WHEN 0 THEN 'WRITE' WHEN 1 THEN 'READ' WHEN 2 THEN 'CALL' WHEN 3 THEN 'TYPE_REF' WHEN 4 THEN 'FK_REF' ELSE 'SYNONYM_TO' END AS relation, l_partkey::VARCHAR AS from_object, l_suppkey::VARCHAR AS to_object FROM lineitem),
+n AS (SELECT *, row_number() OVER (PARTITION BY object_key, side ORDER BY CASE relation WHEN 'TYPE_REF' THEN 0 WHEN 'FK_REF' THEN 1 WHEN 'WRITE' THEN 2 WHEN 'READ' THEN 3 WHEN 'CALL' THEN 4 ELSE 5 END, to_object, from_object, relation) AS rank, greatest(count(*) OVER (PARTITION BY object_key, side) - 8, 0) AS omitted FROM e)
 SELECT object_key, side, relation, from_object, to_object, rank::INTEGER AS rank, omitted::BIGINT AS omitted FROM n WHERE rank <= 8"""
 )
 def q52_context_selection(t):
-    relation = F.when(F.col("l_linenumber") % 3 == 0, "write").when(F.col("l_linenumber") % 3 == 1, "read").otherwise("call")
+    relation = F.element_at(F.array(*[F.lit(x) for x in ("WRITE", "READ", "CALL", "TYPE_REF", "FK_REF", "SYNONYM_TO")]), (F.col("l_linenumber") % 6 + 1).cast("int"))
     edges = t("lineitem").select((F.col("l_orderkey") % 40).cast("string").alias("object_key"), F.col("l_returnflag").alias("side"), relation.alias("relation"), F.col("l_partkey").cast("string").alias("from_object"), F.col("l_suppkey").cast("string").alias("to_object")).distinct()
     return graph.selected_context(edges)
 
@@ -663,7 +665,9 @@ def _index_ddl(t) -> DataFrame:
     """One index and one view a part."""
     k, size = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
     index = F.concat(F.lit("CREATE UNIQUE INDEX app.i"), k, F.lit(" ON app.t"), size, F.lit(" (NVL(a, 'x,"), size, F.lit("'), b DESC) TABLESPACE ts"), size, F.lit(" INVISIBLE;"))
-    view = F.concat(F.lit("CREATE VIEW app.v"), k, F.lit(" AS SELECT a, b"), size, F.lit(" FROM t"), size, F.lit(" WHERE a = 'FROM z' GROUP BY b"), size)
+    distinct = F.when(F.col("p_size") % 3 == 0, "DISTINCT ").otherwise("")
+    joined = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit(" LEFT JOIN u ON t.x = "), size)).otherwise("")
+    view = F.concat(F.lit("CREATE VIEW app.v"), k, F.lit(" AS SELECT "), distinct, F.lit("a, b"), size, F.lit(" FROM t"), size, joined, F.lit(" WHERE a = 'FROM z' GROUP BY b"), size)
     return t("part").select(F.col("p_partkey").alias("definition"), index.alias("index"), view.alias("view"))
 
 
@@ -674,11 +678,11 @@ def q59_indexes(t):
 
 
 @query(
-    """SELECT p_partkey AS definition, x.property AS property, x.value AS value FROM (SELECT p_partkey, unnest([{'property': 'projection', 'value': 'a, b' || p_size}, {'property': 'source_references', 'value': 't' || p_size},
-{'property': 'where', 'value': 'a = ''FROM z'''}, {'property': 'group_by', 'value': 'b' || p_size}]) AS x FROM part)"""
+    """SELECT p_partkey AS definition, x.property AS property, x.value AS value FROM (SELECT p_partkey, unnest([{'property': 'projection', 'value': '["a","b' || p_size || '"]'}, {'property': 'source_references', 'value': 'FROM t' || p_size || CASE WHEN p_size % 2 = 0 THEN ' LEFT JOIN u ON t.x = ' || p_size ELSE '' END},
+{'property': 'where', 'value': 'WHERE a = ''FROM z'''}, {'property': 'group_by', 'value': 'GROUP BY b' || p_size}, {'property': 'join', 'value': CASE WHEN p_size % 2 = 0 THEN 'LEFT JOIN u ON t.x = ' || p_size END}, {'property': 'distinct', 'value': CASE WHEN p_size % 3 = 0 THEN 'DISTINCT' END}]) AS x FROM part) WHERE x.value IS NOT NULL"""
 )
 def q60_views(t):
-    return extract.views(_index_ddl(t).select("definition", F.col("view").alias("fragment")))
+    return extract.views(_index_ddl(t).select("definition", F.col("view").alias("fragment"))).select("definition", "property", "value")
 
 
 def _package_ddl(t) -> DataFrame:
@@ -705,29 +709,25 @@ def q62_body_facts(t):
     return found.select("definition", "family", "statement", profile.alias("profile"))
 
 
-@query("SELECT DISTINCT s_suppkey::VARCHAR AS from_object, 'write' AS relation, 'APP' AS ref_schema, 'T' || s_nationkey AS ref_name FROM supplier")
+@query("SELECT DISTINCT s_suppkey::VARCHAR AS from_object, 'WRITE' AS relation, 'APP' AS ref_schema, 'T' || s_nationkey AS ref_name FROM supplier")
 def q63_references(t):
     rows = _package_ddl(t).select(F.col("definition").cast("string").alias("object_key"), F.lit("APP").alias("schema_name"), F.col("fragment").alias("source"))
     return graph.references(rows).select("from_object", "relation", "ref_schema", "ref_name")
 
 
-@query("SELECT page_id, strlen(html) AS bytes, 'utf-8' AS encoding, 'unresolved' AS parse_status, 0 AS objects FROM pages")
-def q64_file_inventory(t):
-    found = scan.file_inventory(t("pages").select("page_id", F.col("html").cast("binary").alias("raw")), ("page_id",))
-    return found.select("page_id", F.col("bytes").cast("long").alias("bytes"), "encoding", "parse_status", "objects")
-
-
 @query(
-    """WITH RECURSIVE p AS (SELECT event_id, max(event_id) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS parent FROM events),
-w AS (SELECT event_id, parent, 0 AS depth FROM p WHERE event_id IN (SELECT max(event_id) FROM events GROUP BY user_id) UNION ALL SELECT p.event_id, p.parent, depth + 1 FROM w JOIN p ON w.parent = p.event_id)
-SELECT event_id, depth::INTEGER AS depth FROM w"""
+    """WITH d AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'CREATE SEQUENCE s' || p_partkey || ' CACHE 2;' || chr(13) || chr(10) WHEN 1 THEN 'SET x' || chr(10) || 'CREATE TABLE t (a NUMBER);' || chr(10) || 'CREATE VIEW v AS SELECT 1 FROM t;' WHEN 2 THEN 'GRANT a TO b;' ELSE 'CREATE TABLE t (a VARCHAR2(9) DEFAULT ''é' END AS text FROM part)
+SELECT p_partkey, strlen(text)::BIGINT AS bytes, 'utf-8' AS encoding, CASE p_partkey % 4 WHEN 0 THEN 'CRLF' WHEN 1 THEN 'LF' ELSE 'NONE' END AS newline_style, CASE p_partkey % 4 WHEN 0 THEN 'parsed' WHEN 2 THEN 'unresolved' ELSE 'limited' END AS parse_status,
+CASE p_partkey % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 0 ELSE 1 END AS objects, CASE p_partkey % 4 WHEN 1 THEN 5 WHEN 2 THEN 13 ELSE 0 END AS unresolved_bytes,
+CASE p_partkey % 4 WHEN 0 THEN '' WHEN 3 THEN 'UNTERMINATED_SINGLE' ELSE 'UNRESOLVED_PREFIX_OR_ARTIFACT' END AS diagnostics FROM d"""
 )
-def q65_whole_first_parents(t):
-    """q38 without its bound of 20 steps."""
-    from deltaloom.plans.history import first_parents
-    from pyspark.sql import Window
+def q64_file_inventory(t):
+    k = F.col("p_partkey")
+    text = F.when(k % 4 == 0, F.concat(F.lit("CREATE SEQUENCE s"), k.cast("string"), F.lit(" CACHE 2;\r\n"))).when(k % 4 == 1, "SET x\nCREATE TABLE t (a NUMBER);\nCREATE VIEW v AS SELECT 1 FROM t;")
+    text = text.when(k % 4 == 2, "GRANT a TO b;").otherwise("CREATE TABLE t (a VARCHAR2(9) DEFAULT 'é")
+    found = scan.file_inventory(t("part").select("p_partkey", text.cast("binary").alias("raw")), ("p_partkey",))
+    return found.select("p_partkey", F.col("bytes").cast("long").alias("bytes"), "encoding", "newline_style", "parse_status", "objects", "unresolved_bytes", F.array_join("diagnostics", ",").alias("diagnostics"))
 
-    events = t("events").select("user_id", "event_id")
-    commits = events.withColumn("parent", F.lag("event_id").over(Window.partitionBy("user_id").orderBy("event_id")))
-    heads = events.groupBy("user_id").agg(F.max("event_id").alias("head")).select("head")
-    return first_parents(commits.select(F.col("event_id").alias("sha"), "parent"), heads).select(F.col("sha").alias("event_id"), "depth")
+
+#: The same chains by the name they had while q38 was bounded.
+QUERIES["q65_whole_first_parents"], SQL["q65_whole_first_parents"] = QUERIES["q38_first_parents"], SQL["q38_first_parents"]

@@ -6,27 +6,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def first_parent_chain(commits: DataFrame, heads: DataFrame, most: int) -> DataFrame:
-    """(sha, depth): from each head along ``parent``, at most ``most`` steps; loops end at the bound.
-
-    Pointers are doubled, so the number of joins is the logarithm of the bound.
-    """
-    chain = heads.select(F.col("head").alias("sha"), F.lit(0).alias("depth"))
-    jump = commits.where("parent IS NOT NULL").select("sha", F.col("parent").alias("to"))
-    reach = 1
-    while True:
-        take = min(reach, most + 1 - reach)
-        if take <= 0:
-            return chain
-        step = chain.where(F.col("depth") < take).join(jump, "sha").select(F.col("to").alias("sha"), (F.col("depth") + reach).alias("depth"))
-        chain = chain.unionByName(step)
-        if reach * 2 > most:
-            reach *= 2
-            continue
-        jump = jump.join(jump.select(F.col("sha").alias("to"), F.col("to").alias("far")), "to").select("sha", F.col("far").alias("to"))
-        reach *= 2
-
-
 def first_parents(commits: DataFrame, heads: DataFrame) -> DataFrame:
     """(sha, depth): from each head along ``parent`` to the end of the chain, or to the first commit met again.
 

@@ -174,14 +174,84 @@ def test_zip_and_sinks(spark, scratch):
 
 def test_graph(spark):
     source = "CREATE PROCEDURE p AS BEGIN WITH c AS (SELECT 1 FROM dual) SELECT 1 INTO x FROM c JOIN s.t ON 1=1; INSERT INTO u VALUES ('FROM z'); q.run(1, b => f(2)); END;"
-    rows = spark.createDataFrame([("k", "OWN", source)], "object_key string, schema_name string, source string")
+    rows = spark.createDataFrame([("k", "PROCEDURE", "OWN", "P", source)], "object_key string, object_type string, schema_name string, name string, source string")
     got = {(r.relation, r.ref_schema, r.ref_name) for r in graph.references(rows).collect()}
-    assert {("read", "S", "T"), ("write", "OWN", "U"), ("call", "Q", "RUN"), ("read", "OWN", "DUAL")} <= got
-    assert not any(name in ("C", "Z") for _, _, name in got)
+    assert got == {("READ", "S", "T"), ("WRITE", "OWN", "U"), ("READ", "OWN", "DUAL")}
+    called = {(r.ref_schema, r.ref_name, r.routine): (r.positional, r.named, r.ordered) for r in graph.calls(rows).where("NOT local").collect()}
+    assert called == {("OWN", "Q", "RUN"): (1, ["B"], True)}
     args = spark.createDataFrame([("1, b => f(2, ')')",), ("",), ("a => 1, 2",), ("f(",)], "t string").select(graph.split_arguments(__import__("pyspark").sql.functions.col("t")).alias("a"))
     assert [r.a and (r.a.positional, r.a.named, r.a.ordered) for r in args.collect()] == [(1, ["B"], True), (0, [], True), (1, ["A"], False), None]
 
 
+def objects_of(spark, *rows):
+    made = [(f"SCHEMA|APP|{kind}|{name}", kind, "APP", name, text) for kind, name, text in rows]
+    return spark.createDataFrame(made, "object_key string, object_type string, schema_name string, name string, source string")
+
+
+def test_relations(spark):
+    rows = objects_of(
+        spark,
+        ("TABLE", "T", "CREATE TABLE t (id NUMBER, CONSTRAINT f FOREIGN KEY (id) REFERENCES other.u (id))"),
+        ("TRIGGER", "G", "CREATE TRIGGER g BEFORE INSERT ON t BEGIN :new.id := s.nextval; END;"),
+        ("SYNONYM", "Y", "CREATE SYNONYM y FOR x.t"),
+        ("PROCEDURE", "P", "CREATE PROCEDURE p (a t.id%TYPE) IS BEGIN DELETE FROM t; MERGE INTO t USING v ON (1=1) WHEN MATCHED THEN UPDATE SET a = 1; END;"),
+        ("VIEW", "V", "CREATE VIEW v AS WITH fake AS (SELECT 'from SECRET' x FROM t) SELECT * FROM fake JOIN \"Mixed\" m ON 1 = 1"),
+        ("VIEW", "BROKEN", "CREATE VIEW broken AS SELECT 'x FROM t"),
+    )
+    got = {(r.from_object.split("|")[3], r.relation, r.to_label, r.resolution) for r in graph.edges(rows).where("relation <> 'CALL'").collect()}
+    t = "SCHEMA|APP|TABLE|T"
+    assert got == {
+        ("T", "FK_REF", "OTHER.U", "unresolved"),
+        ("G", "TRIGGER_ON", t, "resolved_static"),
+        ("G", "READ", "APP.S", "unresolved"),
+        ("Y", "SYNONYM_TO", t, "candidate"),
+        ("P", "TYPE_REF", "T.ID", "unresolved"),
+        ("P", "READ", t, "resolved_static"),
+        ("P", "WRITE", t, "resolved_static"),
+        ("P", "WRITE", "APP.SET", "unresolved"),
+        ("V", "READ", t, "resolved_static"),
+        ("V", "READ", "APP.Mixed", "unresolved"),
+    }
+
+
+def test_calls(spark):
+    spec = ("PACKAGE_SPEC", "P", "CREATE PACKAGE P AS PROCEDURE RUN(P_ID NUMBER, P_LABEL VARCHAR2 DEFAULT 'x'); PROCEDURE TWICE(A NUMBER); PROCEDURE TWICE(B DATE); PROCEDURE bare; END P;")
+    body = ("PACKAGE_BODY", "P", "CREATE PACKAGE BODY P AS PROCEDURE bare IS BEGIN helper; other.go; END; END P;")
+    alone = ("PROCEDURE", "JOB", "CREATE PROCEDURE job IS BEGIN NULL; END;")
+    caller = ("PROCEDURE", "CALLER", "CREATE PROCEDURE CALLER IS BEGIN APP.P.RUN(P_ID => 1); P.RUN(1, 2, 3); p.twice(1); p.bare; app.job; job; DBMS_OUTPUT.PUT_LINE('ignored'); p.run(f(1, 2), 'x'); END;")
+    got = {(r.from_object.split("|")[3], r.to_label, r.resolution, r.reason.replace("call candidate; binding=", "")) for r in graph.edges(objects_of(spark, spec, body, alone, caller)).where("relation = 'CALL'").collect()}
+    both = "SCHEMA|APP|PACKAGE_BODY|P,SCHEMA|APP|PACKAGE_SPEC|P"
+    one = "SCHEMA|APP|PROCEDURE|JOB"
+    fits = "arity_name_compatible_type_unresolved"
+    assert {
+        ("CALLER", both, "candidate", f"qualified package/routine {fits}"),
+        ("CALLER", both, "candidate", "qualified package/routine incompatible_arity_or_names"),
+        ("CALLER", both, "candidate", "qualified package/routine overload_candidate"),
+        ("CALLER", both, "candidate", "qualified package/routine arguments_unparsed"),
+        ("CALLER", one, "resolved_static", f"standalone routine {fits}"),
+        ("CALLER", one, "resolved_static", f"local routine {fits}"),
+        ("CALLER", "APP.DBMS_OUTPUT", "unresolved", "qualified package/routine definition_unresolved"),
+        ("P", both, "candidate", "local routine definition_unresolved"),
+        ("P", "APP.OTHER", "unresolved", "qualified package/routine definition_unresolved"),
+    } <= got
+    pairs = graph.edges(objects_of(spark, spec, body)).where("relation = 'SPEC_BODY'").collect()
+    assert len(pairs) == 2 and {r.resolution for r in pairs} == {"resolved_static"}
+
+
+def test_planes(spark):
+    t = ("TABLE", "T", "CREATE TABLE t (id NUMBER)")
+    old = graph.edges(objects_of(spark, t, ("VIEW", "GONE", "CREATE VIEW gone AS SELECT * FROM t"), ("VIEW", "STAYS", "CREATE VIEW stays AS SELECT * FROM t")))
+    new = graph.edges(objects_of(spark, t, ("VIEW", "STAYS", "CREATE VIEW stays AS SELECT * FROM t"), ("VIEW", "W", "CREATE VIEW w AS SELECT * FROM stays")))
+    changed = spark.createDataFrame([("SCHEMA|APP|TABLE|T",)], "object_key string")
+    planes = graph.context_planes(old, new, changed)
+    assert {(r.side, r.from_object.split("|")[3]) for r in planes.collect()} == {("old_reverse", "GONE"), ("old_reverse", "STAYS"), ("new_reverse", "STAYS")}
+    assert {r.from_object.split("|")[3] for r in graph.neighbours(new, changed, 2, True).collect()} == {"STAYS", "W"}
+    chosen = graph.selected_context(planes, 1)
+    assert {(r.side, r.omitted) for r in chosen.collect()} == {("old_reverse", 1), ("new_reverse", 0)}
+    evidence = spark.createDataFrame([("SCHEMA|APP|VIEW|STAYS", "e1"), ("SCHEMA|APP|VIEW|GONE", "e2")], "related string, evidence_id string")
+    assert {r.evidence_id for r in graph.context_evidence(planes, evidence, evidence).collect()} == {"e1", "e2"}
+
+
 def test_cache_and_journal(spark, scratch):
     inputs = spark.createDataFrame([("a",), ("b",), ("a",)], "oid string")
     seen = []

@@ -105,9 +105,14 @@ def test_index(spark):
 def test_view(spark):
     ddl = "CREATE OR REPLACE FORCE VIEW v (x, y) AS WITH c AS (SELECT 1 z FROM dual) SELECT DISTINCT a, COUNT(*) OVER (PARTITION BY b) FROM t JOIN u ON t.i = u.i WHERE n = 'OVER (X)' GROUP BY a HAVING 1 = 1 UNION ALL SELECT * FROM w ORDER BY 1 WITH READ ONLY"
     got = {r.property: r.value for r in objects.views(definition(spark, ddl)).collect()}
-    assert (got["declared_columns"], got["distinct"], got["where"], got["group_by"]) == ("x | y", "DISTINCT", "n = 'OVER (X)'", "a")
-    assert (got["source_references"], got["set_operators"], got["ordering"], got["read_only"]) == ("t JOIN u ON t.i = u.i | w", "UNION ALL", "1", "WITH READ ONLY")
-    assert got["analytic"] == "OVER" and got["force"] == "FORCE" and got["projection"].endswith("| *")
+    assert (got["output_order"], got["distinct"], got["where"], got["group_by"]) == ('["x","y"]', "DISTINCT", "WHERE n = 'OVER (X)'", "GROUP BY a")
+    assert (got["source_references"], got["set_operators"], got["ordering"], got["read_only"]) == ("FROM t JOIN u ON t.i = u.i | FROM w", "UNION ALL SELECT *", "ORDER BY 1", "WITH READ ONLY")
+    assert (got["analytic"], got["force"], got["projection"]) == ("OVER (PARTITION BY b)", "FORCE", '["a","COUNT(*) OVER (PARTITION BY b)"]')
+    assert (got["join"], got["having"], got["with_clause"]) == ("JOIN u ON t.i = u.i", "HAVING 1 = 1", "WITH c AS (SELECT 1 z FROM dual)") and "editioning" not in got
+    joined = objects.views(definition(spark, "CREATE EDITIONING VIEW v AS SELECT a FROM t NATURAL LEFT OUTER JOIN u JOIN w ON (w.x = 1) WHERE b = 1 FETCH FIRST 3 ROWS ONLY WITH CHECK OPTION"))
+    got = {(r.property, r.component): r.value for r in joined.collect()}
+    assert got["join", ""] == "NATURAL LEFT OUTER JOIN u | JOIN w ON (w.x = 1)" and got["editioning", ""] == "EDITIONING"
+    assert (got["row_limit", ""], got["check_option", ""]) == ("FETCH FIRST 3 ROWS ONLY", "WITH CHECK OPTION")
 
 
 def test_routines(spark):
@@ -116,8 +121,58 @@ def test_routines(spark):
     got = objects.routines(d).orderBy("n").collect()
     assert [(r.kind, r.name) for r in got] == [("PROCEDURE", "A"), ("FUNCTION", "A")]
     x, y = got[0].parameters
-    assert (x.mode, x.data_type, x.nocopy, y.default) == ("IN OUT", "NUMBER", True, "f(1, 2)")
-    assert objects.routine_diagnostics(d, objects.routines(d)).first().diagnostics == ["OVERLOAD_PAIRING_REQUIRES_REVIEW"]
+    assert (x.mode, x.data_type, x.nocopy, y.default) == ("IN OUT", "NUMBER", True, "DEFAULT f(1, 2)")
+    assert objects.routine_diagnostics(d, objects.routines(d)).first().diagnostics == []
+    more = definition(spark, "CREATE PACKAGE BODY p AS PROCEDURE a IS x NUMBER := CASE WHEN 1 = 1 THEN 1 END; PROCEDURE inner IS BEGIN COMMIT; END; BEGIN IF x > 1 THEN inner; END IF; b.c(1); END a; PROCEDURE a(y DATE) IS BEGIN NULL; END; BEGIN go; END;")
+    got = objects.routines(more).orderBy("n").collect()
+    assert [(r.name, r.nested) for r in got] == [("A", 1), ("A", 0)] and got[0].source.endswith("END a;") and got[1].source == "PROCEDURE a(y DATE) IS BEGIN NULL; END;"
+    assert objects.routine_diagnostics(more, objects.routines(more)).first().diagnostics == ["OVERLOAD_PAIRING_REQUIRES_REVIEW", "NESTED_ROUTINE_LIMITED"]
+    facts = [(r.family, r.statement) for r in objects.body_facts(more).orderBy("n", "family").collect()]
+    assert ("condition", "x > 1") in facts and ("call_reference", "b.c(1)") in facts and ("call_reference", "inner") in facts and not any("COMMIT" in s for _, s in facts)
+
+
+def test_package_fields(spark):
+    rows = [
+        ("s", "PACKAGE_SPEC", "CREATE OR REPLACE EDITIONABLE PACKAGE p AUTHID CURRENT_USER AS TYPE t IS RECORD (a NUMBER); c CONSTANT NUMBER := 1; v DATE; CURSOR q IS SELECT 1 FROM dual; e EXCEPTION; PRAGMA EXCEPTION_INIT(e, -1); PROCEDURE r(a IN NUMBER DEFAULT 2); FUNCTION r RETURN DATE; PROCEDURE o; PROCEDURE o(x DATE); END p;", None),
+        ("b", "PACKAGE_BODY", "CREATE PACKAGE BODY p AS n NUMBER; PROCEDURE r(a IN NUMBER DEFAULT 2) IS BEGIN UPDATE t SET x = a; COMMIT; EXECUTE IMMEDIATE 'DELETE FROM z' USING a; EXCEPTION WHEN OTHERS THEN RAISE; END; BEGIN n := 1; END;", None),
+        ("f", "FUNCTION", "CREATE FUNCTION f RETURN NUMBER IS BEGIN ROLLBACK; RETURN 1; END;", None),
+    ]
+    found = objects.fields(spark.createDataFrame(rows, "definition string, object_type string, fragment string, trigger_state string")).collect()
+    got = {(r.definition, r.family, r.component): r.value for r in found}
+    assert got["s", "package_spec.package_property.authid", ""] == "AUTHID CURRENT_USER" and got["s", "common.object.editionable", ""] == "EDITIONABLE"
+    declared = {f.split(".")[1]: v for (d, f, c), v in got.items() if d == "s" and f.endswith(".definition") and c == "1"}
+    assert declared == {"type_declaration": "TYPE t IS RECORD (a NUMBER);", "constant": "c CONSTANT NUMBER := 1;", "variable": "v DATE;", "cursor": "CURSOR q IS SELECT 1 FROM dual;", "exception_declaration": "e EXCEPTION;", "pragma": "PRAGMA EXCEPTION_INIT(e, -1);"}
+    assert got["s", "package_spec.routine.signature", "PROCEDURE/O"] == '["PROCEDURE o","PROCEDURE o(x DATE)"]' and got["s", "package_spec.routine.return_type", "FUNCTION/R"] == "DATE"
+    assert (got["s", "package_spec.parameter.default", "PROCEDURE/R/1"], got["s", "package_spec.parameter.mode", "PROCEDURE/R/1"]) == ("DEFAULT 2", "IN")
+    body = lambda p: got.get(("b", f"package_body.body_property.{p}", "PROCEDURE/R"))
+    assert (body("sql_statement"), body("transaction_statement"), body("exception_handler")) == ('["UPDATE t SET x = a"]', '["COMMIT"]', '["WHEN OTHERS THEN"]')
+    assert body("dynamic_sql_profile") == '["mode=literal,target=static,bind=yes,concat=no,validation=not_applicable,loop=no"]' and body("routine_body").endswith("END;")
+    assert got["b", "package_body.variable.definition", "1"] == "n NUMBER;" and got["b", "package_body.body_property.initialization", ""] == "n := 1;"
+    own = {f: v for (d, f, _), v in got.items() if d == "f"}
+    assert own == {"function.function_property.signature": '["FUNCTION f RETURN NUMBER"]', "function.function_property.transaction_statement": '["ROLLBACK"]', "function.function_property.has_exception": "false", "function.function_property.has_commit": "false", "function.function_property.has_rollback": "true"}
+
+
+def test_dynamic_profiles(spark):
+    said = {
+        "EXECUTE IMMEDIATE 'DELETE FROM t'": "mode=literal,target=static,bind=no,concat=no,validation=not_applicable,loop=no",
+        "EXECUTE IMMEDIATE 'BEGIN x; END;' USING y;": "mode=literal,target=unknown,bind=yes,concat=no,validation=not_applicable,loop=no",
+        "EXECUTE IMMEDIATE 'DROP TABLE ' || DBMS_ASSERT.simple_sql_name(n)": "mode=expression,target=runtime,bind=no,concat=yes,validation=visible,loop=no",
+        "EXECUTE IMMEDIATE v USING IN a, OUT b": "mode=expression,target=unknown,bind=yes,concat=no,validation=not_observed,loop=no",
+        "DELETE FROM t": "mode=unknown,target=unknown,bind=no,concat=no,validation=unknown,loop=no",
+    }
+    rows = spark.createDataFrame([(t,) for t in said], "t string").select("t", objects.dynamic_profile(F.col("t")).alias("p")).collect()
+    got = {r.t: r.p for r in rows}
+    assert {k: v for k, v in got.items() if "unknown,bind=no,concat=no,validation=" not in v or k != "DELETE FROM t"} == {k: v for k, v in said.items() if k != "DELETE FROM t"}
+    assert got["DELETE FROM t"].startswith("mode=unknown,target=unknown,bind=no,concat=no")
+
+
+def test_very_long_names_and_literals(spark):
+    """A megabyte in quotes, and a file of many definitions."""
+    name = "n" * 1_000_000
+    text = f"""CREATE TABLE s."{name}" (a VARCHAR2(9) DEFAULT '{"x''" * 300_000}');\n""" + "".join(f"CREATE SEQUENCE q{i} START WITH {i};\n" for i in range(2000))
+    rows = scan.occurrences(files(spark, f=text)).select("ordinal", "raw_name", "start_char", "end_char", "start_byte", "start_line").orderBy("ordinal").collect()
+    assert len(rows) == 2001 and rows[0].raw_name == name and rows[0].end_char == text.index("\n") + 1
+    assert [text[r.start_char : r.end_char] for r in rows[1:3]] == ["CREATE SEQUENCE q0 START WITH 0;\n", "CREATE SEQUENCE q1 START WITH 1;\n"] and rows[-1].start_line == 2001
     wrapped = definition(spark, "CREATE PACKAGE BODY p WRAPPED abc")
     assert objects.routine_diagnostics(wrapped, objects.routines(wrapped)).first().diagnostics == ["WRAPPED_SOURCE_OPAQUE"]
 
