@@ -76,5 +76,5 @@ def names() -> list[str]:
 
 
 def table(spark: SparkSession) -> DataFrame:
-    """(family, category, may_modify): body statements come and go, all else can be modified."""
-    return spark.createDataFrame([(f, category(f), ".body_property." not in f) for f in names()], "family string, category string, may_modify boolean")
+    """(family, category, may_modify): all can be modified; see ``ADD_OR_REMOVE`` for raw definitions."""
+    return spark.createDataFrame([(f, category(f), True) for f in names()], "family string, category string, may_modify boolean")
