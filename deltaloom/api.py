@@ -21,7 +21,7 @@ def inventory(spark: SparkSession, repo: str, revision: str, scope: list[str] |
 def plan(spark: SparkSession, repo: str, base: str, target: str, scope: list[str] | None = None, maximum: int = 250) -> tuple[str, DataFrame, DataFrame]:
     """Outcome (ANALYZE, NO_CHANGE, OUT_OF_SCOPE_ONLY, DIVERGED, BACKLOG_LIMIT), commits, and net file changes in scope."""
     git.register(spark)
-    commits = git.commits(spark, repo, target, 10**6)
+    commits = git.commits(spark, repo, target, None)
     parents = commits.selectExpr("sha", "posexplode_outer(parents) AS (position, parent)")
     one = lambda sha: spark.createDataFrame([(sha,)], "sha string")
     found, outcome = history.commit_range(parents, one(base), one(target), maximum)

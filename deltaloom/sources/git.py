@@ -8,8 +8,10 @@ and each partition runs one batch process.
 from __future__ import annotations
 
 import base64
+import os
 import subprocess
 from collections.abc import Iterator
+from datetime import datetime
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -23,36 +25,68 @@ BLOB = "oid string, size long, raw binary"
 BLOB_BYTES = 64 << 20
 
 
-def git(repo: str, *args: str) -> bytes:
-    return subprocess.run(["git", "-C", repo, *args], check=True, capture_output=True).stdout
+def records(repo: str, *args: str, end: bytes) -> Iterator[bytes]:
+    """What a git command prints, read as a stream and cut at a separator."""
+    process = subprocess.Popen(["git", "-C", repo, *args], stdout=subprocess.PIPE)
+    rest = b""
+    try:
+        while chunk := process.stdout.read(1 << 20):
+            *whole, rest = (rest + chunk).split(end)
+            yield from whole
+        if rest.strip():
+            yield rest
+    finally:
+        process.stdout.close()
+        code = process.wait()
+    if code:
+        raise subprocess.CalledProcessError(code, ["git", *args])
 
 
-class _Reader(DataSourceReader):
-    def __init__(self, options: dict):
-        self.repo, self.revision, self.most = options["repo"], options.get("revision", "HEAD"), int(options.get("maximum", 10**9))
+class Subtree(InputPartition):
+    """A folder at the top of a tree, or (None) the files there."""
 
-    def partitions(self) -> list[InputPartition]:
-        return [InputPartition(0)]
+    def __init__(self, path: bytes | None):
+        self.path = path
 
 
-class TreeReader(_Reader):
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        """One row an entry of the whole tree; paths are bytes."""
-        for entry in git(self.repo, "ls-tree", "-r", "-z", "--full-tree", self.revision).split(b"\0"):
-            if entry:
-                head, path = entry.split(b"\t", 1)
-                mode, kind, oid = head.decode().split()
-                yield self.revision, mode, kind, oid, path, base64.b64encode(path).decode(), path.decode("utf-8", "backslashreplace")
+class TreeReader(DataSourceReader):
+    """One partition a folder at the top of the tree, and one for the files beside them."""
+
+    def __init__(self, options: dict):
+        self.repo, self.revision = options["repo"], options.get("revision", "HEAD")
 
+    def partitions(self) -> list[InputPartition]:
+        top = [x.split(b"\t", 1) for x in records(self.repo, "ls-tree", "-z", "--full-tree", self.revision, end=b"\0") if x]
+        return [Subtree(None), *[Subtree(path) for head, path in top if head.split()[1] == b"tree"]]
+
+    def read(self, partition: Subtree) -> Iterator[tuple]:
+        """One row an entry; paths are bytes."""
+        inside = [] if partition.path is None else ["-r", f"{self.revision}:{os.fsdecode(partition.path)}"]
+        for entry in records(self.repo, "ls-tree", "-z", "--full-tree", *(inside or [self.revision]), end=b"\0"):
+            if not entry:
+                continue
+            head, path = entry.split(b"\t", 1)
+            mode, kind, oid = head.decode().split()
+            if partition.path is None and kind == "tree":
+                continue
+            if partition.path is not None:
+                path = partition.path + b"/" + path
+            yield self.revision, mode, kind, oid, path, base64.b64encode(path).decode(), path.decode("utf-8", "backslashreplace")
+
+
+class CommitReader(DataSourceReader):
+    def __init__(self, options: dict):
+        self.repo, self.revision, self.most = options["repo"], options.get("revision", "HEAD"), options.get("maximum")
 
-class CommitReader(_Reader):
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        """Commits reachable from the revision, oldest first, one more than ``maximum`` at most."""
-        from datetime import datetime
+    def partitions(self) -> list[InputPartition]:
+        return [InputPartition(0)]
 
-        shown = git(self.repo, "log", "--topo-order", f"--max-count={self.most + 1}", "--format=%H%x1f%P%x1f%aI%x1f%cI%x1f%s%x1e", self.revision).decode("utf-8", "replace")
-        rows = [r.strip("\n").split("\x1f") for r in shown.split("\x1e") if r.strip()]
-        for position, (sha, parents, author, committer, subject) in enumerate(reversed(rows)):
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        """Commits reachable from the revision, oldest first; with a ``maximum``, the newest, one more than that at most."""
+        bound = [f"--max-count={int(self.most) + 1}"] if self.most else []
+        shown = records(self.repo, "log", "--topo-order", "--reverse", *bound, "--format=%H%x1f%P%x1f%aI%x1f%cI%x1f%s%x1e", self.revision, end=b"\x1e")
+        rows = (r.decode("utf-8", "replace").strip("\n").split("\x1f") for r in shown if r.strip())
+        for position, (sha, parents, author, committer, subject) in enumerate(rows):
             yield sha, parents.split(), datetime.fromisoformat(author), datetime.fromisoformat(committer), position, subject[:500]
 
 
@@ -89,8 +123,10 @@ def tree(spark: SparkSession, repo: str, revision: str) -> DataFrame:
     return spark.read.format("git_tree").option("repo", repo).option("revision", revision).load()
 
 
-def commits(spark: SparkSession, repo: str, revision: str, maximum: int = 250) -> DataFrame:
-    return spark.read.format("git_commits").option("repo", repo).option("revision", revision).option("maximum", str(maximum)).load()
+def commits(spark: SparkSession, repo: str, revision: str, maximum: int | None = 250) -> DataFrame:
+    """Commits of a history, all of them if ``maximum`` is None."""
+    reader = spark.read.format("git_commits").option("repo", repo).option("revision", revision)
+    return (reader if maximum is None else reader.option("maximum", str(maximum))).load()
 
 
 def _blobs(batches: Iterator[pa.RecordBatch], repo: str, most: int) -> Iterator[pa.RecordBatch]:

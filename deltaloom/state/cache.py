@@ -12,10 +12,12 @@ from deltaloom.operators import ranking
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """The rows written to the folder in spark.checkpoint.dir (a new one only where unset) and read again."""
+    """The rows written to the folder in spark.checkpoint.dir and read again; where it is unset, to a new one, on a single machine only."""
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", folder)
     path = f"{folder.rstrip('/')}/step-{uuid.uuid4().hex}"
