@@ -72,12 +72,12 @@ def sized(df: DataFrame, n: int | None = None) -> DataFrame:
     return F.broadcast(df) if (df.count() if n is None else n) <= SMALL else df
 
 
-def looked_up(rows: DataFrame, table: DataFrame, keys: list[str], n_column: str, n_rows: int) -> DataFrame:
+def looked_up(rows: DataFrame, table: DataFrame, keys: list[str], n_column: str, n_rows: int, least: int = 1000) -> DataFrame:
     """``rows`` left-joined with ``table``, which has one row a key and in ``n_column`` how many rows have the key.
 
     Hot keys, of which there are at most ``HOT_KEYS``, are broadcast; only rows of other keys are shuffled.
     """
-    hot = F.col(n_column) > max(1000, n_rows // HOT_KEYS)
+    hot = F.col(n_column) > max(least, n_rows // HOT_KEYS)
     many, few = table.where(hot).drop(n_column), table.where(~hot).drop(n_column)
     if many.isEmpty():
         return rows.join(few, keys, "left")
