@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from deltaloom.llm import manifest, mixing, rules
+from deltaloom.llm import collocations, manifest, mixing, rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -98,6 +98,10 @@ def op11_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return judged(ledger(_table(spark, folder, "documents")))
 
 
+def op12_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(_table(spark, folder, "documents"))
+
+
 def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     from deltaloom.llm.manifest import tampered_text, verified
 
@@ -108,7 +112,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_token_counts, op2_url_filter, op3_decontamination, op4_syncmer_fingerprints, op5_quality_classifier, op6_mixing, op7_language_id, op8_ngram_jaccard_join,
-        op9_token_files, op10_warc, op11_quality_rules, op13_merkle_manifest,
+        op9_token_files, op10_warc, op11_quality_rules, op12_collocations, op13_merkle_manifest,
     )
 }
-ORACLE_SQL: dict[str, str] = {"op6_mixing": mixing.oracle_sql(), "op11_quality_rules": rules.oracle_sql(), "op13_merkle_manifest": manifest.oracle_sql()}
+ORACLE_SQL: dict[str, str] = {"op6_mixing": mixing.oracle_sql(), "op11_quality_rules": rules.oracle_sql(), "op12_collocations": collocations.oracle_sql(), "op13_merkle_manifest": manifest.oracle_sql()}
