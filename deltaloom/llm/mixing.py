@@ -10,6 +10,8 @@ than ``SMALL`` cells.
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -183,8 +185,15 @@ def mixed(
     topic: Column | None = None,
     id_column: str = "doc_id",
     text_column: str = "text",
+    strict: bool = False,
 ) -> DataFrame:
-    """Each document with its columns and cell_source, cell_lang, cell_topic, n_tokens, weight, p and kept.
+    """Each document with its columns and cell_source, cell_lang, cell_topic, n_tokens, weight, p, kept and residual.
+
+    residual, the same in every row, is how far off a marginal was when raking ended, as a share of all
+    tokens.  Targets can be out of reach: a value that occurs only together with another can't have a
+    larger share than that one.  Then raking ends after ``rounds`` rounds with the last dimension's
+    (topic's) marginals met and others not, the residual is over ``TOLERANCE`` and a warning is given;
+    with ``strict`` it is an error.
 
     Defined results: null sources and languages are the value ``(none)``; null and empty texts have
     no tokens; a cell without tokens has weight 1; repeated rows are each weighed, and kept or not
@@ -192,11 +201,17 @@ def mixed(
     with the names of added ones are replaced.
     """
     rows = with_cells(documents, topic, text_column)
-    cells, total, _ = raked(rows, targets or TARGETS, rounds)
+    cells, total, off = raked(rows, targets or TARGETS, rounds)
+    if off > TOLERANCE and total:
+        said = f"the targets are not met: after {rounds} rounds a marginal is off by {off:.3g} of all tokens"
+        if strict:
+            raise ValueError(said)
+        warnings.warn(said, stacklevel=2)
     cells = written(probabilities(cells, total, keep).drop("t", "w"), "cells")
     columns = [f"cell_{d}" for d in DIMENSIONS]
-    rows = rows.drop("weight", "p", "kept")
-    return rows.join(_sized(cells, cells.count()), columns).withColumn("kept", uniform(F.col(id_column), seed) < F.col("p"))
+    rows = rows.drop("weight", "p", "kept", "residual")
+    rows = rows.join(_sized(cells, cells.count()), columns)
+    return rows.withColumns({"kept": uniform(F.col(id_column), seed) < F.col("p"), "residual": F.lit(off if total else 0.0)})
 
 
 def sampled(documents: DataFrame, **options) -> DataFrame:

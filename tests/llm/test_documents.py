@@ -138,8 +138,14 @@ def test_language(spark, documents, prose, odd_rows):
     assert language.languages_of(documents([])).count() == 0
 
 
+def mixing_rows(prose, odd_rows):
+    """Rows whose languages occur in all large sources, so that shares of both can be set."""
+    rows = [(i, prose(30, i), "en" if i % 4 else "de", f"s{min(i % 7, 2)}") for i in range(300)]
+    return rows + [(1000 + k, t, la, s) for k, (_, t, la, s) in enumerate(odd_rows) if s != "c"]
+
+
 def test_mixing(spark, documents, prose, odd_rows):
-    rows = [(i, prose(30, i), "en" if i % 4 else "de", f"s{min(i % 7, 2)}") for i in range(300)] + [(1000 + k, t, la, s) for k, (_, t, la, s) in enumerate(odd_rows)]
+    rows = mixing_rows(prose, odd_rows)
     docs = documents(rows)
     targets = {"source": {"s0": 0.4, "s1": 0.3}, "lang": 0.5, "topic": 1.0}
     cells, total, off = mixing.raked(mixing.with_cells(docs, None, "text"), targets)
@@ -147,13 +153,48 @@ def test_mixing(spark, documents, prose, odd_rows):
     by = cells.groupBy("cell_source").agg({"w": "sum"}).collect()
     share = {r[0]: r[1] / total for r in by}
     assert abs(share["s0"] - 0.4) < 1e-6 and abs(share["s1"] - 0.3) < 1e-6
-    got = mixing.mixed(docs, targets, keep=0.5).collect()
+    got = mixing.mixed(docs, targets, keep=0.5, strict=True).collect()
     expected = sum(r.p * r.n_tokens for r in got)
     assert len(got) == len(rows) and abs(expected / total - 0.5) < 0.02
     kept = sum(r.n_tokens for r in got if r.kept)
-    assert 0.3 < kept / total < 0.7
+    assert 0.3 < kept / total < 0.7 and {r.residual for r in got} == {off}
     assert mixing.sampled(docs).columns == docs.columns
-    assert mixing.mixed(documents([])).count() == 0
+    empty = mixing.mixed(documents([]), strict=True)
+    assert empty.count() == 0 and set(empty.columns) == set(got[0].asDict())
+
+
+def test_mixing_out_of_reach(spark, documents, prose, odd_rows):
+    """Languages that only one small source has can't have a larger share than that source."""
+    rows = mixing_rows(prose, odd_rows) + [(2000 + k, t, la, s) for k, (_, t, la, s) in enumerate(odd_rows) if s == "c"]
+    targets = {"source": {"s0": 0.4, "s1": 0.3}, "lang": 0.5, "topic": 1.0}
+    with pytest.warns(UserWarning, match="targets are not met"):
+        got = mixing.mixed(documents(rows), targets, keep=0.5).collect()
+    residual = got[0].residual
+    assert mixing.TOLERANCE < residual < 1 and len(got) == len(rows) and all(0 <= r.p <= 1 and r.weight >= 0 for r in got)
+    total = sum(r.n_tokens for r in got)
+    by, seen = {}, {}
+    for r in got:  # the dimension that is scaled last is met
+        by[r.cell_topic] = by.get(r.cell_topic, 0) + r.weight * r.n_tokens
+        seen[r.cell_topic] = seen.get(r.cell_topic, 0) + r.n_tokens
+    assert all(abs(by[t] - seen[t]) < 1e-6 * total for t in by)
+    with pytest.raises(ValueError, match="targets are not met"):
+        mixing.mixed(documents(rows), targets, strict=True)
+
+
+@pytest.mark.parametrize("arrays", [mixing.ARRAYS, 0])
+def test_mixing_as_arrays_and_as_a_table_is_its_sql(spark, documents, prose, odd_rows, monkeypatch, arrays):
+    import duckdb
+
+    monkeypatch.setattr(mixing, "ARRAYS", arrays)
+    docs = documents(mixing_rows(prose, odd_rows))
+    got = {r.doc_id: r for r in mixing.mixed(docs, strict=True).collect()}
+    con = duckdb.connect()
+    con.register("documents", docs.select("doc_id", "text", "lang", "source").toPandas())
+    want = con.sql(mixing.oracle_sql()).fetchall()
+    assert len(want) == docs.count()
+    for doc_id, source, lang, topic, n, weight, p, kept in want:
+        r = got[doc_id]
+        assert (r.cell_source, r.cell_lang, r.cell_topic, r.n_tokens, round(r.weight, 6), round(r.p, 6), r.kept) == (source, lang, topic, n, weight, p, kept)
 
 
 def test_decontamination(spark, documents, prose, odd_rows):
