@@ -235,9 +235,9 @@ def phrase_counts(rows: DataFrame, words: DataFrame, most: int = MOST, least: in
         F.when((F.col("at") >= x) & (right >= y), F.array_join(F.slice("words", F.col("at") - x + 1, F.lit(x + y + 1)), " "))
         for x in range(most) for y in range(most - x) if x + y
     ]
-    phrases = F.when(F.col("at") < 0, F.array("fragment")).otherwise(F.array_compact(F.array(*owned)))
+    phrases = F.array(F.when(F.col("at") < 0, F.col("fragment")), *owned)
     # a phrase has one route, so its partition has all of it
-    mined = found.select("route", "lang", F.explode(phrases).alias("phrase"), "n").groupBy("route", "lang", "phrase").agg(F.sum("n").alias("a"))
+    mined = found.select("route", "lang", F.explode(phrases).alias("phrase"), "n").where("phrase IS NOT NULL").groupBy("route", "lang", "phrase").agg(F.sum("n").alias("a"))
     return mined.where(F.col("a") >= least).select("lang", "phrase", "a")
 
 
