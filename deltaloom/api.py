@@ -33,10 +33,12 @@ def plan(spark: SparkSession, repo: str, base: str, target: str, scope: list[str
 
 
 def run(spark: SparkSession, repo: str, base: str, target: str, scope: list[str] | None = None, default_schema: str | None = None) -> Analysis:
-    """Analyse two revisions; only changed paths are read."""
+    """Analyse two revisions.
+
+    All files in scope are read: a table in a file that didn't change may be altered in one that did.
+    """
     git.register(spark)
-    net = diff.file_diff(*(git.tree(spark, repo, r).select("path_b64", "mode", "oid") for r in (base, target)), ["path_b64"], ["mode", "oid"])
-    old, new = (git.snapshot(spark, repo, r, scope, net) for r in (base, target))
+    old, new = (git.snapshot(spark, repo, r, scope) for r in (base, target))
     return analyse(old, new, default_schema)
 
 

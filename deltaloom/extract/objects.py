@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from deltaloom.extract import tables
+from deltaloom.extract import replay, tables
 from deltaloom.extract.tokens import clauses, code_tokens, first_at, span, text_of, unpivoted
 from deltaloom.functions import identity, sqltext
 
@@ -411,9 +411,15 @@ def _by_routine(found: DataFrame, prefix: str) -> DataFrame:
 
 
 def fields(definitions: DataFrame) -> DataFrame:
-    """All typed properties as rows (definition, object_type, family, component, value).
+    """All typed properties as rows (definition, object_type, family, component, value)."""
+    return fields_and_diagnostics(definitions)[0]
 
-    Definitions (definition, object_type, fragment, trigger_state) are cut to tokens once, which are
+
+def fields_and_diagnostics(definitions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All typed properties as rows (definition, object_type, family, component, value), and what extraction doubts.
+
+    Diagnostics are rows (definition, code, component): component is null where the whole definition is in
+    doubt, else the column that is.  Definitions (definition, object_type, fragment, trigger_state) are cut to tokens once, which are
     written and shared by all extractors; each type has a branch of its own, and types that do not
     occur (at most eighteen do) have none.
     """
@@ -428,7 +434,8 @@ def fields(definitions: DataFrame) -> DataFrame:
     column_families = {c: c for c in ("data_type", "length", "length_semantics", "precision", "scale", "nullable", "default", "default_on_null", "identity", "virtual_expression", "visibility", "position", "collation")} | {"definition_text": "definition"}
     constraint_families = {c: c for c in ("kind", "columns", "reference", "condition", "delete_rule", "enabled", "validation", "deferrable", "initially", "rely", "index_association")} | {"definition_text": "definition"}
     none = F.lit("").alias("component")
-    parts = []
+    parts, doubts = [], []
+    nested = lambda found: found.where("nested > 0").select("definition", F.lit("NESTED_ROUTINE_LIMITED").alias("code"), F.lit(None).cast("string").alias("component")).distinct()
 
     def add(df: DataFrame, kind: str, prefix: str) -> None:
         parts.append(df.select("definition", F.lit(kind).alias("object_type"), F.concat(F.lit(prefix), "property").alias("family"), "component", "value"))
@@ -436,11 +443,13 @@ def fields(definitions: DataFrame) -> DataFrame:
     if "TABLE" in kinds:
         d, t = of("TABLE"), tokens_of("TABLE")
         placed = checkpointed(tables.placed(d, t))
-        add(unpivoted(tables.columns(d, placed), key, column_families), "TABLE", "table.column.")
-        add(unpivoted(tables.constraints(d, placed), key, constraint_families), "TABLE", "table.constraint.")
-        add(tables.properties(d, placed).withColumn("component", F.lit("")), "TABLE", "table.table_property.")
+        replayed = replay.replayed(d, t, placed)
+        doubts.append(replayed.diagnostics.select("definition", "code", "component"))
+        add(unpivoted(replayed.columns, key, column_families), "TABLE", "table.column.")
+        add(unpivoted(replayed.constraints, key, constraint_families), "TABLE", "table.constraint.")
+        add(replayed.properties.withColumn("component", F.lit("")), "TABLE", "table.table_property.")
         add(tables.partitions(d, placed).select("definition", "component", F.lit("definition").alias("property"), F.col("definition_text").alias("value")), "TABLE", "table.partition.")
-        add(tables.comments(d, t).select("definition", "component", F.lit("text").alias("property"), "value"), "TABLE", "table.comment.")
+        add(replayed.comments.select("definition", "component", F.lit("text").alias("property"), "value"), "TABLE", "table.comment.")
     if "SEQUENCE" in kinds:
         add(unpivoted(sequence_options(of("SEQUENCE")).withColumn("component", F.lit("")), key, {c: c for c in SEQUENCE_OPTIONS}), "SEQUENCE", "sequence.sequence_property.")
     if "INDEX" in kinds:
@@ -457,6 +466,7 @@ def fields(definitions: DataFrame) -> DataFrame:
     for kind in sorted({"PACKAGE_SPEC", "PACKAGE_BODY"} & kinds):
         prefix, d, t = kind.lower(), of(kind), tokens_of(kind)
         found = checkpointed(routines(d, t))
+        doubts.append(nested(found))
         parts.append(_by_routine(found, prefix).select("definition", F.lit(kind).alias("object_type"), "family", "component", "value"))
         declared = package_properties(d, t)
         family = F.when(F.col("property") == "authid", f"{prefix}.package_property.authid").when(F.col("property") == "initialization", f"{prefix}.body_property.initialization").otherwise(F.concat(F.lit(f"{prefix}."), "property", F.lit(".definition")))
@@ -471,7 +481,9 @@ def fields(definitions: DataFrame) -> DataFrame:
     for kind in sorted({"PROCEDURE", "FUNCTION"} & kinds):
         d, t = of(kind), tokens_of(kind)
         prefix = f"{kind.lower()}.{kind.lower()}_property."
-        add(routines(d, t).groupBy("definition").agg(F.to_json(F.array(F.min_by("signature", "n"))).alias("value")).select("definition", none, F.lit("signature").alias("property"), "value"), kind, prefix)
+        found = checkpointed(routines(d, t))
+        doubts.append(nested(found))
+        add(found.groupBy("definition").agg(F.to_json(F.array(F.min_by("signature", "n"))).alias("value")).select("definition", none, F.lit("signature").alias("property"), "value"), kind, prefix)
         facts = body_facts(d, t).where("family IN ('transaction_statement', 'exception_handler')")
         starts = lambda word: F.max((F.col("family") == "transaction_statement") & F.upper("statement").startswith(word))
         per = facts.groupBy("definition").agg(
@@ -492,9 +504,11 @@ def fields(definitions: DataFrame) -> DataFrame:
             before = tokens_of(kind).withColumn("at", first_at(F.col("up") == word, Window.partitionBy("definition"))).where("i < at").groupBy("definition").agg(F.collect_set("up").alias("w"))
             editionable = F.when(F.array_contains("w", "NONEDITIONABLE"), "NONEDITIONABLE").when(F.array_contains("w", "EDITIONABLE"), "EDITIONABLE")
             add(before.select("definition", none, F.lit("editionable").alias("property"), editionable.alias("value")), kind, "common.object.")
-    if not parts:
-        return definitions.select("definition", "object_type", F.lit("").alias("family"), none, F.lit("").alias("value")).where("false")
-    out = parts[0]
+    text = F.lit("")
+    out = definitions.select("definition", "object_type", text.alias("family"), none, text.alias("value")).where("false") if not parts else parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.where("value IS NOT NULL")
+    said = definitions.select("definition", text.alias("code"), none).where("false") if not doubts else doubts[0]
+    for p in doubts[1:]:
+        said = said.unionByName(p)
+    return out.where("value IS NOT NULL"), said

@@ -37,10 +37,10 @@ def items(definitions: DataFrame, marked: DataFrame | None = None) -> DataFrame:
     return numbered.withColumn("k", F.row_number().over(item)).withColumn("first_word", F.first("up").over(item))
 
 
-def columns(definitions: DataFrame, marked: DataFrame | None = None) -> DataFrame:
+def columns(definitions: DataFrame, marked: DataFrame | None = None, first_only: bool = True) -> DataFrame:
     """One row a column: definition, component (Q: or U: name), position and its fourteen properties.
 
-    ``definitions`` has definition (an id) and fragment (text).  Of several columns of one name the first counts.
+    ``definitions`` has definition (an id) and fragment (text).  Of several columns of one name the first counts, unless all are asked for.
     """
     whole = Window.partitionBy("definition", "position")
     top = F.col("depth") == 1
@@ -97,6 +97,8 @@ def columns(definitions: DataFrame, marked: DataFrame | None = None) -> DataFram
         "visibility",
         "collation",
     )
+    if not first_only:
+        return wide
     first = Window.partitionBy("definition", "component").orderBy(F.col("position").cast("int"))
     return wide.withColumn("n", F.row_number().over(first)).where("n = 1").drop("n")
 
@@ -213,58 +215,3 @@ def statements(definitions: DataFrame, tokens: DataFrame | None = None) -> DataF
 def context_only(definitions: DataFrame) -> DataFrame:
     """Definitions (files) that consist of ALTER TABLE and COMMENT ON statements only, with their number."""
     return statements(definitions).groupBy("definition").agg(F.min(F.col("kind").isNotNull() & (F.size("target") > 0)).alias("all_known"), F.count("*").alias("statements")).where("all_known").drop("all_known")
-
-
-def comments(definitions: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
-    """Rows (definition, table_key list, component or TABLE, value) after all COMMENT ON statements: the last counts, '' deletes."""
-    said = statements(definitions, tokens).where("kind LIKE 'COMMENT ON %'")
-    column = F.col("kind") == "COMMENT ON COLUMN"
-    rows = said.select(
-        "definition",
-        F.when(column, F.slice("target", 1, F.size("target") - 1)).otherwise(F.col("target")).alias("table_parts"),
-        F.when(column, F.element_at("target", -1)).otherwise("TABLE").alias("component"),
-        "n",
-        "rest",
-    )
-    last = rows.groupBy("definition", "table_parts", "component").agg(F.max_by("rest", "n").alias("value"))
-    return last.where("value <> \"''\"")
-
-
-def statement_items(said: DataFrame) -> DataFrame:
-    """Statements with one row for each item of ``rest``: a list in parentheses is split at its outer commas."""
-    listed = F.col("rest").rlike(r"^\(.*\)$")
-    inner = F.when(listed, F.regexp_replace("rest", r"^\(\s*|\s*\)$", "")).otherwise(F.col("rest"))
-    words = F.filter(F.split(inner, " "), lambda w: w != "")
-    state = F.aggregate(
-        words,
-        F.struct(F.lit(0).alias("depth"), F.lit("").alias("now"), F.array().cast("array<string>").alias("done")),
-        lambda x, w: F.struct(
-            (x["depth"] + F.when(w == "(", 1).when(w == ")", -1).otherwise(0)).alias("depth"),
-            F.when((w == ",") & (x["depth"] == 0), "").otherwise(F.trim(F.concat_ws(" ", x["now"], w))).alias("now"),
-            F.when((w == ",") & (x["depth"] == 0), F.concat(x["done"], F.array(x["now"]))).otherwise(x["done"]).alias("done"),
-        ),
-    )
-    return said.select("definition", "n", "kind", "target", F.posexplode(F.concat(state["done"], F.array(state["now"]))).alias("k", "item"))
-
-
-def replayed_columns(created: DataFrame, said: DataFrame) -> DataFrame:
-    """Columns (definition, component, position, nullable, default) after ALTER TABLE statements.
-
-    ``created`` is as of ``columns``, ``said`` as of ``statements``.  Events are in statement order
-    with the CREATE first: a column is there if its last ADD or DROP adds it, and each property is
-    that of the last event that gives it.
-    """
-    items_ = statement_items(said.where(F.col("kind").isin("ALTER TABLE ADD", "ALTER TABLE DROP", "ALTER TABLE MODIFY")))
-    items_ = items_.where(~F.upper("item").rlike(r"^(?:CONSTRAINT|PRIMARY|UNIQUE|FOREIGN|CHECK)\b"))
-    item = F.regexp_replace("item", r"(?i)^COLUMN ", "")
-    name = identity.component_key(F.regexp_extract(item, r'^("(?:[^"]++|"")*+"|\S+)', 1))
-    rest = F.regexp_replace(item, r'^(?:"(?:[^"]++|"")*+"|\S+)\s*', "")
-    nullable = F.when(rest.rlike(r"(?i)\bNOT NULL$"), "NOT NULL").when(rest.rlike(r"(?i)(?:^|[^T] )NULL$") & ~rest.rlike(r"(?i)\bDEFAULT(?: ON)? NULL$"), "NULL")
-    default = F.nullif(F.regexp_extract(rest, r"(?i)\bDEFAULT (?:ON NULL )?(.*?)(?: NOT NULL| NULL)?$", 1), F.lit(""))
-    there = F.when(F.col("kind") == "ALTER TABLE ADD", True).when(F.col("kind") == "ALTER TABLE DROP", False)
-    null = F.lit(None).cast("string")
-    events = created.select("definition", "component", F.lit(-1).alias("n"), F.lit(True).alias("there"), F.col("position").cast("int").alias("position"), "nullable", "default").unionByName(
-        items_.select("definition", name.alias("component"), "n", there.alias("there"), F.lit(None).cast("int").alias("position"), F.when(F.col("kind") == "ALTER TABLE DROP", null).otherwise(nullable).alias("nullable"), F.when(F.col("kind") == "ALTER TABLE DROP", null).otherwise(default).alias("default"))
-    )
-    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("n"))).alias(c)
-    return events.groupBy("definition", "component").agg(last("there"), F.min("position").alias("position"), last("nullable"), last("default")).where("there").drop("there")

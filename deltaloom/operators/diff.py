@@ -124,7 +124,8 @@ def facts(
 
 def without_unresolved(fields: DataFrame, unresolved: DataFrame, key: str = "object_key", path: str = "component") -> DataFrame:
     """Fields less the column fields of unresolved columns (key, path): the one diagnostic that blocks columns alone."""
-    return fields.join(unresolved, (fields[key] == unresolved[key]) & (fields[path] == unresolved[path]) & fields["family"].startswith("table.column."), "left_anti")
+    doubt = unresolved.select(F.col(key).alias("key_"), F.col(path).alias("path_"))
+    return fields.join(doubt, (F.col(key) == F.col("key_")) & (F.col(path) == F.col("path_")) & F.col("family").startswith("table.column."), "left_anti")
 
 
 def overload_groups(signatures_: DataFrame, key: str = "object_key", name: str = "name") -> DataFrame:

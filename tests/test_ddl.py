@@ -7,7 +7,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from deltaloom.extract import objects, tables
+from deltaloom.extract import objects, replay, tables, tokens
 from deltaloom.functions import identity, sqltext
 from deltaloom.operators import scan
 
@@ -85,12 +85,12 @@ def test_table_properties_and_partitions(spark):
 def test_alter_and_comment_replay(spark):
     ddl = "CREATE TABLE t (a NUMBER, b NUMBER); ALTER TABLE t ADD c DATE; ALTER TABLE t DROP COLUMN b; COMMENT ON TABLE t IS 'x'; COMMENT ON COLUMN t.a IS 'y'; COMMENT ON COLUMN t.a IS '';"
     d = definition(spark, ddl)
-    left = tables.replayed_columns(tables.columns(d), tables.statements(d).where("kind IS NOT NULL"))
-    assert {r.component for r in left.collect()} == {"U:A", "U:C"}
-    assert [(r.component, r.value) for r in tables.comments(d).collect()] == [("TABLE", "'x'")]
-    more = definition(spark, "CREATE TABLE t (a NUMBER NOT NULL, b NUMBER, c DATE, d DATE); ALTER TABLE t MODIFY a NULL; ALTER TABLE t MODIFY (b DEFAULT f(1, 2) NOT NULL, c NOT NULL); ALTER TABLE t DROP (c, d); ALTER TABLE t ADD (e VARCHAR2(5) DEFAULT 'x', CONSTRAINT k CHECK (e > 1));")
-    got = {r.component: (r.nullable, r.default) for r in tables.replayed_columns(tables.columns(more), tables.statements(more).where("kind IS NOT NULL")).collect()}
-    assert got == {"U:A": ("NULL", None), "U:B": ("NOT NULL", "f ( 1 , 2 )"), "U:E": (None, "'x'")}
+    got = replay.replayed(d, tokens.code_tokens(d))
+    assert {r.component for r in got.columns.collect()} == {"U:A", "U:C"}
+    assert [(r.component, r.value) for r in got.comments.collect()] == [("TABLE", "'x'")]
+    more = definition(spark, "CREATE TABLE t (a NUMBER NOT NULL, b NUMBER, c DATE, d DATE); ALTER TABLE t MODIFY a NULL; ALTER TABLE t MODIFY (b DEFAULT f(1, 2), c NOT NULL); ALTER TABLE t DROP (c, d); ALTER TABLE t ADD (e VARCHAR2(5) DEFAULT 'x', CONSTRAINT k CHECK (e > 1));")
+    got = {r.component: (r.nullable, r.default) for r in replay.replayed(more, tokens.code_tokens(more)).columns.collect()}
+    assert got == {"U:A": ("NULL", None), "U:B": (None, "f(1, 2)"), "U:E": (None, "'x'")}
     alone = definition(spark, "ALTER TABLE t ADD c DATE; COMMENT ON TABLE t IS 'x';")
     assert tables.context_only(alone).count() == 1
     assert tables.context_only(definition(spark, "ALTER TABLE t ADD c DATE; GRANT x TO y;")).count() == 0
