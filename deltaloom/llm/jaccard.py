@@ -41,7 +41,7 @@ from deltaloom.llm import arrays
 from deltaloom.llm.graph import components
 from deltaloom.llm.storage import Scratch, looked_up, sized, small_batches, spread
 
-#: Longs of a set's whole parity sketch, for the Hamming test.
+#: Longs of a set's whole parity sketch, for the Hamming test: a power of two, so many at least, and a bit for each shingle.
 LONGS = 8
 #: How often a set with many empty chunks is cut.
 SEEDS = 3
@@ -120,13 +120,21 @@ def chunk_keys(values: np.ndarray, first: np.ndarray, wanted: np.ndarray, num: i
     return keys[order].view(np.int64), doc[order]
 
 
-def whole_sketches(values: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """The parity sketch of each document's whole set, 64 * LONGS bits."""
-    docs = len(first) - 1
-    out = np.zeros((docs, LONGS), U)
-    at = np.repeat(np.arange(docs), np.diff(first)) * LONGS + ((values >> U(6)) % U(LONGS)).astype(np.int64)
-    np.bitwise_xor.at(out.reshape(-1), at, U(1) << (values & U(63)))
-    return out
+def whole_sketches(values: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The parity sketches of the documents' whole sets, end to end, and where each begins.
+
+    A sketch has a power of two of longs, as many bits as the set has shingles and 64 * LONGS at least: a
+    sketch much smaller than its set is half full whatever the set, and tells nothing.  The half of it
+    folded on the other by XOR is the set's sketch of half the length.
+    """
+    n = np.diff(first)
+    longs = LONGS << np.ceil(np.log2(np.maximum(n, 1) / (64 * LONGS))).astype(np.int64).clip(0)
+    bounds = np.concatenate(([0], np.cumsum(longs)))
+    doc = np.repeat(np.arange(len(n)), n)
+    out = np.zeros(bounds[-1], U)
+    at = bounds[doc] + ((values >> U(6)) % longs[doc].astype(U)).astype(np.int64)
+    np.bitwise_xor.at(out, at, U(1) << (values & U(63)))
+    return out, bounds
 
 
 def _sets(data: np.ndarray, offs: np.ndarray, n_words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -168,7 +176,8 @@ def _profiles(batches: Iterator[pa.RecordBatch], n_words: int, num: int, den: in
             sampled = seen.new(names, ids.is_valid().to_numpy(zero_copy_only=False) & (names[0] % SAMPLE == 0))
             keys, doc = chunk_keys(values, first, sampled, num, den)
             bounds = arrays.counts_by_doc(doc, b - a)[1]
-            sketches = pa.FixedSizeListArray.from_arrays(pa.array(whole_sketches(values, first).reshape(-1).view(np.int64)), LONGS).cast(pa.list_(pa.int64()))
+            longs, begin = whole_sketches(values, first)
+            sketches = pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(longs.view(np.int64)))
             yield pa.RecordBatch.from_arrays(
                 [ids, pa.array(sizes.astype(np.int32)), _struct(*names, sizes == 0), sketches, pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(keys))],
                 names=["doc_id", "n", "set_id", "sketch", "keys"],
@@ -272,8 +281,17 @@ def _pairs(df: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def _near(num: int, den: int) -> Column:
-    """Whether sizes and whole sketches (size1, sketch1 and size2, sketch2) allow the similarity."""
-    apart = sum(F.bit_count(F.col("sketch1")[i].bitwiseXOR(F.col("sketch2")[i])) for i in range(LONGS))
+    """Whether sizes and whole sketches (size1, sketch1 and size2, sketch2) allow the similarity.
+
+    Sets of fitting sizes have sketches of equal length, or one of twice the other's, which is folded.
+    """
+    one, two = F.col("sketch1"), F.col("sketch2")
+    short = F.least(F.size(one), F.size(two))
+    xor = lambda x, y: x.bitwiseXOR(y)
+    cut = lambda s: F.when(F.size(s) == short, s).otherwise(F.zip_with(F.slice(s, F.lit(1), short), F.slice(s, short + 1, short), xor))
+    wide = F.aggregate(F.zip_with(cut(one), cut(two), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, b: a + b)
+    least = sum(F.bit_count(one[i].bitwiseXOR(two[i])) for i in range(LONGS))
+    apart = F.when((F.size(one) == LONGS) & (F.size(two) == LONGS), least).otherwise(wide)
     sizes = (F.col("size1") * den >= F.col("size2") * num) & (F.col("size2") * den >= F.col("size1") * num)
     return sizes & (apart * (den + num) <= (F.col("size1") + F.col("size2")) * (den - num))
 

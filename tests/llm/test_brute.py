@@ -44,6 +44,27 @@ def test_every_band_shares_a_chunk_at_the_threshold(num):
     assert seen > 1000
 
 
+def test_sketches_bound_differences(spark):
+    """The Hamming distance of two sets' sketches, folded to one length, is at most their symmetric difference, and near it."""
+    rng = np.random.default_rng(8)
+    rows, want = [], []
+    for n, other, common in [(1, 1, 1), (3, 4, 3), (500, 512, 500), (500, 600, 495), (512, 513, 512), (1000, 1030, 900), (1024, 1100, 300), (5000, 5900, 4990), (9000, 8000, 10), (70_000, 66_000, 65_000)]:
+        pool = np.unique(rng.integers(0, 1 << 63, 2 * (n + other), dtype=np.uint64))
+        rng.shuffle(pool)
+        a, b = pool[:n], np.concatenate((pool[:common], pool[n : n + other - common]))
+        longs, begin = jaccard.whole_sketches(np.concatenate((a, b)), np.array([0, n, n + other]))
+        assert all(64 * x >= m and x >= jaccard.LONGS for x, m in zip(np.diff(begin), (n, other)))
+        one, two = (longs[x:y].view(np.int64).tolist() for x, y in zip(begin[:-1], begin[1:]))
+        short = min(len(one), len(two))
+        folded = [[s[i] ^ (s[i + short] if len(s) > short else 0) for i in range(short)] for s in (one, two)]
+        apart, differ = sum((x ^ y).bit_count() if x ^ y >= 0 else ((x ^ y) & MASK).bit_count() for x, y in zip(*folded)), n + other - 2 * common
+        assert apart <= differ and (differ > n or apart >= differ * 0.6)
+        rows.append((n, one, other, two))
+        want.append(min(n, other) * 100 >= 80 * max(n, other) and apart * 180 <= (n + other) * 20)
+    got = spark.createDataFrame(rows, "size1 int, sketch1 array<long>, size2 int, sketch2 array<long>").select(jaccard._near(80, 100).alias("x")).collect()
+    assert [r.x for r in got] == want and True in want and False in want
+
+
 def test_sets_with_empty_chunks_meet(monkeypatch):
     """Where too many chunks are empty each time, the band's common key is left."""
     monkeypatch.setattr(jaccard, "bands", lambda num, den: (np.array([1, 100]), np.array([50, 50]), np.array([0, 0])))
