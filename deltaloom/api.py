@@ -8,6 +8,7 @@ from deltaloom.operators import diff, scan
 from deltaloom.plans import history
 from deltaloom.plans.analysis import Analysis, analyse, definitions, document
 from deltaloom.sources import git
+from deltaloom.state import publish
 from deltaloom.state.store import Store
 
 
@@ -42,8 +43,13 @@ def run(spark: SparkSession, repo: str, base: str, target: str, scope: list[str]
     return analyse(old, new, default_schema)
 
 
-def checkpointed_run(spark: SparkSession, store: Store, scope_hash: str, run_id: str, repo: str, target: str, **options) -> Analysis | None:
-    """Analyse from the stored checkpoint to a target and advance it; nothing where the target is the checkpoint."""
+def checkpointed_run(spark: SparkSession, store: Store, scope_hash: str, run_id: str, repo: str, target: str, root: str, **options) -> Analysis | None:
+    """Analyse from the stored checkpoint to a target, publish the result below ``root``, and advance the checkpoint.
+
+    Nothing where the target is the checkpoint.  Report, objects and facts are published as one version before the
+    checkpoint moves; after a crash in between, the next run moves it first.
+    """
+    publish.recovered(spark, store, scope_hash, root)
     base = store.base(scope_hash)
     if base is None:
         store.initialise(scope_hash, target)
@@ -53,11 +59,11 @@ def checkpointed_run(spark: SparkSession, store: Store, scope_hash: str, run_id:
     store.begin(run_id, scope_hash, target)
     try:
         result = run(spark, repo, base, target, **options)
-        result.report.count()
+        publish.published({"report": result.report, "objects": result.objects, "facts": result.facts}, root, run_id, run=run_id, target=target)
     except Exception:
         store.close(run_id, "blocked")
         raise
-    store.advance(run_id)
+    publish.finalised(spark, store, scope_hash, root, run_id)
     return result
 
 

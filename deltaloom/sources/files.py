@@ -50,15 +50,34 @@ def verified(manifest: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def replaced(df: DataFrame, path: str, format: str = "json") -> None:
-    """Write to a folder beside, then move it into place: readers see the old rows or the new ones."""
+    """Write to a folder beside, move the old rows away and the new ones into place, and delete the old.
+
+    Between the two renames readers find no folder; after a crash there, ``restored`` brings the old rows
+    back.  Where readers must always find a whole version, use ``state.publish``.
+    """
     spark = df.sparkSession
-    aside = f"{path.rstrip('/')}.new"
-    df.write.mode("overwrite").format(format).save(aside)
+    path = path.rstrip("/")
+    restored(spark, path)
+    df.write.mode("overwrite").format(format).save(f"{path}.new")
+    jvm = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    system = jvm(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if system.exists(jvm(path)) and not system.rename(jvm(path), jvm(f"{path}.old")):
+        raise OSError(f"{path} was not moved")
+    if not system.rename(jvm(f"{path}.new"), jvm(path)):
+        raise OSError(f"{path}.new was not moved to {path}")
+    system.delete(jvm(f"{path}.old"), True)
+
+
+def restored(spark: SparkSession, path: str) -> None:
+    """Bring back what a crash of ``replaced`` left moved away, or delete what it left behind."""
+    path = path.rstrip("/")
     jvm = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     system = jvm(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    system.delete(jvm(path), True)
-    if not system.rename(jvm(aside), jvm(path)):
-        raise OSError(f"{aside} was not moved to {path}")
+    if system.exists(jvm(f"{path}.old")):
+        if system.exists(jvm(path)):
+            system.delete(jvm(f"{path}.old"), True)
+        elif not system.rename(jvm(f"{path}.old"), jvm(path)):
+            raise OSError(f"{path}.old was not moved to {path}")
 
 
 def archived_report(report: DataFrame, root: str) -> None:

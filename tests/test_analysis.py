@@ -8,7 +8,7 @@ from deltaloom import api
 from deltaloom.operators import graph, ranking, rollup, units, validate
 from deltaloom.plans import history
 from deltaloom.sources import files, git
-from deltaloom.state import cache
+from deltaloom.state import cache, publish
 from deltaloom.state.store import Conflict, Store
 from deltaloom.streaming import incremental
 
@@ -131,9 +131,11 @@ def test_first_parents(spark):
 def test_checkpoint(spark, repo, scratch):
     path, (a, b, c) = repo
     store = Store(f"{scratch}/state.db")
-    assert api.checkpointed_run(spark, store, "s", "r0", path, a) is None
-    assert api.checkpointed_run(spark, store, "s", "r1", path, b, scope=["db"]) is not None
-    assert store.base("s") == b and api.checkpointed_run(spark, store, "s", "r2", path, b) is None
+    root = f"file://{scratch}/published"
+    assert api.checkpointed_run(spark, store, "s", "r0", path, a, root) is None
+    made = api.checkpointed_run(spark, store, "s", "r1", path, b, root, scope=["db"])
+    assert {r.object_key for r in publish.consumed(spark, root)["report"].collect()} == {r.object_key for r in made.report.collect()} != set()
+    assert store.base("s") == b and api.checkpointed_run(spark, store, "s", "r2", path, b, root) is None
     store.begin("r3", "s", c)
     with pytest.raises(Conflict):
         store.begin("r4", "s", c)
