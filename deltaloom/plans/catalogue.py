@@ -12,7 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from deltaloom.extract import objects as extract
+from deltaloom.extract import replay
 from deltaloom.extract import tables as extract_tables
+from deltaloom.extract.tokens import code_tokens
 from deltaloom.functions import identity, sqltext
 from deltaloom.operators import diff, graph, ranking, rollup, scan, validate
 
@@ -731,3 +733,67 @@ def q64_file_inventory(t):
 
 #: The same chains by the name they had while q38 was bounded.
 QUERIES["q65_whole_first_parents"], SQL["q65_whole_first_parents"] = QUERIES["q38_first_parents"], SQL["q38_first_parents"]
+
+
+def _altered_files(t) -> DataFrame:
+    """(path, text): one file with a table a customer, and one file with a statement about a customer's table an order."""
+    k, c = F.col("o_orderkey").cast("string"), F.concat(F.lit("a.t"), F.col("o_custkey").cast("string"))
+    kind = F.col("o_orderkey") % 5
+    null = F.when(F.col("o_orderkey") % 2 == 0, "NULL").otherwise("NOT NULL")
+    text = (
+        F.when(kind == 0, F.concat(F.lit("ALTER TABLE "), c, F.lit(" ADD (x"), k, F.lit(" NUMBER("), (F.col("o_orderkey") % 9 + 1).cast("string"), F.lit(") NOT NULL);")))
+        .when(kind == 1, F.concat(F.lit("ALTER TABLE "), c, F.lit(" MODIFY c "), null, F.lit(";")))
+        .when(kind == 2, F.concat(F.lit("COMMENT ON COLUMN "), c, F.lit(".c IS '"), "o_orderpriority", F.lit("';")))
+        .when(kind == 3, F.concat(F.lit("ALTER TABLE "), c, F.lit(" MODIFY c DEFAULT "), k, F.lit(";")))
+        .otherwise(F.concat(F.lit("ALTER TABLE "), c, F.lit(" DROP (c, d);")))
+    )
+    created = F.concat(F.lit("CREATE TABLE a.t"), F.col("c_custkey").cast("string"), F.lit(" (c NUMBER, d DATE, CONSTRAINT k UNIQUE (d));\n"))
+    made = base(t("customer"), "c_custkey").select(F.concat(F.lit("t/"), F.col("c_custkey").cast("string"), F.lit(".sql")).alias("path"), created.alias("text"))
+    return made.union(t("orders").select(F.concat(F.lit("z/"), F.lpad(k, 20, "0"), F.lit(".sql")), text))
+
+
+_TAKEN = """o AS (SELECT o_orderkey AS k, o_custkey AS c, o_orderpriority AS said, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_custkey % 11 <> 0),
+s AS (SELECT * FROM o WHERE r <= 12)"""
+
+
+@query(
+    f"""WITH {_TAKEN}, m AS (SELECT c_custkey, (SELECT arg_max(CASE WHEN k % 2 = 0 THEN 'NULL' ELSE 'NOT NULL' END, k) FROM s WHERE c = c_custkey AND k % 5 = 1) AS nullable,
+(SELECT arg_max(k::VARCHAR, k) FROM s WHERE c = c_custkey AND k % 5 = 3) AS def, (SELECT arg_max(chr(39) || said || chr(39), k) FROM s WHERE c = c_custkey AND k % 5 = 2) AS said,
+(SELECT count(*) FROM s WHERE c = c_custkey AND k % 5 = 4) AS refused FROM customer WHERE c_custkey % 11 <> 0)
+SELECT c_custkey AS customer, 'U:C' AS component, 1 AS position, 'NUMBER' AS data_type, nullable, def AS default_value, said AS comment_text, refused > 0 AS refused FROM m
+UNION ALL SELECT c_custkey, 'U:D', 2, 'DATE', NULL, NULL, NULL, refused > 0 FROM m
+UNION ALL SELECT c, 'U:X' || k, 2 + row_number() OVER (PARTITION BY c ORDER BY k), 'NUMBER(' || k % 9 + 1 || ')', 'NOT NULL', NULL, NULL, (SELECT refused > 0 FROM m WHERE c_custkey = c) FROM s WHERE k % 5 = 0"""
+)
+def q66_altered_tables(t):
+    """Tables as the statements of other files leave them: joined by name, twelve a table, replayed in order."""
+    files = _altered_files(t)
+    found, _ = replay.with_contexts(scan.occurrences(files), files)
+    found = found.select(F.regexp_extract("path", "([0-9]+)", 1).cast("long").alias("definition"), replay.with_statements(F.col("fragment"), F.col("context")).alias("fragment"))
+    got = replay.replayed(found, code_tokens(found))
+    refused = got.diagnostics.where("code = 'ALTER_TABLE_DROP_UNSUPPORTED'").select("definition", F.lit(True).alias("refused")).distinct()
+    rows = got.columns.join(got.comments.withColumnRenamed("value", "comment_text"), ["definition", "component"], "left").join(refused, "definition", "left")
+    return rows.select(F.col("definition").alias("customer"), "component", F.col("position").cast("int").alias("position"), "data_type", "nullable", F.col("default").alias("default_value"), "comment_text", F.coalesce("refused", F.lit(False)).alias("refused"))
+
+
+@query(
+    f"""WITH {_TAKEN}, a AS (SELECT o_orderkey, o_custkey FROM orders)
+SELECT a.o_orderkey AS file, CASE WHEN c_custkey IS NULL OR a.o_custkey % 11 = 0 THEN 'UNKNOWN_TABLE' WHEN s.k IS NULL THEN 'TOO_MANY_STATEMENTS' ELSE 'taken' END AS reason FROM a LEFT JOIN customer ON c_custkey = a.o_custkey LEFT JOIN s ON s.k = a.o_orderkey"""
+)
+def q67_files_of_statements(t):
+    """Which files of statements are taken, and why the others are not."""
+    files = _altered_files(t)
+    _, said = replay.with_contexts(scan.occurrences(files), files)
+    return said.select(F.regexp_extract("path", "0*([0-9]+)", 1).cast("long").alias("file"), F.coalesce("reason", F.lit("taken")).alias("reason"))
+
+
+@query(
+    """SELECT p_partkey AS part, unnest(CASE p_partkey % 8 WHEN 0 THEN ['DUPLICATE_COLUMN'] WHEN 1 THEN ['COLUMN_UNRESOLVED'] WHEN 2 THEN ['EMPTY_TABLE_ITEM'] WHEN 3 THEN ['TABLE_BODY_UNBALANCED'] WHEN 4 THEN ['TABLE_DEFINITION_UNRESOLVED']
+WHEN 5 THEN ['UNNAMED_CONSTRAINT_UNRESOLVED'] WHEN 6 THEN CASE WHEN p_size % 2 = 0 THEN ['ALTER_COLUMN_PARTIAL_UNRESOLVED', 'TABLE_CONTEXT_UNSUPPORTED'] ELSE ['TABLE_CONTEXT_UNSUPPORTED'] END ELSE [] END) AS code FROM part"""
+)
+def q68_table_diagnostics(t):
+    """What extraction doubts of a table a part, by code."""
+    k, size = F.col("p_partkey") % 8, F.col("p_size").cast("string")
+    body = F.when(k == 0, F.concat(F.lit(" (a NUMBER("), size, F.lit("), a DATE);"))).when(k == 1, F.concat(F.lit(" (a NUMBER, b"), size, F.lit(");"))).when(k == 2, " (a NUMBER,, b DATE);").when(k == 3, " (a NUMBER;").when(k == 4, ";")
+    body = body.when(k == 5, " (a NUMBER, PRIMARY KEY (a));").when(k == 6, F.concat(F.lit(" (a NUMBER); GRANT SELECT ON t TO x;"), F.when(F.col("p_size") % 2 == 0, " ALTER TABLE t MODIFY a DEFAULT 1 NOT NULL;").otherwise(""))).otherwise(" (a NUMBER, b DATE);")
+    rows = t("part").select(F.col("p_partkey").alias("definition"), F.concat(F.lit("CREATE TABLE t"), body).alias("fragment"))
+    return replay.replayed(rows, code_tokens(rows)).diagnostics.select(F.col("definition").alias("part"), "code").distinct()
