@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from deltaloom.operators import diff, scan
 from deltaloom.plans import history
 from deltaloom.plans.analysis import Analysis, analyse, definitions, document
 from deltaloom.sources import git
 from deltaloom.state import publish
+from deltaloom.state.cache import checkpointed
 from deltaloom.state.store import Store
 
 
@@ -33,6 +37,32 @@ def plan(spark: SparkSession, repo: str, base: str, target: str, scope: list[str
     return outcome, commits.join(found, "sha", "left_semi"), scoped
 
 
+@dataclass
+class RangeHistory:
+    """What happened between two revisions: outcome, commits with their files, events in scope, and each path with its net change."""
+
+    outcome: str
+    commits: DataFrame
+    events: DataFrame
+    artifacts: DataFrame
+
+
+def range_history(spark: SparkSession, repo: str, base: str, target: str, scope: list[str] | None = None, maximum: int = 250) -> RangeHistory:
+    """The commits of a range with the files of each, as events, and joined to the inventories of both revisions."""
+    outcome, commits, net = plan(spark, repo, base, target, scope, maximum)
+    commits = checkpointed(commits)
+    changed = checkpointed(git.changes(commits, repo))
+    scoped = history.in_scope(changed, scope or [], "path_display")
+    pointers = commits.select("sha", F.get("parents", F.lit(0)).alias("parent"))
+    chain = history.first_parents(pointers, spark.createDataFrame([(target,)], "head string")).join(commits.select("sha"), "sha", "left_semi")
+    net = net.select(F.base64(F.encode("path_display", "utf-8")).alias("path_b64"), "status", *[F.coalesce(c, F.lit("0")).alias(c) for c in ("old_mode", "new_mode", "old_oid", "new_oid")])
+    touched = scoped.select("path_b64").distinct()
+    sides = [scan.file_inventory(git.snapshot(spark, repo, r, scope, touched), ("path_b64",)) for r in (base, target)]
+    inventories = checkpointed(sides[0].unionByName(sides[1]).select("path_b64", "parse_status", "diagnostics"))
+    incomplete = inventories.where("parse_status <> 'parsed'")
+    return RangeHistory(outcome, history.commit_files(commits, changed, chain), history.events(scoped), history.artifacts(scoped, net, inventories, incomplete))
+
+
 def run(spark: SparkSession, repo: str, base: str, target: str, scope: list[str] | None = None, default_schema: str | None = None) -> Analysis:
     """Analyse two revisions.
 
@@ -67,4 +97,4 @@ def checkpointed_run(spark: SparkSession, store: Store, scope_hash: str, run_id:
     return result
 
 
-__all__ = ["inventory", "plan", "run", "checkpointed_run", "analyse", "document"]
+__all__ = ["inventory", "plan", "range_history", "run", "checkpointed_run", "analyse", "document"]

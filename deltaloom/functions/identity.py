@@ -92,3 +92,41 @@ def big_integer_sign(before: Column, after: Column) -> Column:
         .otherwise(plain)
     )
     return F.when(whole, order)
+
+
+#: Digits of a limb: sums and differences of two fit a long.
+LIMB = 17
+
+
+def signed_difference(before: Column, after: Column) -> Column:
+    """``after`` less ``before`` with its sign (+0 for none), exact for integers of any length; null unless both are integers.
+
+    Magnitudes are cut to limbs of ``LIMB`` digits, added or subtracted limb by limb with a carry, and put together again.
+    """
+    pattern = r"^\s*[+-]?[0-9]+\s*$"
+
+    def digits(x: Column) -> Column:
+        return F.regexp_replace(F.regexp_replace(F.trim(x), r"^[+-]", ""), r"^0+(?=[0-9])", "")
+
+    def combined(larger: Column, smaller: Column, add: Column) -> Column:
+        """|larger| + |smaller|, or |larger| - |smaller|, as digits."""
+        n = F.ceil(F.length(larger) / LIMB).cast("int")
+        limbs = lambda x: F.transform(F.sequence(F.lit(1), n), lambda k: F.substring(F.lpad(x, n * LIMB, "0"), (n - k) * LIMB + 1, F.lit(LIMB)).cast("long"))
+        steps = F.zip_with(limbs(larger), limbs(smaller), lambda a, b: F.when(add, a + b).otherwise(a - b))
+        base = F.lit(10**LIMB)
+
+        def step(state: Column, x: Column) -> Column:
+            value = x + state["carry"]
+            carry = F.when(value >= base, 1).when(value < 0, -1).otherwise(0).cast("long")
+            return F.struct(carry.alias("carry"), F.concat(F.lpad((value - carry * base).cast("string"), LIMB, "0"), state["text"]).alias("text"))
+
+        ended = F.aggregate(steps, F.struct(F.lit(0).cast("long").alias("carry"), F.lit("").alias("text")), step)
+        return digits(F.transform(F.array(ended), lambda e: F.concat(e["carry"].cast("string"), e["text"]))[0])
+
+    b, a = digits(before), digits(after)
+    minus_b, minus_a = F.trim(before).startswith("-") & (b != "0"), F.trim(after).startswith("-") & (a != "0")
+    a_larger = F.when(F.length(a) != F.length(b), F.length(a) > F.length(b)).otherwise(a >= b)
+    add = minus_a != minus_b
+    size = combined(F.when(a_larger, a).otherwise(b), F.when(a_larger, b).otherwise(a), add)
+    negative = F.when(a_larger, minus_a).otherwise(~minus_b) & (size != "0")
+    return F.when(before.rlike(pattern) & after.rlike(pattern), F.concat(F.when(negative, "-").otherwise("+"), size))

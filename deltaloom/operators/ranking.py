@@ -66,3 +66,36 @@ def chain_breaks(df: DataFrame, group: list[str], sequence: str, digest: str | N
 def with_end(df: DataFrame, group: list[str], start: str, last: Column) -> DataFrame:
     """Each row's end: the start of the next row of its group, or ``last``."""
     return df.withColumn("end", F.coalesce(F.lead(start).over(Window.partitionBy(*group).orderBy(start)), last))
+
+
+def detail_budget(df: DataFrame, first: Column, first_order: list[Column], order: list[Column], n: int, group: list[str] | None = None) -> DataFrame:
+    """At most n rows (of each group): those for which ``first`` holds in ``first_order``, then others in ``order``; with shown, the place."""
+    keys = group or []
+    first = F.coalesce(first, F.lit(False))
+
+    def ranked(rows: DataFrame, by: list[Column]) -> DataFrame:
+        rows = rows if keys else top(rows, by, n)  # without groups, what is left is one page
+        return rows.withColumn("shown", F.row_number().over(Window.partitionBy(*keys).orderBy(*by))).where(F.col("shown") <= n)
+
+    ahead = ranked(df.where(first), first_order)
+    taken = ahead.groupBy(*keys).agg(F.count("*").cast("int").alias("taken_"))
+    rest = ranked(df.where(~first), order)
+    rest = rest.join(taken, keys, "left") if keys else rest.join(F.broadcast(taken), F.lit(True))  # one row
+    rest = rest.withColumn("shown", F.col("shown") + F.coalesce("taken_", F.lit(0))).drop("taken_")
+    return ahead.unionByName(rest.where(F.col("shown") <= n).select(ahead.columns))
+
+
+def size_profile(df: DataFrame, group: list[str], order: list[Column], profiles: list[tuple[str, dict[str, int]]], fixed: int, limit: int) -> DataFrame:
+    """(group, profile, bytes): the first profile whose rendered size is within the limit, null where none is.
+
+    A profile takes, of each size column that it names, the first so many rows.  Rows are ranked once, only
+    the first of each group that any profile can show, and all profiles' sizes are sums of one aggregation.
+    """
+    most = max([n for _, takes in profiles for n in takes.values()], default=0)
+    names = {name: f"size_{i}" for i, (name, _) in enumerate(profiles)}
+    ranked = df.withColumn("place_", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col("place_") <= max(most, 1))
+    zero = F.lit(0).cast("long")
+    size = lambda takes: sum((F.when(F.col("place_") <= n, F.col(c)).otherwise(0) for c, n in takes.items()), zero)
+    sums = ranked.groupBy(*group).agg(*[(F.sum(size(takes)) + fixed).alias(names[name]) for name, takes in profiles])
+    chosen = F.coalesce(*[F.when(F.col(c) <= limit, F.struct(F.lit(name).alias("profile"), F.col(c).alias("bytes"))) for name, c in names.items()])
+    return sums.select(*group, chosen.alias("x")).select(*group, "x.profile", "x.bytes")

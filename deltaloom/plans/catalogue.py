@@ -17,6 +17,7 @@ from deltaloom.extract import tables as extract_tables
 from deltaloom.extract.tokens import code_tokens
 from deltaloom.functions import identity, sqltext
 from deltaloom.operators import diff, graph, ranking, rollup, scan, validate
+from deltaloom.plans import history
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -797,3 +798,91 @@ def q68_table_diagnostics(t):
     body = body.when(k == 5, " (a NUMBER, PRIMARY KEY (a));").when(k == 6, F.concat(F.lit(" (a NUMBER); GRANT SELECT ON t TO x;"), F.when(F.col("p_size") % 2 == 0, " ALTER TABLE t MODIFY a DEFAULT 1 NOT NULL;").otherwise(""))).otherwise(" (a NUMBER, b DATE);")
     rows = t("part").select(F.col("p_partkey").alias("definition"), F.concat(F.lit("CREATE TABLE t"), body).alias("fragment"))
     return replay.replayed(rows, code_tokens(rows)).diagnostics.select(F.col("definition").alias("part"), "code").distinct()
+
+
+def _changes(t) -> DataFrame:
+    """Lines as the files that commits (orders) changed."""
+    line, zero = F.col("l_linenumber"), F.lit("0" * 40)
+    status = F.element_at(F.array(*[F.lit(x) for x in "ADMT"]), (F.col("l_partkey") % 4 + 1).cast("int"))
+    blob = lambda c: F.sha1(F.col(c).cast("string").cast("binary"))
+    return t("lineitem").select(
+        F.col("l_orderkey").cast("string").alias("sha"), (F.col("l_orderkey") - 1).cast("string").alias("parent"), (line - 1).cast("int").alias("position"), F.lit("100644").alias("old_mode"), F.lit("100644").alias("new_mode"),
+        F.when(status == "A", zero).otherwise(blob("l_suppkey")).alias("old_oid"), F.when(status == "D", zero).otherwise(blob("l_partkey")).alias("new_oid"), status.alias("status"),
+        F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("path_b64"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("path_display"),
+    )
+
+
+_OPERATION = "CASE l_partkey % 4 WHEN 0 THEN 'added' WHEN 1 THEN 'removed' WHEN 2 THEN 'modified' ELSE 'unknown' END"
+
+
+@query(
+    f"""SELECT o_orderkey AS sha, CASE WHEN o_orderkey % 5 = 0 THEN 'root' ELSE 'first_parent' END AS delta_kind, CASE WHEN o_orderkey % 3 = 0 THEN 'target_first_parent_chain' ELSE 'other_reachable' END AS integration_role,
+coalesce(string_agg('p' || l_partkey || ':' || {_OPERATION} || ':' || CASE WHEN l_partkey % 4 = 0 THEN '' ELSE left(sha1(l_suppkey::VARCHAR), 6) END, ',' ORDER BY l_linenumber, 'p' || l_partkey, sha1(l_suppkey::VARCHAR)), '') AS files FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey"""
+)
+def q69_commit_files(t):
+    """Orders as commits, lines as the files of each, nested in order."""
+    k = F.col("o_orderkey")
+    commits = t("orders").select(k.cast("string").alias("sha"), F.when(k % 5 == 0, F.array().cast("array<string>")).otherwise(F.array((k - 1).cast("string"))).alias("parents"))
+    found = history.commit_files(commits, _changes(t), commits.where("sha % 3 = 0"))
+    shown = F.array_join(F.transform("files", lambda f: F.concat_ws(":", f["path_b64"], f["operation"], F.coalesce(F.substring(f["old_blob"], 1, 6), F.lit("")))), ",")
+    return found.select(F.col("sha").cast("long").alias("sha"), "delta_kind", "integration_role", shown.alias("files"))
+
+
+@query(
+    f"""WITH c AS (SELECT *, CASE WHEN l_partkey % 4 = 0 THEN repeat('0', 40) ELSE sha1(l_suppkey::VARCHAR) END AS old, CASE WHEN l_partkey % 4 = 1 THEN repeat('0', 40) ELSE sha1(l_partkey::VARCHAR) END AS new FROM lineitem)
+SELECT 'event_' || sha256('{{"commit":"' || l_orderkey || '","new_blob":"' || new || '","old_blob":"' || old || '","path":"p' || l_partkey || '","position":' || l_linenumber - 1 || '}}') AS event_id, l_orderkey AS commit_sha, l_orderkey - 1 AS parent_sha, 'p' || l_partkey AS path, {_OPERATION} AS operation FROM c"""
+)
+def q70_history_events(t):
+    found = history.events(_changes(t))
+    return found.select("event_id", F.col("commit_sha").cast("long").alias("commit_sha"), F.col("parent_sha").cast("long").alias("parent_sha"), F.col("path_b64").alias("path"), "operation")
+
+
+@query(
+    """WITH v AS (SELECT 'p' || l_partkey AS path, max(l_partkey % 3) AS m, list_sort(list_distinct(list(l_returnflag) FILTER (l_linenumber <= 4))) AS codes, max((l_partkey % 7 = 0)::INT) AS bad, l_partkey FROM lineitem GROUP BY l_partkey)
+SELECT path, CASE WHEN l_partkey % 5 = 0 THEN 'unchanged' ELSE 'modified' END AS net_operation, CASE WHEN bad = 1 THEN 'unresolved' WHEN codes IS NULL THEN 'metadata_only' ELSE 'parsed' END AS parse_status, coalesce(array_to_string(codes, ','), '') AS codes FROM v"""
+)
+def q71_artifacts(t):
+    """Parts as the paths that a range touched, with net changes and the codes of their inventories."""
+    path = F.concat(F.lit("p"), F.col("l_partkey").cast("string"))
+    net = t("lineitem").where("l_partkey % 5 <> 0").select(path.alias("path_b64"), F.lit("M").alias("status"), *[F.lit("1").alias(c) for c in ("old_mode", "new_mode", "old_oid", "new_oid")]).distinct()
+    inventories = t("lineitem").where("l_linenumber <= 4").select(path.alias("path_b64"), F.array("l_returnflag").alias("diagnostics"))
+    incomplete = t("lineitem").where("l_partkey % 7 = 0").select(path.alias("path_b64"))
+    found = history.artifacts(_changes(t), net, inventories, incomplete)
+    return found.select(F.col("path_b64").alias("path"), "net_operation", "parse_status", F.array_join("diagnostic_codes", ",").alias("codes"))
+
+
+@query(
+    """WITH v AS (SELECT l_orderkey, l_linenumber, (CASE WHEN l_suppkey % 3 = 0 THEN '-' ELSE '' END) || l_partkey || lpad(l_suppkey::VARCHAR, 28, '0') AS b, (CASE WHEN l_partkey % 4 = 0 THEN '-' WHEN l_partkey % 4 = 1 THEN '+' ELSE '' END) || l_suppkey || lpad(l_orderkey::VARCHAR, 28, '0') AS a FROM lineitem)
+SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 7 THEN NULL ELSE (CASE WHEN a::HUGEINT - b::HUGEINT < 0 THEN '' ELSE '+' END) || (a::HUGEINT - b::HUGEINT)::VARCHAR END AS delta FROM v"""
+)
+def q72_sequence_deltas(t):
+    """Signed differences of integers of over thirty digits; what is no integer has none."""
+    text = lambda c: F.col(c).cast("string")
+    before = F.concat(F.when(F.col("l_suppkey") % 3 == 0, "-").otherwise(""), text("l_partkey"), F.lpad(text("l_suppkey"), 28, "0"))
+    after = F.concat(F.when(F.col("l_partkey") % 4 == 0, "-").when(F.col("l_partkey") % 4 == 1, "+").otherwise(""), text("l_suppkey"), F.lpad(text("l_orderkey"), 28, "0"))
+    return t("lineitem").select("l_orderkey", "l_linenumber", identity.signed_difference(before, F.when(F.col("l_linenumber") == 7, "x").otherwise(after)).alias("delta"))
+
+
+@query(
+    """WITH r AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY (o_orderstatus <> 'F')::INT, CASE WHEN o_orderstatus = 'F' THEN o_orderkey END, o_totalprice DESC, o_orderkey) AS shown FROM orders)
+SELECT o_custkey, o_orderkey, shown::INTEGER AS shown FROM r WHERE shown <= 5"""
+)
+def q73_detail_budgets(t):
+    """Of each customer five orders: finished ones by key, then others by price."""
+    rows = t("orders").select("o_custkey", "o_orderkey", "o_orderstatus", "o_totalprice")
+    found = ranking.detail_budget(rows, F.col("o_orderstatus") == "F", [F.col("o_orderkey")], [F.desc("o_totalprice"), F.col("o_orderkey")], 5, ["o_custkey"])
+    return found.select("o_custkey", "o_orderkey", "shown")
+
+
+_PROFILES = [("full", {"index_bytes": 60, "detail_bytes": 24}), ("compact", {"index_bytes": 24, "detail_bytes": 8}), ("summary", {"index_bytes": 16, "detail_bytes": 2}), ("minimal", {})]
+
+
+@query(
+    """WITH r AS (SELECT l_suppkey, 40 + l_linenumber AS i, 300 + l_partkey % 900 AS d, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber) AS n FROM lineitem),
+s AS (SELECT l_suppkey, 500 + sum(CASE WHEN n <= 60 THEN i ELSE 0 END + CASE WHEN n <= 24 THEN d ELSE 0 END) AS f, 500 + sum(CASE WHEN n <= 24 THEN i ELSE 0 END + CASE WHEN n <= 8 THEN d ELSE 0 END) AS c, 500 + sum(CASE WHEN n <= 16 THEN i ELSE 0 END + CASE WHEN n <= 2 THEN d ELSE 0 END) AS s FROM r GROUP BY 1)
+SELECT l_suppkey, CASE WHEN f <= 8000 THEN 'full' WHEN c <= 8000 THEN 'compact' WHEN s <= 8000 THEN 'summary' ELSE 'minimal' END AS profile, (CASE WHEN f <= 8000 THEN f WHEN c <= 8000 THEN c WHEN s <= 8000 THEN s ELSE 500 END)::BIGINT AS bytes FROM s"""
+)
+def q74_size_profiles(t):
+    """The first profile of each supplier's lines that stays within 8,000 bytes."""
+    rows = t("lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", (40 + F.col("l_linenumber")).alias("index_bytes"), (300 + F.col("l_partkey") % 900).alias("detail_bytes"))
+    return ranking.size_profile(rows, ["l_suppkey"], [F.col("l_orderkey"), F.col("l_linenumber")], _PROFILES, 500, 8000)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from deltaloom.functions import identity
+
 
 def first_parents(commits: DataFrame, heads: DataFrame) -> DataFrame:
     """(sha, depth): from each head along ``parent`` to the end of the chain, or to the first commit met again.
@@ -96,3 +98,58 @@ def longest_root(paths: DataFrame, roots: dict[str, str], column: str = "path")
     for root, name in sorted(roots.items(), key=lambda x: len(x[0])):
         schema = F.when((F.col(column) == root) | F.col(column).startswith(root + "/"), name).otherwise(schema)
     return paths.withColumn("default_schema", schema)
+
+
+def operation_of(status: Column) -> Column:
+    return F.coalesce(F.create_map(*[F.lit(x) for x in ("A", "added", "D", "removed", "M", "modified", "R", "relocated", "C", "relocated")])[F.substring(status, 1, 1)], F.lit("unknown"))
+
+
+def _given(value: Column) -> Column:
+    """Null for a mode or id of zeros: there is no file on that side."""
+    return F.when(~value.rlike("^0*$"), value)
+
+
+def file_rows(changed: DataFrame) -> DataFrame:
+    """Changes (as of ``git.changes``) with operation, and modes and blobs null where there is no file."""
+    given = {c: _given(F.col(o)) for c, o in (("old_mode", "old_mode"), ("new_mode", "new_mode"), ("old_blob", "old_oid"), ("new_blob", "new_oid"))}
+    return changed.withColumns({"operation": operation_of(F.col("status"))} | given)
+
+
+def commit_files(commits: DataFrame, changed: DataFrame, chain: DataFrame) -> DataFrame:
+    """Commits (sha, parents, ...) with delta_kind, integration_role (by ``chain``, the first parents of the target) and files, in order.
+
+    A commit that changes nothing has an empty list.  A commit's files are one array: a commit is the unit that is read.
+    """
+    entry = F.struct("position", "path_display", "path_b64", "operation", "old_mode", "new_mode", "old_blob", "new_blob")
+    listed = file_rows(changed).groupBy("sha").agg(F.sort_array(F.collect_list(entry)).alias("files"))
+    none = F.array().cast("array<" + "struct<position:int,path_display:string,path_b64:string,operation:string,old_mode:string,new_mode:string,old_blob:string,new_blob:string>>")
+    rows = commits.join(listed, "sha", "left").join(chain.select("sha").distinct().withColumn("on_chain", F.lit(True)), "sha", "left")
+    role = F.when(F.col("on_chain"), "target_first_parent_chain").otherwise("other_reachable")
+    return rows.withColumns({"files": F.coalesce("files", none), "delta_kind": F.when(F.size("parents") > 0, "first_parent").otherwise("root"), "integration_role": role}).drop("on_chain")
+
+
+def events(changed: DataFrame) -> DataFrame:
+    """One row for each file that a commit of the range changed: event_id, commit_sha, parent_sha, path_b64, operation."""
+    event = identity.stable_id("event", commit=F.col("sha"), path=F.col("path_b64"), position=F.col("position"), old_blob=F.col("old_oid"), new_blob=F.col("new_oid"))
+    return changed.select(event.alias("event_id"), F.col("sha").alias("commit_sha"), F.col("parent").alias("parent_sha"), "path_b64", operation_of(F.col("status")).alias("operation"))
+
+
+def artifacts(changed: DataFrame, net: DataFrame, inventories: DataFrame, incomplete: DataFrame, contexts: DataFrame | None = None) -> DataFrame:
+    """Each path that the range touched, or that is incomplete, with its net change and what both snapshots' inventories say of it.
+
+    ``net`` has path_b64, status, modes and oids; ``inventories`` of both sides has path_b64 and diagnostics (lists);
+    ``incomplete`` path_b64, ``contexts`` the paths of files of statements that tables have taken.
+    net_operation is ``unchanged`` where later commits undid earlier ones.
+    """
+    touched = changed.select("path_b64").union(incomplete.select("path_b64").join(inventories.select("path_b64"), "path_b64", "left_semi")).distinct()
+    said = inventories.groupBy("path_b64").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("diagnostics")))).alias("diagnostics"))  # two inventories a path
+    sides = file_rows(net).select("path_b64", "operation", "old_mode", "new_mode", "old_blob", "new_blob")
+    rows = touched.join(sides, "path_b64", "left").join(said, "path_b64", "left")
+    rows = rows.join(incomplete.select("path_b64").distinct().withColumn("is_incomplete", F.lit(True)), "path_b64", "left")
+    taken = None if contexts is None else contexts.select("path_b64").distinct().withColumn("is_context", F.lit(True))
+    rows = rows.withColumn("is_context", F.lit(False)) if taken is None else rows.join(taken, "path_b64", "left")
+    status = F.when(F.col("is_incomplete"), "unresolved").when(F.col("diagnostics").isNotNull(), "parsed").otherwise("metadata_only")
+    codes = F.coalesce("diagnostics", F.array().cast("array<string>"))
+    # a file of statements that a table has taken is known for what it is
+    codes = F.when(F.coalesce("is_context", F.lit(False)) & (status == "parsed"), F.array_remove(codes, "UNRESOLVED_PREFIX_OR_ARTIFACT")).otherwise(codes)
+    return rows.select("path_b64", F.coalesce("operation", F.lit("unchanged")).alias("net_operation"), "old_mode", "new_mode", "old_blob", "new_blob", status.alias("parse_status"), codes.alias("diagnostic_codes"))

@@ -10,6 +10,7 @@ from __future__ import annotations
 import base64
 import os
 import subprocess
+import threading
 from collections.abc import Iterator
 from datetime import datetime
 
@@ -20,6 +21,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 TREE = "revision string, mode string, kind string, oid string, path binary, path_b64 string, path_display string"
 COMMITS = "sha string, parents array<string>, author_at timestamp, committer_at timestamp, position int, subject string"
+CHANGES = "sha string, parent string, position int, old_mode string, new_mode string, old_oid string, new_oid string, status string, path_b64 string, path_display string"
 BLOB = "oid string, size long, raw binary"
 #: At most so many bytes of a blob are read; larger ones have raw null.
 BLOB_BYTES = 64 << 20
@@ -156,6 +158,53 @@ def blobs(oids: DataFrame, repo: str, partitions: int = 8, most: int = BLOB_BYTE
     return unique.mapInArrow(lambda batches: _blobs(batches, repo, most), BLOB)
 
 
+def _changes(batches: Iterator[pa.RecordBatch], repo: str) -> Iterator[pa.RecordBatch]:
+    """Rows (sha, parent) to the files that each commit changed: one ``diff-tree`` process a batch of commits, read as a stream."""
+    columns = [c.split()[0] for c in CHANGES.split(", ")]
+    kinds = [pa.int32() if c == "position" else pa.string() for c in columns]
+    for batch in batches:
+        parent_of = dict(zip(*(c.to_pylist() for c in batch.columns)))
+        process = subprocess.Popen(["git", "-C", repo, "diff-tree", "--stdin", "--always", "-r", "-z", "--raw", "--root", "--full-index", "--no-renames"], stdin=subprocess.PIPE, stdout=subprocess.PIPE)
+        asked = "".join(f"{sha} {parent}\n" if parent else f"{sha}\n" for sha, parent in parent_of.items()).encode()
+
+        def ask(process=process, asked=asked) -> None:
+            process.stdin.write(asked)
+            process.stdin.close()
+
+        asking = threading.Thread(target=ask)
+        asking.start()
+        rows, sha, position, head, rest, seen = [], None, 0, None, b"", 0
+        while chunk := process.stdout.read(1 << 16):
+            *whole, rest = (rest + chunk).split(b"\0")
+            for field in whole:
+                if head is not None:
+                    old_mode, new_mode, old, new, status = head.lstrip(b":").decode().split()
+                    rows.append((sha, parent_of[sha], position, old_mode, new_mode, old, new, status[0], base64.b64encode(field).decode(), field.decode("utf-8", "backslashreplace")))
+                    head, position = None, position + 1
+                elif field.startswith(b":"):
+                    head = field
+                else:
+                    sha, position, seen = field.decode().strip(), 0, seen + 1
+            if len(rows) > 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=columns)
+                rows = []
+        asking.join()
+        process.stdout.close()
+        if process.wait() or seen != len(parent_of):
+            raise ValueError(f"{len(parent_of) - seen} of {len(parent_of)} commits were not compared")
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=columns)
+
+
+def changes(commits_: DataFrame, repo: str, partitions: int = 8) -> DataFrame:
+    """The files that each commit (sha, parents) changed against its first parent, or, without one, brought in; no renames.
+
+    Commits are dealt to partitions; position is a file's place in its commit.  The clone must be reachable from the executors.
+    """
+    pairs = commits_.select("sha", F.get("parents", F.lit(0)).alias("parent")).distinct().repartition(partitions, "sha")
+    return pairs.mapInArrow(lambda batches: _changes(batches, repo), CHANGES)
+
+
 def snapshot(spark: SparkSession, repo: str, revision: str, scope: list[str] | None = None, only: DataFrame | None = None) -> DataFrame:
     """Files (revision, path, path_b64, oid, raw) of a revision: scope, mode and kind are filtered before any blob is read.
 
