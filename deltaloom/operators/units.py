@@ -53,3 +53,21 @@ def rubric(cases: DataFrame, findings: DataFrame) -> DataFrame:
     found = F.coalesce("found", F.lit(False))
     right = ~found | (F.array_contains("used", F.col("target_evidence")) & (F.col("severity") <= F.col("max_severity")))
     return joined.select("case_id", ((found == F.col("expect_finding")) & F.coalesce(right, F.lit(False))).alias("passed"))
+
+
+def evidence_ids(documents: DataFrame, key: str = "unit_id") -> DataFrame:
+    """(key, evidence_id): the distinct ids that review inputs name, in the registry, on both sides of facts, in receipts and in their items.
+
+    ``documents`` has evidence_registry (structs with evidence_id), facts (structs with before.evidence_ids and after.evidence_ids)
+    and research_receipts (structs with evidence_ids and items with evidence_id).
+    """
+    none = F.array().cast("array<string>")
+    lists = [
+        F.transform("evidence_registry", lambda e: e["evidence_id"]),
+        F.flatten(F.transform("facts", lambda f: F.coalesce(f["before"]["evidence_ids"], none))),
+        F.flatten(F.transform("facts", lambda f: F.coalesce(f["after"]["evidence_ids"], none))),
+        F.flatten(F.transform("research_receipts", lambda r: F.coalesce(r["evidence_ids"], none))),
+        F.flatten(F.transform("research_receipts", lambda r: F.coalesce(F.transform(r["items"], lambda i: i["evidence_id"]), none))),
+    ]
+    every = F.array_distinct(F.flatten(F.array(*[F.coalesce(x, none) for x in lists])))
+    return documents.select(key, F.explode(every).alias("evidence_id")).where("evidence_id IS NOT NULL").distinct()

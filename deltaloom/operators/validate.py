@@ -58,3 +58,30 @@ def response_violations(units: DataFrame, responses: DataFrame) -> DataFrame:
         broken(joined.where("unit_digest IS NOT NULL"), F.col("digest") == F.col("unit_digest"), "V7_DIGEST", F.col("unit_id")),
         broken(joined.where("unit_digest IS NOT NULL"), F.size(F.array_except("evidence_ids", "unit_evidence")) == 0, "V7_EVIDENCE", F.col("unit_id")),
     )
+
+
+def run_violations(runs: DataFrame) -> DataFrame:
+    """Runs whose counts don't add up, whose times aren't in order, or that are blocked and yet eligible for a commit."""
+    counts = F.col("analyzed_objects") + F.col("limited_objects") + F.col("unresolved_objects") == F.col("history_known_objects")
+    times = (F.col("planned_at") <= F.col("analysis_started_at")) & (F.col("analysis_started_at") <= F.col("analysis_completed_at"))
+    return violations(
+        broken(runs, times, "V6_TIMES", F.col("run_id")),
+        broken(runs, counts, "V6_COUNTS", F.col("run_id")),
+        broken(runs, ~((F.col("quality") == "blocked") & F.col("automatic_commit_eligible")), "V6_COMMIT", F.col("run_id")),
+    )
+
+
+def side_violations(facts: DataFrame, objects: DataFrame, registry: DataFrame) -> DataFrame:
+    """Facts whose evidence isn't their object's, or is of the other snapshot.
+
+    facts: fact_id, object_key, before_ids, after_ids (lists); objects: object_key, evidence_ids; registry: evidence_id, side (base,
+    target or both).  Every list is met by an equi-join on its ids, so a registry of any size is shuffled once.
+    """
+    sides = facts.select("fact_id", "object_key", F.explode(F.array(F.struct(F.lit("base").alias("expected"), F.col("before_ids").alias("ids")), F.struct(F.lit("target").alias("expected"), F.col("after_ids").alias("ids")))).alias("s"))
+    used = sides.select("fact_id", "object_key", "s.expected", F.explode("s.ids").alias("evidence_id"))
+    own = objects.select("object_key", F.explode("evidence_ids").alias("evidence_id")).distinct()
+    met = used.join(registry.select("evidence_id", "side"), "evidence_id", "left")
+    return violations(
+        dangling(used, own, ["object_key", "evidence_id"], "V5_OWNER", F.col("fact_id")).distinct(),
+        broken(met, F.col("side").isin("both") | (F.col("side") == F.col("expected")), "V5_SIDE", F.col("fact_id")).distinct(),
+    )

@@ -15,8 +15,8 @@ from deltaloom.extract import objects as extract
 from deltaloom.extract import replay
 from deltaloom.extract import tables as extract_tables
 from deltaloom.extract.tokens import code_tokens
-from deltaloom.functions import identity, sqltext
-from deltaloom.operators import diff, graph, ranking, rollup, scan, validate
+from deltaloom.functions import canonical, identity, sqltext
+from deltaloom.operators import diff, graph, pages, ranking, rollup, scan, units, validate
 from deltaloom.plans import history
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -886,3 +886,63 @@ def q74_size_profiles(t):
     """The first profile of each supplier's lines that stays within 8,000 bytes."""
     rows = t("lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", (40 + F.col("l_linenumber")).alias("index_bytes"), (300 + F.col("l_partkey") % 900).alias("detail_bytes"))
     return ranking.size_profile(rows, ["l_suppkey"], [F.col("l_orderkey"), F.col("l_linenumber")], _PROFILES, 500, 8000)
+
+
+@query("SELECT (1 + (row_number() OVER o - 1) // 40)::INTEGER AS page, o_orderkey, o_totalprice FROM orders WINDOW o AS (ORDER BY o_orderpriority DESC, o_totalprice, o_orderkey) QUALIFY row_number() OVER o <= 120")
+def q75_bound_pages(t):
+    """Three pages of orders, each behind the cursor of the one before."""
+    order = [("o_orderpriority", True), ("o_totalprice", False), ("o_orderkey", False)]
+    out, cursor = None, None
+    for number in (1, 2, 3):
+        page = pages.bound_page(t("orders"), order, 40, "r", "s", {"table": "orders"}, cursor)
+        rows = page.rows.select(F.lit(number).alias("page"), "o_orderkey", "o_totalprice")
+        out, cursor = rows if out is None else out.unionByName(rows), page.next
+    return out
+
+
+@query(
+    """SELECT DISTINCT unit, id AS evidence_id FROM (SELECT l_orderkey AS unit, 'r' || l_partkey % 40 AS id FROM lineitem UNION ALL SELECT l_orderkey, 'b' || l_suppkey % 10 FROM lineitem WHERE l_linenumber % 2 = 0
+UNION ALL SELECT l_orderkey, 'a' || l_partkey % 7 FROM lineitem UNION ALL SELECT l_orderkey, 'r' || l_suppkey % 5 FROM lineitem UNION ALL SELECT l_orderkey, 'i' || l_linenumber FROM lineitem WHERE l_suppkey % 3 <> 0)"""
+)
+def q76_evidence_ids(t):
+    """Orders as review inputs: all ids that their nested rows name."""
+    name = lambda letter, c, n: F.concat(F.lit(letter), (F.col(c) % n).cast("string"))
+    side = lambda ids: F.struct(ids.alias("evidence_ids"))
+    before = F.when(F.col("l_linenumber") % 2 == 0, side(F.array(name("b", "l_suppkey", 10))))
+    item = F.struct(F.when(F.col("l_suppkey") % 3 != 0, F.concat(F.lit("i"), F.col("l_linenumber").cast("string"))).alias("evidence_id"))
+    units_ = t("lineitem").groupBy(F.col("l_orderkey").alias("unit")).agg(
+        F.collect_list(F.struct(name("r", "l_partkey", 40).alias("evidence_id"))).alias("evidence_registry"),
+        F.collect_list(F.struct(before.alias("before"), side(F.array(name("a", "l_partkey", 7))).alias("after"))).alias("facts"),
+        F.collect_list(F.struct(F.array(name("r", "l_suppkey", 5)).alias("evidence_ids"), F.array(item).alias("items"))).alias("research_receipts"),
+    )
+    return units.evidence_ids(units_, "unit")
+
+
+@query(
+    """WITH f AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem), own AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE l_linenumber <> 3), reg AS (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'base' WHEN 1 THEN 'target' ELSE 'both' END AS side FROM part WHERE p_partkey % 10 <> 0),
+u AS (SELECT *, unnest([{'e': 'base', 'id': l_partkey}, {'e': 'target', 'id': l_partkey + 1}]) AS x FROM f)
+SELECT DISTINCT 'V5_OWNER' AS rule, u.l_orderkey || '-' || l_linenumber AS subject FROM u LEFT JOIN own ON own.l_orderkey = u.l_orderkey AND own.l_partkey = x.id WHERE own.l_partkey IS NULL
+UNION ALL SELECT DISTINCT 'V5_SIDE', l_orderkey || '-' || l_linenumber FROM u LEFT JOIN reg ON p_partkey = x.id WHERE coalesce(side <> 'both' AND side <> x.e, true)"""
+)
+def q77_side_rules(t):
+    """Lines as facts with evidence on two sides, held against their orders' evidence and the registry's sides."""
+    part, text = F.col("l_partkey"), lambda c: c.cast("string")
+    facts = t("lineitem").select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("fact_id"), F.col("l_orderkey").alias("object_key"), F.array(text(part)).alias("before_ids"), F.array(text(part + 1)).alias("after_ids"))
+    objects = t("lineitem").where("l_linenumber <> 3").groupBy(F.col("l_orderkey").alias("object_key")).agg(F.collect_set(text(part)).alias("evidence_ids"))
+    key = F.col("p_partkey")
+    registry = t("part").where("p_partkey % 10 <> 0").select(text(key).alias("evidence_id"), F.when(key % 3 == 0, "base").when(key % 3 == 1, "target").otherwise("both").alias("side"))
+    return validate.side_violations(facts, objects, registry)
+
+
+@query(
+    """SELECT c_custkey, '{"a":' || c_nationkey || ',"list":[' || CASE WHEN c_nationkey % 2 = 0 THEN '{"k":' || c_custkey || ',"v":null}' ELSE '' END || '],"z":{"b":"' || c_mktsegment || '","c":null}}' AS text,
+sha256('{"a":' || c_nationkey || ',"list":[' || CASE WHEN c_nationkey % 2 = 0 THEN '{"k":' || c_custkey || '}' ELSE '' END || '],"z":{"b":"' || c_mktsegment || '","c":null}}') AS digest FROM customer"""
+)
+def q78_canonical_documents(t):
+    """Customers as nested documents: canonical JSON, and its digest without one key."""
+    none = F.lit(None).cast("string")
+    item = F.struct(F.col("c_custkey").alias("k"), none.alias("v"))
+    document = F.struct(F.struct(none.alias("c"), F.col("c_mktsegment").alias("b")).alias("z"), F.filter(F.array(F.when(F.col("c_nationkey") % 2 == 0, item)), lambda x: x.isNotNull()).alias("list"), F.col("c_nationkey").alias("a"))
+    rows = t("customer").select("c_custkey", document.alias("d"))
+    kind = rows.schema["d"].dataType
+    return rows.select("c_custkey", canonical.text_of(F.col("d"), kind).alias("text"), canonical.digest_of(F.col("d"), kind, ("v",)).alias("digest"))

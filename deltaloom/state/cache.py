@@ -72,3 +72,36 @@ def journal_breaks(journal: DataFrame, scope: str, sequence: str, content: str)
     links = ranking.chain_breaks(journal, [scope], sequence, "record_sha256", "previous_record_sha256").select(*journal.columns)
     digest = F.sha2(F.concat_ws("|", F.col(scope).cast("string"), F.col(sequence).cast("string"), F.col(content)), 256)
     return links.union(journal.where(F.col("record_sha256") != digest)).distinct()
+
+
+def applied(spark: SparkSession, path: str, plan: DataFrame, protected: DataFrame, key: str, at: str, days: int, partition: str, now=None) -> DataFrame:
+    """Delete the rows of a partitioned table that a plan names, if they may still go; the plan's rows with removed.
+
+    ``plan`` has the key, and bytes if sizes were planned.  A row that has become protected since, is young again, isn't
+    there any more or has another size stays.  Only partitions that lose rows are written anew, beside the table, and then put in place one
+    by one; a row leaves with its partition, so a crash leaves each partition old or new, and the plan can be applied again.
+    """
+    stored = spark.read.parquet(path)
+    newest = F.lit(now) if now is not None else F.lit(stored.agg(F.max(at)).first()[0])
+    old = F.col(at) < newest - F.expr(f"INTERVAL {days} DAYS")
+    due = plan.select(key, *([F.col("bytes").alias("planned_bytes")] if "bytes" in plan.columns else []))
+    goes = stored.join(due, key).where(old).join(protected.select(key), key, "left_anti")
+    if "bytes" in plan.columns:
+        goes = goes.where("bytes <=> planned_bytes").drop("planned_bytes")
+    goes = checkpointed(goes.select(key, partition).distinct())
+    jvm = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    system = jvm(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    aside = f"{path.rstrip('/')}.kept-{uuid.uuid4().hex}"
+    touched = [r[0] for r in goes.select(partition).distinct().collect()]  # names of partitions
+    if touched:
+        kept = stored.join(goes.select(partition).distinct(), partition, "left_semi").join(goes.select(key), key, "left_anti")
+        kept.write.partitionBy(partition).parquet(aside)
+    for value in touched:
+        name = f"{partition}={value}"
+        new, own, before = jvm(f"{aside}/{name}"), jvm(f"{path.rstrip('/')}/{name}"), jvm(f"{path.rstrip('/')}/_{name}.old")
+        system.rename(own, before)
+        if system.exists(new):
+            system.rename(new, own)
+        system.delete(before, True)
+    system.delete(jvm(aside), True)
+    return plan.join(goes.select(key).withColumn("removed", F.lit(True)), key, "left").withColumn("removed", F.coalesce("removed", F.lit(False)))
