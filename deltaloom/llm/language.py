@@ -1,8 +1,9 @@
 """Language identification, word first: known words by their log frequency in each language, other
 words by their longest known character n-grams.
 
-The model has every word and n-gram that the training sample has twice; the sample's documents and the
-number of languages are bounded by parameters, and so is the model.
+The model has every word and n-gram that the training sample has twice, with one entry for each language
+that has it; the sample's documents are bounded by parameters, and so is the model, however many
+languages there are.
 """
 
 from __future__ import annotations
@@ -18,12 +19,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from deltaloom.llm import arrays
-from deltaloom.llm.storage import crc32_of_id, small_batches
+from deltaloom.llm.storage import crc32_of_id, sized, small_batches
 
 #: Training documents of a language, about: those whose ids hash lowest; and of all languages.
 SAMPLE, SAMPLE_OF_ALL = 4000, 40_000
-#: Languages that are learned at most: those of most documents.
-LANGUAGES = 500
 LONGEST = 4
 #: Numbers (words x languages) that are in memory at a time, about.
 CELLS = 1 << 21
@@ -79,12 +78,18 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @dataclass
 class Model:
-    """For words (0) and each n-gram length: sorted hashes, and log frequencies by language."""
+    """For words (0) and each n-gram length: sorted hashes, log frequencies of what a language doesn't have, and what is added to those of what it has.
+
+    The entries of hash i are those from first[i] to first[i + 1]: language numbers and what is added.
+    """
 
     languages: list[str]
     prior: np.ndarray
     known: dict[int, np.ndarray]
-    logs: dict[int, np.ndarray]
+    base: dict[int, np.ndarray]
+    first: dict[int, np.ndarray]
+    lang: dict[int, np.ndarray]
+    added: dict[int, np.ndarray]
 
     def find(self, size: int, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         known = self.known[size]
@@ -93,11 +98,20 @@ class Model:
         at = np.minimum(np.searchsorted(known, value), len(known) - 1)
         return at, known[at] == value
 
+    def sums(self, size: int, at: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
+        """Sums of the log frequencies (n x languages) of the hashes ``at``, by rows."""
+        wide = len(self.languages)
+        out = np.bincount(row, minlength=n)[:, None] * self.base[size]
+        count = self.first[size][at + 1] - self.first[size][at]
+        entry = arrays.ranges(self.first[size][at], count)
+        cell = np.repeat(row, count) * wide + self.lang[size][entry]
+        return out + np.bincount(cell, weights=self.added[size][entry], minlength=n * wide).reshape(n, wide)
+
     def word_logs(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Log frequencies (words x languages); a word without any known n-gram says nothing (0)."""
         each = np.zeros((len(starts), len(self.languages)))
         at, hit = self.find(0, arrays.span_hashes(data, starts, ends))
-        each[hit] = self.logs[0][at[hit]]
+        each[hit] = self.sums(0, at[hit], np.arange(int(hit.sum())), int(hit.sum()))
         left = np.flatnonzero(~hit)
         for size in range(LONGEST, 0, -1):
             if not len(left):
@@ -105,9 +119,7 @@ class Model:
             gram, word = grams(data, starts[left], ends[left], size)
             at, hit = self.find(size, gram)
             count = np.bincount(word[hit], minlength=len(left))
-            for k in range(len(self.languages)):
-                total = np.bincount(word[hit], weights=self.logs[size][at[hit], k], minlength=len(left))
-                each[left, k] = np.where(count > 0, total / np.maximum(count, 1), 0.0)
+            each[left] = self.sums(size, at[hit], word[hit], len(left)) / np.maximum(count, 1)[:, None]
             left = left[count == 0]
         return each
 
@@ -136,37 +148,41 @@ class Model:
 
 
 def train(
-    documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", sample: int = SAMPLE, languages: int = LANGUAGES, sample_of_all: int = SAMPLE_OF_ALL
+    documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", sample: int = SAMPLE, languages: int | None = None, sample_of_all: int = SAMPLE_OF_ALL
 ) -> Model:
-    """Learn from about ``sample`` documents of each of the ``languages`` languages of most documents, those whose ids hash lowest.
+    """Learn from about ``sample`` documents of each language, those whose ids hash lowest; of all languages, or of the ``languages`` of most documents.
 
     Of many languages each has an equal part of ``sample_of_all`` documents.  The driver gets one row a
     language, and for each word and n-gram that the sample has ``LEAST`` times its count in each
     language that has it; both are bounded by the parameters.
     """
     rows = documents.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"), F.col(lang_column).alias("lang")).where("lang IS NOT NULL AND text IS NOT NULL")
-    many = {r[0]: r[1] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()}
+    counts_ = rows.groupBy("lang").count()
+    many = {r[0]: r[1] for r in (counts_ if languages is None else counts_.orderBy(F.desc("count"), "lang").limit(languages)).collect()}
     names = sorted(many)
     if not names:
-        return Model([], np.zeros(0), {}, {})
+        return Model([], np.zeros(0), {}, {}, {}, {}, {})
     sample = min(sample, max(1, sample_of_all // len(names)))
-    number = F.create_map(*[x for i, lang in enumerate(names) for x in (F.lit(lang), F.lit(i))])
-    share = F.create_map(*[x for lang in names for x in (F.lit(lang), F.lit(min(1.0, sample / many[lang])))])
+    shares = documents.sparkSession.createDataFrame([(lang, i, min(1.0, sample / many[lang])) for i, lang in enumerate(names)], "lang string, n int, share double")
+    # a language of which all documents are taken needs no place; else an id, or all rows of a repeated one, has one
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)
-    chosen = rows.where(place < share[F.col("lang")]).select(number[F.col("lang")].alias("n"), "text")
+    chosen = rows.join(sized(shares, len(names)), "lang").where(place < F.col("share")).select("n", "text")
     counted = chosen.mapInArrow(_count, "size int, value long, lang int, count long").groupBy("size", "value", "lang").agg(F.sum("count").alias("count"))
     per_value = counted.groupBy("size", "value").agg(F.collect_list(F.struct("lang", "count")).alias("counts"), F.sum("count").alias("total"))  # one entry a language
     table = per_value.where(F.col("total") >= LEAST).select("size", "value", F.explode("counts").alias("x")).select("size", "value", "x.lang", "x.count").toArrow()
     of_size, values, langs, counts = (table.column(i).to_numpy() for i in range(4))
-    known, logs = {}, {}
+    known, base, first, lang_of, added = {}, {}, {}, {}, {}
     for size in range(LONGEST + 1):
         own = of_size == size
         known[size], at = np.unique(values[own].view(np.uint64), return_inverse=True)
-        count = np.zeros((len(known[size]), len(names)), np.float32)
-        count[at, langs[own]] = counts[own]
-        logs[size] = np.log((count + 0.5) / (count.sum(axis=0, dtype=float) + 0.5 * (len(count) + 1))).astype(np.float32)
+        order = np.lexsort((langs[own], at))
+        first[size] = np.searchsorted(at[order], np.arange(len(known[size]) + 1))
+        lang_of[size] = langs[own][order].astype(np.int32)
+        added[size] = np.log(2.0 * counts[own][order] + 1).astype(np.float32)  # log((count + 0.5) / 0.5)
+        total = np.bincount(langs[own], weights=counts[own], minlength=len(names))
+        base[size] = np.log(0.5 / (total + 0.5 * (len(known[size]) + 1)))
     size = np.array([many[x] for x in names], float)
-    return Model(names, np.log(size / size.sum()), known, logs)
+    return Model(names, np.log(size / size.sum()), known, base, first, lang_of, added)
 
 
 def _predict(batches: Iterator[pa.RecordBatch], shared: Broadcast) -> Iterator[pa.RecordBatch]:
@@ -189,7 +205,9 @@ def _predict(batches: Iterator[pa.RecordBatch], shared: Broadcast) -> Iterator[p
         )
 
 
-def languages_of(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", sample: int = SAMPLE) -> DataFrame:
+def languages_of(
+    documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", sample: int = SAMPLE, languages: int | None = None, sample_of_all: int = SAMPLE_OF_ALL
+) -> DataFrame:
     """Per document: doc_id, held_out, lang_pred and score (0 to 1).
 
     Only rows whose crc32(id as text) mod 3 is not 1 and whose lang is not null train (see ``train``).
@@ -200,7 +218,7 @@ def languages_of(documents: DataFrame, id_column: str = "doc_id", text_column: s
     out and does not train; an empty table gives an empty table; extra columns are ignored.
     """
     held = F.coalesce(F.pmod(crc32_of_id("doc_id"), F.lit(3)) == 1, F.lit(False))
-    model = train(documents.where(F.pmod(crc32_of_id(id_column), F.lit(3)) != 1), id_column, text_column, lang_column, sample)
+    model = train(documents.where(F.pmod(crc32_of_id(id_column), F.lit(3)) != 1), id_column, text_column, lang_column, sample, languages, sample_of_all)
     small_batches(documents.sparkSession)
     shared = documents.sparkSession.sparkContext.broadcast(model)
     rows = documents.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))

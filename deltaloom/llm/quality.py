@@ -172,22 +172,26 @@ def _fit_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(documents: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "quality", sample: int = SAMPLE) -> Model:
-    """Fit on at most ``sample`` labelled rows, those whose ids hash lowest; one task fits, as the sample is bounded.
+    """Fit on at most ``sample`` labelled documents, those whose ids hash lowest; one task fits, as the sample is bounded.
 
-    Rows without an id or label are no training rows; of an id with several labels the smallest counts.
+    Rows without an id or label are no training rows, nor are labels without a document; of an id with several
+    labels the smallest counts, of one with several texts the first in order.
     """
     small_batches(documents.sparkSession)
+    there = documents.select(F.col(id_column).alias("doc_id")).where("doc_id IS NOT NULL").distinct()
     chosen = (
         labels.select(F.col(id_column).alias("doc_id"), F.col(label_column).cast("int").alias("label"))
         .where("doc_id IS NOT NULL AND label IS NOT NULL")
         .groupBy("doc_id")
         .agg(F.min("label").alias("label"))
+        .join(there, "doc_id")
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(sample)
     )
     hold = F.pmod(F.xxhash64("doc_id", F.lit("hold")), F.lit(HOLD)) == 0
-    # at most ``sample`` rows are broadcast
-    rows = documents.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")
+    # at most ``sample`` rows are broadcast; a repeated id is one row before it is shuffled
+    rows = documents.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")).join(F.broadcast(chosen), "doc_id")
+    rows = rows.groupBy("doc_id", "label").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
     one = rows.repartition(1).sortWithinPartitions("doc_id", "text").select("text", "label", hold.alias("hold"))
     got = one.mapInArrow(_fit_task, "weights binary, rest array<double>").first()
     if got is None:  # no labelled rows

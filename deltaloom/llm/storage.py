@@ -99,15 +99,15 @@ def spread(rows: DataFrame, table: DataFrame, key: str, table_key: str, other: s
     return dealt.join(copies, (F.col(key) == F.col(table_key)) & (F.col("part") == F.col("part_of"))).drop("part", "part_of", table_key)
 
 
-def id_bounds(ids: DataFrame, range_rows: int, most: int) -> tuple[np.ndarray, int | None, int]:
+def id_bounds(ids: DataFrame, range_rows: int, most: int, fewest: int = 1) -> tuple[np.ndarray, int | None, int]:
     """Bounds that cut the rows (one column, an id) to ranges of about ``range_rows`` rows; the least id; and the rows without one.
 
     A bound is an id, the first of its range; the least id is none.  Beyond ``most`` ranges, ranges
-    have more rows.  The driver gets some forty ids a range, those whose hash is lowest.
+    have more rows; below ``fewest``, they have fewer, though not under 256.  The driver gets some forty ids a range, those whose hash is lowest.
     """
     name = ids.columns[0]
     least, n, known = ids.agg(F.min(name), F.count("*"), F.count(name)).first()
-    ranges = min(most, known // range_rows + 1)
+    ranges = min(most, max(known // range_rows + 1, min(fewest, known // 256 + 1)))
     share = 40 * ranges / max(known, 1)
     chosen = ids.where(F.col(name).isNotNull())
     if share < 1:

@@ -24,7 +24,7 @@ from deltaloom.llm import arrays, bpe
 from deltaloom.llm.storage import id_bounds, small_batches
 
 SCHEMA = "doc_id long, part int, local_start long, n_tokens long, ids array<int>"
-#: Documents of one file, about, and files at most; a file is written as a stream.
+#: Documents of one file, about (fewer where there would be fewer files than cores), and files at most; a file is written as a stream.
 FILE_ROWS, FILES = 20_000, 100_000
 
 
@@ -70,7 +70,7 @@ def write_tokens(
     """
     small_batches(documents.sparkSession)
     rows = documents.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    bounds, _, _ = id_bounds(rows.select("doc_id"), file_rows, FILES)
+    bounds, _, _ = id_bounds(rows.select("doc_id"), file_rows, FILES, documents.sparkSession.sparkContext.defaultParallelism)
 
     @F.pandas_udf("int")
     def file_of(ids: pd.Series) -> pd.Series:

@@ -392,7 +392,7 @@ def test_language_is_the_definition_s(spark, documents, prose):
 def test_languages_are_bounded_by_parameters(spark, documents, prose):
     rows = [(i, prose(10, i), f"l{i % 40}", "s") for i in range(200)]
     model = language.train(documents(rows), languages=5, sample_of_all=10)
-    assert len(model.languages) == 5 and model.logs[0].shape[1] == 5
+    assert len(model.languages) == 5 == len(model.base[0]) and model.lang[0].max() < 5
     many = language.train(documents(rows))
     assert len(many.languages) == 40
     text = next(iter(arrays.blocks(pa.array([rows[0][1], rows[7][1]]))))

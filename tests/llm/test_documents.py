@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import zlib
 
 import pytest
 
@@ -138,6 +139,39 @@ def test_language(spark, documents, prose, odd_rows):
     assert language.languages_of(documents([])).count() == 0
 
 
+def test_many_languages_are_all_learned(spark, documents, prose):
+    """600 languages of a few documents each, in a model that grows with its entries and not with languages times words."""
+    r = random.Random(6)
+    words = {k: ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(8)) for _ in range(12)] for k in range(600)}
+    rows = [(i, " ".join(r.choice(words[i % 600]) for _ in range(15)), f"l{i % 600:03}", "s") for i in range(3000)]
+    got = language.languages_of(documents(rows)).collect()
+    learned = {f"l{i % 600:03}" for i in range(3000) if zlib.crc32(str(i).encode()) % 3 != 1}
+    assert {x.lang_pred for x in got} == learned and len(learned) > 590 and sum(x.lang_pred == f"l{x.doc_id % 600:03}" for x in got) > 0.99 * len(got)
+    model = language.train(documents(rows))
+    assert sum(map(len, model.lang.values())) < 3 * sum(map(len, model.known.values())) < 10**6
+    assert {x.lang_pred for x in language.languages_of(documents(rows), languages=5).collect()} == {f"l{i:03}" for i in range(5)}
+
+
+def test_one_document_an_id_trains(spark, documents, prose):
+    """Labels without documents use up no sample, and an id with very many rows is one training row."""
+    rows, labels = labelled(spark, prose)
+    absent = spark.createDataFrame([(10**6 + i, i % 2) for i in range(5000)], "doc_id long, quality int")
+    few = quality.train(documents(rows), labels.union(absent), sample=160)
+    alone = quality.train(documents(rows), labels, sample=160)
+    assert (few.weights == alone.weights).all() and few.bias == alone.bias and few.slope == alone.slope
+    many = quality.train(documents(rows + [rows[0]] * 10_000), labels, sample=160)
+    assert (many.weights == alone.weights).all() and many.offset == alone.offset
+
+
+def test_passages_without_ids_are_sampled_like_others(spark, documents, prose, monkeypatch):
+    monkeypatch.setattr(decontaminate, "SAMPLE", 100)
+    texts = [(None if i % 2 else i, prose(40, 7000 + i), "en", "s") for i in range(2000)]
+    same = [(7, t, la, s) for _, t, la, s in texts]
+    for rows in (texts, same):
+        n = decontaminate.sampled_passages(documents(rows), 4000, "doc_id", "text").count()
+        assert 30 < n < 300
+
+
 def mixing_rows(prose, odd_rows):
     """Rows whose languages occur in all large sources, so that shares of both can be set."""
     rows = [(i, prose(30, i), "en" if i % 4 else "de", f"s{min(i % 7, 2)}") for i in range(300)]

@@ -35,3 +35,11 @@ def test_payloads_beyond_a_broadcast(spark, monkeypatch):
     rows = [*PAGES, (20, "http://a/b", "y" * (17 << 20)), (21, "http://a/c", "y" * (17 << 20))]
     got = warc.archived(pages(spark, rows), new_path(spark, "warc")).collect()
     assert sorted((r.page_id or -1, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to or -1) for r in got) == expected(rows)
+
+
+def test_ranges_are_as_many_as_cores(spark):
+    ids = spark.range(10_000).toDF("id")
+    assert len(storage.id_bounds(ids, 20_000, 100)[0]) == 0
+    assert len(storage.id_bounds(ids, 20_000, 100, 8)[0]) == 7
+    assert len(storage.id_bounds(ids.where("id < 600"), 20_000, 100, 8)[0]) == 2
+    assert len(storage.id_bounds(ids, 1_000, 5, 3)[0]) == 4 and len(storage.id_bounds(ids.where("false"), 1_000, 5, 8)[0]) == 0
