@@ -231,15 +231,17 @@ def neighbours(edges_: DataFrame, changed: DataFrame, depth: int = DEPTH, revers
     """Rows (object_key, edge columns): for each changed object (object_key) the edges at most ``depth`` steps away.
 
     Forwards, edges leave a node; in reverse, they name it as their target or one of their candidates.
-    Only resolved edges are followed further, and no node is visited twice.
+    Only resolved edges are followed further, and no node is visited twice.  Edges are distinct, as ``edges`` gives
+    them: the first step then needs no shuffle of what it finds.
     """
     if not 0 <= depth <= 2:
         raise ValueError("depth must be between 0 and 2")
-    at = edges_.select(F.explode("to_candidates").alias("node"), "*") if reverse else edges_.select(F.col("from_object").alias("node"), "*")
+    at = edges_.select(F.explode(F.array_distinct("to_candidates")).alias("node"), "*") if reverse else edges_.select(F.col("from_object").alias("node"), "*")
     front = seen = changed.select("object_key", F.col("object_key").alias("node")).distinct()
     chosen = None
     for level in range(depth):
-        step = front.join(at, "node").drop("node").distinct()
+        step = front.join(at, "node").drop("node")
+        step = step.distinct() if level else step  # later, several nodes lead to one edge
         chosen = step if chosen is None else chosen.unionByName(step).distinct()
         if level + 1 < depth:
             onward = F.col("from_object") if reverse else F.element_at("to_candidates", 1)
@@ -409,12 +411,17 @@ def for_all(parts: DataFrame, targets: DataFrame, group: str, on: list[str], mos
 
 
 def selected_context(edges_: DataFrame, quota: int = 8) -> DataFrame:
-    """Edges of the three planes (column ``side``), the first ``quota`` of each side and object by relation priority, with omissions counted."""
+    """Edges of the three planes (column ``side``), the first ``quota`` of each side and object by relation priority, with omissions counted.
+
+    Each task keeps ``quota`` rows of an object and side, and counts the others, before anything is shuffled: an
+    object of a million edges sends as much as one of a few.
+    """
     rank = F.create_map(*[F.lit(x) for pair in PRIORITY.items() for x in pair])[F.col("relation")]
     target = "to_label" if "to_label" in edges_.columns else "to_object"
     w = Window.partitionBy("object_key", "side").orderBy(rank, target, "from_object", "relation")
-    numbered = edges_.withColumn("rank", F.row_number().over(w)).withColumn("omitted", F.greatest(F.count("*").over(Window.partitionBy("object_key", "side")) - quota, F.lit(0)))
-    return numbered.where(F.col("rank") <= quota)
+    first = edges_.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= quota)
+    counts = edges_.groupBy(F.col("object_key").alias("key_"), F.col("side").alias("side_")).agg(F.greatest(F.count("*") - quota, F.lit(0)).alias("omitted"))
+    return first.join(counts, F.col("object_key").eqNullSafe(F.col("key_")) & F.col("side").eqNullSafe(F.col("side_"))).drop("key_", "side_")
 
 
 def context_evidence(selected: DataFrame, old_evidence: DataFrame, new_evidence: DataFrame) -> DataFrame:
