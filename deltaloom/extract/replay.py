@@ -128,14 +128,17 @@ def with_contexts(found: DataFrame, files: DataFrame, default_schema: str | None
     sha256, text) that a table takes from other files, in order; empty for all else.
     """
     place = F.concat_ws("\x1f", "object_key", "path", F.col("ordinal").cast("string"))
-    others = files.where("text IS NOT NULL").join(found.select("path").distinct(), "path", "left_anti").where(F.lower("path").endswith(".sql"))
-    others = others.where(F.upper("text").rlike(r"ALTER\s+TABLE|COMMENT\s+ON"))
+    none = F.array().cast("array<struct<path:string,sha256:string,text:string>>")
+    others = files.where(F.col("text").isNotNull() & F.lower("path").endswith(".sql") & F.upper("text").rlike(r"ALTER\s+TABLE|COMMENT\s+ON"))
+    if others.isEmpty():  # no plan for what isn't there
+        said = files.sparkSession.createDataFrame([], "table_parts array<string>, path string, n long, text string, start long, end long, definition string, reason string")
+        return found.withColumn("context", none), said
+    others = others.join(found.select("path").distinct(), "path", "left_anti")
     said = context_statements(others, default_schema)
     kinds = found.where("object_type = 'TABLE'").select(place.alias("definition"), F.array(part_key(F.col("raw_schema"), F.col("schema_quoted")), part_key(F.col("raw_name"), F.col("name_quoted"))).alias("table_parts"))
     said = checkpointed(attached(said, kinds))
     taken = said.where("reason IS NULL").groupBy("definition").agg(F.sort_array(F.collect_list(F.struct("path", "n", F.sha2("text", 256).alias("sha256"), "text"))).alias("context"))
     taken = taken.select(F.col("definition").alias("place_"), F.transform("context", lambda x: F.struct(x["path"].alias("path"), x["sha256"].alias("sha256"), x["text"].alias("text"))).alias("context"))
-    none = F.array().cast("array<struct<path:string,sha256:string,text:string>>")
     return found.join(taken, place == F.col("place_"), "left").withColumn("context", F.coalesce("context", none)).drop("place_"), said
 
 

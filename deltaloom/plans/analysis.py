@@ -59,6 +59,11 @@ def diagnostics(found: DataFrame) -> DataFrame:
 
 def order_facts(old_files: DataFrame, new_files: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
     """Rows (object_key, before, after): places of definitions that changed places in files that are fully read and have the same definitions."""
+    several = [d.groupBy("path").agg(F.count("*").alias("n")).where("n > 1").select("path") for d in (old, new)]
+    several = checkpointed(several[0].join(several[1], "path", "left_semi"))
+    if several.isEmpty():
+        return several.select(F.col("path").alias("object_key"), F.lit("").alias("before"), F.lit("").alias("after"))
+    old_files, new_files, old, new = (df.join(several, "path", "left_semi") for df in (old_files, new_files, old, new))
     whole = [scan.file_inventory(f).where("parse_status = 'parsed'").select("path") for f in (old_files, new_files)]
     sides = [d.join(w, "path", "left_semi").select("path", "object_key", "ordinal") for d, w in zip((old, new), whole)]
     moved = diff.reordered(*sides, "path", "object_key", "ordinal")
