@@ -96,12 +96,14 @@ def big_integer_sign(before: Column, after: Column) -> Column:
 
 #: Digits of a limb: sums and differences of two fit a long.
 LIMB = 17
+#: Digits of a decimal.
+DECIMAL = 38
 
 
 def signed_difference(before: Column, after: Column) -> Column:
     """``after`` less ``before`` with its sign (+0 for none), exact for integers of any length; null unless both are integers.
 
-    Magnitudes are cut to limbs of ``LIMB`` digits, added or subtracted limb by limb with a carry, and put together again.
+    Two integers of fewer than ``DECIMAL`` digits are subtracted as decimals.  Longer magnitudes are cut to limbs of ``LIMB`` digits, added or subtracted limb by limb with a carry, and put together again.
     """
     pattern = r"^\s*[+-]?[0-9]+\s*$"
 
@@ -129,4 +131,9 @@ def signed_difference(before: Column, after: Column) -> Column:
     add = minus_a != minus_b
     size = combined(F.when(a_larger, a).otherwise(b), F.when(a_larger, b).otherwise(a), add)
     negative = F.when(a_larger, minus_a).otherwise(~minus_b) & (size != "0")
-    return F.when(before.rlike(pattern) & after.rlike(pattern), F.concat(F.when(negative, "-").otherwise("+"), size))
+    # up to 37 digits the difference fits a decimal of 38
+    short = rf"^\s*[+-]?0*[0-9]{{1,{DECIMAL - 1}}}\s*$"
+    number = lambda x: F.trim(x).try_cast(f"decimal({DECIMAL},0)")
+    less = number(after) - number(before)
+    signed = F.concat(F.when(less < 0, "").otherwise("+"), less.cast("string"))
+    return F.when(before.rlike(short) & after.rlike(short), signed).when(before.rlike(pattern) & after.rlike(pattern), F.concat(F.when(negative, "-").otherwise("+"), size))

@@ -113,3 +113,13 @@ def test_budgets_and_profiles(spark):
             fits = [(n, fixed + sum(sizes[: t.get("size", 0)])) for n, t in profiles]
             want[g] = next((x for x in fits if x[1] <= limit), (None, None))
         assert {r.g: (r.profile, r.bytes) for r in ranking.size_profile(rows, ["g"], [F.col("i")], profiles, fixed, limit).collect()} == want
+
+
+def test_signed_difference_at_the_length_of_decimals(spark):
+    """The same results on both sides of the 37 digits that are subtracted as decimals, with any white space around."""
+    rows = [("\t1", "2", "+1"), ("2", " 1\n", "-1"), ("-0", "000", "+0"), ("x", "1", None), (None, "1", None)]
+    for n in (36, 37, 38, 39):
+        for b, a in (("9" * n, "-" + "9" * n), ("-" + "9" * n, "+" + "9" * n), ("0" * 40 + "9" * n, "1" * n), ("1", "1" + "0" * (n - 1))):
+            rows.append((b, a, f"{int(a) - int(b):+d}"))
+    got = spark.createDataFrame(rows, "b string, a string, want string").withColumn("got", identity.signed_difference(F.col("b"), F.col("a"))).collect()
+    assert [x.got for x in got] == [x.want for x in got]
