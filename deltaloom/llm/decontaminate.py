@@ -2,8 +2,8 @@
 
 Texts are cut to overlapping windows of words.  Windows and benchmark passages are TF-IDF vectors
 over 2**BITS hashed words (document frequencies from all passages of all documents), projected to the
-leading right singular vectors of a passage matrix, which a randomised SVD finds in a few passes of
-distributed products.  Windows whose cosine with a benchmark passage in that latent space reaches
+leading right singular vectors of the matrix of all passages of all documents and the benchmark, which
+a randomised SVD finds in a few passes of distributed products.  Windows whose cosine with a benchmark passage in that latent space reaches
 ``COSINE`` are candidates; these are verified by the longest common subsequence of words, and where
 that alone does not decide (paraphrases), by the answer words.
 
@@ -29,14 +29,13 @@ from deltaloom.llm import arrays
 from deltaloom.llm.storage import small_batches, written
 
 BITS = 14
-#: Dimensions of the latent space, extra directions of the random sketch, and power iterations.
+#: Dimensions of the latent space, extra directions of the random start, and products A'(A Q) over all passages.
 RANK, EXTRA, POWERS = 64, 8, 2
 #: Window lengths in words; a window starts each quarter of its length.  Longer benchmark passages are cut.
 LENGTHS = (32, 64)
 #: Overlapping passages of LENGTHS[0] words of a longer item start each so many words.
 STRIDE = 16
-#: Passages of documents that the SVD is fitted on, about, beside the benchmark's: those whose hash is lowest of the
-#: passages of the documents whose ids hash lowest, anywhere in a text.
+#: Passages that ``sampled_passages`` draws, about; no model is fitted on them.
 SAMPLE = 16_000
 COSINE = 0.42
 #: A passage is found if so much of it is a common subsequence; or less, if so many of its answer words are there too.
@@ -49,8 +48,10 @@ BLOCK_WORDS, SCAN = 16 << 10, 32
 TEXT_BYTES, SEGMENT = 8 << 20, 1 << 16
 #: Words that two segments of a text share: the longest window with its margins on both sides, and its grid.
 OVERLAP = 2 * LENGTHS[-1]
-#: Tasks that hold the sample; row blocks in which their products are added up.
-PARTS, ROW_BLOCKS = 4, 16
+#: Passages of a row of the written passages; entries (word and passage) that a task multiplies at a time; row blocks in which products are added up.
+ROW_PASSAGES, ENTRIES, ROW_BLOCKS = 64, 1 << 19, 16
+#: Entries of a row or column that are multiplied as one small matrix, and so many matrices at a time.
+WIDTH, MATRICES = 32, 256
 U = np.uint64
 
 _INSIDE = np.zeros(256, bool)
@@ -74,25 +75,48 @@ def _passages(count: np.ndarray, first: np.ndarray, doc: np.ndarray) -> tuple[np
     return (np.arange(len(doc)) - first[doc]) // LENGTHS[0] + np.concatenate(([0], np.cumsum(cuts)[:-1]))[doc], cuts
 
 
+def _entries(passage: np.ndarray, word: np.ndarray) -> pa.RecordBatch:
+    """Passages (their numbers from 0 on, for each word) as rows of ``ROW_PASSAGES``: different buckets of each passage, the buckets, and how often each is there."""
+    own, times = np.unique(passage << BITS | bucket(word), return_counts=True)
+    sizes = np.bincount(own >> BITS)
+    cut = np.arange(0, len(sizes) + ROW_PASSAGES, ROW_PASSAGES).clip(max=len(sizes))
+    cut = np.unique(cut)
+    at = np.concatenate(([0], np.cumsum(sizes)))[cut]
+    column = lambda values, offs: pa.BinaryArray.from_buffers(pa.binary(), len(cut) - 1, [None, pa.py_buffer(offs.astype(np.int32)), pa.py_buffer(values)])
+    return pa.RecordBatch.from_arrays([column(sizes.astype(np.uint8), cut), column((own & (1 << BITS) - 1).astype(np.uint16), 2 * at), column(times.astype(np.uint8), at)], names=["sizes", "buckets", "times"])
+
+
+def _text_entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for a, b, data, offs in arrays.blocks(batch.column(0)):
+            word, doc = words_of(data, offs)
+            if len(word):
+                yield _entries(_passages(*arrays.counts_by_doc(doc, b - a), doc)[0], word)
+
+
+def _list_entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        lists = batch.column(0)
+        offs = lists.offsets.to_numpy()
+        word = lists.values.to_numpy(zero_copy_only=False)[offs[0] : offs[-1]].view(U)
+        if len(word):
+            yield _entries(np.repeat(np.arange(len(lists)), np.diff(offs)), word)
+
+
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Passages that have a word of each bucket, and (bucket -1) all passages, added up over the task."""
     total, n = np.zeros(1 << BITS, np.int64), 0
     for batch in batches:
-        for a, b, data, offs in arrays.blocks(batch.column(0)):
-            word, doc = words_of(data, offs)
-            if not len(word):
-                continue
-            passage, cuts = _passages(*arrays.counts_by_doc(doc, b - a), doc)
-            own = np.unique(passage << BITS | bucket(word))
-            total += np.bincount(own & (1 << BITS) - 1, minlength=1 << BITS)
-            n += int(cuts.sum())
+        for sizes, buckets in zip(batch.column(0), batch.column(1)):
+            total += np.bincount(np.frombuffer(buckets.as_buffer(), np.uint16), minlength=1 << BITS)
+            n += sizes.as_buffer().size
     at = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(total[at], n))], names=["bucket", "n"])
 
 
-def idf(documents: DataFrame, text_column: str) -> tuple[np.ndarray, int]:
+def idf(entries: DataFrame) -> tuple[np.ndarray, int]:
     """Inverse passage frequency of each bucket, and the number of passages; the driver gets at most 2**BITS + 1 sums."""
-    table = documents.select(text_column).mapInArrow(_frequencies, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    table = entries.select("sizes", "buckets").mapInArrow(_frequencies, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     at, n = table.column(0).to_numpy(), table.column(1).to_numpy()
     seen = np.zeros(1 << BITS)
     seen[at[at >= 0]] = n[at >= 0]
@@ -149,23 +173,36 @@ def passages_of(benchmark: DataFrame, weights: np.ndarray, item_column: str, ite
     return cut.withColumn("block", F.pmod(F.xxhash64("item", "number", "words"), F.lit(n)).cast("int")), n
 
 
-def _vectors(row: np.ndarray, word: np.ndarray, n: int, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Unit TF-IDF rows of word lists: row, column and value of each entry (repeats add up)."""
-    key, inverse = np.unique(row << BITS | bucket(word), return_inverse=True)
-    row, column = key >> BITS, key & (1 << BITS) - 1
-    value = np.bincount(inverse, minlength=len(key)) * weights[column]
-    norm = np.sqrt(np.bincount(row, weights=value**2, minlength=n))
-    return row, column, value / np.maximum(norm, 1e-12)[row]
+def _sums(key: np.ndarray, other: np.ndarray, value: np.ndarray, table: np.ndarray, n: int) -> np.ndarray:
+    """For each key (ascending) the sum of value * table[other]: n rows, as products of small matrices of ``WIDTH`` entries."""
+    starts = np.flatnonzero(np.diff(key, prepend=-1))
+    size = np.diff(np.append(starts, len(key)))
+    groups = -(-size // WIDTH)
+    first = np.concatenate(([0], np.cumsum(groups)))
+    slot = np.arange(len(key)) + np.repeat(first[:-1] * WIDTH - starts, size)
+    at, factor = np.zeros(first[-1] * WIDTH, np.int64), np.zeros(first[-1] * WIDTH, np.float32)
+    at[slot], factor[slot] = other, value
+    at, factor = at.reshape(-1, WIDTH), factor.reshape(-1, 1, WIDTH)
+    got = np.empty((len(at), 1, table.shape[1]), np.float32)
+    rows = np.empty((MATRICES, WIDTH, table.shape[1]), np.float32)
+    for a in range(0, len(at), MATRICES):
+        b = min(a + MATRICES, len(at))
+        np.take(table, at[a:b], axis=0, out=rows[: b - a], mode="clip")
+        np.matmul(factor[a:b], rows[: b - a], out=got[a:b])
+    got, out, alone = got[:, 0], np.zeros((n, table.shape[1]), np.float32), groups == 1
+    out[key[starts[alone]]] = got[first[:-1][alone]]
+    for k in np.flatnonzero(~alone).tolist():
+        out[key[starts[k]]] = got[first[k] : first[k + 1]].sum(axis=0)
+    return out
 
 
 def gram_product(row: np.ndarray, column: np.ndarray, value: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """A'(A right) for a sparse A, in slices of the columns of ``right``."""
-    out = np.zeros(right.shape, np.float32)
-    n = int(row.max()) + 1 if len(row) else 0
-    for j in range(right.shape[1]):
-        y = np.bincount(row, weights=value * right[column, j], minlength=n)
-        out[:, j] = np.bincount(column, weights=value * y[row], minlength=len(right))
-    return out
+    """A'(A right) for a sparse A with entries by ascending row."""
+    if not len(row):
+        return np.zeros(right.shape, np.float32)
+    middle = _sums(row, column, value, right, int(row[-1]) + 1)
+    order = np.argsort(column.astype(np.uint16), kind="stable")
+    return _sums(column[order], row[order], value[order], middle, len(right))
 
 
 def _sample(batches: Iterator[pa.RecordBatch], share: float) -> Iterator[pa.RecordBatch]:
@@ -191,17 +228,28 @@ def sampled_passages(documents: DataFrame, passages: int, id_column: str, text_c
     return documents.where(place < of_documents).select(text_column).mapInArrow(lambda batches: _sample(batches, of_passages), "words array<long>")
 
 
-def _products(batches: Iterator[pa.RecordBatch], right: Broadcast, weights: np.ndarray, scale: dict[bool, float]) -> Iterator[pa.RecordBatch]:
-    """Rows (own, words) to their part of A'(A right), in row blocks."""
-    total = np.zeros(right.value.shape, np.float32)
+def _products(batches: Iterator[pa.RecordBatch], right: Broadcast, weights: np.ndarray, scale: float) -> Iterator[pa.RecordBatch]:
+    """Written passages to their part of A'(A right) (unit TF-IDF rows, times scale), in row blocks."""
+    total = np.zeros(right.value.shape, np.float64)
+
+    def multiplied(rows: list[tuple[np.ndarray, ...]]) -> None:
+        sizes, column, times = (np.concatenate(x) for x in zip(*rows))
+        row, column = np.repeat(np.arange(len(sizes)), sizes), column.astype(np.int64)
+        value = times * weights[column]
+        norm = np.sqrt(np.bincount(row, weights=value**2, minlength=len(sizes)))
+        np.add(total, gram_product(row, column, (value / np.maximum(norm, 1e-12)[row]).astype(np.float32), right.value), out=total)
+
+    rows, n = [], 0
     for batch in batches:
-        lists = batch.column(1)
-        offs = lists.offsets.to_numpy()
-        word = lists.values.to_numpy(zero_copy_only=False)[offs[0] : offs[-1]].view(U)
-        each = np.array([scale[x] for x in batch.column(0).to_pylist()]) ** 0.5
-        row, column, value = _vectors(np.repeat(np.arange(len(lists)), np.diff(offs)), word, len(lists), weights)
-        total += gram_product(row, column, value * each[row], right.value)
-    blocks = np.split(total, ROW_BLOCKS)
+        for each in zip(*batch.columns):
+            rows.append(tuple(np.frombuffer(x.as_buffer(), t) for x, t in zip(each, (np.uint8, np.uint16, np.uint8))))
+            n += len(rows[-1][1])
+            if n >= ENTRIES:
+                multiplied(rows)
+                rows, n = [], 0
+    if rows:
+        multiplied(rows)
+    blocks = np.split((total * scale).astype(np.float32), ROW_BLOCKS)
     yield pa.RecordBatch.from_arrays([pa.array(np.arange(ROW_BLOCKS, dtype=np.int32)), pa.array([x.tobytes() for x in blocks], pa.binary())], names=["block", "product"])
 
 
@@ -214,29 +262,38 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["block", "product"])
 
 
-def singular_vectors(sample: DataFrame, weights: np.ndarray) -> np.ndarray:
-    """Leading right singular vectors of the sample's (own: benchmark's or not) passages, both kinds weighed alike.
+def singular_vectors(parts: list[tuple[DataFrame, int]], weights: np.ndarray) -> np.ndarray:
+    """Leading right singular vectors of the passages of several tables (entries, and their number), all tables weighed alike.
 
     Halko, Martinsson and Tropp's randomised range finder with power iterations: each step is one
-    distributed product A'(A Q), whose parts are added up on the executors in ``ROW_BLOCKS`` blocks of
-    rows; the driver gets the one sum, 2**BITS rows of RANK + EXTRA numbers.
+    distributed product A'(A Q) over all passages, whose parts are added up on the executors in
+    ``ROW_BLOCKS`` blocks of rows; the driver gets the one sum, 2**BITS rows of RANK + EXTRA numbers.  The
+    vectors are those of the Nystroem approximation that the last product gives (Tropp, Yurtsever, Udell
+    and Cevher), which is as near as one power iteration more.
     """
-    context = sample.sparkSession.sparkContext
-    scale = {own: 1 / n for own, n in sample.groupBy("own").count().collect()}
+    context = parts[0][0].sparkSession.sparkContext
     right = np.linalg.qr(np.random.default_rng(11).standard_normal((1 << BITS, RANK + EXTRA)))[0].astype(np.float32)
-    for step in range(POWERS + 1):
+    for step in range(POWERS):
         shared = context.broadcast(right)
-        parts = sample.mapInArrow(lambda batches, q=shared: _products(batches, q, weights, scale), "block int, product binary")
-        got = parts.repartition(ROW_BLOCKS, "block").mapInArrow(_added, "block int, product binary").toArrow()
+        products = None
+        for entries, n in parts:
+            own = entries.mapInArrow(lambda batches, q=shared, c=1 / max(n, 1): _products(batches, q, weights, c), "block int, product binary")
+            products = own if products is None else products.union(own)
+        got = products.repartition(ROW_BLOCKS, "block").mapInArrow(_added, "block int, product binary").toArrow()
         shared.destroy()
         total = np.zeros((ROW_BLOCKS, right.size // ROW_BLOCKS), np.float32)
         for k, raw in zip(got.column(0).to_pylist(), got.column(1).to_pylist()):
             total[k] = np.frombuffer(raw, np.float32)
         total = total.reshape(right.shape)
-        if step < POWERS:
+        if step < POWERS - 1:
             right = np.linalg.qr(total)[0]
-    values, turn = np.linalg.eigh(right.T @ total)
-    return (right @ turn[:, np.argsort(-values)[:RANK]]).astype(np.float32)
+    right, total = right.astype(np.float64), total.astype(np.float64)
+    shift = 1e-6 * np.linalg.norm(total)  # keeps the core positive; it is taken off no value, as only the vectors are used
+    total = total + shift * right
+    core = right.T @ total
+    values, turn = np.linalg.eigh((core + core.T) / 2)
+    half = turn / np.sqrt(np.maximum(values, shift / 2))
+    return np.linalg.svd(total @ half, full_matrices=False)[0][:, :RANK].astype(np.float32)
 
 
 def common_subsequences(masks: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -413,12 +470,14 @@ def _scans(documents: DataFrame, benchmark: DataFrame, id_column: str, text_colu
     """Broadcast blocks of passages, for each scan of the documents; and the broadcast latent vectors of the buckets."""
     spark = documents.sparkSession
     small_batches(spark)
-    weights, n_passages = idf(documents, text_column)
+    binary = "sizes binary, buckets binary, times binary"
+    entries = written(documents.select(text_column).mapInArrow(_text_entries, binary), "entries")
+    weights, n_passages = idf(entries)
     passages, n_blocks = passages_of(benchmark, weights, item_column, item_text, answer_column)
     if passages.isEmpty():
         return [], None
-    sample = sampled_passages(documents, n_passages, id_column, text_column).select(F.lit(False).alias("own"), "words").union(passages.select(F.lit(True), "words"))
-    vectors = singular_vectors(written(sample.repartition(PARTS), "sample"), weights)
+    asked = written(passages.select("words").mapInArrow(_list_entries, binary), "entries")
+    vectors = singular_vectors([(entries, n_passages), (asked, passages.count())], weights)
     scaled = np.vstack((vectors * weights[:, None].astype(np.float32), np.zeros((1, vectors.shape[1]), np.float32)))  # and no word
     scans = []
     for low in range(0, n_blocks, SCAN):

@@ -402,3 +402,29 @@ def test_languages_are_bounded_by_parameters(spark, documents, prose):
         assert np.allclose(many.predict(text[2], text[3])[1], whole[1])
     finally:
         language.CELLS = kept
+
+
+def test_latent_space_is_of_all_passages(spark, documents, prose, monkeypatch):
+    """The vectors hold what the best ones of the matrix of all passages hold, however few ``sampled_passages`` would draw."""
+    monkeypatch.setattr(decontaminate, "SAMPLE", 10)
+    rows = [(i, prose(40 + i % 90, 3000 + i) + f" topic{i % 150}" * 9, "en", "s") for i in range(900)]
+    benchmark = spark.createDataFrame([(k, prose(30, 100 + k)) for k in range(5)], "item_id long, text string")
+    _, scaled = decontaminate._scans(documents(rows), benchmark, "doc_id", "text", "item_id", "text", None)
+
+    words = decontaminate._split(pa.array([x[1] for x in rows]))
+    passages = [w[a : a + 32] for w in words for a in range(0, len(w), 32)]
+    asked = [w[a:b] for w in decontaminate._split(benchmark.toArrow().column(1).combine_chunks()) for a, b in decontaminate.cuts(len(w))]
+    size = 1 << decontaminate.BITS
+    seen = sum(np.bincount(np.unique(decontaminate.bucket(p)), minlength=size) for p in passages)
+    weights = np.log((len(passages) + 1) / (seen + 1)) + 1e-3
+    used = np.unique(np.concatenate([decontaminate.bucket(p) for p in passages + asked]))
+
+    def matrix(lists):
+        out = np.array([np.bincount(decontaminate.bucket(p), minlength=size)[used] for p in lists]) * weights[used]
+        return out / np.linalg.norm(out, axis=1, keepdims=True) / len(lists) ** 0.5
+
+    whole = np.vstack((matrix(passages), matrix(asked)))
+    vectors = scaled.value[:-1] / weights[:, None]
+    assert np.allclose(vectors.T @ vectors, np.eye(decontaminate.RANK), atol=1e-3)
+    best = np.linalg.svd(whole, compute_uv=False)[: decontaminate.RANK]
+    assert np.linalg.norm(whole @ vectors[used]) ** 2 > 0.96 * (best**2).sum()
