@@ -19,11 +19,15 @@ def occurrences(files: DataFrame, default_schema: Column | str | None = None, ke
 
     A definition reaches from its header to the next header or the end of the file.  A text is cut to
     pieces once; definitions are joined from their pieces before they become rows, so that no row
-    carries the text of others, and places are running sums of the definitions' own lengths.
+    carries the text of others, and places are running sums of the definitions' own lengths.  Files are
+    dealt before they are cut: many of them can come from one small partition, and cutting is the work.
     """
     schema = F.lit(default_schema).cast("string") if not isinstance(default_schema, Column) else default_schema
     own = [F.col(k) for k in keys]
-    rows = files.where("text IS NOT NULL").select(*own, schema.alias("default_schema"), sqltext.tokens(F.col("text")).alias("pieces"))
+    # a header has the word, so other texts needn't be cut
+    rows = files.where("text IS NOT NULL").where(F.contains(F.upper("text"), F.lit("CREATE"))).select(*own, schema.alias("default_schema"), "text")
+    rows = rows.repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    rows = rows.select(*own, "default_schema", sqltext.tokens(F.col("text")).alias("pieces"))
     rows = rows.withColumn("seen", sqltext.seen_tokens(F.col("pieces")))
     rows = rows.select(*own, "default_schema", "pieces", sqltext.headers(F.col("seen")).alias("heads"), sqltext.trigger_states(F.col("seen")).alias("states"))
 

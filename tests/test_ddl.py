@@ -219,3 +219,13 @@ def test_identity(spark):
     assert one(spark, identity.big_integer_sign(F.col("t"), F.lit("007")), "7") == 0
     key = one(spark, identity.fact_id(F.col("t"), F.lit("f"), F.array(F.lit("a"))), "k")
     assert key == "fact-" + hashlib.sha256(b'["k","f",["a"]]').hexdigest()[:32]
+
+
+def test_files_are_dealt_before_they_are_cut(spark):
+    one_partition = spark.range(40).coalesce(1).selectExpr("concat('f', id) AS path", "concat('CREATE SEQUENCE s', id, ' CACHE 2;') AS text")
+    found = scan.occurrences(one_partition).where("object_type = 'SEQUENCE'")
+    cut = found.withColumn("p", F.spark_partition_id())
+    assert cut.count() == 40 and cut.select("p").distinct().count() == 4
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.index("regexp_extract_all") < plan.index("Exchange")  # the plan's last step stands first
+    assert {r.path for r in scan.occurrences(files(spark, a="create view v as select 1 from t;", b="ALTER TABLE t ADD x DATE;")).collect()} == {"a"}
