@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from deltaloom.extract import replay, tables
-from deltaloom.extract.tokens import clauses, code_tokens, first_at, span, text_of, unpivoted
+from deltaloom.extract.tokens import clauses, code_tokens, dealt, first_at, span, text_of, unpivoted
 from deltaloom.functions import identity, sqltext
 
 #: Sequence options, by the words before their number; by a word with a number and one without; by one of two words.
@@ -70,6 +70,7 @@ def sequence_options(definitions: DataFrame, text: str = "fragment") -> DataFram
 def indexes(definitions: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
     """One row an index: target, unique, kind, keys, directions, and its clauses by name."""
     whole = Window.partitionBy("definition")
+    definitions = dealt(definitions) if tokens is None else definitions
     tokens = code_tokens(definitions) if tokens is None else tokens
     up, i = F.col("up"), F.col("i")
     tokens = tokens.withColumn("index_at", first_at(up == "INDEX", whole))
@@ -119,6 +120,7 @@ def views(definitions: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
     whole = Window.partitionBy("definition")
     order = whole.orderBy("i")
     up, i, tok = F.col("up"), F.col("i"), F.col("tok")
+    definitions = dealt(definitions) if tokens is None else definitions
     tokens = code_tokens(definitions) if tokens is None else tokens
     tokens = tokens.withColumn("view_at", first_at(up == "VIEW", whole))
     tokens = tokens.withColumn("as_at", first_at((up == "AS") & (i > F.col("view_at")), whole))
@@ -138,7 +140,8 @@ def views(definitions: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
     starts = top.select("definition", name.alias("property"), place.alias("at"), "query_end").where("property IS NOT NULL")
     worded = lambda k: F.coalesce(F.col(f"b{k}.up").isin(*JOIN_WORDS), F.lit(False))
     join_at = F.when(worded(1) & worded(2) & worded(3), F.col("b3.place")).when(worded(1) & worded(2), F.col("b2.place")).when(worded(1), F.col("b1.place")).otherwise(place)
-    joins = top.where(up == "JOIN").select("definition", F.lit("join").alias("property"), join_at.alias("at"), "query_end")
+    is_join = up == "JOIN"
+    ends = top.select("definition", F.when(is_join, "join").otherwise(name).alias("property"), F.when(is_join, join_at).otherwise(place).alias("at"), "query_end").where("property IS NOT NULL")
 
     def segments(rows: DataFrame) -> DataFrame:
         end = F.coalesce(F.lead("at.before_end").over(Window.partitionBy("definition").orderBy("at.i")), F.col("query_end"))
@@ -146,10 +149,11 @@ def views(definitions: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
 
     over = query.where((tok == ")") | ((up == "OVER") & (F.col("prv") == ")") & (F.col("nxt") == "(")))
     over = over.withColumn("next", F.lead(F.struct("tok", "end")).over(Window.partitionBy("definition", "depth").orderBy("i"))).where((up == "OVER") & (F.col("next.tok") == ")"))
-    parts = segments(starts).unionByName(segments(starts.unionByName(joins)).where("property = 'join'"))
+    parts = segments(starts).unionByName(segments(ends).where("property = 'join'"))
     parts = parts.unionByName(over.select("definition", F.lit("analytic").alias("property"), i.alias("n"), F.col("start").alias("from"), F.col("next.end").alias("to")))
     with_ = top.where((i == F.col("select_at")) & (i > F.col("query_at"))).select("definition", F.lit("with_clause").alias("property"), i.alias("n"), F.col("query_start").alias("from"), F.col("before_end").alias("to"))
-    texts = parts.unionByName(with_).join(definitions.select("definition", "fragment"), "definition")
+    # dealt anew behind the union: its parts come from one shuffle, but their numbers of partitions may differ by then
+    texts = parts.unionByName(with_).repartition("definition").join(definitions.select("definition", "fragment"), "definition")
     texts = texts.select("definition", "property", "n", F.trim(F.substring("fragment", F.col("from") + 1, F.col("to") - F.col("from"))).alias("value"))
     listed = texts.groupBy("definition", "property").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "value"))), lambda x: x["value"]), " | ").alias("value"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from deltaloom.extract.tokens import clauses, code_tokens, first_at, span, text_of
+from deltaloom.extract.tokens import clauses, code_tokens, dealt, first_at, span, text_of
 from deltaloom.functions import identity
 
 #: Words that end a column's type, and words that start a constraint item.
@@ -45,6 +45,7 @@ def columns(definitions: DataFrame, marked: DataFrame | None = None, first_only:
     whole = Window.partitionBy("definition", "position")
     top = F.col("depth") == 1
     up, i = F.col("up"), F.col("i")
+    definitions = dealt(definitions) if marked is None else definitions
     rows = items(definitions, marked).where(~F.col("first_word").isin(CONSTRAINT_WORDS))
     ends_type = top & (F.col("k") > 1) & (up.isin(AFTER_TYPE) | ((up == "AS") & (F.col("nxt") == "(")))
     rows = rows.withColumn("after_type", F.coalesce(first_at(ends_type, whole), F.lit(2**31 - 1)))

@@ -12,6 +12,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from deltaloom.functions import sqltext
+from deltaloom.state.cache import checkpointed
+
+#: Bytes of text whose tokens are sorted in one task, about.
+PART_BYTES = 1 << 20
+
+
+def dealt(definitions: DataFrame, text: str = "fragment", key: str = "definition") -> DataFrame:
+    """The definitions (key, text), written once and dealt by key in parts of bounded bytes.
+
+    Texts are shuffled here, before they are cut: tokens, of which there are many times as many bytes,
+    stay where their text is, and a task has the tokens of so many bytes however large the table is.
+    """
+    rows = checkpointed(definitions.select(key, text))
+    size = rows.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
+    if size <= PART_BYTES:
+        return rows.repartition(key)
+    return rows.repartition(max(-(-size // PART_BYTES), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))), key)
 
 
 def code_tokens(definitions: DataFrame, text: str = "fragment", key: str = "definition", keep: tuple[str, ...] = ()) -> DataFrame:

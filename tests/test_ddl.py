@@ -229,3 +229,12 @@ def test_files_are_dealt_before_they_are_cut(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and plan.index("regexp_extract_all") < plan.index("Exchange")  # the plan's last step stands first
     assert {r.path for r in scan.occurrences(files(spark, a="create view v as select 1 from t;", b="ALTER TABLE t ADD x DATE;")).collect()} == {"a"}
+
+
+def test_many_views_and_their_joins(spark, monkeypatch):
+    # texts, not tokens, are shuffled in parts of bounded bytes, and a clause ends a join in any part
+    monkeypatch.setattr(tokens, "PART_BYTES", 1000)
+    views = spark.range(300).selectExpr("id AS definition", "concat('CREATE VIEW v AS SELECT a FROM t JOIN u ON t.x = ', id, ' WHERE b = 1;') AS fragment")
+    assert tokens.dealt(views).rdd.getNumPartitions() == -(-sum(len(r.fragment) for r in views.collect()) // 1000)
+    got = {(r.definition, r.property): r.value for r in objects.views(views).collect()}
+    assert all(got[i, "join"] == f"JOIN u ON t.x = {i}" and got[i, "where"] == "WHERE b = 1" for i in range(300)) and len(got) == 4 * 300
