@@ -15,8 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from deltaloom.extract import tables
-from deltaloom.extract.tokens import code_tokens
-from deltaloom.functions import identity
+from deltaloom.functions import identity, sqltext
 from deltaloom.state.cache import checkpointed
 
 #: Statements that a table takes from other files, and bytes of such a file, at most.
@@ -48,6 +47,31 @@ def part_key(raw: Column, quoted: Column) -> Column:
     return F.when(quoted, F.concat(F.lit("Q:"), raw)).otherwise(F.concat(F.lit("U:"), F.upper(raw)))
 
 
+def _heads(t: Column) -> tuple[Column, Column]:
+    """Whether a statement's tokens begin an ALTER TABLE, and a COMMENT ON."""
+    word = lambda k: F.get(t, F.lit(k))["up"]
+    return (word(0) == "ALTER") & (word(1) == "TABLE"), (word(0) == "COMMENT") & (word(1) == "ON") & word(2).isin("TABLE", "COLUMN")
+
+
+def _action(t: Column) -> Column:
+    """The place (from 1) of a statement's action or IS among its tokens, 0 if there is none."""
+    alter, comment = _heads(t)
+    place = lambda words, first: F.array_position(F.transform(t, lambda x, k: F.coalesce(x["up"].isin(*words) & (k >= first), F.lit(False))), True)
+    return F.when(alter, place(ACTIONS, 2)).when(comment, place(["IS"], 3)).cast("int")
+
+
+def _meaning(t: Column, at: Column) -> list[Column]:
+    """Fields kind and parts of a statement's tokens whose action is at that place."""
+    alter, comment = _heads(t)
+    first = F.when(alter, 3).otherwise(4)
+    names = F.filter(F.slice(t, first, F.greatest(at - first, F.lit(0))), lambda x: x["tok"] != ".")
+    kind = F.when(alter & (at > 0), F.element_at(t, F.greatest(at, F.lit(1)).cast("int"))["up"]).when(comment & (at > 0), F.concat(F.lit("COMMENT "), F.get(t, F.lit(2))["up"])).when(alter, "NONE").when(comment, "NO VALUE")
+    # without an action the table's name is what stands before the statement goes on
+    bare = F.filter(F.slice(t, 3, 3), lambda x: x["tok"] != ".")
+    parts = F.transform(F.when(at > 0, names).otherwise(bare), lambda x: identity.component_key(x["tok"]))
+    return [kind.alias("kind"), parts.alias("parts")]
+
+
 def statements(tokens: DataFrame, texts: DataFrame) -> DataFrame:
     """Rows (definition, n, kind, parts, at, t, text) of the statements of code tokens, cut at the outer ``;``.
 
@@ -58,19 +82,9 @@ def statements(tokens: DataFrame, texts: DataFrame) -> DataFrame:
     ends = (F.col("tok") == ";") & (F.col("depth") == 0)
     numbered = tokens.withColumn("n", F.coalesce(F.sum(ends.cast("int")).over(before), F.lit(0))).where(~ends & (F.col("tok") != "/"))
     listed = numbered.groupBy("definition", "n").agg(F.sort_array(F.collect_list(F.struct("i", "tok", "up", "depth", "start", "end"))).alias("t"))
-    word = lambda k: F.get("t", F.lit(k))["up"]
-    alter = (word(0) == "ALTER") & (word(1) == "TABLE")
-    comment = (word(0) == "COMMENT") & (word(1) == "ON") & word(2).isin("TABLE", "COLUMN")
-    place = lambda words, first: F.array_position(F.transform("t", lambda x, k: F.coalesce(x["up"].isin(*words) & (k >= first), F.lit(False))), True)
-    at = F.when(alter, place(ACTIONS, 2)).when(comment, place(["IS"], 3))
-    first = F.when(alter, 3).otherwise(4)
-    names = F.filter(F.slice("t", first, F.greatest(F.col("at") - first, F.lit(0))), lambda x: x["tok"] != ".")
-    kind = F.when(alter & (F.col("at") > 0), F.element_at("t", F.greatest("at", F.lit(1)).cast("int"))["up"]).when(comment & (F.col("at") > 0), F.concat(F.lit("COMMENT "), word(2))).when(alter, "NONE").when(comment, "NO VALUE")
-    rows = listed.withColumn("at", at.cast("int")).withColumn("kind", kind)
-    # without an action the table's name is what stands before the statement goes on
-    bare = F.filter(F.slice("t", 3, 3), lambda x: x["tok"] != ".")
-    parts = F.transform(F.when(F.col("at") > 0, names).otherwise(bare), lambda x: identity.component_key(x["tok"]))
-    joined = rows.withColumn("parts", parts).join(texts.select("definition", "fragment"), "definition")
+    rows = listed.withColumn("at", _action(F.col("t")))
+    rows = rows.select("*", *_meaning(F.col("t"), F.col("at")))
+    joined = rows.join(texts.select("definition", "fragment"), "definition")
     a, b = F.get("t", F.lit(0))["start"], F.element_at("t", -1)["end"]
     return joined.select("definition", "n", "kind", "parts", "at", "t", a.alias("start"), b.alias("end"), F.substring("fragment", a + 1, b - a).alias("text"))
 
@@ -81,16 +95,35 @@ def context_statements(files: DataFrame, default_schema: str | None = None) -> D
     A file with any other statement, or a name of more than two parts, or without a schema where there is
     no default, has none.
     """
-    texts = files.where(F.octet_length("text") <= FILE_BYTES).select(F.col("path").alias("definition"), F.col("text").alias("fragment"))
-    said = statements(code_tokens(texts), texts)
-    named = F.when(F.col("kind") == "COMMENT COLUMN", F.slice("parts", 1, F.greatest(F.size("parts") - 1, F.lit(0)))).otherwise(F.col("parts"))
+    rows = files.where(F.octet_length("text") <= FILE_BYTES).select("path", sqltext.tokens(F.col("text")).alias("pieces"))
+    seen = F.transform("pieces", lambda t, i: F.struct(i.alias("piece"), t.alias("tok"), F.upper(t).alias("up")))
+    rows = rows.withColumn("seen", F.filter(seen, lambda x: ~x["tok"].rlike(r"^(?:[ \t\r\n\f\x0B]|--|/\*)")))
+    rows = rows.withColumn("ends", F.filter(F.transform("seen", lambda x, k: F.when(x["tok"] == ";", k)), lambda k: k.isNotNull()))
+    # the depth at a ; is that at the one before, and what opens between the two
+    opened = lambda a, b: F.aggregate(F.slice("seen", a + 1, b - a), F.lit(0), lambda d, x: d + F.when(x["tok"] == "(", 1).when(x["tok"] == ")", -1).otherwise(0))
+    depths = F.transform("ends", lambda k, j: opened(F.coalesce(F.get("ends", j - 1), F.lit(-1)) + 1, k))
+    depths = F.aggregate(depths, F.array().cast("array<int>"), lambda all_, d: F.concat(all_, F.array(F.coalesce(F.try_element_at(all_, F.lit(-1)), F.lit(0)) + d)))
+    depths = F.when(F.exists("seen", lambda x: x["tok"].isin("(", ")")), depths).otherwise(F.transform("ends", lambda k: F.lit(0)))
+    rows = rows.withColumn("depths", depths)
+    rows = rows.withColumn("ends", F.filter("ends", lambda k, j: F.get("depths", j) == 0))
+    stops = F.concat("ends", F.array(F.size("seen")))
+    begin = lambda n: F.coalesce(F.get("ends", n - 1), F.lit(-1)) + 1
+    said = F.transform(stops, lambda k, n: F.struct(n.cast("long").alias("n"), F.filter(F.slice("seen", begin(n) + 1, k - begin(n)), lambda x: x["tok"] != "/").alias("t")))
+    rows = rows.withColumn("said", F.filter(said, lambda s: F.size(s["t"]) > 0))
+    rows = rows.withColumn("said", F.transform("said", lambda s: F.struct(s["n"].alias("n"), s["t"].alias("t"), _action(s["t"]).alias("at"))))
+    rows = rows.withColumn("said", F.transform("said", lambda s: F.struct(s["n"].alias("n"), s["t"].alias("t"), s["at"].alias("at"), *_meaning(s["t"], s["at"]))))
     schema = F.lit(default_schema).cast("string")
-    whole = F.when(F.size(named) == 2, named).when((F.size(named) == 1) & schema.isNotNull(), F.concat(F.array(F.concat(F.lit("U:"), F.upper(schema))), named))
-    good = F.col("kind").isNotNull() & (F.col("at") > 0) & whole.isNotNull()
-    said = said.withColumn("table_parts", F.when(good, whole))
-    whole_file = Window.partitionBy("definition")
-    said = said.withColumn("all_good", F.min(F.col("table_parts").isNotNull()).over(whole_file)).where("all_good")
-    return said.select(F.col("definition").alias("path"), "n", "table_parts", "text", "start", "end")
+
+    def table_parts(s: Column) -> Column:
+        named = F.when(s["kind"] == "COMMENT COLUMN", F.slice(s["parts"], 1, F.greatest(F.size(s["parts"]) - 1, F.lit(0)))).otherwise(s["parts"])
+        whole = F.when(F.size(named) == 2, named).when((F.size(named) == 1) & schema.isNotNull(), F.concat(F.array(F.concat(F.lit("U:"), F.upper(schema))), named))
+        return F.when(s["kind"].isNotNull() & (s["at"] > 0), whole)
+
+    before = lambda s: F.array_join(F.slice("pieces", 1, s["t"][0]["piece"]), "")
+    text = lambda s: F.array_join(F.slice("pieces", s["t"][0]["piece"] + 1, F.element_at(s["t"], -1)["piece"] - s["t"][0]["piece"] + 1), "")
+    rows = rows.withColumn("said", F.transform("said", lambda s: F.struct(s["n"].alias("n"), table_parts(s).alias("table_parts"), text(s).alias("text"), F.length(before(s)).cast("long").alias("start"))))
+    rows = rows.select("path", F.explode(F.when(F.forall("said", lambda s: s["table_parts"].isNotNull()), F.col("said"))).alias("s")).select("path", "s.*")
+    return rows.withColumn("end", F.col("start") + F.length("text"))
 
 
 def attached(said: DataFrame, found: DataFrame, most: int = MOST) -> DataFrame:
@@ -102,11 +135,12 @@ def attached(said: DataFrame, found: DataFrame, most: int = MOST) -> DataFrame:
     all files whose tables are not waited for by an earlier undecided file, the first file in any case.
     """
     targets = found.groupBy("table_parts").agg(F.count("*").alias("tables"), F.min("definition").alias("definition"))
-    met = said.join(targets, "table_parts", "left")
+    # names and numbers alone decide; texts are met by the decisions in the end
+    met = said.groupBy("path", "table_parts").agg(F.count("*").alias("c")).join(targets, "table_parts", "left")
     of_file = Window.partitionBy("path")
     unfit = F.when(F.col("tables").isNull(), "UNKNOWN_TABLE").when(F.col("tables") > 1, "AMBIGUOUS_TABLE")
     met = checkpointed(met.withColumn("reason", F.max(unfit).over(of_file)))
-    counts = met.where("reason IS NULL").groupBy("path", "definition").agg(F.count("*").alias("c"))
+    counts = met.where("reason IS NULL").groupBy("path", "definition").agg(F.sum("c").alias("c"))
     state = checkpointed(counts.withColumn("taken", F.lit(None).cast("boolean")))
     earlier = Window.partitionBy("definition").orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
     while not state.where("taken IS NULL").isEmpty():
@@ -117,8 +151,9 @@ def attached(said: DataFrame, found: DataFrame, most: int = MOST) -> DataFrame:
         decided = per.select("path", F.when(F.col("fails"), False).when(F.col("fits"), True).alias("now")).where("now IS NOT NULL")
         state = checkpointed(state.join(decided, "path", "left").select("path", "definition", "c", F.coalesce("taken", "now").alias("taken")))
     refused = state.where("NOT taken").select("path").distinct().withColumn("over", F.lit(True))
-    out = met.join(refused, "path", "left")
-    return out.withColumn("reason", F.coalesce("reason", F.when(F.col("over"), "TOO_MANY_STATEMENTS"))).drop("over", "tables")
+    decided = met.join(refused, "path", "left")
+    decided = decided.select("path", "table_parts", "definition", F.coalesce("reason", F.when(F.col("over"), "TOO_MANY_STATEMENTS")).alias("reason"))
+    return said.join(decided, ["path", "table_parts"])
 
 
 def with_contexts(found: DataFrame, files: DataFrame, default_schema: str | None = None) -> tuple[DataFrame, DataFrame]:
@@ -133,10 +168,11 @@ def with_contexts(found: DataFrame, files: DataFrame, default_schema: str | None
     if others.isEmpty():  # no plan for what isn't there
         said = files.sparkSession.createDataFrame([], "table_parts array<string>, path string, n long, text string, start long, end long, definition string, reason string")
         return found.withColumn("context", none), said
+    found = checkpointed(found)
     others = others.join(found.select("path").distinct(), "path", "left_anti")
-    said = context_statements(others, default_schema)
+    said = checkpointed(context_statements(others.repartition("path"), default_schema))
     kinds = found.where("object_type = 'TABLE'").select(place.alias("definition"), F.array(part_key(F.col("raw_schema"), F.col("schema_quoted")), part_key(F.col("raw_name"), F.col("name_quoted"))).alias("table_parts"))
-    said = checkpointed(attached(said, kinds))
+    said = attached(said, kinds)
     taken = said.where("reason IS NULL").groupBy("definition").agg(F.sort_array(F.collect_list(F.struct("path", "n", F.sha2("text", 256).alias("sha256"), "text"))).alias("context"))
     taken = taken.select(F.col("definition").alias("place_"), F.transform("context", lambda x: F.struct(x["path"].alias("path"), x["sha256"].alias("sha256"), x["text"].alias("text"))).alias("context"))
     return found.join(taken, place == F.col("place_"), "left").withColumn("context", F.coalesce("context", none)).drop("place_"), said

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from deltaloom.extract import objects as extract
 from deltaloom.extract import replay
 from deltaloom.extract import tables as extract_tables
-from deltaloom.extract.tokens import code_tokens
+from deltaloom.extract.tokens import code_tokens, dealt
 from deltaloom.functions import canonical, identity, sqltext
 from deltaloom.operators import diff, graph, pages, ranking, rollup, scan, units, validate
 from deltaloom.plans import history
@@ -770,6 +770,7 @@ def q66_altered_tables(t):
     files = _altered_files(t)
     found, _ = replay.with_contexts(scan.occurrences(files), files)
     found = found.select(F.regexp_extract("path", "([0-9]+)", 1).cast("long").alias("definition"), replay.with_statements(F.col("fragment"), F.col("context")).alias("fragment"))
+    found = dealt(found)
     got = replay.replayed(found, code_tokens(found))
     refused = got.diagnostics.where("code = 'ALTER_TABLE_DROP_UNSUPPORTED'").select("definition", F.lit(True).alias("refused")).distinct()
     rows = got.columns.join(got.comments.withColumnRenamed("value", "comment_text"), ["definition", "component"], "left").join(refused, "definition", "left")

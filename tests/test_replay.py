@@ -169,3 +169,14 @@ def test_analysis_of_statements_and_diagnostics(spark):
         ("before", "old_context.sql", None), ("after", "other_add.sql", None), ("after", "many.sql", "TOO_MANY_STATEMENTS"), ("after", "lost.sql", "UNKNOWN_TABLE")
     }
     assert got.report.count() == len(objects)
+
+
+def test_statements_of_files_are_cut_without_a_shuffle(spark):
+    text = "-- é\nALTER TABLE a.t ADD (x NUMBER CHECK (x > (1; 2)), y DATE);;\n/\nCOMMENT ON TABLE a.t IS ';'"
+    said = replay.context_statements(spark.createDataFrame([("f", text), ("g", ";;"), ("h", "ALTER TABLE a.t ADD (x DATE; ALTER TABLE a.t ADD y DATE;")], "path string, text string"))
+    assert "Exchange" not in said._jdf.queryExecution().executedPlan().toString()
+    got = sorted((r.path, r.n, r.text, text[r.start : r.end] == r.text) for r in said.collect())
+    assert got == [
+        ("f", 0, "ALTER TABLE a.t ADD (x NUMBER CHECK (x > (1; 2)), y DATE)", True), ("f", 2, "COMMENT ON TABLE a.t IS ';'", True),
+        ("h", 0, "ALTER TABLE a.t ADD (x DATE; ALTER TABLE a.t ADD y DATE;", False),
+    ]
