@@ -17,10 +17,11 @@ Sets are named by 128 bits, of which rows of chunks carry the first half (sets t
 candidates); a link is verified on 64-bit names of shingles.
 
 Equal sets are one class from the start, in which no pairs are made.  Within the sets of a chunk, each
-is first paired with one pivot; where a chunk's sets are then not all connected, those outside meet
-a few more (``ROUNDS``), and only for what is still apart the remaining pairs are taken.  A pair is verified on its sets only if its sizes and the Hamming distance of its
-whole sketches allow the similarity.  Thus large groups of near copies make few pairs, and few sets
-are shuffled.  Hot chunks, pivots and sets are split by salting.
+is first paired with one pivot; only for chunks whose sets are then not all connected, the remaining
+pairs are taken, each in about one of the chunks that its sets share (``LEAST_KEYS``).  A pair is
+verified on its sets only if its sizes and the Hamming distance of its whole sketches allow the
+similarity.  Thus large groups of near copies make few pairs, and few sets are shuffled.  Hot chunks,
+pivots and sets are split by salting.
 
 Texts are read to find the sets, once more to cut them to chunks (so that chunks are not stored), and
 those of candidates once more to verify them.
@@ -49,8 +50,8 @@ SEEDS = 3
 HOT = 131_072
 SAMPLE = 64
 SALTS = 64
-#: Rounds in which sets outside their key's largest component meet so many sets of it and as many others, before all remaining pairs are taken.
-ROUNDS, REPRESENTATIVES = 2, 4
+#: Of its keys whose sets are not all connected, a set carries so many, the least, to meet a partner in few of those they share.
+LEAST_KEYS = 8
 #: Sets of a task that it remembers having given keys for.
 REMEMBERED = 1_000_000
 
@@ -298,25 +299,25 @@ def _near(num: int, den: int) -> Column:
     return sizes & (apart * (den + num) <= (F.col("size1") + F.col("size2")) * (den - num))
 
 
-def _met_again(member: DataFrame, labelled: DataFrame, step: int, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) that sizes and sketches allow, of sets outside their key's largest component with some sets of the key.
+def _remaining(member: DataFrame, mixed: DataFrame, labelled: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of sets of different components that share a key and that sizes and sketches allow, most of them once.
 
-    ``member`` has the sets (set_id, comp) of keys with several components and the largest of these (top).
-    A set meets those of least hash, by ``REPRESENTATIVES`` hashes that are new in each step, of the
-    largest component and of the others; the same sets for many keys, so that pairs are few.
+    ``mixed`` has the keys of several components, the largest of these (top) and in how many parts the
+    sets outside it meet all sets of the key; ``member`` has the keys' sets.  Two sets of different
+    components meet once in each such key that they share, as one of them is outside.  Each carries
+    its ``LEAST_KEYS`` least keys, and where a lesser key is among both sets' they have met there.
     """
-    seeds = range(step * REPRESENTATIVES, (step + 1) * REPRESENTATIVES)
-    inside = F.col("comp") == F.col("top")
-    least = lambda own, k: F.min(F.when(own, F.struct(F.xxhash64("set_id", F.lit(k)).alias("h"), "set_id")))["set_id"].alias(f"r{k}{own is inside}")
-    chosen = member.groupBy("key").agg(*[least(own, k) for k in seeds for own in (inside, ~inside)])
-    chosen = chosen.select(F.col("key").alias("key_of"), F.array(*chosen.columns[1:]).alias("others"))
-    outside = member.where(~inside).select("key", "set_id")
-    pairs = spread(outside, chosen, "key", "key_of", "set_id", outside.count()).select("set_id", F.explode(F.array_distinct("others")).alias("other"))
-    pairs = _pairs(pairs, "set_id", "other")
-    side = lambda i: labelled.select(F.col("set_id").alias(f"id{i}"), *[F.col(c).alias(f"{c}{i}") for c in ("comp", "size", "sketch")])
-    n = pairs.count()
-    both = spread(spread(pairs, side(1), "a", "id1", "b", n), side(2), "b", "id2", "a", n)
-    return both.where((F.col("comp1") != F.col("comp2")) & _near(num, den)).select("a", "b")
+    member = member.join(mixed, "key")
+    least = member.groupBy("set_id").agg(F.slice(F.array_sort(F.collect_list("key")), 1, LEAST_KEYS).alias("keys"))
+    member = member.join(least.join(labelled.select("set_id", "size", "sketch"), "set_id"), "set_id")
+    columns = ("set_id", "comp", "size", "sketch", "keys")
+    one = member.where("comp <> top").select("key", F.pmod(F.xxhash64("set_id"), F.col("parts")).cast("int").alias("part"), *[F.col(c).alias(f"{c}1") for c in columns])
+    two = member.select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), (F.col("comp") == F.col("top")).alias("inside"), *[F.col(c).alias(f"{c}2") for c in columns])
+    met = (F.col("one.key") == F.col("two.key")) & (F.col("one.part") == F.col("two.part")) & (F.col("comp1") != F.col("comp2"))
+    once = F.col("inside") | (F.col("set_id1") < F.col("set_id2"))  # two sets outside meet from both sides
+    here = F.coalesce(F.array_min(F.array_intersect("keys1", "keys2")) >= F.col("one.key"), F.lit(True))
+    joined = one.alias("one").join(two.alias("two"), met & once & _near(num, den) & here)
+    return joined.select(F.least("set_id1", "set_id2").alias("a"), F.greatest("set_id1", "set_id2").alias("b"))
 
 
 def jaccard_join(documents: DataFrame, n_words: int = 5, num: int = 80, den: int = 100, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -365,36 +366,17 @@ def jaccard_join(documents: DataFrame, n_words: int = 5, num: int = 80, den: int
     first = spread(spread(first, side(1), "a", "half", "b", n), side(2), "b", "half", "a", n).where(_near(num, den))
     first = scratch.written(_pairs(first, "set_id1", "set_id2"), "pairs")
     links = _verified(first, nodes, texts, n_words, num, den, scratch)
-    chunks = shared.select("key", "a").distinct()
-    for step in range(ROUNDS + 1):
-        comps = components(links, written=scratch.written)
-        labelled = nodes.join(comps.withColumnRenamed("node", "set_id"), "set_id", "left").select(F.col("set_id.a").alias("a"), "set_id", F.coalesce("comp", "set_id").alias("comp"), "size", "sketch")
-        labelled = scratch.written(labelled, "labelled")
-        # keys whose sets are not all connected
-        member = scratch.written(chunks.join(labelled.select("a", "set_id", "comp"), "a").drop("a"), "members")
-        per = member.groupBy("key", "comp").agg(F.count("*").alias("n"))
-        mixed = per.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("top"), F.count("*").alias("parts"), (F.sum("n") - F.max("n")).alias("outside")).where("parts > 1")
-        mixed = scratch.written(mixed.select("key", "top", F.ceil(F.col("outside") / 256).cast("int").alias("parts")), "mixed")
-        if step == ROUNDS:
-            break
-        more = scratch.written(_met_again(member.join(mixed, "key"), labelled, step, num, den).join(first, ["a", "b"], "left_anti"), "pairs")
-        if more.isEmpty():
-            break
-        first = first.unionByName(more)
-        found = _verified(more, nodes, texts, n_words, num, den, scratch)
-        if found.isEmpty():
-            break
-        links = links.union(found)
-
-    # the rest of the pairs: each set outside the key's largest component meets all sets of the key; where many are outside, in parts
-    member = member.join(mixed, "key").join(labelled.select("set_id", "size", "sketch"), "set_id")
-    columns = ("set_id", "comp", "size", "sketch")
-    one = member.where("comp <> top").select("key", F.pmod(F.xxhash64("set_id"), F.col("parts")).cast("int").alias("part"), *[F.col(c).alias(f"{c}1") for c in columns])
-    two = member.select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("comp").eqNullSafe(F.col("top")).alias("inside"), *[F.col(c).alias(f"{c}2") for c in columns])
-    met = (F.col("one.key") == F.col("two.key")) & (F.col("one.part") == F.col("two.part")) & (F.col("comp1") != F.col("comp2"))
-    once = F.col("inside") | (F.col("set_id1") < F.col("set_id2"))  # two sets outside meet from both sides
-    joined = one.alias("one").join(two.alias("two"), met & once & _near(num, den))
-    rest = scratch.written(_pairs(joined, "set_id1", "set_id2").join(first, ["a", "b"], "left_anti"), "pairs")
+    comps = components(links, written=scratch.written)
+
+    # keys whose sets are not all connected: the rest of the pairs
+    labelled = nodes.join(comps.withColumnRenamed("node", "set_id"), "set_id", "left").select(F.col("set_id.a").alias("a"), "set_id", F.coalesce("comp", "set_id").alias("comp"), "size", "sketch")
+    labelled = scratch.written(labelled, "labelled")
+    member = scratch.written(shared.select("key", "a").distinct().join(labelled.select("a", "set_id", "comp"), "a").drop("a"), "members")
+    per = member.groupBy("key", "comp").agg(F.count("*").alias("n"))
+    mixed = per.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("top"), F.count("*").alias("parts"), (F.sum("n") - F.max("n")).alias("outside")).where("parts > 1")
+    mixed = scratch.written(mixed.select("key", "top", F.ceil(F.col("outside") / 256).cast("int").alias("parts")), "mixed")
+    rest = _remaining(member, mixed, labelled, num, den).distinct().join(first, ["a", "b"], "left_anti")
+    rest = scratch.written(rest, "pairs")
     if not rest.isEmpty():
         links = links.union(_verified(rest, nodes, texts, n_words, num, den, scratch))
         comps = components(links, written=scratch.written)

@@ -65,6 +65,24 @@ def test_hot_chunks_are_salted(spark, documents, prose, monkeypatch):
     assert {x.component_id for x in got} == {0}
 
 
+def test_remaining_pairs_meet_about_once(spark, documents, prose, monkeypatch):
+    """Texts that are just not alike share many chunks; their pairs are not made in each of them, and no rounds are written."""
+    base, r, rows, made, tables = prose(400, 6).split(), random.Random(7), [], [], []
+    for i in range(24):
+        words = list(base)
+        for j in r.sample(range(len(words)), 5):
+            words[j] = f"edit{i}x{j}"
+        rows.append((i, " ".join(words), "en", "s"))
+    remaining, written = jaccard._remaining, jaccard.Scratch.written
+    monkeypatch.setattr(jaccard, "_remaining", lambda *a: made.append(remaining(*a)) or made[-1].cache())
+    monkeypatch.setattr(jaccard.Scratch, "written", lambda self, df, name: tables.append(name) or written(self, df, name))
+    got = jaccard.jaccard_join(documents(rows), 5, 80, 100).collect()
+    assert sorted((x.doc_id, x.n_shingles, x.component_id) for x in got) == brute_components(rows, 5, 80, 100)
+    pairs = made[0].distinct().count()
+    assert pairs > 40 and made[0].count() <= 2 * pairs
+    assert len([t for t in tables if t == "turned"]) <= 2 and len(tables) < 40
+
+
 def test_one_stays(spark, documents, odd_rows):
     docs = documents(odd_rows)
     got = jaccard.one_of_each_group(docs)
