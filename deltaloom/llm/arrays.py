@@ -17,6 +17,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 BLOCK_BYTES = 1 << 19
+#: Freed memory that a worker keeps between blocks.
+KEPT_BYTES = 1 << 26
+#: Parameters of the C library's mallopt.
+_TRIM_THRESHOLD, _MMAP_THRESHOLD = -1, -3
 U64 = np.uint64
 _STEP = 0x9E3779B97F4A7C15
 _POWERS: dict[str, np.ndarray] = {}
@@ -80,6 +84,17 @@ def give_back() -> None:
         trim(0)
 
 
+@lru_cache(1)
+def keep_memory() -> None:
+    """From now on this worker keeps up to ``KEPT_BYTES`` of freed memory until ``give_back``, so that arrays of the next block fault in no new pages."""
+    try:
+        mallopt = ctypes.CDLL(None).mallopt
+    except (OSError, AttributeError):  # another C library
+        return
+    mallopt(_MMAP_THRESHOLD, KEPT_BYTES // 4)
+    mallopt(_TRIM_THRESHOLD, KEPT_BYTES)
+
+
 @lru_cache(1)
 def _libc_trim():
     try:

@@ -50,6 +50,8 @@ TEXT_BYTES, SEGMENT = 8 << 20, 1 << 16
 OVERLAP = 2 * LENGTHS[-1]
 #: Passages of a row of the written passages; entries (word and passage) that a task multiplies at a time; row blocks in which products are added up.
 ROW_PASSAGES, ENTRIES, ROW_BLOCKS = 64, 1 << 19, 16
+#: Bits of a word's hash that name its slot in the table of a block's words; passages whose words are counted at a time; bytes of rows that are added up at a time.
+SLOT_BITS, COLUMNS, CACHED = 16, 1024, 1 << 18
 #: Entries of a row or column that are multiplied as one small matrix, and so many matrices at a time.
 WIDTH, MATRICES = 32, 256
 U = np.uint64
@@ -87,6 +89,7 @@ def _entries(passage: np.ndarray, word: np.ndarray) -> pa.RecordBatch:
 
 
 def _text_entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    arrays.keep_memory()
     for batch in batches:
         for a, b, data, offs in arrays.blocks(batch.column(0)):
             word, doc = words_of(data, offs)
@@ -230,6 +233,7 @@ def sampled_passages(documents: DataFrame, passages: int, id_column: str, text_c
 
 def _products(batches: Iterator[pa.RecordBatch], right: Broadcast, weights: np.ndarray, scale: float) -> Iterator[pa.RecordBatch]:
     """Written passages to their part of A'(A right) (unit TF-IDF rows, times scale), in row blocks."""
+    arrays.keep_memory()
     total = np.zeros(right.value.shape, np.float64)
 
     def multiplied(rows: list[tuple[np.ndarray, ...]]) -> None:
@@ -250,6 +254,7 @@ def _products(batches: Iterator[pa.RecordBatch], right: Broadcast, weights: np.n
     if rows:
         multiplied(rows)
     blocks = np.split((total * scale).astype(np.float32), ROW_BLOCKS)
+    arrays.give_back()
     yield pa.RecordBatch.from_arrays([pa.array(np.arange(ROW_BLOCKS, dtype=np.int32)), pa.array([x.tobytes() for x in blocks], pa.binary())], names=["block", "product"])
 
 
@@ -303,12 +308,45 @@ def common_subsequences(masks: np.ndarray, length: np.ndarray) -> np.ndarray:
     stretch of text; ``length`` is the passages' number of words.
     """
     row = np.full(len(masks), ~U(0))
+    hit, more = np.empty_like(row), np.empty_like(row)
     for t in range(masks.shape[1]):
-        hit = row & masks[:, t]
-        row = (row + hit) | (row - hit)
+        np.bitwise_and(row, masks[:, t], out=hit)
+        np.add(row, hit, out=more)
+        np.subtract(row, hit, out=row)
+        np.bitwise_or(row, more, out=row)
     return np.bitwise_count(~row & (~U(0) >> (U(64) - length.astype(U)))).astype(np.int64)
 
 
+def _piece_sums(table: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """For each piece (a column of places in the table) the sum of the table's rows, in the table's type; and one more row of zeros."""
+    step, n = at.shape
+    out = np.empty((n + 1, table.shape[1]), table.dtype)
+    out[n] = 0
+    size = max(1, CACHED // (table.shape[1] * table.itemsize))
+    rows = np.empty((size, table.shape[1]), table.dtype)
+    for a in range(0, n, size):
+        part = out[a : min(a + size, n)]
+        np.take(table, at[0, a : a + size], axis=0, out=part, mode="clip")
+        for each in at[1:, a : a + size]:
+            part += np.take(table, each, axis=0, out=rows[: len(part)], mode="clip")
+    return out
+
+
+def _runs(sums: np.ndarray, left: np.ndarray, longest: int) -> dict[int, np.ndarray]:
+    """Sums of 1, 2, 4, ... ``longest`` pieces from each piece on, or of the ``left`` ones up to its document's end; each with the row of zeros."""
+    out, n, wide = {1: sums}, len(left), 1
+    while wide < longest:
+        one, cut = out[wide], max(n - wide, 0)
+        two = np.empty_like(one)
+        np.add(one[:cut], one[wide : wide + cut], out=two[:cut])
+        two[cut:] = one[cut:]
+        short = np.flatnonzero(left <= wide)
+        two[short] = one[short]
+        wide *= 2
+        out[wide] = two
+    return out
+
+
 @dataclass
 class Passage:
     """A part of a benchmark item: its words in order, and the words its answer check asks for."""
@@ -324,6 +362,9 @@ class Search:
     def __init__(self, passages: list[Passage], scaled: np.ndarray):
         self.scaled = scaled
         self.vocabulary = np.unique(np.concatenate([p.words for p in passages]))
+        slot = (self.vocabulary >> U(64 - SLOT_BITS)).astype(np.int64)
+        self.slots = np.searchsorted(slot, np.arange(1 << SLOT_BITS)).astype(np.int32)  # each slot's first word of the vocabulary
+        self.in_slot = int(np.bincount(slot).max())
         self.groups = []
         for k, length in enumerate(LENGTHS):
             least = LENGTHS[k - 1] if k else 0
@@ -331,58 +372,57 @@ class Search:
             if own:
                 latent = np.stack([self.scaled[bucket(p.words)].sum(axis=0) for p in own])
                 latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
-                places = np.zeros((len(self.vocabulary) + 1, len(own)), U)  # words (and any other) by passages
+                places = np.zeros((len(own), len(self.vocabulary) + 1), U)  # passages by words (and any other)
                 for j, p in enumerate(own):
-                    np.bitwise_or.at(places[:, j], np.searchsorted(self.vocabulary, p.words), U(1) << np.arange(len(p.words), dtype=U))
-                self.groups.append((length, own, latent.astype(np.float32), places, (places > 0).astype(np.uint8), np.array([len(p.words) for p in own])))
+                    np.bitwise_or.at(places[j], np.searchsorted(self.vocabulary, p.words), U(1) << np.arange(len(p.words), dtype=U))
+                has = np.ascontiguousarray((places > 0).T.astype(np.uint8))
+                self.groups.append((length, own, latent.astype(np.float32), places, has, np.array([len(p.words) for p in own])))
 
     def known(self, word: np.ndarray) -> np.ndarray:
         """Numbers of the words in the vocabulary; its length for any other word."""
-        at = np.minimum(np.searchsorted(self.vocabulary, word), len(self.vocabulary) - 1)
-        return np.where(self.vocabulary[at] == word, at, len(self.vocabulary))
+        at = self.slots[(word >> U(64 - SLOT_BITS)).astype(np.int64)].astype(np.int64)
+        out = np.full(len(word), len(self.vocabulary))
+        for k in range(self.in_slot):
+            there = np.minimum(at + k, len(self.vocabulary) - 1)
+            np.copyto(out, there, where=self.vocabulary[there] == word)
+        return out
 
     def candidates(self, word: np.ndarray, known: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-        """For each window length: (group, documents, window starts, passages) of the pairs to verify."""
+        """For each window length: (group, documents, window starts, passages) of the pairs to verify, by passage."""
         step = LENGTHS[0] // 4
         count = np.diff(first)
         pieces = -(-count // step)  # runs of ``step`` words of each document
         piece_first = np.concatenate(([0], np.cumsum(pieces)))
-        if not piece_first[-1]:
+        n = int(piece_first[-1])
+        if not n:
             return
         doc = np.repeat(np.arange(len(count)), pieces)
-        starts = first[doc] + (np.arange(piece_first[-1]) - piece_first[doc]) * step
-        stops = first[doc + 1]
-        at = bucket(word)
-        sums = np.zeros((len(starts), self.scaled.shape[1]), np.float32)
-        for j in range(step):  # the j-th word of every piece
-            there = np.minimum(starts + j, len(word) - 1)
-            sums += self.scaled[np.where(starts + j < stops, at[there], 1 << BITS)]
-        total = np.concatenate((np.zeros((1, sums.shape[1])), np.cumsum(sums, axis=0, dtype=np.float64)))
+        place = np.arange(n) - piece_first[doc]
+        left = pieces[doc] - place
+        starts = first[doc] + place * step
+        there = starts + np.arange(step)[:, None]
+        ends = np.flatnonzero(left == 1)  # only the last piece of a document has fewer words
+        there[:, ends] = np.where(there[:, ends] < first[doc[ends] + 1], there[:, ends], len(word))
+        latent_runs = _runs(_piece_sums(self.scaled, np.append(bucket(word), 1 << BITS)[there]), left, LENGTHS[-1] // step)
+        there = known[there]
         for g, (length, own, latent, _, has, size) in enumerate(self.groups):
-            shared = np.zeros((len(starts), len(own)), np.uint8)  # words of each piece that each passage has
-            for j in range(step):
-                there = np.minimum(starts + j, len(word) - 1)
-                shared += has[np.where(starts + j < stops, known[there], len(self.vocabulary))]
-            wide, hop = length // step, max(1, length // 4 // step)
-            margin = length // 4 // step
-            place = np.arange(len(starts)) - piece_first[doc]
-            keep = (place % hop == 0) & ((place + wide <= pieces[doc] + hop - 1) | (place == 0))
-            chosen = np.flatnonzero(keep)
-            window = (total[np.minimum(chosen + wide, piece_first[doc[chosen] + 1])] - total[chosen]).astype(np.float32)
+            wide, margin = length // step, length // 4 // step
+            hop = max(1, margin)
+            chosen = np.flatnonzero((place % hop == 0) & ((left > wide - hop) | (place == 0)))
+            window = latent_runs[wide][chosen]
             window /= np.maximum(np.linalg.norm(window, axis=1, keepdims=True), 1e-12)
-            low, high = np.maximum(chosen - margin, piece_first[doc[chosen]]), np.minimum(chosen + wide + margin, piece_first[doc[chosen] + 1])
-            for i in range(0, len(chosen), 8192):
-                for j in range(0, len(latent), 4096):
-                    w, q = np.nonzero(window[i : i + 8192] @ latent[j : j + 4096].T >= COSINE)
-                    w, q = w + i, q + j
-                    words = np.zeros(len(w), np.int64)
-                    for k in range(wide + 2 * margin):
-                        there = low[w] + k
-                        words += np.where(there < high[w], shared[np.minimum(there, len(starts) - 1), q], 0)
-                    enough = words >= PARAPHRASE * size[q]
-                    if enough.any():
-                        w, q = w[enough], q[enough]
-                        yield g, doc[chosen[w]], starts[chosen[w]], q
+            before, behind = np.where(place[chosen] >= margin, chosen - margin, n), np.where(left[chosen] > wide, chosen + wide, n)
+            least = np.ceil(PARAPHRASE * size).astype(np.uint8)
+            for j in range(0, len(own), COLUMNS):
+                columns = slice(j, j + COLUMNS)
+                shared = _runs(_piece_sums(np.ascontiguousarray(has[:, columns]), there), left, wide)  # words of each run that each passage has
+                for i in range(0, len(chosen), 4096):
+                    rows = slice(i, i + 4096)
+                    close = window[rows] @ latent[columns].T >= COSINE
+                    close &= shared[wide][chosen[rows]] + shared[margin][before[rows]] + shared[margin][behind[rows]] >= least[columns]
+                    q, w = np.divmod(np.flatnonzero(close.T), len(close))
+                    if len(q):
+                        yield g, doc[chosen[w + i]], starts[chosen[w + i]], q + j
 
     def found(self, word: np.ndarray, first: np.ndarray) -> dict[tuple[int, int], tuple[float, int]]:
         """(document, item) to the largest common share of a passage and the word that its stretch starts at.
@@ -402,17 +442,25 @@ class Search:
 
     def found_at_once(self, word: np.ndarray, first: np.ndarray) -> dict[tuple[int, int], tuple[float, int]]:
         best: dict[tuple[int, int], tuple[float, int]] = {}
-        known = self.known(word)
+        known = np.append(self.known(word), len(self.vocabulary))  # and no word
         for g, docs, starts, queries in self.candidates(word, known, first):
             length, own, _, places, _, size = self.groups[g]
             margin = length // 4
-            for i in range(0, len(docs), 8192):
-                d, q = docs[i : i + 8192], queries[i : i + 8192]
-                a, b = np.maximum(first[d], starts[i : i + 8192] - margin), np.minimum(first[d + 1], starts[i : i + 8192] + length + margin)
-                at = a[:, None] + np.arange(length + 2 * margin)
-                words = np.where(at < b[:, None], known[np.minimum(at, len(known) - 1)], len(self.vocabulary))
-                share = common_subsequences(places[words, q[:, None]], size[q]) / size[q]
-                for r in np.flatnonzero(share >= PARAPHRASE).tolist():
+            for i in range(0, len(docs), 4096):
+                d, q = docs[i : i + 4096], queries[i : i + 4096]
+                a, b = np.maximum(first[d], starts[i : i + 4096] - margin), np.minimum(first[d + 1], starts[i : i + 4096] + length + margin)
+                masks = np.empty((length + 2 * margin, len(d)), U)
+                flat, row, at, place = places.reshape(-1), q * places.shape[1], a.copy(), np.empty_like(a)
+                for t in range(len(masks)):  # words beyond the text are none, and those beyond the stretch are taken out below
+                    np.take(known, at, out=place, mode="clip")
+                    place += row
+                    np.take(flat, place, out=masks[t], mode="clip")
+                    at += 1
+                short = np.flatnonzero(b - a < len(masks))
+                masks[:, short] *= np.arange(len(masks))[:, None] < (b - a)[short]
+                share = common_subsequences(masks.T, size[q]) / size[q]
+                hits = np.flatnonzero(share >= PARAPHRASE)
+                for r in hits[np.lexsort((q[hits], a[hits]))].tolist():
                     p, key = own[q[r]], (int(d[r]), own[q[r]].item)
                     if share[r] < VERBATIM and len(p.answer.intersection(word[a[r] : b[r]].tolist())) < ANSWER * len(p.answer):
                         continue
@@ -423,6 +471,7 @@ class Search:
 
 def _found(batches: Iterator[pa.RecordBatch], column: int, blocks: Broadcast, scaled: Broadcast) -> Iterator[tuple[pa.RecordBatch, dict]]:
     """Each batch with what ``Search.found`` gives for its rows, of all blocks; one block is ready at a time."""
+    arrays.keep_memory()
     ready: tuple[int, Search] | None = None
 
     def searched(group: list[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, dict]]:

@@ -1,5 +1,6 @@
 """Operators that SQL cannot express, held against plain versions of their definitions."""
 
+import ctypes
 import math
 import random
 import re
@@ -204,6 +205,68 @@ def test_many_blocks_long_texts_and_several_scans(spark, documents, prose, monke
     assert {item for blocks in scans for _, best in decontaminate._found(iter([table]), 0, blocks, scaled) for _, item in best} == set(range(12))
 
 
+def test_search_meets_every_pair_by_plain_counts(prose):
+    """Candidates are the pairs of a window and a passage with the cosine and the words, by passage; common shares are those of plain loops."""
+    r = random.Random(4)
+    hashes = lambda texts: [list(w) for w in decontaminate._split(pa.array(texts))]
+    asked = hashes([prose(n, 300 + n) for n in (1, 3, 8, 20, 31, 32, 33, 40, 63, 64)])
+    scaled = np.vstack((np.random.default_rng(3).standard_normal((1 << decontaminate.BITS, 8)), np.zeros(8))).astype(np.float32)
+    search = decontaminate.Search([decontaminate.Passage(k, np.array(w, np.uint64), set()) for k, w in enumerate(asked)], scaled)
+    texts = hashes([prose(n, 400 + n) for n in (1, 7, 8, 9, 31, 32, 33, 47, 64, 65, 100, 257)]) + [[]]
+    for text in texts[8:12]:
+        w = r.choice(asked)
+        at = r.randrange(len(text))
+        text[at:at] = w
+    word, first = np.array(sum(texts, []), np.uint64), np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+    known = search.known(word)
+    assert known.tolist() == [int(np.flatnonzero(search.vocabulary == w)[0]) if w in search.vocabulary else len(search.vocabulary) for w in word]
+
+    want = set()
+    for g, (length, own, latent, *_) in enumerate(search.groups):
+        hop, margin = length // 4, length // 4
+        for d, text in enumerate(texts):
+            for at in range(0, len(text), hop):
+                if at and at > 8 * -(-len(text) // 8) + hop - 8 - length:
+                    continue
+                window = scaled[decontaminate.bucket(np.array(text[at : at + length], np.uint64))].sum(axis=0)
+                stretch = text[max(at - margin, 0) : 8 * -(-(at + length + margin) // 8)]
+                for q, p in enumerate(own):
+                    cosine = float(window @ latent[q]) / float(np.linalg.norm(window))
+                    assert abs(cosine - decontaminate.COSINE) > 1e-5
+                    if cosine >= decontaminate.COSINE and sum(w in p.words for w in stretch) >= decontaminate.PARAPHRASE * len(p.words):
+                        want.add((g, d, int(first[d]) + at, q))
+    got = []
+    for g, docs, starts, queries in search.candidates(word, np.append(known, len(search.vocabulary)), first):
+        assert (np.diff(queries) >= 0).all()
+        got += zip([g] * len(docs), docs.tolist(), starts.tolist(), queries.tolist())
+    assert len(got) == len(set(got)) and set(got) == want and {g for g, *_ in want} == {0, 1}
+
+
+def test_blocks_fault_in_no_new_memory(spark, documents, prose):
+    """A worker that searches one block after the other keeps its memory: page faults stay far below the bytes that its arrays take."""
+    import resource
+
+    try:
+        ctypes.CDLL(None).mallopt
+    except (OSError, AttributeError):
+        pytest.skip("another C library")
+    benchmark = spark.createDataFrame([(k, prose(r, 60 + k)) for k, r in enumerate([20, 30, 50] * 20)], "item_id long, text string")
+    scans, scaled = decontaminate._scans(documents([(1, prose(500, 1), "en", "s")]), benchmark, "doc_id", "text", "item_id", "text", None)
+    blocks = scans[0]
+
+    def faults(batches):
+        for batch in batches:
+            for _ in range(2):
+                before = resource.getrusage(resource.RUSAGE_SELF).ru_minflt
+                assert [found.num_rows for found, _ in decontaminate._found(iter([batch]), 0, blocks, scaled)] == [batch.num_rows]
+                faulted = (resource.getrusage(resource.RUSAGE_SELF).ru_minflt - before) * resource.getpagesize()
+            yield pa.RecordBatch.from_pydict({"faulted": [faulted], "size": [batch.nbytes]})
+
+    texts = documents([(i, prose(2000, i % 20), "en", "s") for i in range(800)]).select("text").coalesce(1)
+    got = texts.mapInArrow(faults, "faulted long, size long").collect()
+    assert sum(x.faulted for x in got) < 4 * sum(x.size for x in got), got
+
+
 # -- fingerprints
 
 
