@@ -1,10 +1,11 @@
 """Tables as they are after the ALTER TABLE and COMMENT ON statements that follow them, or stand in files of their own.
 
 Two steps.  ``attached`` joins files that consist of such statements to the tables they name: a file
-counts only if each of its statements names exactly one table, and a table takes ``MOST`` statements at
-most, files in the order of their paths.  ``replayed`` is an ordered fold: every statement becomes typed
-operations (rows), and each table's operations are applied to its typed columns, constraints, comments
-and properties in turn.  An operation that doesn't fit changes nothing and leaves a diagnostic.
+counts only if each of its statements names exactly one table.  A table takes all statements of such
+files, in the order of their paths; a caller may set a limit (an analysis has ``MOST``), and files beyond it
+say so.  ``replayed`` is an ordered fold: every statement becomes typed operations (rows), and each table's
+operations are applied to its typed columns, constraints, comments and properties in turn.  An operation
+that doesn't fit changes nothing and leaves a diagnostic.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from deltaloom.extract import tables
 from deltaloom.functions import identity, sqltext
 from deltaloom.state.cache import checkpointed
 
-#: Statements that a table takes from other files, and bytes of such a file, at most.
+#: Statements that a table of an analysis takes from other files at most, and bytes of such a file.
 MOST, FILE_BYTES = 12, 128_000
 #: What an ALTER TABLE does, and modifications that aren't a whole column.
 ACTIONS = ["ADD", "MODIFY", "DROP", "PARALLEL", "NOPARALLEL", "LOGGING", "NOLOGGING"]
@@ -126,20 +127,23 @@ def context_statements(files: DataFrame, default_schema: str | None = None) -> D
     return rows.withColumn("end", F.col("start") + F.length("text"))
 
 
-def attached(said: DataFrame, found: DataFrame, most: int = MOST) -> DataFrame:
+def attached(said: DataFrame, found: DataFrame, most: int | None = None) -> DataFrame:
     """Statements (path, n, table_parts, ...) with ``definition``, the table that takes them, and ``reason`` why not.
 
     ``found`` has the tables (definition, table_parts), one row a definition.  All statements of a file are taken, or none:
-    UNKNOWN_TABLE or AMBIGUOUS_TABLE if one of them names no table or several, TOO_MANY_STATEMENTS if with
-    it a table would have over ``most``.  Files are taken in the order of their paths.  Each round decides
-    all files whose tables are not waited for by an earlier undecided file, the first file in any case.
+    UNKNOWN_TABLE or AMBIGUOUS_TABLE if one of them names no table or several, and where ``most`` is given
+    TOO_MANY_STATEMENTS if with it a table would have more.  Files are taken in the order of their paths.  Each round
+    decides all files whose tables are not waited for by an earlier undecided file, the first file in any case.
     """
     targets = found.groupBy("table_parts").agg(F.count("*").alias("tables"), F.min("definition").alias("definition"))
     # names and numbers alone decide; texts are met by the decisions in the end
     met = said.groupBy("path", "table_parts").agg(F.count("*").alias("c")).join(targets, "table_parts", "left")
     of_file = Window.partitionBy("path")
     unfit = F.when(F.col("tables").isNull(), "UNKNOWN_TABLE").when(F.col("tables") > 1, "AMBIGUOUS_TABLE")
-    met = checkpointed(met.withColumn("reason", F.max(unfit).over(of_file)))
+    met = met.withColumn("reason", F.max(unfit).over(of_file))
+    if most is None:
+        return said.join(met.select("path", "table_parts", "definition", "reason"), ["path", "table_parts"])
+    met = checkpointed(met)
     counts = met.where("reason IS NULL").groupBy("path", "definition").agg(F.sum("c").alias("c"))
     state = checkpointed(counts.withColumn("taken", F.lit(None).cast("boolean")))
     earlier = Window.partitionBy("definition").orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
@@ -156,7 +160,7 @@ def attached(said: DataFrame, found: DataFrame, most: int = MOST) -> DataFrame:
     return said.join(decided, ["path", "table_parts"])
 
 
-def with_contexts(found: DataFrame, files: DataFrame, default_schema: str | None = None) -> tuple[DataFrame, DataFrame]:
+def with_contexts(found: DataFrame, files: DataFrame, default_schema: str | None = None, most: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Definitions (path, object_key, definition, ...) with ``context``, and the statements of other files as of ``attached``.
 
     ``found`` is as of ``scan.occurrences``; ``files`` (path, text) are all files.  context is the list of (path,
@@ -172,7 +176,7 @@ def with_contexts(found: DataFrame, files: DataFrame, default_schema: str | None
     others = others.join(found.select("path").distinct(), "path", "left_anti")
     said = checkpointed(context_statements(others.repartition("path"), default_schema))
     kinds = found.where("object_type = 'TABLE'").select(place.alias("definition"), F.array(part_key(F.col("raw_schema"), F.col("schema_quoted")), part_key(F.col("raw_name"), F.col("name_quoted"))).alias("table_parts"))
-    said = attached(said, kinds)
+    said = attached(said, kinds, most)
     taken = said.where("reason IS NULL").groupBy("definition").agg(F.sort_array(F.collect_list(F.struct("path", "n", F.sha2("text", 256).alias("sha256"), "text"))).alias("context"))
     taken = taken.select(F.col("definition").alias("place_"), F.transform("context", lambda x: F.struct(x["path"].alias("path"), x["sha256"].alias("sha256"), x["text"].alias("text"))).alias("context"))
     return found.join(taken, place == F.col("place_"), "left").withColumn("context", F.coalesce("context", none)).drop("place_"), said

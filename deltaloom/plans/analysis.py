@@ -81,7 +81,7 @@ def analyse(old_files: DataFrame, new_files: DataFrame, default_schema: str | No
     """
     files_ = (old_files, new_files)
     raw = [checkpointed(definitions(f, default_schema)) for f in files_]
-    with_context = [replay.with_contexts(d, scan.decoded(f).select("path", "text"), default_schema) for d, f in zip(raw, files_)]
+    with_context = [replay.with_contexts(d, scan.decoded(f).select("path", "text"), default_schema, replay.MOST) for d, f in zip(raw, files_)]
     found = [d if said.isEmpty() else checkpointed(d) for d, said in with_context]
     contexts = with_context[0][1].withColumn("side", F.lit("before")).unionByName(with_context[1][1].withColumn("side", F.lit("after")))
     old, new = (checkpointed(last_of_each(d)) for d in found)

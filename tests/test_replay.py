@@ -2,6 +2,7 @@ import pytest
 
 from deltaloom.extract import replay
 from deltaloom.extract.tokens import code_tokens
+from deltaloom.operators import scan
 from deltaloom.plans.analysis import analyse
 
 
@@ -180,3 +181,17 @@ def test_statements_of_files_are_cut_without_a_shuffle(spark):
         ("f", 0, "ALTER TABLE a.t ADD (x NUMBER CHECK (x > (1; 2)), y DATE)", True), ("f", 2, "COMMENT ON TABLE a.t IS ';'", True),
         ("h", 0, "ALTER TABLE a.t ADD (x DATE; ALTER TABLE a.t ADD y DATE;", False),
     ]
+
+
+def test_a_table_takes_the_statements_of_all_files(spark):
+    """Without a limit no file is left out, however many statements a table has."""
+    files = {"t.sql": "CREATE TABLE a.t (c NUMBER);\n", "u.sql": "CREATE TABLE a.u (c NUMBER);\n"}
+    files |= {f"z{k:03}.sql": f"ALTER TABLE a.t ADD (x{k} NUMBER); COMMENT ON TABLE a.{'u' if k % 2 else 't'} IS '{k}';" for k in range(40)} | {"zz.sql": "ALTER TABLE a.t NOLOGGING; ALTER TABLE a.v NOLOGGING;"}
+    files = spark.createDataFrame(list(files.items()), "path string, text string")
+    found, said = replay.with_contexts(scan.occurrences(files), files)
+    assert {(r.path == "zz.sql", r.reason) for r in said.collect()} == {(False, None), (True, "UNKNOWN_TABLE")}
+    found = found.select(found.name.alias("definition"), replay.with_statements(found.fragment, found.context).alias("fragment"))
+    r = replay.replayed(found, code_tokens(found))
+    assert {x.component: x.position for x in r.columns.where("definition = 'T'").collect()} == {"U:C": "1"} | {f"U:X{k}": str(k + 2) for k in range(40)}
+    assert {(x.definition, x.value) for x in r.comments.collect()} == {("T", "'38'"), ("U", "'39'")}
+    assert r.diagnostics.isEmpty()
