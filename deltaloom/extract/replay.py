@@ -19,8 +19,8 @@ from deltaloom.extract import tables
 from deltaloom.functions import identity, sqltext
 from deltaloom.state.cache import checkpointed
 
-#: Statements that a table of an analysis takes from other files at most, and bytes of such a file.
-MOST, FILE_BYTES = 12, 128_000
+#: Statements that a table of an analysis takes from other files at most, and running sums that are made in one array.
+MOST, BLOCK = 12, 256
 #: What an ALTER TABLE does, and modifications that aren't a whole column.
 ACTIONS = ["ADD", "MODIFY", "DROP", "PARALLEL", "NOPARALLEL", "LOGGING", "NOLOGGING"]
 COLUMN_FIELDS = ("position", "definition_text", "data_type", "length", "length_semantics", "precision", "scale", "nullable", "default", "default_on_null", "identity", "virtual_expression", "visibility", "collation")
@@ -90,40 +90,62 @@ def statements(tokens: DataFrame, texts: DataFrame) -> DataFrame:
     return joined.select("definition", "n", "kind", "parts", "at", "t", a.alias("start"), b.alias("end"), F.substring("fragment", a + 1, b - a).alias("text"))
 
 
+def _let(value: Column, f) -> Column:
+    """f of a value that is computed once, as columns that lambdas read may be put into them and computed for each element."""
+    return F.transform(F.array(value), f)[0]
+
+
+def _running(values: Column) -> Column:
+    """Running sums of an array of longs, in blocks, as an array is copied for each element that is put behind it."""
+    last = lambda sums: F.coalesce(F.try_element_at(sums, F.lit(-1)), F.lit(0).cast("long"))
+    summed = lambda part: F.aggregate(part, F.array().cast("array<bigint>"), lambda sums, x: F.concat(sums, F.array(last(sums) + x)))
+    blocks = lambda v: F.transform(F.sequence(F.lit(0), ((F.size(v) - 1) / BLOCK).cast("int")), lambda b: summed(F.slice(v, b * BLOCK + 1, BLOCK)))
+    joined = lambda parts, tops: F.flatten(F.transform(parts, lambda part, b: _let(F.coalesce(F.get(tops, b - 1), F.lit(0).cast("long")), lambda top: F.transform(part, lambda x: x + top))))
+    return _let(values, lambda v: _let(blocks(v), lambda parts: _let(summed(F.transform(parts, last)), lambda tops: joined(parts, tops))))
+
+
 def context_statements(files: DataFrame, default_schema: str | None = None) -> DataFrame:
     """Rows (path, n, table_parts, text, start, end) of files (path, text) that consist of ALTER TABLE and COMMENT ON statements.
 
-    A file with any other statement, or a name of more than two parts, or without a schema where there is
-    no default, has none.
+    Files of any size are read whole, in a time that grows with their size.  A file with any other statement,
+    or a name of more than two parts, or without a schema where there is no default, has none.
     """
-    rows = files.where(F.octet_length("text") <= FILE_BYTES).select("path", sqltext.tokens(F.col("text")).alias("pieces"))
-    seen = F.transform("pieces", lambda t, i: F.struct(i.alias("piece"), t.alias("tok"), F.upper(t).alias("up")))
-    rows = rows.withColumn("seen", F.filter(seen, lambda x: ~x["tok"].rlike(r"^(?:[ \t\r\n\f\x0B]|--|/\*)")))
-    rows = rows.withColumn("ends", F.filter(F.transform("seen", lambda x, k: F.when(x["tok"] == ";", k)), lambda k: k.isNotNull()))
-    # the depth at a ; is that at the one before, and what opens between the two
-    opened = lambda a, b: F.aggregate(F.slice("seen", a + 1, b - a), F.lit(0), lambda d, x: d + F.when(x["tok"] == "(", 1).when(x["tok"] == ")", -1).otherwise(0))
-    depths = F.transform("ends", lambda k, j: opened(F.coalesce(F.get("ends", j - 1), F.lit(-1)) + 1, k))
-    depths = F.aggregate(depths, F.array().cast("array<int>"), lambda all_, d: F.concat(all_, F.array(F.coalesce(F.try_element_at(all_, F.lit(-1)), F.lit(0)) + d)))
-    depths = F.when(F.exists("seen", lambda x: x["tok"].isin("(", ")")), depths).otherwise(F.transform("ends", lambda k: F.lit(0)))
-    rows = rows.withColumn("depths", depths)
-    rows = rows.withColumn("ends", F.filter("ends", lambda k, j: F.get("depths", j) == 0))
-    stops = F.concat("ends", F.array(F.size("seen")))
-    begin = lambda n: F.coalesce(F.get("ends", n - 1), F.lit(-1)) + 1
-    said = F.transform(stops, lambda k, n: F.struct(n.cast("long").alias("n"), F.filter(F.slice("seen", begin(n) + 1, k - begin(n)), lambda x: x["tok"] != "/").alias("t")))
-    rows = rows.withColumn("said", F.filter(said, lambda s: F.size(s["t"]) > 0))
-    rows = rows.withColumn("said", F.transform("said", lambda s: F.struct(s["n"].alias("n"), s["t"].alias("t"), _action(s["t"]).alias("at"))))
-    rows = rows.withColumn("said", F.transform("said", lambda s: F.struct(s["n"].alias("n"), s["t"].alias("t"), s["at"].alias("at"), *_meaning(s["t"], s["at"]))))
     schema = F.lit(default_schema).cast("string")
-
-    def table_parts(s: Column) -> Column:
+    visible = lambda x: ~x["tok"].rlike(r"^(?:[ \t\r\n\f\x0B]|--|/\*)")
+    seen_of = lambda pieces: F.filter(F.transform(pieces, lambda t, i: F.struct(i.alias("piece"), t.alias("tok"), F.upper(t).alias("up"))), visible)
+    between = lambda rows, a, b: F.slice(rows, a + 1, b - a)
+
+    def ends(seen: Column, marks: Column) -> Column:
+        """Places of the outer ones of all ``;``: the depth there is that at the one before, and what opens between the two."""
+        opened = lambda a, b: F.aggregate(between(seen, a, b), F.lit(0).cast("long"), lambda d, x: d + F.when(x["tok"] == "(", 1).when(x["tok"] == ")", -1).otherwise(0))
+        depths = _running(F.transform(marks, lambda k, j: opened(F.coalesce(F.get(marks, j - 1), F.lit(-1)) + 1, k)))
+        return _let(depths, lambda at: F.filter(marks, lambda k, j: F.get(at, j) == 0))
+
+    def cut(seen: Column, stops: Column) -> Column:
+        """The statements (n, t) that have tokens."""
+        tokens = lambda n, k: F.filter(between(seen, F.coalesce(F.get(stops, n - 1), F.lit(-1)) + 1, k), lambda x: x["tok"] != "/")
+        return F.filter(F.transform(stops, lambda k, n: F.struct(n.cast("long").alias("n"), tokens(n, k).alias("t"))), lambda s: F.size(s["t"]) > 0)
+
+    def table_parts(at: Column, s: Column) -> Column:
         named = F.when(s["kind"] == "COMMENT COLUMN", F.slice(s["parts"], 1, F.greatest(F.size(s["parts"]) - 1, F.lit(0)))).otherwise(s["parts"])
         whole = F.when(F.size(named) == 2, named).when((F.size(named) == 1) & schema.isNotNull(), F.concat(F.array(F.concat(F.lit("U:"), F.upper(schema))), named))
-        return F.when(s["kind"].isNotNull() & (s["at"] > 0), whole)
-
-    before = lambda s: F.array_join(F.slice("pieces", 1, s["t"][0]["piece"]), "")
-    text = lambda s: F.array_join(F.slice("pieces", s["t"][0]["piece"] + 1, F.element_at(s["t"], -1)["piece"] - s["t"][0]["piece"] + 1), "")
-    rows = rows.withColumn("said", F.transform("said", lambda s: F.struct(s["n"].alias("n"), table_parts(s).alias("table_parts"), text(s).alias("text"), F.length(before(s)).cast("long").alias("start"))))
-    rows = rows.select("path", F.explode(F.when(F.forall("said", lambda s: s["table_parts"].isNotNull()), F.col("said"))).alias("s")).select("path", "s.*")
+        return F.when(s["kind"].isNotNull() & (at > 0), whole)
+
+    def said_of(pieces: Column, statements_: Column) -> Column:
+        first = lambda s: s["t"][0]["piece"]
+        text = lambda a, b: F.array_join(between(pieces, a, b), "")
+        starts = _running(F.transform(statements_, lambda s, j: F.length(text(F.coalesce(first(F.get(statements_, j - 1)), F.lit(0)), first(s))).cast("long")))
+        parts = lambda t: _let(_action(t), lambda at: _let(F.struct(*_meaning(t, at)), lambda s: table_parts(at, s)))
+        rows = lambda places: F.transform(statements_, lambda s, j: F.struct(s["n"].alias("n"), parts(s["t"]).alias("table_parts"), text(first(s), F.element_at(s["t"], -1)["piece"] + 1).alias("text"), F.get(places, j).alias("start")))
+        return _let(_let(starts, rows), lambda said: F.when(F.forall(said, lambda s: s["table_parts"].isNotNull()), said))
+
+    def of_file(pieces: Column, seen: Column) -> Column:
+        marks = F.filter(F.transform(seen, lambda x, k: F.when(x["tok"] == ";", k)), lambda k: k.isNotNull())
+        stops = F.concat(_let(marks, lambda m: ends(seen, m)), F.array(F.size(seen)))
+        return _let(_let(stops, lambda x: cut(seen, x)), lambda found: said_of(pieces, found))
+
+    said = _let(sqltext.tokens(F.col("text")), lambda pieces: _let(seen_of(pieces), lambda seen: of_file(pieces, seen)))
+    rows = files.select("path", F.explode_outer(said).alias("s")).where("s IS NOT NULL").select("path", "s.*")
     return rows.withColumn("end", F.col("start") + F.length("text"))
 
 
@@ -168,7 +190,8 @@ def with_contexts(found: DataFrame, files: DataFrame, default_schema: str | None
     """
     place = F.concat_ws("\x1f", "object_key", "path", F.col("ordinal").cast("string"))
     none = F.array().cast("array<struct<path:string,sha256:string,text:string>>")
-    others = files.where(F.col("text").isNotNull() & F.lower("path").endswith(".sql") & F.upper("text").rlike(r"ALTER\s+TABLE|COMMENT\s+ON"))
+    # a comment may stand between the words of a statement, so only its first one is looked for
+    others = files.where(F.col("text").isNotNull() & F.lower("path").endswith(".sql") & F.upper("text").rlike("ALTER|COMMENT"))
     if others.isEmpty():  # no plan for what isn't there
         said = files.sparkSession.createDataFrame([], "table_parts array<string>, path string, n long, text string, start long, end long, definition string, reason string")
         return found.withColumn("context", none), said

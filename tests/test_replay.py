@@ -195,3 +195,18 @@ def test_a_table_takes_the_statements_of_all_files(spark):
     assert {x.component: x.position for x in r.columns.where("definition = 'T'").collect()} == {"U:C": "1"} | {f"U:X{k}": str(k + 2) for k in range(40)}
     assert {(x.definition, x.value) for x in r.comments.collect()} == {("T", "'38'"), ("U", "'39'")}
     assert r.diagnostics.isEmpty()
+
+
+def test_files_of_statements_of_any_size_are_read(spark):
+    """Beyond 128,000 bytes too, and in a time that grows with the file; comments between the words of a statement hide no file."""
+    big = "".join(f"ALTER TABLE a.t{k} ADD (x NUMBER(5, 2), y{k:04} DATE);\n" for k in range(6000))
+    files = {"big.sql": big, "note.sql": "ALTER /* t */ TABLE a.t7 NOLOGGING; COMMENT -- on\nON TABLE a.t7 IS 'z';", "t7.sql": "CREATE TABLE a.t7 (c NUMBER);\n"}
+    assert len(big) > 2 * 128_000
+    files = spark.createDataFrame(list(files.items()), "path string, text string")
+    got = replay.context_statements(files.where("path = 'big.sql'")).collect()
+    assert [(r.n, r.table_parts, r.text, big[r.start : r.end] == r.text) for r in got] == [(k, ["U:A", f"U:T{k}"], f"ALTER TABLE a.t{k} ADD (x NUMBER(5, 2), y{k:04} DATE)", True) for k in range(6000)]
+    created = "".join(f"CREATE TABLE a.t{k} (c NUMBER);\n" for k in range(6000) if k != 7)
+    files = files.union(spark.createDataFrame([("made.sql", created)], files.schema))
+    found, said = replay.with_contexts(scan.occurrences(files), files)
+    assert said.where("reason IS NULL").count() == said.count() == 6002
+    assert [[x.path for x in r.context] for r in found.where("name = 'T7'").collect()] == [["big.sql", "note.sql", "note.sql"]]
