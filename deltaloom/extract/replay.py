@@ -19,8 +19,8 @@ from deltaloom.extract import tables
 from deltaloom.functions import identity, sqltext
 from deltaloom.state.cache import checkpointed
 
-#: Statements that a table of an analysis takes from other files at most, and running sums that are made in one array.
-MOST, BLOCK = 12, 256
+#: Statements that a table of an analysis takes from other files at most; running sums that are made in one array, and characters of a text's parts.
+MOST, BLOCK, PART_CHARS = 12, 256, 4096
 #: What an ALTER TABLE does, and modifications that aren't a whole column.
 ACTIONS = ["ADD", "MODIFY", "DROP", "PARALLEL", "NOPARALLEL", "LOGGING", "NOLOGGING"]
 COLUMN_FIELDS = ("position", "definition_text", "data_type", "length", "length_semantics", "precision", "scale", "nullable", "default", "default_on_null", "identity", "virtual_expression", "visibility", "collation")
@@ -73,23 +73,6 @@ def _meaning(t: Column, at: Column) -> list[Column]:
     return [kind.alias("kind"), parts.alias("parts")]
 
 
-def statements(tokens: DataFrame, texts: DataFrame) -> DataFrame:
-    """Rows (definition, n, kind, parts, at, t, text) of the statements of code tokens, cut at the outer ``;``.
-
-    t is the statement's tokens in order, at the place (from 1) of the action or of IS, parts the component
-    keys of what is named before it.  kind is null for other statements, and where there is no action.
-    """
-    before = Window.partitionBy("definition").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-    ends = (F.col("tok") == ";") & (F.col("depth") == 0)
-    numbered = tokens.withColumn("n", F.coalesce(F.sum(ends.cast("int")).over(before), F.lit(0))).where(~ends & (F.col("tok") != "/"))
-    listed = numbered.groupBy("definition", "n").agg(F.sort_array(F.collect_list(F.struct("i", "tok", "up", "depth", "start", "end"))).alias("t"))
-    rows = listed.withColumn("at", _action(F.col("t")))
-    rows = rows.select("*", *_meaning(F.col("t"), F.col("at")))
-    joined = rows.join(texts.select("definition", "fragment"), "definition")
-    a, b = F.get("t", F.lit(0))["start"], F.element_at("t", -1)["end"]
-    return joined.select("definition", "n", "kind", "parts", "at", "t", a.alias("start"), b.alias("end"), F.substring("fragment", a + 1, b - a).alias("text"))
-
-
 def _let(value: Column, f) -> Column:
     """f of a value that is computed once, as columns that lambdas read may be put into them and computed for each element."""
     return F.transform(F.array(value), f)[0]
@@ -104,6 +87,27 @@ def _running(values: Column) -> Column:
     return _let(values, lambda v: _let(blocks(v), lambda parts: _let(summed(F.transform(parts, last)), lambda tops: joined(parts, tops))))
 
 
+def statements(tokens: DataFrame, texts: DataFrame) -> DataFrame:
+    """Rows (definition, n, kind, parts, at, t, text) of the statements of code tokens, cut at the outer ``;``.
+
+    t is the statement's tokens in order, at the place (from 1) of the action or of IS, parts the component
+    keys of what is named before it.  kind is null for other statements, and where there is no action.
+    """
+    before = Window.partitionBy("definition").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    ends = (F.col("tok") == ";") & (F.col("depth") == 0)
+    numbered = tokens.withColumn("n", F.coalesce(F.sum(ends.cast("int")).over(before), F.lit(0))).where(~ends & (F.col("tok") != "/"))
+    listed = numbered.groupBy("definition", "n").agg(F.sort_array(F.collect_list(F.struct("i", "tok", "up", "depth", "start", "end"))).alias("t"))
+    # a text is met once by all its statements, which take theirs from short parts of it
+    rows = listed.groupBy("definition").agg(F.collect_list(F.struct("n", "t")).alias("said")).join(texts.select("definition", "fragment"), "definition")
+    a, b = lambda s: s["t"][0]["start"], lambda s: F.element_at(s["t"], -1)["end"]
+    place = lambda c: (c / PART_CHARS).cast("int")
+    text = lambda parts, s: F.substring(F.array_join(F.slice(parts, place(a(s)) + 1, place(b(s)) - place(a(s)) + 1), ""), (a(s) % PART_CHARS).cast("int") + 1, (b(s) - a(s)).cast("int"))
+    cut = lambda parts: F.transform("said", lambda s: F.struct(s["n"].alias("n"), s["t"].alias("t"), a(s).alias("start"), b(s).alias("end"), text(parts, s).alias("text")))
+    parts = F.regexp_extract_all("fragment", F.lit(rf"[\s\S]{{1,{PART_CHARS}}}"), F.lit(0))
+    rows = rows.select("definition", F.explode(_let(parts, cut)).alias("s")).select("definition", "s.*").withColumn("at", _action(F.col("t")))
+    return rows.select("definition", "n", *_meaning(F.col("t"), F.col("at")), "at", "t", "start", "end", "text")
+
+
 def context_statements(files: DataFrame, default_schema: str | None = None) -> DataFrame:
     """Rows (path, n, table_parts, text, start, end) of files (path, text) that consist of ALTER TABLE and COMMENT ON statements.
 
@@ -211,11 +215,15 @@ def with_statements(fragment: Column, context: Column) -> Column:
     return F.when(F.size(context) > 0, added).otherwise(fragment)
 
 
-def _synthetic(items: DataFrame, texts: DataFrame) -> DataFrame:
-    """Items as tables of one column or constraint each, for the extractors of CREATE TABLE."""
-    rows = items.join(texts.select("definition", "fragment"), "definition")
-    body = F.substring("fragment", F.col("x")[0]["start"] + 1, F.element_at("x", -1)["end"] - F.col("x")[0]["start"])
-    return rows.select(F.concat_ws("\x1f", "definition", F.col("n").cast("string"), F.col("item").cast("string")).alias("definition"), F.concat(F.lit("TABLE ("), body, F.lit(")")).alias("fragment"))
+def _written(tokens: Column) -> Column:
+    """The text of some tokens of a statement (start, text)."""
+    return F.substring("text", tokens[0]["start"] - F.col("start") + 1, F.element_at(tokens, -1)["end"] - tokens[0]["start"])
+
+
+def _synthetic(items: DataFrame) -> DataFrame:
+    """Items, with their statements' (start, text), as tables of one column or constraint each, for the extractors of CREATE TABLE."""
+    body = _written(F.col("x"))
+    return items.select(F.concat_ws("\x1f", "definition", F.col("n").cast("string"), F.col("item").cast("string")).alias("definition"), F.concat(F.lit("TABLE ("), body, F.lit(")")).alias("fragment"))
 
 
 def create_diagnostics(marked: DataFrame, columns: DataFrame) -> DataFrame:
@@ -242,7 +250,7 @@ def create_diagnostics(marked: DataFrame, columns: DataFrame) -> DataFrame:
     return codes.where("code IS NOT NULL").distinct()
 
 
-def operations(said: DataFrame, names: DataFrame, texts: DataFrame) -> DataFrame:
+def operations(said: DataFrame, names: DataFrame) -> DataFrame:
     """Rows (definition, n, item, op, key, keys, value, code, column, constraint): what each statement does to its table.
 
     ``said`` is as of ``statements``; ``names`` has each definition's own name (parts).  Statements about
@@ -272,10 +280,9 @@ def operations(said: DataFrame, names: DataFrame, texts: DataFrame) -> DataFrame
     property_ = F.when(F.col("kind").isin("PARALLEL", "NOPARALLEL"), "parallel").otherwise("logging")
     value = F.when(F.col("kind").isin("LOGGING", "NOLOGGING"), F.col("kind")).otherwise(F.array_join(F.transform(F.slice("t", F.col("at"), F.size("t")), lambda x: x["tok"]), " "))
     flat = simple(flat, F.when(fits, "property").otherwise("none"), property_, value=value, code=F.when(~fits, "ALTER_TABLE_UNSUPPORTED"))
-    comments = own.where("kind IN ('COMMENT TABLE', 'COMMENT COLUMN')").join(texts.select("definition", "fragment"), "definition")
-    text = F.substring("fragment", F.col("payload")[0]["start"] + 1, F.element_at("payload", -1)["end"] - F.col("payload")[0]["start"])
+    comments = own.where("kind IN ('COMMENT TABLE', 'COMMENT COLUMN')")
     about = F.when(F.col("kind") == "COMMENT COLUMN", F.element_at("parts", -1)).otherwise("TABLE")
-    comments = simple(comments, F.when(size < 1, "none").when((size == 1) & (tok(0) == "''"), "uncomment").otherwise("comment"), about, value=F.when(size > 0, text), code=F.when(size < 1, "COMMENT_UNRESOLVED"))
+    comments = simple(comments, F.when(size < 1, "none").when((size == 1) & (tok(0) == "''"), "uncomment").otherwise("comment"), about, value=F.when(size > 0, _written(F.col("payload"))), code=F.when(size < 1, "COMMENT_UNRESOLVED"))
 
     # DROP: one column, a list in parentheses, or a constraint
     drops = own.where("kind = 'DROP'")
@@ -298,12 +305,13 @@ def operations(said: DataFrame, names: DataFrame, texts: DataFrame) -> DataFrame
     order = Window.partitionBy("definition", "n").orderBy("p").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     is_comma = F.col("grouped") & comma(F.col("x"))
     tokens = tokens.withColumn("item", F.sum(is_comma.cast("int")).over(order)).where(~is_comma)
-    items = checkpointed(tokens.groupBy("definition", "n", "kind", "item").agg(F.transform(F.sort_array(F.collect_list(F.struct("p", "x"))), lambda y: y["x"]).alias("x")))
+    items = tokens.groupBy("definition", "n", "kind", "item").agg(F.transform(F.sort_array(F.collect_list(F.struct("p", "x"))), lambda y: y["x"]).alias("x"))
+    items = checkpointed(items.join(said.select("definition", "n", "start", "text"), ["definition", "n"]))
     expected = inside.select("definition", "n", (F.size(F.filter("body", comma)) * F.col("grouped").cast("int") + 1).alias("expected"))
     gaps = expected.join(items.groupBy("definition", "n").agg(F.count("*").alias("got")), ["definition", "n"], "left").where("coalesce(got, 0) < expected")
     gaps = simple(gaps, F.lit("none"), code=F.lit("ALTER_TABLE_ITEMS_UNRESOLVED"))
 
-    synthetic = checkpointed(_synthetic(items, texts))
+    synthetic = checkpointed(_synthetic(items))
     marked = checkpointed(tables.placed(synthetic))
     column = tables.columns(synthetic, marked).select(F.col("definition").alias("id"), F.struct(F.col("component").alias("key"), *COLUMN_FIELDS).cast(_COLUMN).alias("column"))
     made = constraint_rows(synthetic, marked).select(F.col("definition").alias("id"), F.col("constraint"))
@@ -329,10 +337,8 @@ def operations(said: DataFrame, names: DataFrame, texts: DataFrame) -> DataFrame
     value = F.when(modify & only_null, F.when(n_words == 3, "NOT NULL").otherwise("NULL"))
     flag = F.when(modify & is_default & on_null & (n_words >= 5), F.array(F.lit("DEFAULT ON NULL")))
     # the text of a default as it is written
-    joined = items.join(texts.select("definition", "fragment"), "definition")
-    written_default = F.when(F.size(rest) > 0, F.substring("fragment", rest[0]["start"] + 1, F.element_at(rest, -1)["end"] - rest[0]["start"]))
-    value = F.when(modify & is_default, written_default).otherwise(value)
-    whole = joined.select("definition", "n", "item", op.alias("op"), key(F.col("x")[0]["tok"]).alias("key"), flag.alias("keys"), value.alias("value"), code.alias("code"), "column", "constraint")
+    value = F.when(modify & is_default, F.when(F.size(rest) > 0, _written(rest))).otherwise(value)
+    whole = items.select("definition", "n", "item", op.alias("op"), key(F.col("x")[0]["tok"]).alias("key"), flag.alias("keys"), value.alias("value"), code.alias("code"), "column", "constraint")
     others = unsupported.unionByName(longer_names).unionByName(flat).unionByName(comments).unionByName(drops).unionByName(empty).unionByName(gaps)
     return whole.unionByName(others, allowMissingColumns=True)
 
@@ -414,7 +420,7 @@ def replayed(definitions: DataFrame, tokens: DataFrame, marked: DataFrame | None
         return Replayed(columns, constraints, comments, properties, codes)
     said = checkpointed(statements(later, definitions))
     head = marked.where("i > table_at AND i < opening AND tok <> '.'").groupBy("definition").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "tok"))), lambda x: identity.component_key(x["tok"])).alias("parts"))
-    ops = operations(said, head, definitions)
+    ops = operations(said, head)
     ops = ops.groupBy("definition").agg(F.sort_array(F.collect_list(F.struct("n", "item", "op", "key", "keys", "value", "code", "column", "constraint"))).alias("ops"))
     listed = lambda df, entry, name: df.groupBy("definition").agg(F.sort_array(F.collect_list(entry)).alias(name))
     column = F.struct(F.col("position").cast("int").alias("p"), F.struct(F.col("component").alias("key"), *COLUMN_FIELDS).cast(_COLUMN).alias("c"))

@@ -210,3 +210,15 @@ def test_files_of_statements_of_any_size_are_read(spark):
     found, said = replay.with_contexts(scan.occurrences(files), files)
     assert said.where("reason IS NULL").count() == said.count() == 6002
     assert [[x.path for x in r.context] for r in found.where("name = 'T7'").collect()] == [["big.sql", "note.sql", "note.sql"]]
+
+
+def test_statements_take_their_text_from_parts(spark):
+    """Statements that begin, end or go on in several parts of a long text have theirs whole, by characters."""
+    said = [f"COMMENT ON COLUMN a.t.c IS '{'é𝄞' * (k % 7 * 40)}{k}'" if k % 3 else f"ALTER TABLE a.t MODIFY c DEFAULT f('𝄞{k}',  2)" for k in range(400)] + [f"COMMENT ON TABLE a.t IS '{'𝄞' * 3 * replay.PART_CHARS}'", "ALTER TABLE a.t ADD (z NUMBER(5))"]
+    text = "CREATE TABLE a.t (c NUMBER); -- 𝄞\n" + " ;\n".join(said) + ";"
+    d = spark.createDataFrame([("t", text), ("u", "CREATE TABLE a.u (c NUMBER);")], "definition string, fragment string")
+    r = replay.replayed(d, code_tokens(d))
+    assert {(x.component, x.value) for x in r.comments.collect()} == {("U:C", said[398].partition(" IS ")[2]), ("TABLE", said[400].partition(" IS ")[2])}
+    assert {(x.definition, x.component, x.data_type, x.default) for x in r.columns.collect()} == {("t", "U:C", "NUMBER", "f('𝄞399',  2)"), ("t", "U:Z", "NUMBER(5)", None), ("u", "U:C", "NUMBER", None)}
+    later = code_tokens(d).where("definition = 't' AND start > 30")
+    assert [x.text for x in replay.statements(later, d).orderBy("n").collect()] == said
