@@ -11,18 +11,20 @@ that doesn't fit changes nothing and leaves a diagnostic.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from deltaloom.extract import statements as cut
 from deltaloom.extract import tables
-from deltaloom.functions import identity, sqltext
+from deltaloom.extract.tokens import code_tokens, dealt
+from deltaloom.functions import identity
 from deltaloom.state.cache import checkpointed
 
-#: Statements that a table of an analysis takes from other files at most; running sums that are made in one array, and characters of a text's parts.
-MOST, BLOCK, PART_CHARS = 12, 256, 4096
-#: What an ALTER TABLE does, and modifications that aren't a whole column.
-ACTIONS = ["ADD", "MODIFY", "DROP", "PARALLEL", "NOPARALLEL", "LOGGING", "NOLOGGING"]
+#: Statements that a table of an analysis takes from other files at most, and characters of the parts of a long text that tests cut statements across.
+MOST, PART_CHARS = 12, 4096
+#: Fields of columns and constraints.
 COLUMN_FIELDS = ("position", "definition_text", "data_type", "length", "length_semantics", "precision", "scale", "nullable", "default", "default_on_null", "identity", "virtual_expression", "visibility", "collation")
 CONSTRAINT_FIELDS = ("definition_text", "kind", "columns", "reference", "condition", "delete_rule", "enabled", "validation", "deferrable", "initially", "rely", "index_association")
 #: The diagnostic that blocks single columns, not their table.
@@ -48,64 +50,16 @@ def part_key(raw: Column, quoted: Column) -> Column:
     return F.when(quoted, F.concat(F.lit("Q:"), raw)).otherwise(F.concat(F.lit("U:"), F.upper(raw)))
 
 
-def _heads(t: Column) -> tuple[Column, Column]:
-    """Whether a statement's tokens begin an ALTER TABLE, and a COMMENT ON."""
-    word = lambda k: F.get(t, F.lit(k))["up"]
-    return (word(0) == "ALTER") & (word(1) == "TABLE"), (word(0) == "COMMENT") & (word(1) == "ON") & word(2).isin("TABLE", "COLUMN")
-
-
-def _action(t: Column) -> Column:
-    """The place (from 1) of a statement's action or IS among its tokens, 0 if there is none."""
-    alter, comment = _heads(t)
-    place = lambda words, first: F.array_position(F.transform(t, lambda x, k: F.coalesce(x["up"].isin(*words) & (k >= first), F.lit(False))), True)
-    return F.when(alter, place(ACTIONS, 2)).when(comment, place(["IS"], 3)).cast("int")
-
-
-def _meaning(t: Column, at: Column) -> list[Column]:
-    """Fields kind and parts of a statement's tokens whose action is at that place."""
-    alter, comment = _heads(t)
-    first = F.when(alter, 3).otherwise(4)
-    names = F.filter(F.slice(t, first, F.greatest(at - first, F.lit(0))), lambda x: x["tok"] != ".")
-    kind = F.when(alter & (at > 0), F.element_at(t, F.greatest(at, F.lit(1)).cast("int"))["up"]).when(comment & (at > 0), F.concat(F.lit("COMMENT "), F.get(t, F.lit(2))["up"])).when(alter, "NONE").when(comment, "NO VALUE")
-    # without an action the table's name is what stands before the statement goes on
-    bare = F.filter(F.slice(t, 3, 3), lambda x: x["tok"] != ".")
-    parts = F.transform(F.when(at > 0, names).otherwise(bare), lambda x: identity.component_key(x["tok"]))
-    return [kind.alias("kind"), parts.alias("parts")]
-
-
-def _let(value: Column, f) -> Column:
-    """f of a value that is computed once, as columns that lambdas read may be put into them and computed for each element."""
-    return F.transform(F.array(value), f)[0]
-
-
-def _running(values: Column) -> Column:
-    """Running sums of an array of longs, in blocks, as an array is copied for each element that is put behind it."""
-    last = lambda sums: F.coalesce(F.try_element_at(sums, F.lit(-1)), F.lit(0).cast("long"))
-    summed = lambda part: F.aggregate(part, F.array().cast("array<bigint>"), lambda sums, x: F.concat(sums, F.array(last(sums) + x)))
-    blocks = lambda v: F.transform(F.sequence(F.lit(0), ((F.size(v) - 1) / BLOCK).cast("int")), lambda b: summed(F.slice(v, b * BLOCK + 1, BLOCK)))
-    joined = lambda parts, tops: F.flatten(F.transform(parts, lambda part, b: _let(F.coalesce(F.get(tops, b - 1), F.lit(0).cast("long")), lambda top: F.transform(part, lambda x: x + top))))
-    return _let(values, lambda v: _let(blocks(v), lambda parts: _let(summed(F.transform(parts, last)), lambda tops: joined(parts, tops))))
-
-
 def statements(tokens: DataFrame, texts: DataFrame) -> DataFrame:
-    """Rows (definition, n, kind, parts, at, t, text) of the statements of code tokens, cut at the outer ``;``.
+    """Rows (definition, n, kind, parts, start, end, text) of the statements of texts (definition, fragment), cut at the outer ``;``.
 
-    t is the statement's tokens in order, at the place (from 1) of the action or of IS, parts the component
-    keys of what is named before it.  kind is null for other statements, and where there is no action.
+    They begin at the first of the definition's code tokens given, which say no more than that place.  parts are the
+    component keys of what is named before the action or IS.  kind is null for other statements, NONE or NO VALUE without an action.
     """
-    before = Window.partitionBy("definition").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-    ends = (F.col("tok") == ";") & (F.col("depth") == 0)
-    numbered = tokens.withColumn("n", F.coalesce(F.sum(ends.cast("int")).over(before), F.lit(0))).where(~ends & (F.col("tok") != "/"))
-    listed = numbered.groupBy("definition", "n").agg(F.sort_array(F.collect_list(F.struct("i", "tok", "up", "depth", "start", "end"))).alias("t"))
-    # a text is met once by all its statements, which take theirs from short parts of it
-    rows = listed.groupBy("definition").agg(F.collect_list(F.struct("n", "t")).alias("said")).join(texts.select("definition", "fragment"), "definition")
-    a, b = lambda s: s["t"][0]["start"], lambda s: F.element_at(s["t"], -1)["end"]
-    place = lambda c: (c / PART_CHARS).cast("int")
-    text = lambda parts, s: F.substring(F.array_join(F.slice(parts, place(a(s)) + 1, place(b(s)) - place(a(s)) + 1), ""), (a(s) % PART_CHARS).cast("int") + 1, (b(s) - a(s)).cast("int"))
-    cut = lambda parts: F.transform("said", lambda s: F.struct(s["n"].alias("n"), s["t"].alias("t"), a(s).alias("start"), b(s).alias("end"), text(parts, s).alias("text")))
-    parts = F.regexp_extract_all("fragment", F.lit(rf"[\s\S]{{1,{PART_CHARS}}}"), F.lit(0))
-    rows = rows.select("definition", F.explode(_let(parts, cut)).alias("s")).select("definition", "s.*").withColumn("at", _action(F.col("t")))
-    return rows.select("definition", "n", *_meaning(F.col("t"), F.col("at")), "at", "t", "start", "end", "text")
+    opened = F.col("depth") + F.when(F.col("tok") == ")", 1).otherwise(0)
+    first = tokens.groupBy("definition").agg(F.min("start").cast("int").alias("from"), F.min_by(opened, "i").cast("int").alias("depth"))
+    rows = cut.mapped(texts.join(first, "definition").select("definition", "fragment", "from", "depth"), cut.STATEMENT, cut.statements_of)
+    return rows.select("definition", "n", "kind", F.transform("names", identity.component_key).alias("parts"), "start", "end", "text")
 
 
 def context_statements(files: DataFrame, default_schema: str | None = None) -> DataFrame:
@@ -114,43 +68,9 @@ def context_statements(files: DataFrame, default_schema: str | None = None) -> D
     Files of any size are read whole, in a time that grows with their size.  A file with any other statement,
     or a name of more than two parts, or without a schema where there is no default, has none.
     """
-    schema = F.lit(default_schema).cast("string")
-    visible = lambda x: ~x["tok"].rlike(r"^(?:[ \t\r\n\f\x0B]|--|/\*)")
-    seen_of = lambda pieces: F.filter(F.transform(pieces, lambda t, i: F.struct(i.alias("piece"), t.alias("tok"), F.upper(t).alias("up"))), visible)
-    between = lambda rows, a, b: F.slice(rows, a + 1, b - a)
-
-    def ends(seen: Column, marks: Column) -> Column:
-        """Places of the outer ones of all ``;``: the depth there is that at the one before, and what opens between the two."""
-        opened = lambda a, b: F.aggregate(between(seen, a, b), F.lit(0).cast("long"), lambda d, x: d + F.when(x["tok"] == "(", 1).when(x["tok"] == ")", -1).otherwise(0))
-        depths = _running(F.transform(marks, lambda k, j: opened(F.coalesce(F.get(marks, j - 1), F.lit(-1)) + 1, k)))
-        return _let(depths, lambda at: F.filter(marks, lambda k, j: F.get(at, j) == 0))
-
-    def cut(seen: Column, stops: Column) -> Column:
-        """The statements (n, t) that have tokens."""
-        tokens = lambda n, k: F.filter(between(seen, F.coalesce(F.get(stops, n - 1), F.lit(-1)) + 1, k), lambda x: x["tok"] != "/")
-        return F.filter(F.transform(stops, lambda k, n: F.struct(n.cast("long").alias("n"), tokens(n, k).alias("t"))), lambda s: F.size(s["t"]) > 0)
-
-    def table_parts(at: Column, s: Column) -> Column:
-        named = F.when(s["kind"] == "COMMENT COLUMN", F.slice(s["parts"], 1, F.greatest(F.size(s["parts"]) - 1, F.lit(0)))).otherwise(s["parts"])
-        whole = F.when(F.size(named) == 2, named).when((F.size(named) == 1) & schema.isNotNull(), F.concat(F.array(F.concat(F.lit("U:"), F.upper(schema))), named))
-        return F.when(s["kind"].isNotNull() & (at > 0), whole)
-
-    def said_of(pieces: Column, statements_: Column) -> Column:
-        first = lambda s: s["t"][0]["piece"]
-        text = lambda a, b: F.array_join(between(pieces, a, b), "")
-        starts = _running(F.transform(statements_, lambda s, j: F.length(text(F.coalesce(first(F.get(statements_, j - 1)), F.lit(0)), first(s))).cast("long")))
-        parts = lambda t: _let(_action(t), lambda at: _let(F.struct(*_meaning(t, at)), lambda s: table_parts(at, s)))
-        rows = lambda places: F.transform(statements_, lambda s, j: F.struct(s["n"].alias("n"), parts(s["t"]).alias("table_parts"), text(first(s), F.element_at(s["t"], -1)["piece"] + 1).alias("text"), F.get(places, j).alias("start")))
-        return _let(_let(starts, rows), lambda said: F.when(F.forall(said, lambda s: s["table_parts"].isNotNull()), said))
-
-    def of_file(pieces: Column, seen: Column) -> Column:
-        marks = F.filter(F.transform(seen, lambda x, k: F.when(x["tok"] == ";", k)), lambda k: k.isNotNull())
-        stops = F.concat(_let(marks, lambda m: ends(seen, m)), F.array(F.size(seen)))
-        return _let(_let(stops, lambda x: cut(seen, x)), lambda found: said_of(pieces, found))
-
-    said = _let(sqltext.tokens(F.col("text")), lambda pieces: _let(seen_of(pieces), lambda seen: of_file(pieces, seen)))
-    rows = files.select("path", F.explode_outer(said).alias("s")).where("s IS NOT NULL").select("path", "s.*")
-    return rows.withColumn("end", F.col("start") + F.length("text"))
+    rows = cut.mapped(files.select("path", "text"), cut.CONTEXT, partial(cut.context_of, least=2 if default_schema is None else 1))
+    parts, schema = F.transform("names", identity.component_key), F.concat(F.lit("U:"), F.upper(F.lit(default_schema).cast("string")))
+    return rows.select("path", "n", F.when(F.size("names") == 2, parts).otherwise(F.concat(F.array(schema), parts)).alias("table_parts"), "text", "start", "end")
 
 
 def attached(said: DataFrame, found: DataFrame, most: int | None = None) -> DataFrame:
@@ -162,14 +82,13 @@ def attached(said: DataFrame, found: DataFrame, most: int | None = None) -> Data
     decides all files whose tables are not waited for by an earlier undecided file, the first file in any case.
     """
     targets = found.groupBy("table_parts").agg(F.count("*").alias("tables"), F.min("definition").alias("definition"))
-    # names and numbers alone decide; texts are met by the decisions in the end
-    met = said.groupBy("path", "table_parts").agg(F.count("*").alias("c")).join(targets, "table_parts", "left")
     of_file = Window.partitionBy("path")
     unfit = F.when(F.col("tables").isNull(), "UNKNOWN_TABLE").when(F.col("tables") > 1, "AMBIGUOUS_TABLE")
-    met = met.withColumn("reason", F.max(unfit).over(of_file))
     if most is None:
-        return said.join(met.select("path", "table_parts", "definition", "reason"), ["path", "table_parts"])
-    met = checkpointed(met)
+        return said.join(targets, "table_parts", "left").withColumn("reason", F.max(unfit).over(of_file)).drop("tables")
+    # names and numbers alone decide; texts are met by the decisions in the end
+    met = said.groupBy("path", "table_parts").agg(F.count("*").alias("c")).join(targets, "table_parts", "left")
+    met = checkpointed(met.withColumn("reason", F.max(unfit).over(of_file)))
     counts = met.where("reason IS NULL").groupBy("path", "definition").agg(F.sum("c").alias("c"))
     state = checkpointed(counts.withColumn("taken", F.lit(None).cast("boolean")))
     earlier = Window.partitionBy("definition").orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
@@ -215,17 +134,6 @@ def with_statements(fragment: Column, context: Column) -> Column:
     return F.when(F.size(context) > 0, added).otherwise(fragment)
 
 
-def _written(tokens: Column) -> Column:
-    """The text of some tokens of a statement (start, text)."""
-    return F.substring("text", tokens[0]["start"] - F.col("start") + 1, F.element_at(tokens, -1)["end"] - tokens[0]["start"])
-
-
-def _synthetic(items: DataFrame) -> DataFrame:
-    """Items, with their statements' (start, text), as tables of one column or constraint each, for the extractors of CREATE TABLE."""
-    body = _written(F.col("x"))
-    return items.select(F.concat_ws("\x1f", "definition", F.col("n").cast("string"), F.col("item").cast("string")).alias("definition"), F.concat(F.lit("TABLE ("), body, F.lit(")")).alias("fragment"))
-
-
 def create_diagnostics(marked: DataFrame, columns: DataFrame) -> DataFrame:
     """Rows (definition, code) of what the body of CREATE TABLE has that typed rows can't say.
 
@@ -250,97 +158,33 @@ def create_diagnostics(marked: DataFrame, columns: DataFrame) -> DataFrame:
     return codes.where("code IS NOT NULL").distinct()
 
 
-def operations(said: DataFrame, names: DataFrame) -> DataFrame:
+def operations(rows: DataFrame) -> DataFrame:
     """Rows (definition, n, item, op, key, keys, value, code, column, constraint): what each statement does to its table.
 
-    ``said`` is as of ``statements``; ``names`` has each definition's own name (parts).  Statements about
-    other tables do nothing; an unqualified name is that of the table it stands with.
+    ``rows`` are as of ``cut.operations_of``, which reads in one pass over a text what its statements say.  Statements
+    about other tables do nothing; an unqualified name is that of the table it stands with.  Only items that are
+    whole columns or constraints (body) meet the extractors here.
     """
-    rows = said.join(names.withColumnRenamed("parts", "own"), "definition")
-    target = F.when(F.col("kind") == "COMMENT COLUMN", F.slice("parts", 1, F.greatest(F.size("parts") - 1, F.lit(0)))).otherwise(F.col("parts"))
-    rows = rows.withColumn("target", target)
-    same = (F.col("target") == F.col("own")) | ((F.size("target") == 1) & (F.col("target")[0] == F.element_at("own", -1)))
-    longer = F.slice("target", F.lit(1), F.size("own")) == F.col("own")
-    alters = F.col("kind").isin(*ACTIONS)
-    payload = F.slice("t", F.col("at") + 1, F.size("t"))
-    rows = rows.withColumns({"same": same, "payload": F.when(F.col("at") > 0, payload)})
-    null = F.lit(None)
-    size, tok = F.size("payload"), lambda k: F.get("payload", F.lit(k))["tok"]
-    up = lambda k: F.get("payload", F.lit(k))["up"]
-    key = lambda c: identity.component_key(c)
-
-    def simple(df: DataFrame, op: Column, key_: Column = null, keys: Column = null, value: Column = null, code: Column = null) -> DataFrame:
-        return df.select("definition", "n", F.lit(0).alias("item"), op.alias("op"), key_.cast("string").alias("key"), keys.cast("array<string>").alias("keys"), value.cast("string").alias("value"), code.cast("string").alias("code"))
-
-    unsupported = simple(rows.where(F.col("kind").isNull() | (F.col("kind") == "NO VALUE") | ((F.col("kind") == "NONE") & (longer | (F.get("target", F.lit(0)) == F.element_at("own", -1))))), F.lit("none"), code=F.when(F.col("kind").isNull(), "TABLE_CONTEXT_UNSUPPORTED").when(F.col("kind") == "NO VALUE", "COMMENT_UNRESOLVED").otherwise("ALTER_TABLE_UNSUPPORTED"))
-    longer_names = simple(rows.where(alters & ~F.col("same") & longer), F.lit("none"), code=F.lit("ALTER_TABLE_UNSUPPORTED"))
-    own = rows.where("same")
-    flat = own.where("kind IN ('PARALLEL', 'NOPARALLEL', 'LOGGING', 'NOLOGGING')")
-    fits = F.when(F.col("kind") == "PARALLEL", (size == 0) | ((size == 1) & tok(0).rlike("^[0-9]+$"))).otherwise(size == 0)
-    property_ = F.when(F.col("kind").isin("PARALLEL", "NOPARALLEL"), "parallel").otherwise("logging")
-    value = F.when(F.col("kind").isin("LOGGING", "NOLOGGING"), F.col("kind")).otherwise(F.array_join(F.transform(F.slice("t", F.col("at"), F.size("t")), lambda x: x["tok"]), " "))
-    flat = simple(flat, F.when(fits, "property").otherwise("none"), property_, value=value, code=F.when(~fits, "ALTER_TABLE_UNSUPPORTED"))
-    comments = own.where("kind IN ('COMMENT TABLE', 'COMMENT COLUMN')")
-    about = F.when(F.col("kind") == "COMMENT COLUMN", F.element_at("parts", -1)).otherwise("TABLE")
-    comments = simple(comments, F.when(size < 1, "none").when((size == 1) & (tok(0) == "''"), "uncomment").otherwise("comment"), about, value=F.when(size > 0, _written(F.col("payload"))), code=F.when(size < 1, "COMMENT_UNRESOLVED"))
-
-    # DROP: one column, a list in parentheses, or a constraint
-    drops = own.where("kind = 'DROP'")
-    listed = (tok(0) == "(") & (F.element_at("payload", -1)["tok"] == ")") & (size > 2)
-    inner = F.slice("payload", 2, F.greatest(size - 2, F.lit(0)))
-    plain = F.forall(inner, lambda x: x["depth"] == 1) & F.forall(F.transform(inner, lambda x, k: (x["tok"] == ",") == (k % 2 == 1)), lambda x: x) & (F.size(inner) % 2 == 1)
-    names_ = F.transform(F.filter(inner, lambda x: x["tok"] != ","), lambda x: identity.component_key(x["tok"]))
-    keys = F.when((up(0) == "COLUMN") & (size == 2), F.array(key(tok(1)))).when(listed & plain, names_)
-    constraint = (up(0) == "CONSTRAINT") & (size == 2)
-    drops = simple(drops, F.when(constraint, "drop_constraint").when(keys.isNotNull() & (F.size(F.array_distinct(keys)) == F.size(keys)), "drop").otherwise("none"), F.when(constraint, key(tok(1))), keys, code=F.when(~constraint & (keys.isNull() | (F.size(F.array_distinct(keys)) != F.size(keys))), "ALTER_TABLE_DROP_UNSUPPORTED"))
-
-    # ADD and MODIFY: items, each a column or a constraint
-    changes = own.where("kind IN ('ADD', 'MODIFY')").withColumn("grouped", F.coalesce(tok(0) == "(", F.lit(False)))
-    closes = F.array_position(F.transform("payload", lambda x: (x["tok"] == ")") & (x["depth"] == 0)), True)
-    empty = simple(changes.where((size < 1) | (F.col("grouped") & (closes == 0))), F.lit("none"), code=F.lit("ALTER_TABLE_ITEMS_UNRESOLVED"))
-    body = F.when(F.col("grouped"), F.slice("payload", 2, F.greatest((closes - 2).cast("int"), F.lit(0)))).otherwise(F.col("payload"))
-    inside = changes.where((size > 0) & ~(F.col("grouped") & (closes == 0))).select("definition", "n", "kind", "grouped", body.alias("body"))
-    comma = lambda x: (x["tok"] == ",") & (x["depth"] == 1)
-    tokens = inside.select("definition", "n", "kind", "grouped", F.posexplode("body").alias("p", "x"))
-    order = Window.partitionBy("definition", "n").orderBy("p").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    is_comma = F.col("grouped") & comma(F.col("x"))
-    tokens = tokens.withColumn("item", F.sum(is_comma.cast("int")).over(order)).where(~is_comma)
-    items = tokens.groupBy("definition", "n", "kind", "item").agg(F.transform(F.sort_array(F.collect_list(F.struct("p", "x"))), lambda y: y["x"]).alias("x"))
-    items = checkpointed(items.join(said.select("definition", "n", "start", "text"), ["definition", "n"]))
-    expected = inside.select("definition", "n", (F.size(F.filter("body", comma)) * F.col("grouped").cast("int") + 1).alias("expected"))
-    gaps = expected.join(items.groupBy("definition", "n").agg(F.count("*").alias("got")), ["definition", "n"], "left").where("coalesce(got, 0) < expected")
-    gaps = simple(gaps, F.lit("none"), code=F.lit("ALTER_TABLE_ITEMS_UNRESOLVED"))
-
-    synthetic = checkpointed(_synthetic(items))
-    marked = checkpointed(tables.placed(synthetic))
+    typed = {"column": _COLUMN, "constraint": _CONSTRAINT}
+    keys = F.when(F.col("op") == "default", F.col("names")).otherwise(F.transform("names", identity.component_key))
+    rows = rows.select("definition", "n", "item", "op", F.coalesce("word", identity.component_key(F.col("name"))).alias("key"), keys.alias("keys"), "value", "code", "body")
+    plain = rows.where("body IS NULL").select(*rows.columns[:-1], *[F.lit(None).cast(kind).alias(name) for name, kind in typed.items()])
+    items = rows.where("body IS NOT NULL").withColumn("id", F.concat_ws("\x1f", "definition", F.col("n").cast("string"), F.col("item").cast("string")))
+    if items.isEmpty():  # no plan for what isn't there
+        return plain
+    # tables of one column or constraint each, for the extractors of CREATE TABLE
+    synthetic = dealt(items.select(F.col("id").alias("definition"), F.concat(F.lit("TABLE ("), "body", F.lit(")")).alias("fragment")))
+    marked = checkpointed(tables.placed(synthetic, code_tokens(synthetic)))
     column = tables.columns(synthetic, marked).select(F.col("definition").alias("id"), F.struct(F.col("component").alias("key"), *COLUMN_FIELDS).cast(_COLUMN).alias("column"))
-    made = constraint_rows(synthetic, marked).select(F.col("definition").alias("id"), F.col("constraint"))
-    items = items.withColumn("id", F.concat_ws("\x1f", "definition", F.col("n").cast("string"), F.col("item").cast("string")))
-    items = items.join(column, "id", "left").join(made, "id", "left")
-    word = lambda k: F.get("x", F.lit(k))["up"]
-    n_words = F.size("x")
-    is_constraint = word(0).isin(tables.CONSTRAINT_WORDS)
-    only_null = ((n_words == 2) & (word(1) == "NULL")) | ((n_words == 3) & (word(1) == "NOT") & (word(2) == "NULL"))
-    on_null = (word(2) == "ON") & (word(3) == "NULL")
-    is_default = word(1) == "DEFAULT"
-    from_ = F.when(on_null & (n_words >= 5), 4).otherwise(2)
-    rest = F.slice("x", from_ + 1, F.greatest(n_words - from_, F.lit(0)))
-    base_depth = F.col("x")[0]["depth"]
-    cut = F.exists(rest, lambda y: (y["depth"] == base_depth) & y["up"].isin(*[w for w in tables.AFTER_TYPE if w != "NULL"]))
-    modify = F.col("kind") == "MODIFY"
-    op = (
-        F.when(is_constraint & ~modify & F.col("constraint").isNotNull(), "add_constraint").when(is_constraint, "none")
-        .when(modify & only_null, "nullable").when(modify & is_default & (F.size(rest) > 0) & ~cut, "default").when(modify & is_default, "partial")
-        .when(F.col("column").isNull(), "partial").when(modify, "modify").otherwise("add")
-    )
-    code = F.when(is_constraint & modify, "ALTER_CONSTRAINT_MODIFY_UNSUPPORTED").when(is_constraint & F.col("constraint").isNull(), "UNNAMED_CONSTRAINT_UNRESOLVED")
-    value = F.when(modify & only_null, F.when(n_words == 3, "NOT NULL").otherwise("NULL"))
-    flag = F.when(modify & is_default & on_null & (n_words >= 5), F.array(F.lit("DEFAULT ON NULL")))
-    # the text of a default as it is written
-    value = F.when(modify & is_default, F.when(F.size(rest) > 0, _written(rest))).otherwise(value)
-    whole = items.select("definition", "n", "item", op.alias("op"), key(F.col("x")[0]["tok"]).alias("key"), flag.alias("keys"), value.alias("value"), code.alias("code"), "column", "constraint")
-    others = unsupported.unionByName(longer_names).unionByName(flat).unionByName(comments).unionByName(drops).unionByName(empty).unionByName(gaps)
-    return whole.unionByName(others, allowMissingColumns=True)
+    items = items.join(column, "id", "left")
+    if marked.where("up = 'CONSTRAINT'").isEmpty():
+        items = items.withColumn("constraint", F.lit(None).cast(_CONSTRAINT))
+    else:
+        items = items.join(constraint_rows(synthetic, marked).select(F.col("definition").alias("id"), "constraint"), "id", "left")
+    missing = (F.col("op") == "add_constraint") & F.col("constraint").isNull()
+    op = F.when(missing, "none").when((F.col("op") != "add_constraint") & F.col("column").isNull(), "partial").otherwise(F.col("op"))
+    code = F.when(missing, "UNNAMED_CONSTRAINT_UNRESOLVED").otherwise(F.col("code"))
+    return plain.unionByName(items.withColumns({"op": op, "code": code}).select(*plain.columns))
 
 
 def constraint_rows(definitions: DataFrame, marked: DataFrame) -> DataFrame:
@@ -400,13 +244,16 @@ def _folded(state: Column, x: Column) -> Column:
     return F.struct(columns.alias("columns"), constraints.alias("constraints"), comments.alias("comments"), properties.alias("properties"), codes.alias("codes"))
 
 
-def replayed(definitions: DataFrame, tokens: DataFrame, marked: DataFrame | None = None) -> Replayed:
+def replayed(definitions: DataFrame, tokens: DataFrame, marked: DataFrame | None = None, heads: DataFrame | None = None) -> Replayed:
     """The tables of CREATE TABLE definitions (definition, fragment) after the statements that follow in the same text.
 
+    ``tokens`` are those of the definitions, or of their ``heads``, if given: the texts up to the end of CREATE TABLE.
+
     Defined results: a statement about another table does nothing; one that can't be applied changes
     nothing and gives its diagnostic; of several columns of one name the first counts and the table has a
     diagnostic; an empty table of definitions gives empty tables.
     """
+    texts, definitions = definitions, definitions if heads is None else heads
     marked = checkpointed(tables.placed(definitions, tokens)) if marked is None else marked
     every = checkpointed(tables.columns(definitions, marked, first_only=False))
     first = Window.partitionBy("definition", "component").orderBy(F.col("position").cast("int"))
@@ -415,12 +262,12 @@ def replayed(definitions: DataFrame, tokens: DataFrame, marked: DataFrame | None
     constraints = tables.constraints(definitions, marked)
     properties = tables.properties(definitions, marked)
     comments = properties.select("definition", F.lit("").alias("component"), "value").where("false")
-    later = checkpointed(marked.where("i > stop").select("definition", "i", "tok", "up", "start", "end", "depth"))
-    if later.isEmpty():
+    head = marked.where("i > table_at AND i < opening AND tok <> '.'").groupBy("definition").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "tok"))), lambda x: x["tok"]).alias("own"))
+    later = marked.where("i = stop").select("definition", F.col("end").cast("int").alias("from"), F.col("depth").cast("int").alias("depth")).join(head, "definition")
+    said = checkpointed(cut.mapped(texts.join(later, "definition").select("definition", "fragment", "from", "depth", "own"), cut.OPERATION, cut.operations_of))
+    if said.isEmpty():
         return Replayed(columns, constraints, comments, properties, codes)
-    said = checkpointed(statements(later, definitions))
-    head = marked.where("i > table_at AND i < opening AND tok <> '.'").groupBy("definition").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "tok"))), lambda x: identity.component_key(x["tok"])).alias("parts"))
-    ops = operations(said, head)
+    ops = operations(said)
     ops = ops.groupBy("definition").agg(F.sort_array(F.collect_list(F.struct("n", "item", "op", "key", "keys", "value", "code", "column", "constraint"))).alias("ops"))
     listed = lambda df, entry, name: df.groupBy("definition").agg(F.sort_array(F.collect_list(entry)).alias(name))
     column = F.struct(F.col("position").cast("int").alias("p"), F.struct(F.col("component").alias("key"), *COLUMN_FIELDS).cast(_COLUMN).alias("c"))

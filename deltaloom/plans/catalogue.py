@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from deltaloom.extract import objects as extract
-from deltaloom.extract import replay
+from deltaloom.extract import replay, statements
 from deltaloom.extract import tables as extract_tables
 from deltaloom.extract.tokens import code_tokens, dealt
 from deltaloom.functions import canonical, identity, sqltext
@@ -767,7 +767,8 @@ def q66_altered_tables(t):
     found, _ = replay.with_contexts(scan.occurrences(files), files)
     found = found.select(F.regexp_extract("path", "([0-9]+)", 1).cast("long").alias("definition"), replay.with_statements(F.col("fragment"), F.col("context")).alias("fragment"))
     found = dealt(found)
-    got = replay.replayed(found, code_tokens(found))
+    heads = dealt(statements.heads(found))
+    got = replay.replayed(found, code_tokens(heads), heads=heads)
     refused = got.diagnostics.where("code = 'ALTER_TABLE_DROP_UNSUPPORTED'").select("definition", F.lit(True).alias("refused")).distinct()
     rows = got.columns.join(got.comments.withColumnRenamed("value", "comment_text"), ["definition", "component"], "left").join(refused, "definition", "left")
     return rows.select(F.col("definition").alias("customer"), "component", F.col("position").cast("int").alias("position"), "data_type", "nullable", F.col("default").alias("default_value"), "comment_text", F.coalesce("refused", F.lit(False)).alias("refused"))

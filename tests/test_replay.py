@@ -1,6 +1,6 @@
 import pytest
 
-from deltaloom.extract import replay
+from deltaloom.extract import replay, statements
 from deltaloom.extract.tokens import code_tokens
 from deltaloom.operators import scan
 from deltaloom.plans.analysis import analyse
@@ -222,3 +222,37 @@ def test_statements_take_their_text_from_parts(spark):
     assert {(x.definition, x.component, x.data_type, x.default) for x in r.columns.collect()} == {("t", "U:C", "NUMBER", "f('𝄞399',  2)"), ("t", "U:Z", "NUMBER(5)", None), ("u", "U:C", "NUMBER", None)}
     later = code_tokens(d).where("definition = 't' AND start > 30")
     assert [x.text for x in replay.statements(later, d).orderBy("n").collect()] == said
+
+
+def test_no_step_has_a_row_for_each_token_of_the_statements(spark, monkeypatch):
+    """Statements are cut and read inside their text: what is written between the steps grows with them, not with their tokens."""
+    rows, written = [], replay.checkpointed
+
+    def counted(df):
+        rows.append((out := written(df)).count())
+        return out
+
+    said = "".join(f"ALTER TABLE a.t ADD (x{k} NUMBER(5, 2) DEFAULT f(1, 2) NOT NULL); ALTER TABLE t MODIFY (x{k} NULL, c DEFAULT {k});" for k in range(300))
+    d = spark.createDataFrame([("t", "CREATE TABLE a.t (c NUMBER); " + said), ("u", "CREATE TABLE a.u (c NUMBER)")], "definition string, fragment string")
+    monkeypatch.setattr(replay, "checkpointed", counted)
+    heads = statements.heads(d)
+    r = replay.replayed(d, code_tokens(heads), heads=heads)
+    got = {(x.definition, x.component): (x.position, x.nullable, x.default) for x in r.columns.collect()}
+    assert got == {("t", "U:C"): ("1", None, "299"), ("u", "U:C"): ("1", None, None)} | {("t", f"U:X{k}"): (str(k + 2), "NULL", "f(1, 2)") for k in range(300)}
+    assert r.diagnostics.isEmpty()
+    tokens = code_tokens(d).count()
+    # the tokens of 300 new columns, of which each is read as a table of its own, and no others
+    assert tokens > 11_000 and max(rows) < tokens / 2
+
+
+def test_tokens_in_python_are_those_of_the_pattern(spark):
+    """Texts are cut alike on both sides, by characters; names with letters whose cases engines may know differently have SQL's keys."""
+    texts = ["", " ", "a -- b\n/* c */ d /* open", "N'it''s' q'[a;]b]' nQ'!x!' q'{", "'open ; (", '"q""x".\'y\' "open', "a:=1..2 => b||c<=d**e 1.5.x.", "(a(b)c))(;)", "é𝄞$ \x0b\x1c\xa0x ß", "q n nq'(a)'b Q'xyx'z /", "a" * 9 + "\t\r\n" * 9]
+    d = spark.createDataFrame(list(enumerate(texts)), "definition int, fragment string")
+    want = {}
+    for x in code_tokens(d).orderBy("definition", "i").collect():
+        want.setdefault(x.definition, []).append((x.tok, x.up, x.depth, x.start, x.end))
+    assert {k: list(statements.visible(t)) for k, t in enumerate(texts) if t.strip(" ")} == want
+    files = spark.createDataFrame([("f", "ALTER TABLE a.\u0264 NOLOGGING; COMMENT ON COLUMN a.\u0264.x IS 'y'")], "path string, text string")
+    upper = spark.range(1).selectExpr("'U:' || upper('\u0264')").first()[0]
+    assert {tuple(x.table_parts) for x in replay.context_statements(files).collect()} == {("U:A", upper)}
